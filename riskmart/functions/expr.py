@@ -171,3 +171,25 @@ def precedes(keys, cut) -> Column:
 def number_array(values, kind="bigint") -> Column:
     """A literal array written as one text: three plan nodes however long it is."""
     return F.split(F.lit(",".join(repr(v) for v in values)), ",").cast(f"array<{kind}>")
+
+
+# -- SQL text ----------------------------------------------------------------
+#
+# Wide projections and aggregates are built as text: one call per column instead of
+# one per operation.
+
+def quoted(name) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
+def sql_number(value) -> str:
+    kind = "double" if isinstance(value, float) else "bigint"
+    return f"cast('{value!r}' as {kind})"
+
+
+def sql_text(value) -> str:
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def sql_array(values, kind) -> str:
+    return f"cast(split('{','.join(repr(v) for v in values)}', ',') as array<{kind}>)"

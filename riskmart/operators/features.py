@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, functions as F, types as T
 
 from riskmart import schema as S
 from riskmart.functions import expr as X
+from riskmart.lineage import materialize
 from riskmart.operators import aggregates, categories, selection
 
 FULL, REDUCED = "FULL", "REDUCED"
@@ -56,7 +57,8 @@ def pre_model_frame(df, tier, tables=None, key=S.KEY, flattened=True, validate=T
     has one, stays as the first column; it never becomes a feature.
     """
     tier = tier.upper()
-    present = [c for c in S.AGGREGATE_FEATURES if c in df.columns]
+    given = set(df.columns)
+    present = [c for c in S.AGGREGATE_FEATURES if c in given]
     if tier == FULL and present and len(present) < len(S.AGGREGATE_FEATURES):
         raise ValueError("FULL input must contain either all flattened aggregate columns or none")
     from_row = tier == FULL and flattened and bool(present)
@@ -83,8 +85,10 @@ def assert_no_blocked_columns(columns) -> None:
 def missing_rates_of(df, columns) -> dict[str, float]:
     if not columns:
         return {}
-    row = df.agg(*[F.avg(F.col(c).isNull().cast("double")).alias(c) for c in columns]).first()
-    return {c: row[c] if row[c] is not None else 0.0 for c in columns}
+    row = df.selectExpr(
+        *[f"avg(cast({X.quoted(c)} is null as double)) as r{i}" for i, c in enumerate(columns)]
+    ).first()
+    return {c: r if r is not None else 0.0 for c, r in zip(columns, row)}
 
 
 def fit_missing_flags(df, columns, rate=S.MISSING_FLAG_RATE) -> list[str]:
@@ -92,23 +96,28 @@ def fit_missing_flags(df, columns, rate=S.MISSING_FLAG_RATE) -> list[str]:
 
 
 def apply_missing_flags(df, columns) -> DataFrame:
-    flags = {c + FLAG_SUFFIX: X.is_missing(c) for c in columns if c in df.columns}
+    present = set(df.columns)
+    flags = {c + FLAG_SUFFIX: X.is_missing(c) for c in columns if c in present}
     return df.withColumns(flags) if flags else df
 
 
 def fit_imputers(df, columns) -> dict[str, float]:
     """Exact medians; 0 for a column without values."""
-    return {c: m if m is not None else 0.0 for c, m in selection.medians(df, {c: c for c in columns}).items()}
+    found = selection.medians(df, {c: c for c in columns})
+    return {c: m if m is not None else 0.0 for c, m in found.items()}
 
 
 def apply_fill(df, values: dict) -> DataFrame:
+    """Replaces missing values; numeric columns become double."""
+    types = {f.name: f.dataType for f in df.schema.fields}
     fills = {}
     for c, v in values.items():
-        if c in df.columns and v is not None:
-            c_type = df.schema[c].dataType
-            number = isinstance(c_type, T.NumericType)
-            col = F.col(c).cast("double") if number else F.col(c)
-            fills[c] = F.coalesce(col, F.lit(float(v) if number else v))
+        if c in types and v is not None:
+            number = isinstance(types[c], T.NumericType)
+            text = f"coalesce(cast({X.quoted(c)} as double), {X.sql_number(float(v))})" if number else (
+                f"coalesce({X.quoted(c)}, {X.sql_text(v)})"
+            )
+            fills[c] = F.expr(text)
     return df.withColumns(fills) if fills else df
 
 
@@ -116,11 +125,14 @@ def fit_scaler(df, columns, imputers) -> dict[str, float]:
     """Population standard deviation of the imputed columns; 1 where a column is constant."""
     if not columns:
         return {}
-    exprs = []
-    for c in columns:
-        filled = F.coalesce(F.col(c).cast("double"), F.lit(float(imputers.get(c, 0.0))))
-        exprs += [F.var_pop(filled), F.avg(filled)]
-    row = tuple(df.agg(F.count("*").alias("n"), *[e.alias(f"e{i}") for i, e in enumerate(exprs)]).first())
+    filled = [
+        f"coalesce(cast({X.quoted(c)} as double), {X.sql_number(float(imputers.get(c, 0.0)))})"
+        for c in columns
+    ]
+    row = df.selectExpr(
+        "count(*) as n",
+        *[f"{f}({v}) as {f}_{i}" for i, v in enumerate(filled) for f in ("var_pop", "avg")],
+    ).first()
     n, eps, out = row[0], 2.0 ** -52, {}
     for i, c in enumerate(columns):
         var, mean = row[1 + 2 * i] or 0.0, row[2 + 2 * i] or 0.0
@@ -131,7 +143,12 @@ def fit_scaler(df, columns, imputers) -> dict[str, float]:
 
 
 def apply_scaler(df, scales: dict) -> DataFrame:
-    out = {c: F.col(c).cast("double") / F.lit(float(s)) for c, s in scales.items() if c in df.columns}
+    present = set(df.columns)
+    out = {
+        c: F.expr(f"cast({X.quoted(c)} as double) / {X.sql_number(float(s))}")
+        for c, s in scales.items()
+        if c in present
+    }
     return df.withColumns(out) if out else df
 
 
@@ -145,9 +162,14 @@ def dummy_names(kept: dict, with_rare, other="OTHER") -> list[tuple[str, str]]:
 
 def one_hot(df, dummies) -> DataFrame:
     """0/1 doubles for frozen (column, value) pairs; the categorical columns go."""
-    out = {f"{c}_{v}": F.coalesce(F.col(c) == F.lit(v), F.lit(False)).cast("double") for c, v in dummies}
     done = {c for c, _ in dummies}
-    return (df.withColumns(out) if out else df).drop(*done)
+    return df.selectExpr(
+        *[X.quoted(c) for c in df.columns if c not in done],
+        *[
+            f"cast(coalesce({X.quoted(c)} = {X.sql_text(v)}, false) as double) as {X.quoted(f'{c}_{v}')}"
+            for c, v in dummies
+        ],
+    )
 
 
 # -- missing policy ----------------------------------------------------------
@@ -276,7 +298,8 @@ class FeatureBuilderModel(Model, _BuilderParams, DefaultParamsReadable, DefaultP
         carried = [c for c in df.columns if c not in inputs]
         types = {c: T.DoubleType() for c in get("numericCols")}
         types.update({c: T.StringType() for c in get("categoricalCols")})
-        absent = {c: F.lit(None).cast(types[c]) for c in inputs if c not in df.columns}
+        given = set(df.columns)
+        absent = {c: F.lit(None).cast(types[c]) for c in inputs if c not in given}
         out = df.withColumns(absent) if absent else df
         out = categories.apply_rare_map(out, get("keptCategories"), get("fill"), get("other"))
         out = apply_missing_flags(out, get("flagColumns"))
@@ -285,11 +308,13 @@ class FeatureBuilderModel(Model, _BuilderParams, DefaultParamsReadable, DefaultP
         out = one_hot(out, [tuple(d) for d in get("dummies")])
         encoded = self.encoded_columns
         carried = [c for c in carried if c not in encoded]
-        out = out.select(*carried, *[F.col(c).cast("double").alias(c) for c in encoded])
+        out = out.selectExpr(
+            *[X.quoted(c) for c in carried],
+            *[f"cast({X.quoted(c)} as double) as {X.quoted(c)}" for c in encoded],
+        )
         if get("featuresCol"):
-            nan = F.lit(float("nan"))
-            parts = F.array(*[F.coalesce(F.col(c), nan) for c in encoded])
-            out = out.withColumn(get("featuresCol"), array_to_vector(parts))
+            parts = ", ".join(f"coalesce({X.quoted(c)}, double('NaN'))" for c in encoded)
+            out = out.withColumn(get("featuresCol"), array_to_vector(F.expr(f"array({parts})")))
         return out
 
 
@@ -311,7 +336,9 @@ def fit_builder(frame, tier, **params) -> FeatureBuilderModel:
 def fit_full_builder(train, tables, key=S.KEY, validate=True, **params) -> FeatureBuilderModel:
     """Fits on freshly aggregated child tables, whatever flattened columns the frame has."""
     base = train.drop(*S.AGGREGATE_FEATURES)
-    return fit_builder(pre_model_frame(base, FULL, tables, key, False, validate), FULL, **params)
+    frame = pre_model_frame(base, FULL, tables, key, False, validate)
+    # The fit passes over its input several times; the child tables are scanned once.
+    return fit_builder(materialize(frame), FULL, **params)
 
 
 def fit_reduced_builder(train, key=S.KEY, **params) -> FeatureBuilderModel:

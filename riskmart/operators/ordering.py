@@ -7,7 +7,7 @@ from pyspark.ml.feature import Bucketizer
 
 from riskmart import schema as S
 from riskmart.functions import expr as X
-from riskmart.lineage import cut_lineage
+from riskmart.lineage import materialize
 from riskmart.operators import selection
 
 ROW_BITS = 33     # monotonically_increasing_id keeps the row within a partition below this bit
@@ -25,7 +25,7 @@ def global_index(df, keys, column="row_index", partitions=None) -> DataFrame:
     """0-based position of every row in the order of the keys.
 
     Rows are range-partitioned and sorted on the whole key tuple, so ties on the
-    first keys still spread out. The sorted rows are checkpointed: partition
+    first keys still spread out. The sorted rows are stored with their place: partition
     boundaries come from a sample and must not move between counting and numbering.
     """
     spark = df.sparkSession
@@ -38,7 +38,7 @@ def global_index(df, keys, column="row_index", partitions=None) -> DataFrame:
         .drop(*names)
         .withColumn("__place", F.monotonically_increasing_id())
     )
-    placed = cut_lineage(placed)
+    placed = materialize(placed)
     part = F.shiftright("__place", ROW_BITS)
     row = F.col("__place").bitwiseAND(F.lit((1 << ROW_BITS) - 1))
     sizes = placed.groupBy(part.alias("__part")).agg(F.count("*").alias("n"))

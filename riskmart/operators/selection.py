@@ -10,28 +10,29 @@ of several hundred; once few are left, one last aggregate sorts just those.
 from dataclasses import dataclass, field
 from math import ceil, floor
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
-from riskmart.functions import expr as X
+from riskmart.functions.expr import quoted, sql_array, sql_number
 
 GRID = 1000          # percentile steps per pass
 ACCURACY = 10000     # rank error of a grid value is at most rows / ACCURACY
 FEW_ROWS = 20000     # candidates that may be sorted inside one aggregate
 MAX_PASSES = 60
 
-
-def _grid() -> Column:
-    return X.number_array([i / GRID for i in range(GRID + 1)], "double")
+_STEPS = sql_array([i / GRID for i in range(GRID + 1)], "double")
 
 
 @dataclass
 class _Search:
-    """Looks for the key tuple at one 0-based rank among the rows with all keys present."""
+    """Looks for the key tuple at one 0-based rank among the rows with all keys present.
+
+    Keys are columns, compared from left to right.
+    """
 
-    keys: list[Column]
-    rank_of: object                       # rows -> rank, or None for no such row
+    keys: list[str]
+    rank_of: object                       # rows -> rank
     found: list = field(default_factory=list)
-    rank: int | None = None
+    rank: int | None = None               # among the rows still in question
     total: int | None = None              # rows with the first key present
     rows: int | None = None               # rows strictly inside (low, high)
     low: object = None                    # proven: answer > low
@@ -42,45 +43,42 @@ class _Search:
     done: bool = False
     answer: tuple | None = None
 
-    def key(self) -> Column:
+    @property
+    def key(self) -> str:
         return self.keys[len(self.found)]
 
-    def member(self) -> Column:
-        cond = self.keys[0].isNotNull()
-        for k, v in zip(self.keys, self.found):
-            cond = cond & (k == F.lit(v))
-        return cond
+    def where(self, *tests) -> str:
+        """SQL condition: the keys found so far, and tests of the current one."""
+        known = [f"{k} = {sql_number(v)}" for k, v in zip(self.keys, self.found)]
+        return " and ".join([*known, f"{self.key} is not null", *tests])
 
-    def inside(self, low, high) -> Column:
-        cond = self.member()
-        if low is not None:
-            cond = cond & (self.key() > F.lit(low))
-        if high is not None:
-            cond = cond & (self.key() < F.lit(high))
-        return cond
-
-    def pick(self, low, high) -> Column:
-        return F.when(self.inside(low, high), self.key())
-
-    # -- one pass ----------------------------------------------------------
+    def inside(self, low, high) -> str:
+        tests = [] if low is None else [f"{self.key} > {sql_number(low)}"]
+        tests += [] if high is None else [f"{self.key} < {sql_number(high)}"]
+        return self.where(*tests)
 
     def signature(self):
         """Equal for searches that would ask the same of the data."""
         rank = self.rank if self.ready() else None
         spot = self.low, self.high, self.cut, self.want_grid
-        return id(self.keys), tuple(self.found), spot, rank
+        return tuple(self.keys), tuple(self.found), spot, rank
 
-    def probes(self) -> list[Column]:
+    # -- one pass ----------------------------------------------------------
+
+    def probes(self) -> list[str]:
         low, high = self.cut or (self.low, self.high)
-        out = [F.count_if(self.inside(low, high))]
+        out = [f"count_if({self.inside(low, high)})"]
         if self.cut:
             out += [
-                F.count_if(self.inside(self.low, low)),
-                F.count_if(self.member() & (self.key() == F.lit(low))),
-                F.count_if(self.member() & (self.key() == F.lit(high))),
+                f"count_if({self.inside(self.low, low)})",
+                f"count_if({self.where(f'{self.key} = {sql_number(low)}')})",
+                f"count_if({self.where(f'{self.key} = {sql_number(high)}')})",
             ]
         if self.want_grid:
-            out.append(F.percentile_approx(self.pick(low, high), _grid(), ACCURACY))
+            out.append(
+                f"percentile_approx(case when {self.inside(low, high)} then {self.key} end,"
+                f" {_STEPS}, {ACCURACY})"
+            )
         return out
 
     def absorb(self, values) -> None:
@@ -140,12 +138,11 @@ class _Search:
     def ready(self) -> bool:
         return not self.done and self.rank is not None and self.rows <= FEW_ROWS
 
-    def final(self) -> Column:
+    def final(self) -> list[str]:
         """Sorts the few remaining key tuples and takes the one at the rank."""
-        rest = self.keys[len(self.found):]
-        tuples = F.struct(*[k.alias(f"k{i}") for i, k in enumerate(rest)])
-        few = F.collect_list(F.when(self.inside(self.low, self.high), tuples))
-        return F.get(F.array_sort(few), F.lit(self.rank))
+        rest = ", ".join(self.keys[len(self.found):])
+        few = f"collect_list(case when {self.inside(self.low, self.high)} then struct({rest}) end)"
+        return [f"get(array_sort({few}), {self.rank})"]
 
     def finish(self, row) -> None:
         self.answer, self.done = tuple(self.found) + tuple(row), True
@@ -160,64 +157,81 @@ def _run(df: DataFrame, searches: list[_Search]) -> None:
         exprs, places = [], {}
         for s in todo:
             if s.signature() not in places:
-                cols = [s.final()] if s.ready() else s.probes()
-                places[s.signature()] = slice(len(exprs), len(exprs) + len(cols))
-                exprs += cols
-        row = tuple(df.agg(*[e.alias(f"e{i}") for i, e in enumerate(exprs)]).first())
+                asks = s.final() if s.ready() else s.probes()
+                places[s.signature()] = slice(len(exprs), len(exprs) + len(asks))
+                exprs += asks
+        row = tuple(df.selectExpr(*[f"{e} as e{i}" for i, e in enumerate(exprs)]).first())
         for s, at in [(s, places[s.signature()]) for s in todo]:
             s.finish(row[at][0]) if s.ready() else s.absorb(row[at])
     raise RuntimeError("order statistic search did not settle")
 
 
-def tuples_at(df: DataFrame, keys: list[Column], ranks) -> list[tuple | None]:
+def _keyed(df, keys, extra=()) -> tuple[DataFrame, list[str]]:
+    """The frame reduced to its keys under plain names."""
+    names = [f"k{i}" for i in range(len(keys))]
+    columns = [F.col(k) if isinstance(k, str) else k for k in keys]
+    return df.select(*[c.alias(n) for c, n in zip(columns, names)], *extra), names
+
+
+def tuples_at(df: DataFrame, keys: list, ranks) -> list[tuple | None]:
     """The key tuples at 0-based ranks of the ascending order; None past the end.
 
     `ranks` maps the number of rows to a list of ranks. Keys have to be numeric
-    and present. The first key may repeat: a value with very many ties is settled
+    and present. The first keys may repeat: a value with very many ties is settled
     by the next key.
     """
-    keys = [F.col(k) if isinstance(k, str) else k for k in keys]
-    n = len(ranks(1))
-    searches = [_Search(keys, (lambda rows, i=i: ranks(rows)[i])) for i in range(n)]
-    _run(df, searches)
+    keyed, names = _keyed(df, keys)
+    searches = [_Search(names, (lambda rows, i=i: ranks(rows)[i])) for i in range(len(ranks(1)))]
+    _run(keyed, searches)
     return [s.answer for s in searches]
 
 
 def group_tuples_at(df, group, keys, ranks: dict) -> dict:
     """Per group value the key tuple at a 0-based rank within the group, in shared passes."""
-    keys = [F.col(k) if isinstance(k, str) else k for k in keys]
-    searches = {}
-    for value, rank in ranks.items():
-        own = F.when(F.col(group) == F.lit(value), keys[0])
-        searches[value] = _Search([own, *keys[1:]], lambda rows, rank=rank: rank)
-    _run(df, list(searches.values()))
-    return {value: s.answer for value, s in searches.items()}
+    columns = [F.col(k) if isinstance(k, str) else k for k in keys]
+    own = {v: F.when(F.col(group) == F.lit(v), columns[0]) for v in ranks}
+    extra = [c.alias(f"own{i}") for i, c in enumerate(own.values())]
+    keyed, names = _keyed(df, columns, extra)
+    searches = {
+        v: _Search([f"own{i}", *names[1:]], lambda rows, rank=ranks[v]: rank)
+        for i, v in enumerate(own)
+    }
+    _run(keyed, list(searches.values()))
+    return {v: s.answer for v, s in searches.items()}
 
 
 def exact_quantiles(df: DataFrame, columns: dict, probabilities) -> dict[str, list[float | None]]:
     """Exact quantiles with linear interpolation; missing values are skipped.
 
-    Returns, per column name, one value per probability, or None without data.
+    `columns` maps names to columns. Returns, per name, one value per probability, or
+    None without data.
     """
-    spots = {}
-    for name, c in columns.items():
-        c = F.col(c) if isinstance(c, str) else c
-        c = c.cast("double")
-        keys = [F.when(~F.isnan(c), c)]
-        for p in probabilities:
-            spots[name, p] = [
-                _Search(keys, lambda rows, p=p: floor(p * (rows - 1))),
-                _Search(keys, lambda rows, p=p: ceil(p * (rows - 1))),
-                p,
-            ]
-    _run(df, [s for a, b, _ in spots.values() for s in (a, b)])
+    texts = [
+        f"nanvl(cast({quoted(c)} as double), null) as v{i}"
+        for i, c in enumerate(columns.values())
+        if isinstance(c, str)
+    ]
+    if len(texts) < len(columns):
+        plain = [(F.col(c) if isinstance(c, str) else c).cast("double") for c in columns.values()]
+        values = df.select(*[F.when(~F.isnan(c), c).alias(f"v{i}") for i, c in enumerate(plain)])
+    else:
+        values = df.selectExpr(*texts)
+    spots = {
+        (name, p): (
+            _Search([f"v{i}"], lambda rows, p=p: floor(p * (rows - 1))),
+            _Search([f"v{i}"], lambda rows, p=p: ceil(p * (rows - 1))),
+        )
+        for i, name in enumerate(columns)
+        for p in probabilities
+    }
+    _run(values, [s for pair in spots.values() for s in pair])
     out = {name: [] for name in columns}
-    for (name, _), (a, b, p) in spots.items():
-        if a.answer is None:
+    for (name, p), (below, above) in spots.items():
+        if below.answer is None:
             out[name].append(None)
             continue
-        low, high = a.answer[0], b.answer[0]
-        spot = p * (a.total - 1)
+        low, high = below.answer[0], above.answer[0]
+        spot = p * (below.total - 1)
         out[name].append(float(low + (high - low) * (spot - floor(spot))))
     return out
 

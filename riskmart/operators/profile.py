@@ -114,28 +114,33 @@ def assert_balanced(df, label, tolerance=0.05) -> None:
 def quality_report(app, split, dataset, target, flag, flag_name, cap, train="train") -> DataFrame:
     """One row: shape, default rate, class counts, sentinels, missing rates, cap, split sizes.
 
-    `app` carries a split column. Three small aggregates over it meet as one row.
+    `app` carries a split column. Two aggregates over it, one of them by split and
+    class, meet as one row.
     """
     columns = [c for c in app.columns if c != split]
+    in_train = F.col(split) == train
     one = app.agg(
         F.count("*").alias("total_rows"),
         F.sum(F.col(flag).cast("long")).alias("sentinels"),
-        F.round(F.avg(F.when(F.col(split) == train, F.col(target))), 4).alias("target_default_rate"),
+        F.round(F.avg(F.when(in_train, F.col(target))), 4).alias("target_default_rate"),
         *[F.avg(F.col(c).isNull().cast("double")).alias(f"m_{i}") for i, c in enumerate(columns)],
     )
-    rates = F.filter(
-        F.array(
-            *[
-                F.struct(F.lit(c).alias("k"), F.col(f"m_{i}").alias("v"))
-                for i, c in enumerate(columns)
-            ]
-        ),
-        lambda e: e["v"] > 0,
+    cells = [F.struct(F.lit(c).alias("k"), F.col(f"m_{i}").alias("v")) for i, c in enumerate(columns)]
+    rates = F.transform(
+        F.filter(F.array(*cells), lambda e: e["v"] > 0),
+        lambda e: F.struct(e["k"].alias("k"), F.round(e["v"], 4).alias("v")),
+    )
+    by_class = app.groupBy(split, F.col(target).cast("string").alias("k")).agg(F.count("*").alias("n"))
+    by_split = by_class.groupBy(split).agg(
+        F.sum("n").alias("n"),
+        F.collect_list(F.when(in_train & F.col("k").isNotNull(), F.struct("k", "n"))).alias("classes"),
+    )
+    counts = by_split.agg(
+        F.map_from_entries(F.flatten(F.collect_list("classes"))).alias("class_counts"),
+        F.map_from_entries(F.collect_list(F.struct(split, "n"))).alias("split_sizes"),
     )
-    rates = F.transform(rates, lambda e: F.struct(e["k"].alias("k"), F.round(e["v"], 4).alias("v")))
-    classes = _as_map(app.where(F.col(split) == train), target, "class_counts")
-    sizes = _as_map(app, split, "split_sizes")
     report = one.select(
+        F.lit(1).alias("__one"),
         F.lit(dataset).alias("dataset"),
         "total_rows",
         F.lit(len(columns)).alias("total_cols"),
@@ -144,14 +149,4 @@ def quality_report(app, split, dataset, target, flag, flag_name, cap, train="tra
         F.map_from_entries(rates).alias("missing_rates"),
         F.lit(None if cap is None else round(cap, 2)).cast("double").alias("income_cap_p99"),
     )
-    for part in (classes, sizes):
-        report = report.withColumn("__one", F.lit(1)).join(
-            part.withColumn("__one", F.lit(1)), "__one"
-        ).drop("__one")
-    return report
-
-
-def _as_map(df, column, name) -> DataFrame:
-    """Counts per value as one map; meant for columns with few values."""
-    counts = df.groupBy(F.col(column).cast("string").alias("k")).agg(F.count("*").alias("n"))
-    return counts.agg(F.map_from_entries(F.collect_list(F.struct("k", "n"))).alias(name))
+    return report.join(counts.withColumn("__one", F.lit(1)), "__one").drop("__one")

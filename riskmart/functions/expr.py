@@ -86,12 +86,7 @@ def row_std(cols) -> Column:
 
 
 def days_late(paid_day, due_day) -> Column:
-    """Days past due, never negative; NULL if either day is missing."""
-    paid_day, due_day = _col(paid_day), _col(due_day)
-    return F.when(
-        paid_day.isNotNull() & due_day.isNotNull(),
-        F.greatest(paid_day - due_day, F.lit(0.0)),
-    )
+    return F.expr(sql_days_late(quoted(paid_day), quoted(due_day)))
 
 
 def decision_band(score, approve_below=S.APPROVE_BELOW, decline_from=S.DECLINE_FROM) -> Column:
@@ -193,3 +188,16 @@ def sql_text(value) -> str:
 
 def sql_array(values, kind) -> str:
     return f"cast(split('{','.join(repr(v) for v in values)}', ',') as array<{kind}>)"
+
+
+def sql_ratio(a, b) -> str:
+    """a / b where b is above zero, else NULL."""
+    return f"case when {b} > 0 then {a} / {b} end"
+
+
+def sql_days_late(paid_day, due_day) -> str:
+    """Days past due, never negative; NULL if either day is missing."""
+    return (
+        f"case when {paid_day} is not null and {due_day} is not null"
+        f" then greatest({paid_day} - {due_day}, 0D) end"
+    )

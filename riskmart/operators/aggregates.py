@@ -2,7 +2,7 @@
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from riskmart import schema as S
 from riskmart.functions import expr as X
@@ -13,61 +13,61 @@ from riskmart.operators import keys as K
 class Measure:
     """One output column, stated as partial aggregates and the way they merge.
 
-    kind: rows | count_if | share | sum | mean | max | min. `value` is a condition
-    for count_if and share, a number for the others.
+    kind: rows | count_if | share | sum | mean | max | min. `value` is SQL text: a
+    condition for count_if and share, a number for the others.
     """
 
     name: str
     kind: str
-    value: Column | None = None
+    value: str | None = None
 
-    def partials(self) -> dict[str, Column]:
+    def partials(self) -> dict[str, str]:
         n, v = self.name, self.value
-        if self.kind == "rows":
-            return {f"{n}__n": F.count("*")}
-        if self.kind == "count_if":
-            return {f"{n}__n": F.count_if(v)}
-        if self.kind == "share":
-            return {f"{n}__n": F.count_if(v), f"{n}__d": F.count("*")}
-        if self.kind == "sum":
-            return {f"{n}__s": F.sum(v)}
-        if self.kind == "mean":
-            return {f"{n}__s": F.sum(v), f"{n}__d": F.count(v)}
-        if self.kind in ("max", "min"):
-            return {f"{n}__m": (F.max if self.kind == "max" else F.min)(v)}
-        raise ValueError(f"unknown measure kind {self.kind}")
-
-    def merged(self) -> Column:
+        parts = {
+            "rows": {f"{n}__n": "count(*)"},
+            "count_if": {f"{n}__n": f"count_if({v})"},
+            "share": {f"{n}__n": f"count_if({v})", f"{n}__d": "count(*)"},
+            "sum": {f"{n}__s": f"sum({v})"},
+            "mean": {f"{n}__s": f"sum({v})", f"{n}__d": f"count({v})"},
+            "max": {f"{n}__m": f"max({v})"},
+            "min": {f"{n}__m": f"min({v})"},
+        }
+        return parts[self.kind]
+
+    def merged(self) -> str:
         n = self.name
-        if self.kind in ("rows", "count_if"):
-            out = F.sum(f"{n}__n")
-        elif self.kind == "share":
-            out = X.safe_div(F.sum(f"{n}__n"), F.sum(f"{n}__d"))
-        elif self.kind == "sum":
-            out = X.sum_or_zero(f"{n}__s")
-        elif self.kind == "mean":
-            out = X.safe_div(F.sum(f"{n}__s"), F.sum(f"{n}__d"))
-        else:
-            out = (F.max if self.kind == "max" else F.min)(f"{n}__m")
-        return out.alias(n)
-
-    def direct(self) -> Column:
+        return {
+            "rows": f"sum({n}__n)",
+            "count_if": f"sum({n}__n)",
+            "share": f"try_divide(sum({n}__n), sum({n}__d))",
+            "sum": f"coalesce(sum({n}__s), 0D)",
+            "mean": f"try_divide(sum({n}__s), sum({n}__d))",
+            "max": f"max({n}__m)",
+            "min": f"min({n}__m)",
+        }[self.kind]
+
+    def direct(self) -> str:
         v = self.value
-        out = {
-            "rows": lambda: F.count("*"),
-            "count_if": lambda: F.count_if(v),
-            "share": lambda: X.share(v),
-            "sum": lambda: X.sum_or_zero(v),
-            "mean": lambda: F.avg(v),
-            "max": lambda: F.max(v),
-            "min": lambda: F.min(v),
-        }[self.kind]()
-        return out.alias(self.name)
+        return {
+            "rows": "count(*)",
+            "count_if": f"count_if({v})",
+            "share": f"try_divide(count_if({v}), count(*))",
+            "sum": f"coalesce(sum({v}), 0D)",
+            "mean": f"avg({v})",
+            "max": f"max({v})",
+            "min": f"min({v})",
+        }[self.kind]
+
+
+def _aggregate(df, key, named: dict) -> DataFrame:
+    """Groups the rows that have a key by it; `named` maps output names to SQL text."""
+    rows = df.where(f"{X.quoted(key)} is not null").groupBy(key)
+    return rows.agg(*[F.expr(f"{e} as {X.quoted(n)}") for n, e in named.items()])
 
 
 def aggregate_by_key(df, key, measures) -> DataFrame:
     """One row per non-missing key."""
-    return df.where(F.col(key).isNotNull()).groupBy(key).agg(*[m.direct() for m in measures])
+    return _aggregate(df, key, {m.name: m.direct() for m in measures})
 
 
 def aggregate_through_parent(
@@ -84,14 +84,11 @@ def aggregate_through_parent(
         partials.update(m.partials())
     carries = key in child.columns
     if carries and validate:
-        partials["__key_min"] = F.min(key)
-        partials["__key_max"] = F.max(key)
-        partials["__key_absent"] = F.count_if(F.col(key).isNull())
-    reduced = (
-        child.where(F.col(link).isNotNull())
-        .groupBy(link)
-        .agg(*[c.alias(a) for a, c in partials.items()])
-    )
+        carried = X.quoted(key)
+        partials["__key_min"] = f"min({carried})"
+        partials["__key_max"] = f"max({carried})"
+        partials["__key_absent"] = f"count_if({carried} is null)"
+    reduced = _aggregate(child, link, partials)
     joined = reduced.join(K.parent_keys(parents, link, key, validate), link)
     if carries and validate:
         agrees = (
@@ -106,7 +103,7 @@ def aggregate_through_parent(
                 F.raise_error(F.lit(message)).cast(parents.schema[key].dataType)
             ),
         )
-    return joined.where(F.col(key).isNotNull()).groupBy(key).agg(*[m.merged() for m in measures])
+    return _aggregate(joined, key, {m.name: m.merged() for m in measures})
 
 
 def bureau_features(bureau, key=S.KEY) -> DataFrame:
@@ -115,14 +112,14 @@ def bureau_features(bureau, key=S.KEY) -> DataFrame:
         key,
         [
             Measure("BUREAU_LOAN_COUNT", "rows"),
-            Measure("BUREAU_ACTIVE_COUNT", "count_if", F.col("CREDIT_ACTIVE") == "Active"),
-            Measure("BUREAU_CLOSED_COUNT", "count_if", F.col("CREDIT_ACTIVE") == "Closed"),
-            Measure("BUREAU_AMT_CREDIT_SUM_SUM", "sum", F.col("AMT_CREDIT_SUM")),
-            Measure("BUREAU_AMT_CREDIT_SUM_DEBT_SUM", "sum", F.col("AMT_CREDIT_SUM_DEBT")),
-            Measure("BUREAU_AMT_CREDIT_SUM_OVERDUE_SUM", "sum", F.col("AMT_CREDIT_SUM_OVERDUE")),
-            Measure("BUREAU_CREDIT_DAY_OVERDUE_MAX", "max", F.col("CREDIT_DAY_OVERDUE")),
-            Measure("BUREAU_DAYS_CREDIT_MAX", "max", F.col("DAYS_CREDIT")),
-            Measure("BUREAU_CNT_CREDIT_PROLONG_SUM", "sum", F.col("CNT_CREDIT_PROLONG")),
+            Measure("BUREAU_ACTIVE_COUNT", "count_if", "CREDIT_ACTIVE = 'Active'"),
+            Measure("BUREAU_CLOSED_COUNT", "count_if", "CREDIT_ACTIVE = 'Closed'"),
+            Measure("BUREAU_AMT_CREDIT_SUM_SUM", "sum", "AMT_CREDIT_SUM"),
+            Measure("BUREAU_AMT_CREDIT_SUM_DEBT_SUM", "sum", "AMT_CREDIT_SUM_DEBT"),
+            Measure("BUREAU_AMT_CREDIT_SUM_OVERDUE_SUM", "sum", "AMT_CREDIT_SUM_OVERDUE"),
+            Measure("BUREAU_CREDIT_DAY_OVERDUE_MAX", "max", "CREDIT_DAY_OVERDUE"),
+            Measure("BUREAU_DAYS_CREDIT_MAX", "max", "DAYS_CREDIT"),
+            Measure("BUREAU_CNT_CREDIT_PROLONG_SUM", "sum", "CNT_CREDIT_PROLONG"),
         ],
     ).withColumn(
         "BUREAU_DEBT_TO_CREDIT_RATIO",
@@ -132,22 +129,19 @@ def bureau_features(bureau, key=S.KEY) -> DataFrame:
 
 
 def previous_features(previous, key=S.KEY) -> DataFrame:
-    status = F.col("NAME_CONTRACT_STATUS")
     out = aggregate_by_key(
         previous,
         key,
         [
             Measure("PREV_APP_COUNT", "rows"),
-            Measure("PREV_APPROVED_COUNT", "count_if", status == "Approved"),
-            Measure("PREV_REFUSED_COUNT", "count_if", status == "Refused"),
-            Measure("PREV_AMT_APPLICATION_MEAN", "mean", F.col("AMT_APPLICATION")),
-            Measure("PREV_AMT_CREDIT_MEAN", "mean", F.col("AMT_CREDIT")),
-            Measure("PREV_AMT_GOODS_PRICE_MEAN", "mean", F.col("AMT_GOODS_PRICE")),
-            Measure(
-                "PREV_APP_CREDIT_DIFF_MEAN", "mean", F.col("AMT_APPLICATION") - F.col("AMT_CREDIT")
-            ),
-            Measure("PREV_DAYS_DECISION_MAX", "max", F.col("DAYS_DECISION")),
-            Measure("PREV_RATE_DOWN_PAYMENT_MEAN", "mean", F.col("RATE_DOWN_PAYMENT")),
+            Measure("PREV_APPROVED_COUNT", "count_if", "NAME_CONTRACT_STATUS = 'Approved'"),
+            Measure("PREV_REFUSED_COUNT", "count_if", "NAME_CONTRACT_STATUS = 'Refused'"),
+            Measure("PREV_AMT_APPLICATION_MEAN", "mean", "AMT_APPLICATION"),
+            Measure("PREV_AMT_CREDIT_MEAN", "mean", "AMT_CREDIT"),
+            Measure("PREV_AMT_GOODS_PRICE_MEAN", "mean", "AMT_GOODS_PRICE"),
+            Measure("PREV_APP_CREDIT_DIFF_MEAN", "mean", "AMT_APPLICATION - AMT_CREDIT"),
+            Measure("PREV_DAYS_DECISION_MAX", "max", "DAYS_DECISION"),
+            Measure("PREV_RATE_DOWN_PAYMENT_MEAN", "mean", "RATE_DOWN_PAYMENT"),
         ],
     ).withColumns(
         {
@@ -159,60 +153,58 @@ def previous_features(previous, key=S.KEY) -> DataFrame:
 
 
 def installment_features(installments, previous, link=S.LINK_KEY, key=S.KEY, validate=True):
-    paid_day, paid, due = F.col("DAYS_ENTRY_PAYMENT"), F.col("AMT_PAYMENT"), F.col("AMT_INSTALMENT")
-    late = X.days_late(paid_day, "DAYS_INSTALMENT")
-    ratio = X.safe_div(paid, X.positive(due))
+    late = X.sql_days_late("DAYS_ENTRY_PAYMENT", "DAYS_INSTALMENT")
+    ratio = X.sql_ratio("AMT_PAYMENT", "AMT_INSTALMENT")
     return aggregate_through_parent(
         installments,
         previous,
         [
             Measure("INST_RECORD_COUNT", "rows"),
-            Measure("INST_MISSED_RATE", "share", paid_day.isNull()),
+            Measure("INST_MISSED_RATE", "share", "DAYS_ENTRY_PAYMENT is null"),
             Measure("INST_DPD_MEAN", "mean", late),
             Measure("INST_DPD_MAX", "max", late),
             Measure("INST_PAYMENT_RATIO_MEAN", "mean", ratio),
             Measure("INST_PAYMENT_RATIO_MIN", "min", ratio),
-            Measure("INST_LATE_COUNT", "count_if", late > 0),
+            Measure("INST_LATE_COUNT", "count_if", f"({late}) > 0"),
         ],
         link, key, "installments", validate,
     )
 
 
 def pos_features(pos, previous, link=S.LINK_KEY, key=S.KEY, validate=True) -> DataFrame:
-    status = F.col("NAME_CONTRACT_STATUS")
     return aggregate_through_parent(
         pos,
         previous,
         [
             Measure("POS_RECORD_COUNT", "rows"),
-            Measure("POS_DPD_MEAN", "mean", F.col("SK_DPD")),
-            Measure("POS_DPD_MAX", "max", F.col("SK_DPD")),
-            Measure("POS_DPD_DEF_MEAN", "mean", F.col("SK_DPD_DEF")),
-            Measure("POS_DPD_DEF_MAX", "max", F.col("SK_DPD_DEF")),
-            Measure("POS_COMPLETED_RATE", "share", status == "Completed"),
-            Measure("POS_ACTIVE_RATE", "share", status == "Active"),
-            Measure("POS_CNT_INSTALMENT_FUTURE_MEAN", "mean", F.col("CNT_INSTALMENT_FUTURE")),
+            Measure("POS_DPD_MEAN", "mean", "SK_DPD"),
+            Measure("POS_DPD_MAX", "max", "SK_DPD"),
+            Measure("POS_DPD_DEF_MEAN", "mean", "SK_DPD_DEF"),
+            Measure("POS_DPD_DEF_MAX", "max", "SK_DPD_DEF"),
+            Measure("POS_COMPLETED_RATE", "share", "NAME_CONTRACT_STATUS = 'Completed'"),
+            Measure("POS_ACTIVE_RATE", "share", "NAME_CONTRACT_STATUS = 'Active'"),
+            Measure("POS_CNT_INSTALMENT_FUTURE_MEAN", "mean", "CNT_INSTALMENT_FUTURE"),
         ],
         link, key, "pos cash", validate,
     )
 
 
 def card_features(cards, previous, link=S.LINK_KEY, key=S.KEY, validate=True) -> DataFrame:
-    used = X.safe_div("AMT_BALANCE", X.positive("AMT_CREDIT_LIMIT_ACTUAL"))
-    paid = X.safe_div("AMT_PAYMENT_TOTAL_CURRENT", X.positive("AMT_INST_MIN_REGULARITY"))
+    used = X.sql_ratio("AMT_BALANCE", "AMT_CREDIT_LIMIT_ACTUAL")
+    paid = X.sql_ratio("AMT_PAYMENT_TOTAL_CURRENT", "AMT_INST_MIN_REGULARITY")
     return aggregate_through_parent(
         cards,
         previous,
         [
             Measure("CC_RECORD_COUNT", "rows"),
-            Measure("CC_BALANCE_MEAN", "mean", F.col("AMT_BALANCE")),
-            Measure("CC_LIMIT_MEAN", "mean", F.col("AMT_CREDIT_LIMIT_ACTUAL")),
+            Measure("CC_BALANCE_MEAN", "mean", "AMT_BALANCE"),
+            Measure("CC_LIMIT_MEAN", "mean", "AMT_CREDIT_LIMIT_ACTUAL"),
             Measure("CC_UTILIZATION_MEAN", "mean", used),
             Measure("CC_PAYMENT_RATIO_MEAN", "mean", paid),
-            Measure("CC_DPD_MEAN", "mean", F.col("SK_DPD")),
-            Measure("CC_DPD_MAX", "max", F.col("SK_DPD")),
-            Measure("CC_DRAWINGS_ATM_SUM", "sum", F.col("AMT_DRAWINGS_ATM_CURRENT")),
-            Measure("CC_DRAWINGS_CURRENT_SUM", "sum", F.col("AMT_DRAWINGS_CURRENT")),
+            Measure("CC_DPD_MEAN", "mean", "SK_DPD"),
+            Measure("CC_DPD_MAX", "max", "SK_DPD"),
+            Measure("CC_DRAWINGS_ATM_SUM", "sum", "AMT_DRAWINGS_ATM_CURRENT"),
+            Measure("CC_DRAWINGS_CURRENT_SUM", "sum", "AMT_DRAWINGS_CURRENT"),
         ],
         link, key, "credit card", validate,
     )

@@ -82,13 +82,26 @@ def assert_no_blocked_columns(columns) -> None:
 
 # -- fitted pieces -----------------------------------------------------------
 
+def _long(df, columns) -> DataFrame:
+    """(i, v): the columns, cast to double, below each other.
+
+    Aggregates over many columns group this by i: one expression that stays in
+    generated code, and sums that combine before the shuffle, however many columns.
+    """
+    cells = ", ".join(
+        f"struct({i} as i, cast({X.quoted(c)} as double) as v)" for i, c in enumerate(columns)
+    )
+    return df.selectExpr(f"inline(array({cells}))")
+
+
 def missing_rates_of(df, columns) -> dict[str, float]:
     if not columns:
         return {}
-    row = df.selectExpr(
-        *[f"avg(cast({X.quoted(c)} is null as double)) as r{i}" for i, c in enumerate(columns)]
-    ).first()
-    return {c: r if r is not None else 0.0 for c, r in zip(columns, row)}
+    absent = ", ".join(f"{X.quoted(c)} is null" for c in columns)
+    counts = df.selectExpr(f"posexplode(array({absent})) as (i, absent)")
+    rows = counts.groupBy("i").agg(F.avg(F.col("absent").cast("double"))).collect()    # one per column
+    rates = {r[0]: r[1] for r in rows}
+    return {c: rates.get(i, 0.0) for i, c in enumerate(columns)}
 
 
 def fit_missing_flags(df, columns, rate=S.MISSING_FLAG_RATE) -> list[str]:
@@ -125,20 +138,14 @@ def fit_scaler(df, columns, imputers) -> dict[str, float]:
     """Population standard deviation of the imputed columns; 1 where a column is constant."""
     if not columns:
         return {}
-    filled = [
-        f"coalesce(cast({X.quoted(c)} as double), {X.sql_number(float(imputers.get(c, 0.0)))})"
-        for c in columns
-    ]
-    row = df.selectExpr(
-        "count(*) as n",
-        *[f"{f}({v}) as {f}_{i}" for i, v in enumerate(filled) for f in ("var_pop", "avg")],
-    ).first()
-    n, eps, out = row[0], 2.0 ** -52, {}
-    for i, c in enumerate(columns):
-        var, mean = row[1 + 2 * i] or 0.0, row[2 + 2 * i] or 0.0
+    medians = X.sql_array([float(imputers.get(c, 0.0)) for c in columns], "double")
+    filled = _long(df, columns).selectExpr("i", f"coalesce(v, get({medians}, i)) as v")
+    rows = filled.groupBy("i").agg(F.count("*"), F.var_pop("v"), F.avg("v")).collect()   # one per column
+    eps, out = 2.0 ** -52, {c: 1.0 for c in columns}
+    for i, n, var, mean in rows:
         # Rounding alone gives a constant column a variance of about this size.
         noise = n * eps * var + (n * mean * eps) ** 2
-        out[c] = 1.0 if var <= noise else var ** 0.5
+        out[columns[i]] = 1.0 if var <= noise else var ** 0.5
     return out
 
 

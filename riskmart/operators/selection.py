@@ -59,9 +59,8 @@ class _Search:
 
     def signature(self):
         """Equal for searches that would ask the same of the data."""
-        rank = self.rank if self.ready() else None
-        spot = self.low, self.high, self.cut, self.want_grid
-        return tuple(self.keys), tuple(self.found), spot, rank
+        spot = self.low, self.high, self.cut, self.want_grid, self.ready()
+        return tuple(self.keys), tuple(self.found), spot
 
     # -- one pass ----------------------------------------------------------
 
@@ -138,11 +137,11 @@ class _Search:
     def ready(self) -> bool:
         return not self.done and self.rank is not None and self.rows <= FEW_ROWS
 
-    def final(self) -> list[str]:
-        """Sorts the few remaining key tuples and takes the one at the rank."""
+    def final(self, first, last) -> str:
+        """Sorts the few remaining key tuples and takes those at a stretch of ranks."""
         rest = ", ".join(self.keys[len(self.found):])
         few = f"collect_list(case when {self.inside(self.low, self.high)} then struct({rest}) end)"
-        return [f"get(array_sort({few}), {self.rank})"]
+        return f"slice(sort_array({few}), {first + 1}, {last - first + 1})"
 
     def finish(self, row) -> None:
         self.answer, self.done = tuple(self.found) + tuple(row), True
@@ -151,18 +150,23 @@ class _Search:
 def _run(df: DataFrame, searches: list[_Search]) -> None:
     """Advances all searches together; one action per pass."""
     for _ in range(MAX_PASSES):
-        todo = [s for s in searches if not s.done]
-        if not todo:
+        alike = {}
+        for s in searches:
+            if not s.done:
+                alike.setdefault(s.signature(), []).append(s)
+        if not alike:
             return
-        exprs, places = [], {}
-        for s in todo:
-            if s.signature() not in places:
-                asks = s.final() if s.ready() else s.probes()
-                places[s.signature()] = slice(len(exprs), len(exprs) + len(asks))
-                exprs += asks
+        exprs, places = [], []
+        for group in alike.values():
+            ranks = [s.rank for s in group]
+            ready = group[0].ready()
+            asks = [group[0].final(min(ranks), max(ranks))] if ready else group[0].probes()
+            places.append((group, ready and min(ranks), slice(len(exprs), len(exprs) + len(asks))))
+            exprs += asks
         row = tuple(df.selectExpr(*[f"{e} as e{i}" for i, e in enumerate(exprs)]).first())
-        for s, at in [(s, places[s.signature()]) for s in todo]:
-            s.finish(row[at][0]) if s.ready() else s.absorb(row[at])
+        for group, first, at in places:
+            for s in group:
+                s.finish(row[at][0][s.rank - first]) if s.ready() else s.absorb(row[at])
     raise RuntimeError("order statistic search did not settle")
 
 

@@ -1,5 +1,9 @@
 """Scans, projections, joins, child-table roll-ups and the feature builder."""
 
+from uuid import uuid4
+
+from pyspark.ml.classification import LogisticRegression
+from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import functions as F, types as T
 
 from checks.frames import (
@@ -7,7 +11,8 @@ from checks.frames import (
 )
 from riskmart import schema as S
 from riskmart.functions import expr as X
-from riskmart.operators import aggregates as A, categories as C, features as FE, keys as K, selection
+from riskmart.lineage import materialize, shared_folder
+from riskmart.operators import aggregates as A, categories as C, evaluate as E, features as FE, keys as K
 from riskmart.plans import jobs
 from riskmart.sources import tables as IO
 
@@ -237,9 +242,6 @@ def reason_text(spark, d):
 
 # -- roll-ups ----------------------------------------------------------------
 
-PARENTS = "SK_ID_PREV in (select o_orderkey from orders where o_orderstatus <> 'P')"
-
-
 def _agg_sql(source, key_from, exprs, digits, where="true"):
     cols = ", ".join(
         f'{rounded_sql(e, digits[n]) if n in digits else e} as "{n}"' for n, e in exprs.items()
@@ -328,14 +330,6 @@ def _mart_digits(names):
     return {n: DIGITS[n] for n in names if n in DIGITS}
 
 
-def previous_kept(spark, d):
-    """Parents of the roll-ups: unfinished orders are left out, so their children are orphans."""
-    return shape(spark, d, "previous").where("SK_ID_PREV is not null").join(
-        table(spark, d, "orders").where("o_orderstatus <> 'P'").select(F.col("o_orderkey").alias("SK_ID_PREV")),
-        "SK_ID_PREV", "left_semi",
-    )
-
-
 def parents(spark, d):
     return table(spark, d, "orders").where("o_orderstatus <> 'P'").selectExpr(
         "o_orderkey as SK_ID_PREV", "o_custkey as SK_ID_CURR"
@@ -636,3 +630,45 @@ def matrix_full(spark, d):
     children = mart_tables(spark, d)
     model = FE.fit_full_builder(app, children, minCount=MIN_COUNT)
     return long_matrix(FE.build_full(app, model, tables=children), model)
+
+
+# -- storage -----------------------------------------------------------------
+
+def scratch(spark, name):
+    return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid4().hex}"
+
+
+BUREAU_CSV = ["SK_ID_CURR", "CREDIT_ACTIVE", "AMT_CREDIT_SUM", "AMT_CREDIT_SUM_DEBT", "DAYS_CREDIT"]
+
+
+@check("csv_scan", with_shapes("bureau") + f" select {', '.join(BUREAU_CSV)} from bureau")
+def csv_scan(spark, d):
+    """Orders as a CSV bureau table, missing values written as NA, read back with types."""
+    path = scratch(spark, "csv")
+    shape(spark, d, "bureau").write.option("header", True).option("nullValue", "NA").csv(f"{path}/bureau.csv")
+    return IO.read_table(spark, path, "bureau", columns=BUREAU_CSV)
+
+
+@check("split_source", """
+    select o_orderkey, o_totalprice from orders where o_orderstatus = 'P'
+""")
+def split_source(spark, d):
+    """Writes orders in one folder per status, verifies them, and reads one back."""
+    path = scratch(spark, "split")
+    orders = table(spark, d, "orders").select("o_orderkey", "o_totalprice", "o_orderstatus")
+    IO.write_split(orders, path, "o_orderstatus")
+    IO.verify_written(orders, path, "o_orderstatus")
+    return IO.read_split(spark, path, "P", "o_orderstatus", names=("F", "O", "P"))
+
+
+@check("batch_score")
+def batch_score(spark, d):
+    """Fits a classifier and a calibrator on the reduced matrix, then scores and bands all rows."""
+    app = cleaned(spark, d)
+    builder = FE.fit_reduced_builder(app, minCount=MIN_COUNT).setFeaturesCol("features")
+    matrix = FE.build_reduced(app, builder, for_linear=True).select("SK_ID_CURR", "features")
+    labeled = materialize(matrix.join(app.select("SK_ID_CURR", "TARGET"), "SK_ID_CURR"))
+    model = LogisticRegression(labelCol="TARGET", maxIter=5).fit(labeled)
+    raw = E.score_batch(labeled, model).select("RAW_PD", "TARGET")
+    calibrator = IsotonicRegression(featuresCol="RAW_PD", labelCol="TARGET", predictionCol="calibrated").fit(raw)
+    return E.score_batch(labeled, model, calibrator).select("SK_ID_CURR", "CALIBRATED_PD", "DECISION")

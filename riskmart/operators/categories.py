@@ -3,6 +3,7 @@
 from pyspark.sql import DataFrame, functions as F
 
 from riskmart import schema as S
+from riskmart.functions.expr import quoted
 from riskmart.operators.keys import SALTS
 
 LITERAL_VALUES = 1000       # kept values that may be part of an expression
@@ -39,6 +40,19 @@ def pool_rare(df, column, min_count=S.RARE_MIN_COUNT, output=None, other="OTHER"
     return joined.withColumn(output, pooled).drop("__salt", "__kept", "__kept_salt")
 
 
+def kept_values(df, columns, min_count=S.RARE_MIN_COUNT) -> dict:
+    """Values of several columns with enough rows, from one scan; None for a column with
+    more of them than an expression should hold."""
+    cells = ", ".join(f"struct({i} as i, cast({quoted(c)} as string) as v)" for i, c in enumerate(columns))
+    counts = df.selectExpr(f"inline(array({cells}))").groupBy("i", "v").agg(F.count("*").alias("n"))
+    most = len(columns) * (LITERAL_VALUES + 1)
+    rows = counts.where(F.col("n") >= min_count).orderBy(F.desc("n")).limit(most).collect()
+    kept = {c: [r["v"] for r in rows if r["i"] == i] for i, c in enumerate(columns)}
+    if len(rows) == most:
+        return {c: None for c in columns}
+    return {c: v if len(v) <= LITERAL_VALUES else None for c, v in kept.items()}
+
+
 def _keep(value, kept, otherwise):
     present = [v for v in kept if v is not None]
     cond = F.coalesce(value.isin(present), F.lit(False)) if present else F.lit(False)

@@ -4,7 +4,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from riskmart import schema as S
 from riskmart.functions import expr as X
-from riskmart.operators.categories import pool_rare
+from riskmart.operators.categories import kept_values, pool_rare
 
 FAMILIES = {
     "primary": "FAIR_GROUP_PRIMARY",
@@ -19,13 +19,11 @@ def derive_groups(df, q1, q2, min_count=S.RARE_MIN_COUNT, kept=None) -> DataFram
     Rare categories are pooled over the audited frame itself; `kept` (column name to
     values) takes values fitted elsewhere.
     """
+    pools = {"NAME_INCOME_TYPE": "INCOME_TYPE_POOLED", "NAME_HOUSING_TYPE": "HOUSING_TYPE_POOLED"}
+    kept = kept or kept_values(df, list(pools), min_count)
     out = df.withColumn("INCOME_TERTILE", X.income_tertile("AMT_INCOME_TOTAL", q1, q2))
-    for column, pooled in (
-        ("NAME_INCOME_TYPE", "INCOME_TYPE_POOLED"),
-        ("NAME_HOUSING_TYPE", "HOUSING_TYPE_POOLED"),
-    ):
-        values = kept[column] if kept else None
-        out = pool_rare(out, column, min_count, pooled, kept=values)
+    for column, pooled in pools.items():
+        out = pool_rare(out, column, min_count, pooled, kept=kept[column])
         out = out.withColumn(pooled, F.coalesce(F.col(pooled), F.lit("MISSING")))
     out = out.withColumns(
         {

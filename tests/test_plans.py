@@ -1,0 +1,98 @@
+"""Plans the operators have to keep, whatever the data."""
+
+import ast
+import pathlib
+
+import pytest
+from pyspark.sql import functions as F
+
+import credit
+from checks.frames import CHECKS, shape, table
+from checks import audit, marts, order  # noqa: F401
+from riskmart import schema as S
+from riskmart.operators import aggregates as A, categories as C, features as FE, keys as K, ordering as O
+
+ROOT = pathlib.Path(__file__).resolve().parent.parent
+DATA = "/root/testdata/sf0.001"
+
+
+def plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.fixture()
+def no_broadcast(spark):
+    """Plans as for tables too large to broadcast."""
+    keep = {k: spark.conf.get(k) for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled")}
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    spark.conf.set("spark.sql.adaptive.enabled", False)
+    yield
+    for k, v in keep.items():
+        spark.conf.set(k, v)
+
+
+def test_transform_is_a_projection(spark):
+    app = credit.applications(spark, 12)
+    reduced = FE.fit_reduced_builder(app, minCount=5)
+    assert "Exchange" not in plan(FE.build_reduced(app, reduced, True))
+    tables = credit.children(spark, 12)
+    full = FE.fit_full_builder(app, tables, minCount=5)
+    flat = FE.pre_model_frame(app, "FULL", tables).join(app.select("SK_ID_CURR"), "SK_ID_CURR")
+    from_row = FE.build_full(spark.createDataFrame([], flat.schema), full, True)
+    assert "Exchange" not in plan(from_row)
+
+
+def test_mart_moves_each_table_once(spark, no_broadcast):
+    """One exchange per child by link and by key, the base, and the parents."""
+    base = table(spark, DATA, "customer").selectExpr("c_custkey as SK_ID_CURR")
+    mart = A.full_mart(base, marts.mart_tables(spark, DATA), validate=False)
+    text = plan(mart)
+    own = text.count("Exchange hashpartitioning")
+    reused = text.count("ReusedExchange")
+    # base, bureau, previous, and per linked child: by link, parents, by key; parents are reused
+    assert own + reused == 3 + 3 * 3 and reused == 2
+    assert "SinglePartition" not in text and "CartesianProduct" not in text and "NestedLoop" not in text
+
+
+def test_child_is_reduced_before_the_join(spark, no_broadcast):
+    out = A.pos_features(shape(spark, DATA, "pos"), marts.parents(spark, DATA))
+    text = plan(out)
+    join = text.index("SortMergeJoin")
+    assert text.count("HashAggregate", join) >= 4 and text.count("Exchange hashpartitioning") == 3
+
+
+def test_scan_reads_only_what_is_used(spark):
+    text = plan(A.pos_features(shape(spark, DATA, "pos"), marts.parents(spark, DATA)))
+    assert "ReadSchema: struct<l_orderkey:bigint,l_linenumber:int,l_quantity:double,l_returnflag:string,l_linestatus:string>" in text
+    assert "PushedFilters: [IsNotNull(l_orderkey)]" in text
+    keys = plan(K.parent_keys(shape(spark, DATA, "previous")))
+    assert "ReadSchema: struct<o_orderkey:bigint,o_custkey:bigint>" in keys
+
+
+def test_split_labels_move_nothing(spark):
+    assert "Exchange" not in plan(O.ordered_split(credit.applications(spark, 30)))
+
+
+def test_index_sorts_in_parts(spark):
+    df = credit.applications(spark, 30)
+    text = plan(O.recency_index(df))
+    assert "SinglePartition" not in text and "Window" not in text
+
+
+def test_pooling_by_expression_moves_nothing(spark):
+    df = credit.applications(spark, 30)
+    assert "Exchange" not in plan(C.pool_rare(df, "OCCUPATION_TYPE", 5))
+
+
+@pytest.mark.parametrize("name", ["full_mart", "fair_audit", "roc_points", "matrix_reduced", "top5_reasons", "adversarial_set"])
+def test_no_python_in_plans(spark, name):
+    text = plan(CHECKS[name][0](spark, DATA))
+    assert "Python" not in text and "CartesianProduct" not in text
+
+
+def test_library_has_no_python_functions_in_queries():
+    """No UDFs, no RDD code and no local checkpoints anywhere in the library."""
+    banned = {"udf", "pandas_udf", "applyInPandas", "mapInPandas", "rdd", "localCheckpoint", "toPandas", "crossJoin"}
+    for path in (ROOT / "riskmart").rglob("*.py"):
+        names = {n.attr for n in ast.walk(ast.parse(path.read_text())) if isinstance(n, ast.Attribute)}
+        assert not names & banned, path

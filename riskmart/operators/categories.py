@@ -4,7 +4,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from riskmart import schema as S
 from riskmart.functions.expr import quoted
-from riskmart.operators.keys import SALTS
+from riskmart.operators.keys import salt_count
 
 LITERAL_VALUES = 1000       # kept values that may be part of an expression
 MAX_CATEGORIES = 10000      # dummy columns a frozen encoder may have
@@ -29,7 +29,7 @@ def pool_rare(df, column, min_count=S.RARE_MIN_COUNT, output=None, other="OTHER"
     frequent = [v for v in kept if v is not None]
     known = value.isin(frequent) | value.isNull()
     # Rows already decided carry a salt no kept value has: they match nothing, evenly spread.
-    salt = F.pmod(F.xxhash64(*df.columns), F.lit(SALTS)).cast("int") + 1
+    salt = F.pmod(F.xxhash64(*df.columns), F.lit(salt_count(df))).cast("int") + 1
     rest = counts.where(~known).select(
         F.col(column).alias("__kept"), F.lit(0).alias("__kept_salt")
     )

@@ -1,6 +1,6 @@
 """Proxy groups and the fairness audit over them."""
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from riskmart import schema as S
 from riskmart.functions import expr as X
@@ -78,11 +78,14 @@ def _cell_metrics(cells, family, min_rows, min_defaults) -> DataFrame:
             ),
         }
     )
-    w = Window.partitionBy(*([family] if family else [F.lit(1)]))
-    hi = {c: F.max(c).over(w) for c in ("approve_rate", "tpr", "brier_score")}
-    lo = {c: F.min(c).over(w) for c in ("approve_rate", "tpr", "brier_score")}
+    rates = ("approve_rate", "tpr", "brier_score")
+    spread = out.groupBy(family).agg(
+        *[F.max(c).alias(f"hi_{c}") for c in rates], *[F.min(c).alias(f"lo_{c}") for c in rates]
+    )
+    hi = {c: F.col(f"hi_{c}") for c in rates}
+    lo = {c: F.col(f"lo_{c}") for c in rates}
     verdict = lambda c: F.when(F.col("evaluable"), F.coalesce(c, F.lit(False)))
-    return out.withColumns(
+    return out.join(F.broadcast(spread), family).withColumns(           # one row per family
         {
             "di_ratio": X.safe_div("approve_rate", hi["approve_rate"]),
             "eod": F.col("tpr") - hi["tpr"],
@@ -97,7 +100,7 @@ def _cell_metrics(cells, family, min_rows, min_defaults) -> DataFrame:
                 X.safe_div(hi["brier_score"], lo["brier_score"]) <= S.BRIER_MAX_RATIO
             ),
         }
-    ).select(*([family] if family else []), *S.AUDIT_COLS)
+    ).select(family, *S.AUDIT_COLS)
 
 
 def group_metrics(
@@ -108,7 +111,8 @@ def group_metrics(
     cells = df.groupBy(F.coalesce(F.col(group).cast("string"), F.lit("nan")).alias("group_value")).agg(
         *_counts(target, score, decision, F.col(group).isNotNull())
     )
-    return _cell_metrics(cells, None, min_rows, min_defaults)
+    one_family = cells.withColumn("family", F.lit(group))
+    return _cell_metrics(one_family, "family", min_rows, min_defaults).drop("family")
 
 
 def audit_cells(

@@ -6,7 +6,6 @@ from riskmart import schema as S
 
 HOT_KEYS = 1000          # keys looked at for skew
 HOT_ROWS = 1_000_000     # rows a key may bring into one task
-SALTS = 64               # tasks a hot key is spread over
 
 
 def surplus_rows(df: DataFrame, key: str) -> DataFrame:
@@ -72,7 +71,12 @@ def frequent_values(df, column, limit=HOT_KEYS, min_rows=HOT_ROWS) -> list:
     return [r[0] for r in top.collect()]
 
 
-def join_many_to_one(child, parent, on, how="inner", hot=(), salts=SALTS) -> DataFrame:
+def salt_count(df) -> int:
+    """Salts a hot key is spread over: as many as there are shuffle partitions."""
+    return max(2, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
+def join_many_to_one(child, parent, on, how="inner", hot=(), salts=None) -> DataFrame:
     """Join a child table to a parent that is unique on the key.
 
     Rows of hot keys carry a salt and meet a copy of their parent row per salt;
@@ -80,6 +84,7 @@ def join_many_to_one(child, parent, on, how="inner", hot=(), salts=SALTS) -> Dat
     """
     if not hot:
         return child.join(parent, on, how)
+    salts = salts or salt_count(child)
     is_hot = F.col(on).isin(list(hot))
     spread = F.pmod(F.xxhash64(*child.columns), F.lit(salts)).cast("int")
     salted = child.withColumn("__salt", F.when(is_hot, spread).otherwise(F.lit(0)))

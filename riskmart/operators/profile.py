@@ -2,7 +2,7 @@
 
 from itertools import combinations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from riskmart.operators import selection
 from riskmart.operators.ordering import bucket_of
@@ -16,10 +16,7 @@ def _long(one_row, columns, name, value) -> DataFrame:
 
 def value_counts(df, column, shares=True) -> DataFrame:
     out = df.groupBy(column).agg(F.count("*").alias("n"))
-    if shares:
-        total = F.sum("n").over(Window.partitionBy(F.lit(1)))     # one row per distinct value
-        out = out.withColumn("share", F.col("n") / total)
-    return out
+    return out.withColumn("share", F.col("n") / F.lit(df.count())) if shares else out
 
 
 def missing_rates(df, columns=None) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from riskmart import schema as S
 from riskmart.functions import expr as X
+from riskmart.lineage import materialize
 from riskmart.operators import (
     evaluate, explain, fairness, features, ordering, profile, sampling, selection,
 )
@@ -48,9 +49,12 @@ def prepare(tables: dict, target=S.TARGET) -> Prepared:
     """Cleans, orders, splits and caps the applications.
 
     Needs application_train, application_test and previous_application. The split is
-    a label column; the cap is the 99th percentile of the train split alone.
+    a label column; the cap is the 99th percentile of the train split alone. Both
+    application tables are stored once, typed and cleaned: finding medians, cuts and
+    samples takes several passes, which then read a column or two of Parquet.
     """
-    app = clean_application(tables["application_train"])
+    app = materialize(clean_application(tables["application_train"]))
+    test = materialize(tables["application_test"])
     split = ordering.ordered_split(app)
     train = split.where(F.col("split") == "train")
     cap = selection.exact_quantiles(train, {"v": "AMT_INCOME_TOTAL"}, [0.99])["v"][0]
@@ -61,7 +65,7 @@ def prepare(tables: dict, target=S.TARGET) -> Prepared:
     )
     return Prepared(
         splits=capped,
-        adversarial=sampling.adversarial_set(app, tables["application_test"]),
+        adversarial=sampling.adversarial_set(app, test),
         previous=clean_previous(tables["previous_application"]),
         income_cap=cap,
         report=report,
@@ -142,9 +146,10 @@ def run_audit(
     written = evaluation_tables(audit_frame)
     written["verdicts"] = audit.verdicts
     if attributions is not None:
-        written.update(
-            explanation_tables(attributions.join(audit_frame, key), key, "attribution", feature_names)
+        explained = materialize(
+            attributions.select(key, "attribution").join(audit_frame.select(key, "CALIBRATED_PD"), key)
         )
+        written.update(explanation_tables(explained, key, "attribution", feature_names))
     for name, table in written.items():
         table.write.mode("overwrite").parquet(f"{out}/{name}")
     IO.write_value(spark, f"{out}/audit_passed", "audit_passed", audit.passed)

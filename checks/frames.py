@@ -8,6 +8,8 @@ from column values. No shape drops rows of its table.
 
 from pyspark.sql import functions as F
 
+from riskmart.functions.expr import quoted
+
 CHECKS = {}
 
 # 1/3 and 2/3 as doubles, for quantiles.
@@ -175,18 +177,18 @@ def check(name, sql=None):
 # -- rounding ----------------------------------------------------------------
 #
 # Sums of doubles depend on their order in the last digits, so derived values are
-# rounded on both sides. Exact halves are common (means of cents over 32 rows), and
-# engines break them differently; a fixed nudge moves them off the boundary first.
+# rounded on both sides, with the same arithmetic. Exact halves are common (means of
+# cents over 32 rows); a fixed nudge moves them off the boundary first.
 
 NUDGE = {4: "3.1e-6", 6: "3.1e-8", 8: "3.1e-10"}
 
 
-def rounded(column, digits=6):
-    return F.round(F.col(column).cast("double") + float(NUDGE[digits]), digits)
+def rounded_sql(expression, digits=6):
+    return f"floor((cast({expression} as double) + {NUDGE[digits]}) * 1e{digits} + 5e-1) / 1e{digits}"
 
 
-def rounded_sql(expression, digits=6):
-    return f"round(cast({expression} as double) + {NUDGE[digits]}, {digits})"
+def rounded(column, digits=6):
+    return F.expr(rounded_sql(quoted(column), digits))
 
 
 def round_columns(df, digits):

@@ -139,12 +139,14 @@ class _Search:
 
     def final(self, first, last) -> str:
         """Sorts the few remaining key tuples and takes those at a stretch of ranks."""
-        rest = ", ".join(self.keys[len(self.found):])
-        few = f"collect_list(case when {self.inside(self.low, self.high)} then struct({rest}) end)"
+        rest = self.keys[len(self.found):]
+        entry = rest[0] if len(rest) == 1 else f"struct({', '.join(rest)})"
+        few = f"collect_list(case when {self.inside(self.low, self.high)} then {entry} end)"
         return f"slice(sort_array({few}), {first + 1}, {last - first + 1})"
 
-    def finish(self, row) -> None:
-        self.answer, self.done = tuple(self.found) + tuple(row), True
+    def finish(self, entry) -> None:
+        rest = tuple(entry) if len(self.keys) - len(self.found) > 1 else (entry,)
+        self.answer, self.done = tuple(self.found) + rest, True
 
 
 def _run(df: DataFrame, searches: list[_Search]) -> None:

@@ -3,13 +3,12 @@
 from pyspark.sql import functions as F
 
 from checks.frames import (
-    THIRD, TWO_THIRDS, check, round_columns, rounded, rounded_sql, shape, shape_sql, table, with_shapes,
+    THIRD, TWO_THIRDS, check, round_columns, rounded_sql, table,
 )
 from checks.marts import CLEAN_SQL, cleaned
 from riskmart import schema as S
 from riskmart.functions import expr as X
 from riskmart.operators import ordering as O, profile as P, sampling as SM, selection
-from riskmart.plans import jobs
 
 # -- order and splits --------------------------------------------------------
 

@@ -44,7 +44,7 @@ def select_application(df, key=None, extra=()) -> DataFrame:
     """The key (if given), the required inputs, present group columns and extras."""
     absent = sorted(c for c in S.REQUIRED_APPLICATION_COLS if c not in df.columns)
     if absent:
-        raise ValueError(f"Missing required application columns: {absent}")
+        raise ValueError(f"application columns not found: {absent}")
     groups = [c for c in S.FAIRNESS_COLS if c in df.columns]
     return df.select(*([key] if key else []), *S.REQUIRED_APPLICATION_COLS, *groups, *extra)
 
@@ -60,7 +60,7 @@ def pre_model_frame(df, tier, tables=None, key=S.KEY, flattened=True, validate=T
     given = set(df.columns)
     present = [c for c in S.AGGREGATE_FEATURES if c in given]
     if tier == FULL and present and len(present) < len(S.AGGREGATE_FEATURES):
-        raise ValueError("FULL input must contain either all flattened aggregate columns or none")
+        raise ValueError(f"{len(present)} of {len(S.AGGREGATE_FEATURES)} child-table features: give all or none")
     from_row = tier == FULL and flattened and bool(present)
     if tier == FULL and not from_row and (tables is None or key not in df.columns):
         raise ValueError(f"FULL needs the flattened aggregate columns, or child tables and {key}")
@@ -77,7 +77,7 @@ def assert_no_blocked_columns(columns) -> None:
     blocked = {*S.BLOCKED_COLS, *S.FAIRNESS_COLS, *[c + FLAG_SUFFIX for c in S.FAIRNESS_COLS]}
     found = [c for c in columns if c in blocked]
     if found:
-        raise ValueError(f"Blocked columns leaked into output: {found}")
+        raise ValueError(f"not allowed as features: {found}")
 
 
 # -- fitted pieces -----------------------------------------------------------
@@ -354,9 +354,9 @@ def fit_reduced_builder(train, key=S.KEY, **params) -> FeatureBuilderModel:
 
 def check_tier(model, tier) -> None:
     if not isinstance(model, FeatureBuilderModel):
-        raise TypeError("builder must be a FeatureBuilderModel")
+        raise TypeError(f"expected a FeatureBuilderModel, found {type(model).__name__}")
     if model.getOrDefault("tier").upper() != tier:
-        raise ValueError(f"{tier} transform requires a {tier} builder")
+        raise ValueError(f"a builder of tier {tier} is needed here")
 
 
 def _build(df, model, tier, for_linear, tables, key, validate):

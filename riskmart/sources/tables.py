@@ -14,7 +14,7 @@ def check_table_names(names) -> None:
     plain = {n[:-4] if n.endswith(".csv") else n for n in names}
     unknown = sorted(plain - set(S.SCORING_TABLES) - set(S.ADVERSARIAL_TABLES))
     if unknown:
-        raise ValueError(f"Unexpected table(s) referenced: {unknown}")
+        raise ValueError(f"unknown tables: {unknown}")
 
 
 def to_type(c, data_type):

@@ -18,7 +18,7 @@ from riskmart.streaming import scoring
 # -- sources -----------------------------------------------------------------
 
 def test_unknown_tables_are_refused_before_reading(spark):
-    with pytest.raises(ValueError, match=r"Unexpected table\(s\) referenced: \['secrets'\]"):
+    with pytest.raises(ValueError, match=r"unknown tables: \['secrets'\]"):
         IO.read_tables(spark, "/does/not/exist", ["bureau", "secrets.csv"])
 
 

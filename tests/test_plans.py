@@ -4,12 +4,10 @@ import ast
 import pathlib
 
 import pytest
-from pyspark.sql import functions as F
 
 import credit
 from checks.frames import CHECKS, shape, table
 from checks import audit, marts, order  # noqa: F401
-from riskmart import schema as S
 from riskmart.operators import aggregates as A, categories as C, features as FE, keys as K, ordering as O
 
 ROOT = pathlib.Path(__file__).resolve().parent.parent

@@ -625,11 +625,10 @@ def matrix_reduced(spark, d):
 
 @check("matrix_full", _matrix_sql(FE.FULL, False))
 def matrix_full(spark, d):
-    """Fit and plain transform of the FULL tier over the child tables: missing stays missing."""
-    app = cleaned(spark, d)
-    children = mart_tables(spark, d)
-    model = FE.fit_full_builder(app, children, minCount=MIN_COUNT)
-    return long_matrix(FE.build_full(app, model, tables=children), model)
+    """FULL tier, plain: the mart is stored once, fitted on, and transformed from the row."""
+    frame = materialize(FE.pre_model_frame(cleaned(spark, d), FE.FULL, mart_tables(spark, d)))
+    model = FE.fit_builder(frame, FE.FULL, minCount=MIN_COUNT)
+    return long_matrix(FE.build_full(frame, model), model)
 
 
 # -- storage -----------------------------------------------------------------

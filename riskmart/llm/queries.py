@@ -6,7 +6,7 @@ or None).
 
 from pyspark.sql import functions as F
 
-from riskmart.llm import jaccard
+from riskmart.llm import jaccard, toxicity
 
 QUERIES = {}
 
@@ -37,10 +37,10 @@ common as (
 links as (
   select x, y from common join sizes p on p.doc_id = x join sizes q on q.doc_id = y
   where 100 * c >= 75 * (p.n + q.n - c)),
-both as (select x, y from links union all select y, x from links),
+linked as (select x, y from links union all select y, x from links),
 reach(doc_id, r) as (
   select doc_id, doc_id from documents
-  union select both.y, reach.r from reach join both on both.x = reach.doc_id where reach.r < both.y)
+  union select linked.y, reach.r from reach join linked on linked.x = reach.doc_id where reach.r < linked.y)
 select d.doc_id, coalesce(s.n, 0) as n_shingles, min(r.r) as component_id
 from documents d left join sizes s using (doc_id) join reach r on r.doc_id = d.doc_id
 group by d.doc_id, s.n
@@ -51,3 +51,13 @@ group by d.doc_id, s.n
 def op8_ngram_jaccard(spark, folder):
     """One row per document: size of its shingle set and the smallest id linked to it."""
     return jaccard.jaccard_groups(table(spark, folder, "documents"))
+
+
+@query("op1_toxicity")
+def op1_toxicity(spark, folder):
+    """One row per document: expected severity, grade, P(toxic) and the decision."""
+    docs = table(spark, folder, "documents")
+    model = toxicity.fit(docs, table(spark, folder, "labels"))
+    return toxicity.score_toxicity(docs.select("doc_id", "text"), model).select(
+        "doc_id", "severity", "grade", "p_toxic", (F.col("p_toxic") >= 0.5).alias("toxic")
+    )

@@ -6,7 +6,7 @@ or None).
 
 from pyspark.sql import functions as F
 
-from riskmart.llm import jaccard, toxicity
+from riskmart.llm import decontamination, jaccard, toxicity
 
 QUERIES = {}
 
@@ -61,3 +61,16 @@ def op1_toxicity(spark, folder):
     return toxicity.score_toxicity(docs.select("doc_id", "text"), model).select(
         "doc_id", "severity", "grade", "p_toxic", (F.col("p_toxic") >= 0.5).alias("toxic")
     )
+
+
+@query("op5_decontamination")
+def op5_decontamination(spark, folder):
+    """One row per document: whether it leaks benchmark items, which, and the best score."""
+    found = decontamination.find_leaks(table(spark, folder, "documents").select("doc_id", "text"), table(spark, folder, "benchmark"))
+    return found.select(
+        "doc_id",
+        (F.size("leaks") > 0).alias("contaminated"),
+        F.size("leaks").alias("n_items"),
+        F.transform("leaks", lambda x: x["item"]).alias("items"),
+        F.array_max(F.transform("leaks", lambda x: x["score"])).alias("best_score"),
+    )

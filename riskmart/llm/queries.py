@@ -6,7 +6,7 @@ or None).
 
 from pyspark.sql import functions as F
 
-from riskmart.llm import decontamination, jaccard, toxicity
+from riskmart.llm import decontamination, jaccard, pii, toxicity
 
 QUERIES = {}
 
@@ -74,3 +74,20 @@ def op5_decontamination(spark, folder):
         F.transform("leaks", lambda x: x["item"]).alias("items"),
         F.array_max(F.transform("leaks", lambda x: x["score"])).alias("best_score"),
     )
+
+
+@query("op9_pii")
+def op9_pii(spark, folder):
+    """One row per document: pattern matches by kind, their digest, and all spans."""
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    found = pii.find_personal(docs, pii.fit(docs))
+
+    def listed(spans):
+        return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+
+    def count(kind):
+        return F.size(F.filter("base_spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    return found.select(
+        "doc_id", *map(count, pii.KINDS), F.sha2(listed("base_spans"), 256).alias("base_sha256"), listed("all_spans").alias("spans")
+    )

@@ -11,10 +11,11 @@ worth one unit, segments equal up to one deleted member are worth two.
 - A first exchange counts each signature over all documents. Signatures seen once cost
   nothing, so a set takes its units from the rarest of its segments and leaves out passages
   that many documents share wherever it can.
-- Sets with too few filled segments in a band of equal segments are matched again by
-  deletion neighbourhoods.
+- A pair in which neither set fills more segments than it can differ in might agree in empty
+  segments only. Such sets are rare; they also carry deletion signatures, where empty
+  segments count, and so find each other.
 
-Members of a signature are first linked to their smallest member and checked on whole texts;
+Members of a signature are first compared with their most central member on whole texts;
 only what is still in different components is then compared with each other. Equal sets are
 one node, so groups of copies are never expanded.
 """
@@ -64,10 +65,10 @@ class Bands:
 
     @staticmethod
     def _filled(m, n):
-        """Segments out of m that n random members fill, five deviations below the mean."""
+        """Segments out of m that n random members fill, three deviations below the mean."""
         fill = n / m
         spread = m * (math.exp(-fill) - (1 + fill) * math.exp(-2 * fill))
-        return m * (1 - math.exp(-fill)) - 5 * math.sqrt(max(spread, 0))
+        return m * (1 - math.exp(-fill)) - 3 * math.sqrt(max(spread, 0))
 
     def upto(self, size):
         while self.edges[-1] <= size:
@@ -102,8 +103,8 @@ def segment_signatures(values, counts, bands, own, again=False):
     salt = arrays.mixed(seed[row] + seg.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
     full = arrays.mixed(sums + salt)
     exact = unit[row] == 1
-    low_bits = np.where(exact, 0, 1 | (seg & 127) << 1).astype(np.uint64)
-    full = (full & ~np.uint64(255)) | low_bits
+    low_bits = (1 | (seg & 127) << 1).astype(np.uint64)
+    full = np.where(exact, full & ~np.uint64(1), (full & ~np.uint64(255)) | low_bits)
     out_rows, out_sigs = [row], [full]
     loose = unit == 2
     if loose.any():
@@ -150,8 +151,11 @@ def set_names(docs: DataFrame, id_col, text_col, words) -> DataFrame:
     )
 
 
-def _signature_blobs(docs, text_col, words, num, den, buckets, only=None):
-    """Packed signatures: (bucket, names, spares, entries per set, signatures)."""
+def _signature_blobs(docs, text_col, words, num, den, buckets):
+    """Packed signatures: (bucket, names, spares, entries per set, signatures).
+
+    A signature travels as its lower five bytes; its bucket adds bits of its own.
+    """
 
     def emit(batches):
         table = Bands(num, den)
@@ -169,33 +173,27 @@ def _signature_blobs(docs, text_col, words, num, den, buckets, only=None):
     def _packed(table, values, counts, keys):
         edges, plans = table.upto(int(counts.max()))
         own = np.searchsorted(edges, counts, "right") - 1
-        if only is not None:
-            plans = [((table.most_apart(int(edges[i + 1]) - 1) + 1) // 2 + 1, 2) if i + 1 < len(edges) else p
-                     for i, p in enumerate(plans)]
+        loose = [((table.most_apart(int(top) - 1) + 1) // 2 + 1, 2) for top in edges[1:]]
         sets, sigs, spares, names = [], [], [], []
         at = 0
         for shift in (0, 1):
             band = own - shift
             take = band >= 0
-            if only is not None:
-                take &= np.isin(band, only)
             if not take.any():
                 continue
-            v, c, k = values[np.repeat(take, counts)], counts[take], keys[take]
-            r, s, units = segment_signatures(v, c, plans, band[take], only is not None)
-            unit = np.array([p[1] for p in plans])[band[take]]
-            need = (c * (den - num) // num + 1 + unit - 1) // unit
-            spare = np.clip(units - need, ALL, 32000)
-            if shift:
-                spare[:] = NOT_PROBING
-            elif only is not None:
-                spare[:] = ALL
-            else:
-                short = np.flatnonzero(spare < 0)      # too few filled segments
-                r, s = np.append(r, short), np.append(s, arrays.mixed(c[short].astype(np.uint64)) << np.uint64(32))
+            v, c, k, band = values[np.repeat(take, counts)], counts[take], keys[take], band[take]
+            r, s, units = segment_signatures(v, c, plans, band)
+            unit = np.array([p[1] for p in plans])[band]
+            apart = np.minimum(c, edges[band + 1] - 1) * (den - num) // num
+            spare = np.clip(units - (apart + unit) // unit, ALL, 32000)
+            few = spare < 0
+            if few.any():
+                more, sig, _ = segment_signatures(v[np.repeat(few, c)], c[few], loose, band[few], again=True)
+                r, s = np.append(r, more + len(k)), np.append(s, sig)
+                k, spare = np.append(k, k[few]), np.append(spare, np.full(few.sum(), ALL))
             sets.append(r + at)
             sigs.append(s)
-            spares.append(spare)
+            spares.append(np.full(len(k), NOT_PROBING) if shift else spare)
             names.append(k)
             at += len(k)
         if not sets:
@@ -229,7 +227,8 @@ def _signature_blobs(docs, text_col, words, num, den, buckets, only=None):
             rows["names"].append(names[s[heads]].tobytes())
             rows["spares"].append(spares[s[heads]].tobytes())
             rows["n"].append(np.diff(np.append(heads, b - a)).astype(np.int32).tobytes())
-            rows["sigs"].append(sigs[a:b].tobytes())
+            low = sigs[a:b]
+            rows["sigs"].append(low.astype(np.uint32).tobytes() + (low >> np.uint64(32)).astype(np.uint8).tobytes())
         yield pa.RecordBatch.from_pydict(rows, schema=BLOBS)
 
     return docs.select(F.col(text_col).cast("string")).mapInArrow(
@@ -240,29 +239,37 @@ def _signature_blobs(docs, text_col, words, num, den, buckets, only=None):
 BLOBS = pa.schema([("bucket", pa.int64()), ("names", pa.binary()), ("spares", pa.binary()), ("n", pa.binary()), ("sigs", pa.binary())])
 
 
+def _unpacked(bucket, names, spares, n, sigs):
+    n = np.frombuffer(n, np.int32)
+    size = len(sigs) // 5
+    low = np.frombuffer(sigs, np.uint32, size).astype(np.int64)
+    high = np.frombuffer(sigs, np.uint8, size, 4 * size).astype(np.int64)
+    return bucket << 40 | high << 32 | low, np.repeat(np.frombuffer(names, np.int64), n), np.repeat(np.frombuffer(spares, np.int16), n)
+
+
 def _shared(blobs, buckets, n):
-    """(sig, key, spare, freq): signatures that occur in several sets, one of them probing."""
+    """(sig, key, spare, freq, weight): signatures that occur in several sets, one of them probing.
+
+    Signatures of equal segments that have the same members are one row per member, named by
+    the members and weighted by their number.
+    """
 
     def count(batches):
-        sigs, names, spares, spread = [], [], [], []
+        parts = []
         for batch in batches:
-            for bucket, nm, sp, k, sg in zip(*(batch.column(i).to_pylist() for i in range(5))):
-                k = np.frombuffer(k, np.int32)
-                part = np.frombuffer(sg, np.uint64), np.repeat(np.frombuffer(nm, np.int64), k), np.repeat(np.frombuffer(sp, np.int16), k)
+            for bucket, *packed in zip(*(batch.column(i).to_pylist() for i in range(5))):
+                part = _unpacked(bucket % buckets, *packed)
                 if bucket >= buckets:      # frequent in its chunk: passed on without a count
-                    yield _shared_rows(*part, np.full(len(part[0]), FREQUENT))
+                    yield _shared_rows(*part, np.full(len(part[0]), FREQUENT), np.ones(len(part[0]), np.int64))
                 else:
-                    sigs.append(part[0])
-                    names.append(part[1])
-                    spares.append(part[2])
-        if not sigs:
+                    parts.append(part)
+        if not parts:
             return
-        sigs, names, spares = np.concatenate(sigs), np.concatenate(names), np.concatenate(spares)
+        sigs, names, spares = (np.concatenate(p) for p in zip(*parts))
         order = np.argsort(sigs)
         s = sigs[order]
         same = s[1:] == s[:-1]
-        short = (s & np.uint64(0xFFFFFFFF)) == 0
-        order = order[np.append(False, same) | np.append(same, False) | short]
+        order = order[np.append(False, same) | np.append(same, False)]
         sigs, names, spares = sigs[order], names[order], spares[order]
         order = np.lexsort((names, sigs))
         sigs, names, spares = sigs[order], names[order], spares[order]
@@ -278,18 +285,33 @@ def _shared(blobs, buckets, n):
         sizes = np.diff(np.append(heads, len(sigs)))
         frequent = np.logical_or.reduceat(spares == MARKER, heads)
         probed = np.logical_or.reduceat(spares > MARKER, heads)
+        code = arrays.mixed(names.view(np.uint64) + arrays.mixed(spares.astype(np.uint64)))
+        member_name = (arrays.mixed(np.add.reduceat(code, heads)) & ~np.uint64(1)).view(np.int64)
+        merge = ~frequent & probed & (sizes > 1) & (sigs[heads] & 1 == 0)
+        _, lead, times = np.unique(member_name[merge], return_index=True, return_counts=True)
+        lead = np.flatnonzero(merge)[lead]
+        weight = np.ones(len(heads), np.int64)
+        weight[lead] = times
+        name = sigs[heads]
+        name[lead] = member_name[lead]
+        first_of = np.zeros(len(heads), bool)
+        first_of[lead] = True
+        stays = frequent | (probed & (sizes > 1) & (first_of | ~merge))
+        keep = np.repeat(stays, sizes) & (spares != MARKER)
         freq = np.where(frequent, FREQUENT, sizes)
-        keep = np.repeat(frequent | (probed & (sizes > 1)), sizes) & (spares != MARKER)
-        keep |= (sigs & np.uint64(0xFFFFFFFF)) == 0
-        yield _shared_rows(sigs[keep], names[keep], spares[keep], np.repeat(freq, sizes)[keep])
+        yield _shared_rows(
+            np.repeat(name, sizes)[keep], names[keep], spares[keep], np.repeat(freq, sizes)[keep], np.repeat(weight, sizes)[keep]
+        )
 
-    return blobs.repartitionById(n, F.pmod("bucket", F.lit(n)).cast("int")).mapInArrow(count, "sig long, key long, spare short, freq long")
+    return blobs.repartitionById(n, F.pmod("bucket", F.lit(n)).cast("int")).mapInArrow(
+        count, "sig long, key long, spare short, freq long, weight long"
+    )
 
 
-def _shared_rows(sigs, names, spares, freq):
+def _shared_rows(sigs, names, spares, freq, weight):
     return pa.RecordBatch.from_arrays(
-        [pa.array(sigs.view(np.int64)), pa.array(names), pa.array(spares), pa.array(freq.astype(np.int64))],
-        names=["sig", "key", "spare", "freq"],
+        [pa.array(sigs), pa.array(names), pa.array(spares), pa.array(freq.astype(np.int64)), pa.array(weight)],
+        names=["sig", "key", "spare", "freq", "weight"],
     )
 
 
@@ -301,26 +323,28 @@ def _chosen(shared):
         if not parts:
             return
         t = pa.Table.from_batches(parts)
-        sig, key, spare, freq = (t.column(i).to_numpy() for i in range(4))
+        sig, key, spare, freq, weight = (t.column(i).to_numpy() for i in range(5))
         segment = np.where(sig & 1, sig & 255, sig)
         order = np.lexsort((sig, segment, key))
-        sig, key, spare, freq, segment = sig[order], key[order], spare[order], freq[order], segment[order]
+        sig, key, spare, freq, weight, segment = (x[order] for x in (sig, key, spare, freq, weight, segment))
         new = np.ones(len(sig), bool)
         new[1:] = (key[1:] != key[:-1]) | (segment[1:] != segment[:-1])
         heads = np.flatnonzero(new)
-        cost = np.add.reduceat(freq, heads)
+        loose = sig[heads] & 1 == 1      # the signatures of one segment are taken together
+        cost = np.where(loose, np.add.reduceat(freq, heads), freq[heads])
+        units = np.where(loose, 1, np.add.reduceat(weight, heads))
         owner, room = key[heads], spare[heads].astype(np.int64)
         by_cost = np.lexsort((segment[heads], cost, owner))
-        owner_sorted = owner[by_cost]
-        starts = np.flatnonzero(np.append(True, owner_sorted[1:] != owner_sorted[:-1]))
-        sizes = np.diff(np.append(starts, len(owner_sorted)))
-        rank = np.arange(len(owner_sorted)) - np.repeat(starts, sizes)
+        starts = np.flatnonzero(np.append(True, owner[by_cost][1:] != owner[by_cost][:-1]))
+        before = np.cumsum(units[by_cost]) - units[by_cost]
+        each = np.diff(np.append(starts, len(by_cost)))
+        total = np.add.reduceat(units[by_cost], starts)
         take = np.zeros(len(heads), bool)
-        take[by_cost] = rank < np.repeat(sizes, sizes) - room[by_cost]
+        take[by_cost] = before - np.repeat(before[starts], each) < np.repeat(total, each) - room[by_cost]
         rows = take[np.cumsum(new) - 1]
         yield pa.RecordBatch.from_arrays([pa.array(sig[rows]), pa.array(key[rows])], names=["sig", "key"])
 
-    return shared.where(F.col("spare") > MARKER).repartition(partitions(shared), "key").mapInArrow(choose, "sig long, key long")
+    return shared.where(F.col("spare") > MARKER).repartition(partitions(shared), "key").mapInArrow(choose, "sig long, key long").distinct()
 
 
 def _similar(pairs, docs, names, id_col, text_col, words, num, den):
@@ -353,25 +377,19 @@ def _similar(pairs, docs, names, id_col, text_col, words, num, den):
     return both.mapInArrow(check, "a long, b long")
 
 
-def _bands_of_sizes(sizes: DataFrame, num, den):
-    """The bands that hold the given set sizes; there are a few dozen bands at any scale."""
-
-    def bands(batches):
-        for batch in batches:
-            n = batch.column(0).to_numpy()
-            if len(n):
-                edges, _ = Bands(num, den).upto(int(n.max()))
-                yield pa.RecordBatch.from_arrays([pa.array(np.unique(np.searchsorted(edges, n, "right") - 1))], names=["band"])
-
-    return sorted(r["band"] for r in sizes.mapInArrow(bands, "band long").distinct().collect())
-
-
 def _candidates(shared, chosen, links_of):
-    """All links: members against their smallest member, then across what is still apart."""
+    """All links: members against their most central one, then across what is still apart.
+
+    The most central member shares most with others, so in a group of near copies it is the
+    one that nearly all of them link to.
+    """
     chosen = kept(chosen)
-    members = kept(shared.select("sig", "key").join(chosen.select("sig").distinct(), "sig").distinct())
-    lead = members.groupBy("sig").agg(F.min("key").alias("a"), F.max("key").alias("last")).where("a <> last")
-    stars = kept(members.join(lead, "sig").where("key <> a").select("a", F.col("key").alias("b")).distinct())
+    shares = shared.groupBy("key").agg(F.sum(F.least("freq", F.lit(1 << 20)) * F.col("weight")).alias("shares"))
+    members = shared.select("sig", "key").join(chosen.select("sig").distinct(), "sig").distinct()
+    members = kept(members.join(shares, "key"))
+    lead = members.groupBy("sig").agg(F.max_by("key", F.struct("shares", "key")).alias("x"))
+    stars = members.join(lead, "sig").where("key <> x").select(F.least("x", "key").alias("a"), F.greatest("x", "key").alias("b"))
+    stars = kept(stars.distinct())
     links = kept(links_of(stars))
     groups = components(links)
     placed = members.join(groups, members["key"] == groups["node"], "left").select(
@@ -407,14 +425,7 @@ def jaccard_groups(docs: DataFrame, id_col="doc_id", text_col="text", words=5, n
     names = kept(set_names(docs, id_col, text_col, words))
     links_of = lambda pairs: _similar(pairs, docs, names, id_col, text_col, words, num, den)
     shared = kept(_shared(_signature_blobs(docs, text_col, words, num, den, buckets), buckets, n))
-    short = F.col("sig").bitwiseAND(F.lit(0xFFFFFFFF)) == 0
-    sizes = names.join(shared.where(short).select("key").distinct(), "key", "left_semi").select("n_shingles").distinct()
-    shared = shared.where(~short)
     links = _candidates(shared, _chosen(shared), links_of)
-    short_bands = _bands_of_sizes(sizes, num, den)
-    if short_bands:
-        again = kept(_shared(_signature_blobs(docs, text_col, words, num, den, buckets, short_bands), buckets, n))
-        links = links.union(_candidates(again, _chosen(again), links_of))
     links = kept(links)
     groups = kept(components(links))
     sets = names.where("n_shingles > 0").groupBy("key").agg(F.min("id").alias("first"))

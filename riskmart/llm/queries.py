@@ -4,9 +4,11 @@ Each query applies its operator to the whole table. `QUERIES` maps a name to (fu
 or None).
 """
 
+import public_tokenizers
 from pyspark.sql import functions as F
 
-from riskmart.llm import decontamination, jaccard, pii, toxicity
+from riskmart.llm import decontamination, jaccard, packing, pii, toxicity
+from riskmart.llm.storing import kept
 
 QUERIES = {}
 
@@ -91,3 +93,14 @@ def op9_pii(spark, folder):
     return found.select(
         "doc_id", *map(count, pii.KINDS), F.sha2(listed("base_spans"), 256).alias("base_sha256"), listed("all_spans").alias("spans")
     )
+
+
+@query("op4_packing")
+def op4_packing(spark, folder):
+    """One row per piece of a document: its place in a sequence, and a digest of its ids."""
+    vocabulary = [public_tokenizers.path(f"byte_bpe_50k.{kind}") for kind in ("json", "tiktoken")]
+    pieces = packing.token_pieces(table(spark, folder, "documents"), *vocabulary)
+    digests = kept(pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids"))
+    return packing.pack(digests, ["doc_id", "start", "salt"]).select(
+        "doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"
+    )

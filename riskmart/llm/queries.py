@@ -7,7 +7,7 @@ or None).
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from riskmart.llm import decontamination, jaccard, packing, pii, toxicity
+from riskmart.llm import decontamination, jaccard, language, packing, pii, toxicity
 from riskmart.llm.storing import kept
 
 QUERIES = {}
@@ -104,3 +104,16 @@ def op4_packing(spark, folder):
     return packing.pack(digests, ["doc_id", "start", "salt"]).select(
         "doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"
     )
+
+
+def held_out(parts, rest):
+    """Whether crc32 of the document's id as text leaves `rest` modulo `parts`."""
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % parts == rest
+
+
+@query("op6_language")
+def op6_language(spark, folder):
+    """One row per document: predicted language and its probability, learned from the other folds."""
+    docs = table(spark, folder, "documents")
+    model = language.fit(docs.where(~held_out(5, 0)))
+    return language.identify(docs.select("doc_id", held_out(5, 0).alias("held_out"), "text"), model).drop("text")

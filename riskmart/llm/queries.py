@@ -7,7 +7,7 @@ or None).
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from riskmart.llm import decontamination, jaccard, language, packing, pii, toxicity
+from riskmart.llm import decontamination, jaccard, language, packing, pii, quality, toxicity
 from riskmart.llm.storing import kept
 
 QUERIES = {}
@@ -117,3 +117,12 @@ def op6_language(spark, folder):
     docs = table(spark, folder, "documents")
     model = language.fit(docs.where(~held_out(5, 0)))
     return language.identify(docs.select("doc_id", held_out(5, 0).alias("held_out"), "text"), model).drop("text")
+
+
+@query("op3_quality")
+def op3_quality(spark, folder):
+    """One row per document: score and decision of trees grown on the labels outside the held-out fold."""
+    docs, labels = table(spark, folder, "documents"), table(spark, folder, "labels")
+    trees = quality.fit(docs, labels.where(~held_out(4, 2)))
+    scored = quality.score_quality(docs.select("doc_id", held_out(4, 2).alias("held_out"), "text"), trees)
+    return scored.select("doc_id", "held_out", "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))

@@ -7,7 +7,7 @@ or None).
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from riskmart.llm import decontamination, jaccard, language, packing, pii, quality, toxicity
+from riskmart.llm import decontamination, jaccard, knn, language, packing, pii, quality, toxicity
 from riskmart.llm.storing import kept
 
 QUERIES = {}
@@ -126,3 +126,26 @@ def op3_quality(spark, folder):
     trees = quality.fit(docs, labels.where(~held_out(4, 2)))
     scored = quality.score_quality(docs.select("doc_id", held_out(4, 2).alias("held_out"), "text"), trees)
     return scored.select("doc_id", "held_out", "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
+EXACT_KNN_SQL = """
+with good as (
+  select vec_id, [cast(floor(64 * cast(x as double)) as bigint) for x in embedding] as v
+  from embeddings
+  where embedding is not null
+    and len([x for x in embedding if x is null or not isfinite(x)]) = 0),
+parts as (select vec_id, unnest(v) as c, unnest(range(len(v))) as i from good),
+scores as (
+  select q.vec_id as query_id, x.vec_id, cast(sum(q.c * x.c) as bigint) as score
+  from parts q join parts x on q.i = x.i and q.vec_id <> x.vec_id where q.vec_id % 20 = 0 group by 1, 2),
+ranked as (
+  select query_id, cast(row_number() over (partition by query_id order by score desc, vec_id) as int) as rank, vec_id, score
+  from scores)
+select * from ranked where rank <= 20
+"""
+
+
+@query("op7_exact_knn", EXACT_KNN_SQL)
+def op7_exact_knn(spark, folder):
+    """The 20 highest integer inner products of each query vector."""
+    return knn.top_inner_products(table(spark, folder, "embeddings"))

@@ -7,7 +7,7 @@ or None).
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from riskmart.llm import decontamination, jaccard, knn, language, packing, pii, quality, toxicity
+from riskmart.llm import decontamination, jaccard, knn, language, packing, pii, preference, quality, sharding, toxicity
 from riskmart.llm.storing import kept
 
 QUERIES = {}
@@ -149,3 +149,84 @@ select * from ranked where rank <= 20
 def op7_exact_knn(spark, folder):
     """The 20 highest integer inner products of each query vector."""
     return knn.top_inner_products(table(spark, folder, "embeddings"))
+
+
+SHARDING_SQL = """
+with hashed as (
+  select doc_id, cast(strlen(coalesce(text, '')) as bigint) as n_bytes,
+    cast('0x' || substr(md5(concat(coalesce(cast(doc_id as varchar), ''), ':', coalesce(text, ''))), 1, 15) as bigint) as h
+  from documents),
+buckets as (
+  select d, h >> (60 - d) as p, sum(n_bytes) <= 1048576 or count(*) = 1 as fits
+  from hashed, (select unnest(range(61)) as d) group by 1, 2),
+leaves as (
+  select doc_id, n_bytes, h, min(d) as depth
+  from hashed join buckets on p = h >> (60 - d) where fits group by 1, 2, 3)
+select doc_id, n_bytes, cast(depth as int) as depth, h >> (60 - depth) as prefix, cast(0 as bigint) as page from leaves
+"""
+
+
+@query("op2_sharding", SHARDING_SQL)
+def op2_sharding(spark, folder):
+    """One row per document: its bytes and its shard (depth, prefix, overflow page)."""
+    return sharding.shard_rows(table(spark, folder, "documents"))
+
+
+PREFERENCE_SQL = r"""
+with turns as (
+  select conv_id, role, text, row_number() over (partition by conv_id order by turn, role, text) - 1 as i
+  from conversations where conv_id is not null),
+marked as (
+  select *, row_number() over (partition by conv_id, role = 'assistant' order by i desc) as back,
+    count(*) filter (role = 'assistant') over (partition by conv_id) as answers,
+    lag(text) over (partition by conv_id, role = 'assistant' order by i) as earlier
+  from turns),
+pairs as (
+  select conv_id, i, role, text, answers, role = 'assistant' and back = 1 as is_last,
+    case when role = 'assistant' and back = 1 and answers > 1 then earlier else text end as other,
+    role = 'assistant' and back = 1 and answers = 1 as gone
+  from marked),
+firsts as (
+  select conv_id, count(*) as n, min(i) filter (gone or text is distinct from other) as d from pairs group by 1),
+chosen as (
+  select p.conv_id, i, i < coalesce(d, n) as shared, role, concat('<|', role, '|>', chr(10)) as head, concat(text, '<|end|>', chr(10)) as body
+  from pairs p join firsts using (conv_id)),
+rejected as (
+  select p.conv_id, i, role, concat('<|', role, '|>', chr(10)) as head, concat(other, '<|end|>', chr(10)) as body
+  from pairs p join firsts using (conv_id) where i >= coalesce(d, n) and not gone),
+placed as (
+  select 'c' as side, *, sum(length(head) + length(body)) over (partition by conv_id order by i) as stop from (select conv_id, i, role, head, body from chosen where not shared)
+  union all
+  select 'r' as side, *, sum(length(head) + length(body)) over (partition by conv_id order by i) as stop from rejected),
+made as (
+  select conv_id, side, md5(string_agg(head || body, '' order by i)) as digest,
+    string_agg(concat(cast(stop - length(body) as bigint), ':', cast(stop as bigint)), ',' order by i) filter (role = 'assistant') as mask
+  from placed group by 1, 2)
+select f.conv_id, cast(coalesce(d, n) as int) as n_common,
+  coalesce((select md5(string_agg(head || body, '' order by i)) from chosen c where c.conv_id = f.conv_id and shared), md5('')) as prompt_md5,
+  coalesce(c.digest, md5('')) as chosen_md5, coalesce(r.digest, md5('')) as rejected_md5,
+  coalesce(c.mask, '') as chosen_mask, coalesce(r.mask, '') as rejected_mask
+from firsts f
+left join (select * from made where side = 'c') c on c.conv_id = f.conv_id
+left join (select * from made where side = 'r') r on r.conv_id = f.conv_id
+"""
+
+
+@query("op10_preference_format", PREFERENCE_SQL)
+def op10_preference_format(spark, folder):
+    """One row per conversation: digests of prompt and completions, and the masks as start:end lists."""
+    pairs = preference.with_stale_answer(preference.conversations(table(spark, folder, "conversations")))
+    made = preference.format_preferences(pairs)
+
+    def listed(mask):
+        return F.array_join(F.transform(mask, lambda s: F.concat_ws(":", s["start"], s["end"])), ",").alias(mask)
+
+    return made.select(
+        "conv_id",
+        "n_common",
+        F.md5("prompt").alias("prompt_md5"),
+        F.md5("chosen_completion").alias("chosen_md5"),
+        F.md5("rejected_completion").alias("rejected_md5"),
+        listed("chosen_mask"),
+        listed("rejected_mask"),
+    )

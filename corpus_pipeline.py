@@ -1,13 +1,80 @@
-"""From raw documents to packed sequences: the stages, their order and their SQL."""
+"""From raw documents to packed sequences: the stages, their order and their SQL.
 
-STAGES = []
-ORACLE_SQL = None
+Each stage takes (spark, docs, sf_dir) and works on all that its predecessor kept. Columns of
+docs beyond those a stage reads are carried along, whatever their names.
+"""
+
+import public_tokenizers
+from pyspark.sql import functions as F
+
+from riskmart.llm import decontamination, jaccard, packing, pii, toxicity
+from riskmart.llm.storing import kept, rows_with
+
+
+def _carried(docs):
+    """The whole rows as one column, next to the text an operator reads, so that no names clash."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("text").cast("string").alias("text"))
+
+
+def drop_toxic(spark, docs, sf_dir):
+    """Documents that the severity model does not find toxic; null and empty texts stay."""
+    model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return toxicity.score_toxicity(_carried(docs), model).where("p_toxic < 0.5").select("row.*")
+
+
+def drop_near_duplicates(spark, docs, sf_dir):
+    """The document of the smallest id of each group of near duplicates, once.
+
+    Documents without words and rows without an id belong to no group and stay.
+    """
+    groups = kept(jaccard.jaccard_groups(docs))
+    heads = groups.where("doc_id = component_id").groupBy("doc_id").agg(
+        F.count("*").alias("n"), F.max("n_shingles").alias("n_shingles")
+    ).select(F.col("doc_id").alias("__head"), ((F.col("n") > 1) & (F.col("n_shingles") > 0)).alias("__again"))
+    placed = rows_with(docs.withColumn("__head", F.col("doc_id")), kept(heads), "__head")
+    once = placed.where("not __again").select(*docs.columns)
+    # rows that repeat an id of a group: the first by text
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    again = placed.where("__again").groupBy("__head").agg(F.min_by(row, "text").alias("row")).select("row.*")
+    return once.unionByName(again).unionByName(docs.where("doc_id is null"))
+
+
+def drop_leaks(spark, docs, sf_dir):
+    """Documents in which no benchmark item is found."""
+    found = decontamination.find_leaks(_carried(docs), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return found.where(F.size("leaks") == 0).select("row.*")
+
+
+def mask_personal(spark, docs, sf_dir):
+    """All documents, with personal data in their texts replaced by its kind and n_chars counted anew."""
+    model = pii.fit(docs)
+    found = pii.find_personal(_carried(docs), model, "text").drop("base_spans")
+    rows = docs.columns
+    whole = pii.masked(found, "text", "all_spans")
+    new = {"text": F.col("text"), "n_chars": F.length("text").cast(docs.schema["n_chars"].dataType) if "n_chars" in rows else None}
+    return whole.select(*[(new[c] if c in new else F.col(f"row.`{c}`")).alias(c) for c in rows])
+
+
+def pack_sequences(spark, docs, sf_dir):
+    """One row per piece of a document: its place in a sequence of 1024 tokens and a digest of its ids."""
+    vocabulary = [public_tokenizers.path(f"byte_bpe_50k.{kind}") for kind in ("json", "tiktoken")]
+    pieces = packing.token_pieces(docs, *vocabulary)
+    digests = kept(pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids"))
+    return packing.pack(digests, ["doc_id", "start", "salt"]).drop("salt")
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("near_duplicates", drop_near_duplicates),
+    ("decontamination", drop_leaks),
+    ("pii", mask_personal),
+    ("packing", pack_sequences),
+]
+ORACLE_SQL = None      # models and tokenizers have no SQL; the tests compare with brute force
 
 
 def run(spark, sf_dir):
     """Applies STAGES to the documents of a folder; each stage's rows are stored before the next."""
-    from riskmart.llm.storing import kept
-
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for _, stage in STAGES:
         docs = kept(stage(spark, docs, sf_dir))

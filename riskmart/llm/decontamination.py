@@ -13,6 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from riskmart.llm import arrays
+from riskmart.llm.storing import extended
 
 PASSAGE_WORDS = 128
 STRIDE_WORDS = 64           # neighbouring passages overlap, so a run of 64 words lies in one whole
@@ -253,7 +254,6 @@ def find_leaks(docs: DataFrame, items: DataFrame, text_col="text", item_id="item
     names = [c for c in docs.columns if c != "leaks"]
     kind = items.schema[item_id].dataType.simpleString()
     leak = f"array<struct<item:{kind},score:double,question:double,answer:double>>"
-    fields = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in names)
     out = docs.select(*[F.col(f"`{c}`") for c in names], F.lower(F.col(f"`{text_col}`").cast("string")).alias("__asked"), F.array().cast(leak).alias("leaks"))
     for k in range(rounds):
         rows = listed.where(F.col("round") == k).orderBy("item", "part").collect()
@@ -261,7 +261,7 @@ def find_leaks(docs: DataFrame, items: DataFrame, text_col="text", item_id="item
             [(r["item"], [w["word"] for w in r["words"]], r["answer"], [w["held"] for w in r["words"]]) for r in rows],
             sizes["n"], sizes["mean"] or 1.0,
         )))
-        out = out.mapInArrow(_asking(index, threshold), f"{fields}{', ' if fields else ''}__asked string, leaks {leak}")
+        out = out.mapInArrow(_asking(index, threshold), extended(docs, names, f"__asked string, leaks {leak}"))
     return out.withColumn("leaks", F.array_sort("leaks")).drop("__asked")
 
 

@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from riskmart.llm.samples import per_class, with_sample
+from riskmart.llm.storing import extended
 
 BUCKETS = 1 << 15
 LENGTHS = (1, 2, 3)
@@ -119,7 +120,6 @@ def identify(docs: DataFrame, model, text_col="text") -> DataFrame:
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     names = [c for c in docs.columns if c not in ("lang_pred", "score")]
-    fields = "".join(f"`{c}` {docs.schema[c].dataType.simpleString()}, " for c in names)
 
     def score(batches):
         languages, matrix, prior = shared.value
@@ -154,4 +154,4 @@ def identify(docs: DataFrame, model, text_col="text") -> DataFrame:
             )
 
     out = docs.select(*[F.col(f"`{c}`") for c in names], F.col(f"`{text_col}`").cast("string").alias("__read"))
-    return out.mapInArrow(score, f"{fields}lang_pred string, score double")
+    return out.mapInArrow(score, extended(docs, names, "lang_pred string, score double"))

@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from riskmart.llm.storing import partitions
+from riskmart.llm.storing import extended, partitions
 
 SEQUENCE = 1024
 GROUP_PIECES = 4096
@@ -96,7 +96,6 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, ranks_path=None, id_col="
     every row of the input gives at least one piece, repeated rows and null ids too. Pieces are
     cut at multiples of `size`. `salt` is a number that spreads equal rows.
     """
-    kind = docs.schema[id_col].dataType.simpleString()
     end = np.array([end_id], "<u4").tobytes()
 
     def cut(batches):
@@ -129,7 +128,7 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, ranks_path=None, id_col="
                 )
 
     return docs.select(id_col, F.col(text_col).cast("string")).mapInArrow(
-        cut, f"`{id_col}` {kind}, start long, length long, ids binary, doc_tokens long, salt long"
+        cut, extended(docs, [id_col], "start long, length long, ids binary, doc_tokens long, salt long")
     )
 
 
@@ -174,6 +173,5 @@ def pack(pieces: DataFrame, order, size=SEQUENCE, group_pieces=GROUP_PIECES) ->
         out = out.append_column("sequence_id", pa.array([(group << 32) + b for b in bins], pa.int64()))
         return out.append_column("offset", pa.array(offsets, pa.int64()))
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema)
     spread = grouped.repartition(max(1, min(groups, 4 * partitions(pieces))), "__group")
-    return spread.groupBy("__group").applyInArrow(pack_group, f"{fields}, sequence_id long, `offset` long")
+    return spread.groupBy("__group").applyInArrow(pack_group, extended(pieces, names, "sequence_id long, offset long"))

@@ -11,6 +11,9 @@ import re
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.types import StructType
+
+from riskmart.llm.storing import extended
 
 KINDS = ("email", "ip", "card", "phone")
 MAX_TOKENS = 6              # longest span, in blank-separated tokens
@@ -392,7 +395,6 @@ def find_personal(docs: DataFrame, model: SemiMarkov, text_col="text") -> DataFr
     """
     state = docs.sparkSession.sparkContext.broadcast((model.weights, model.steps))
     names = [c for c in docs.columns if c not in ("base_spans", "all_spans")]
-    fields = "".join(f"`{c}` {docs.schema[c].dataType.simpleString()}, " for c in names)
     span = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
 
     def find(batches):
@@ -412,7 +414,7 @@ def find_personal(docs: DataFrame, model: SemiMarkov, text_col="text") -> DataFr
             )
 
     out = docs.select(*[F.col(f"`{c}`") for c in names], F.col(f"`{text_col}`").cast("string").alias("__read"))
-    return out.mapInArrow(find, f"{fields}base_spans {SPANS}, all_spans {SPANS}")
+    return out.mapInArrow(find, extended(docs, names, f"base_spans {SPANS}, all_spans {SPANS}"))
 
 
 def masked(docs: DataFrame, text_col="text", spans_col="all_spans") -> DataFrame:
@@ -436,5 +438,5 @@ def masked(docs: DataFrame, text_col="text", spans_col="all_spans") -> DataFrame
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
     names = [c for c in docs.columns if c != spans_col]
-    fields = ", ".join(f"`{c}` {'string' if c == text_col else docs.schema[c].dataType.simpleString()}" for c in names)
-    return docs.select(*[F.col(f"`{c}`") for c in [*names, spans_col]]).mapInArrow(mask, fields)
+    texts = docs.withColumn(text_col, F.col(f"`{text_col}`").cast("string"))
+    return texts.select(*[F.col(f"`{c}`") for c in [*names, spans_col]]).mapInArrow(mask, StructType([texts.schema[c] for c in names]))

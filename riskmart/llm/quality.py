@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from riskmart.llm import arrays
 from riskmart.llm.samples import per_class, with_sample
+from riskmart.llm.storing import extended
 
 SAMPLE_ROWS = 6000          # labelled rows per class that the trees are grown on
 BINS = 64
@@ -169,7 +170,6 @@ def score_quality(docs: DataFrame, trees: Trees, text_col="text") -> DataFrame:
     """
     state = docs.sparkSession.sparkContext.broadcast(vars(trees))
     names = [c for c in docs.columns if c != "score"]
-    fields = "".join(f"`{c}` {docs.schema[c].dataType.simpleString()}, " for c in names)
 
     def score(batches):
         own = Trees(**state.value)
@@ -179,4 +179,4 @@ def score_quality(docs: DataFrame, trees: Trees, text_col="text") -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(p)], names=[*names, "score"])
 
     out = docs.select(*[F.col(f"`{c}`") for c in names], F.col(f"`{text_col}`").cast("string").alias("__read"))
-    return out.mapInArrow(score, f"{fields}score double")
+    return out.mapInArrow(score, extended(docs, names, "score double"))

@@ -1,6 +1,7 @@
 """Keeping intermediate frames and small model tables."""
 
 from pyspark.sql import DataFrame
+from pyspark.sql.types import StructType
 
 from riskmart.lineage import materialize
 
@@ -12,6 +13,11 @@ def kept(df: DataFrame) -> DataFrame:
     return materialize(df)
 
 
+def extended(df: DataFrame, names, more: str) -> StructType:
+    """The schema of some columns and of new ones after them."""
+    return StructType([*(df.schema[c] for c in names), *StructType.fromDDL(more).fields])
+
+
 def partitions(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 

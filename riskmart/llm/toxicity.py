@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from riskmart.llm import arrays
 from riskmart.llm.samples import per_class, with_sample
+from riskmart.llm.storing import extended
 
 BUCKET_BITS = 20
 PREFIXES = (4, 5, 6)       # bytes of a word's beginning that are features of their own
@@ -188,7 +189,6 @@ def score_toxicity(docs: DataFrame, model: CumulativeLink, text_col="text") -> D
     new = ["p_toxic", "grade", "severity"]
     kept = [c for c in docs.columns if c not in new]
     out = docs.select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{text_col}`").cast("string").alias("__scored"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*[f"`{c}`" for c in kept]).schema)
 
     def score(batches):
         own = CumulativeLink(*shared.value)
@@ -201,4 +201,4 @@ def score_toxicity(docs: DataFrame, model: CumulativeLink, text_col="text") -> D
                 names=[*kept, *new],
             )
 
-    return out.mapInArrow(score, f"{schema}{', ' if schema else ''}p_toxic double, grade int, severity double")
+    return out.mapInArrow(score, extended(docs, kept, "p_toxic double, grade int, severity double"))

@@ -16,15 +16,15 @@ worth one unit, segments equal up to one deleted member are worth two.
   segments count, and so find each other.
 
 Members of a signature are first compared with their most central member on whole texts;
-only what is still in different components is then compared with each other. Equal sets are
-one node, so groups of copies are never expanded.
+of what is still in different components, pairs whose differences from that member rule a link
+out are left aside. Equal sets are one node, so groups of copies are never expanded.
 """
 
 import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from riskmart.llm import arrays
 from riskmart.llm.graph import components
@@ -347,66 +347,127 @@ def _chosen(shared):
     return shared.where(F.col("spare") > MARKER).repartition(partitions(shared), "key").mapInArrow(choose, "sig long, key long").distinct()
 
 
-def _similar(pairs, docs, names, id_col, text_col, words, num, den):
-    """The (a, b) pairs of set names whose sets reach the threshold, checked on whole texts."""
+def _with_texts(pairs, docs, names, id_col, text_col):
+    """(a, b, ta, tb): pairs of set names with a whole text of either."""
     nodes = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
     first = kept(names.join(nodes, "key").groupBy("key").agg(F.min("id").alias("__id")))
     wide = docs.select(F.col(id_col).alias("__id"), F.col(text_col).cast("string").alias("text"))
-    texts = rows_with(wide, first, "__id").groupBy("key").agg(F.min("text").alias("text"))
-    texts = kept(texts)
-    both = pairs.join(texts.withColumnsRenamed({"key": "a", "text": "ta"}), "a").join(
+    texts = kept(rows_with(wide, first, "__id").groupBy("key").agg(F.min("text").alias("text")))
+    return pairs.join(texts.withColumnsRenamed({"key": "a", "text": "ta"}), "a").join(
         texts.withColumnsRenamed({"key": "b", "text": "tb"}), "b"
     ).select("a", "b", "ta", "tb")
 
+
+def _sets(batches, words):
+    """(rows of a batch, their sets from ta, their sets from tb), a few hundred rows at a time."""
+    for batch in batches:
+        for lo in range(0, batch.num_rows, 256):
+            part = batch.slice(lo, 256)
+            sides = [], []
+            for column, out in zip((2, 3), sides):
+                for _, _, values, counts in arrays.sets_of(part.column(column), words):
+                    out.extend(np.split(values, np.cumsum(counts)[:-1]))
+            yield part, *sides
+
+
+def _similar(pairs, texts_of, words, num, den):
+    """The (a, b) pairs of set names whose sets reach the threshold, checked on whole texts."""
+
     def check(batches):
-        for batch in batches:
-            for lo in range(0, batch.num_rows, 256):
-                part = batch.slice(lo, 256)
-                left, right = ([], [])
-                for side, out in ((2, left), (3, right)):
-                    for _, _, values, counts in arrays.sets_of(part.column(side), words):
-                        out.extend(np.split(values, np.cumsum(counts)[:-1]))
-                hit = []
-                for x, y in zip(left, right):
-                    common = len(np.intersect1d(x, y, assume_unique=True))
-                    union = len(x) + len(y) - common
-                    hit.append(union > 0 and den * common >= num * union)
-                hit = pa.array(hit, pa.bool_())
-                yield pa.RecordBatch.from_arrays([part.column(0).filter(hit), part.column(1).filter(hit)], names=["a", "b"])
-
-    return both.mapInArrow(check, "a long, b long")
-
-
-def _candidates(shared, chosen, links_of):
+        for part, left, right in _sets(batches, words):
+            hit = []
+            for x, y in zip(left, right):
+                common = len(np.intersect1d(x, y, assume_unique=True))
+                union = len(x) + len(y) - common
+                hit.append(union > 0 and den * common >= num * union)
+            hit = pa.array(hit, pa.bool_())
+            yield pa.RecordBatch.from_arrays([part.column(0).filter(hit), part.column(1).filter(hit)], names=["a", "b"])
+
+    return texts_of(pairs).mapInArrow(check, "a long, b long")
+
+
+def _deltas(pairs, texts_of, words):
+    """(a, b, n, added, removed, extra) for pairs of a centre a and a member b: the size of b's
+    set, how many members it adds to a's and how many it lacks, and those it adds."""
+
+    def differ(batches):
+        for part, left, right in _sets(batches, words):
+            extra = [np.setdiff1d(y, x, assume_unique=True) for x, y in zip(left, right)]
+            n = np.array([len(y) for y in right], np.int64)
+            added = np.array([len(e) for e in extra], np.int64)
+            removed = np.array([len(x) for x in left], np.int64) - n + added
+            yield pa.RecordBatch.from_arrays(
+                [part.column(0), part.column(1), pa.array(n), pa.array(added), pa.array(removed),
+                 pa.array([e.view(np.int64) for e in extra], pa.list_(pa.int64()))],
+                names=["a", "b", "n", "added", "removed", "extra"],
+            )
+
+    return texts_of(pairs).mapInArrow(differ, "a long, b long, n long, added long, removed long, extra array<long>")
+
+
+def _links(shared, chosen, texts_of, words, num, den):
     """All links: members against their most central one, then across what is still apart.
 
     The most central member shares most with others, so in a group of near copies it is the
-    one that nearly all of them link to.
+    one that nearly all of them link to. What stays apart is compared only where it can link.
+    Against the centre, one set adds and lacks some members, and so does the other. If the two
+    add nothing in common, they differ in all that either adds and in the difference of what
+    they lack at least. So a linked pair either shares an added member, or its numbers are
+    small enough; the numbers are compared as profiles, whose count does not grow with the
+    group.
     """
     chosen = kept(chosen)
-    shares = shared.groupBy("key").agg(F.sum(F.least("freq", F.lit(1 << 20)) * F.col("weight")).alias("shares"))
-    members = shared.select("sig", "key").join(chosen.select("sig").distinct(), "sig").distinct()
-    members = kept(members.join(shares, "key"))
-    lead = members.groupBy("sig").agg(F.max_by("key", F.struct("shares", "key")).alias("x"))
-    stars = members.join(lead, "sig").where("key <> x").select(F.least("x", "key").alias("a"), F.greatest("x", "key").alias("b"))
-    stars = kept(stars.distinct())
-    links = kept(links_of(stars))
+    shares = kept(shared.groupBy("key").agg(F.sum(F.least("freq", F.lit(1 << 20)) * F.col("weight")).alias("shares")))
+    members = shared.select("sig", "key").join(chosen.select("sig").distinct(), "sig").distinct().join(shares, "key")
+    members = kept(members)
+    lead = kept(members.groupBy("sig").agg(F.max_by("key", F.struct("shares", "key")).alias("x")))
+    around = kept(members.join(lead, "sig").where("key <> x").select("sig", "x", "key"))
+    stars = kept(around.select(F.col("x").alias("a"), F.col("key").alias("b")).distinct())
+    links = kept(_similar(stars, texts_of, words, num, den))
     groups = components(links)
-    placed = members.join(groups, members["key"] == groups["node"], "left").select(
-        "sig", "key", F.coalesce("component", "key").alias("c")
+    placed = around.join(groups, around["key"] == groups["node"], "left").select(
+        "sig", "x", "key", F.coalesce("component", "key").alias("c")
     )
-    spread = placed.groupBy("sig").agg(F.min("c").alias("x"), F.max("c").alias("y")).where("x <> y").select("sig")
-    placed = kept(placed.join(spread, "sig"))
-    probes = placed.join(chosen, ["sig", "key"], "left_semi")
-    meet = probes.select("sig", F.col("c").alias("cx")).distinct().join(
-        placed.select("sig", F.col("c").alias("cy")).distinct(), "sig"
-    ).where("cx <> cy")
-    across = meet.join(probes.select("sig", F.col("c").alias("cx"), F.col("key").alias("x")), ["sig", "cx"]).join(
-        placed.select("sig", F.col("c").alias("cy"), F.col("key").alias("y")), ["sig", "cy"]
+    apart = placed.groupBy("sig").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low <> high").select("sig")
+    # a centre that links to a more central one hands its members over, so few centres remain
+    homes = links.join(shares, F.col("a") == F.col("key")).groupBy("b").agg(F.max_by("a", F.struct("shares", "a")).alias("home"), F.max("shares").alias("most"))
+    homes = homes.join(shares, F.col("b") == F.col("key")).where("most > shares").select(F.col("b").alias("x"), "home")
+    open_ = placed.join(apart, "sig").select("x", "key", "c").distinct().join(homes, "x", "left")
+    open_ = kept(open_.select(F.coalesce("home", "x").alias("x"), "key", "c").where("x <> key").distinct())
+    deltas = _deltas(open_.select(F.col("x").alias("a"), F.col("key").alias("b")), texts_of, words)
+    main = den * (F.col("n") - F.col("added")) >= num * (F.col("n") + F.col("removed"))
+    known = kept(deltas.withColumnsRenamed({"a": "x", "b": "key"}).join(open_, ["x", "key"]).withColumn("main", main))
+    links = links.union(known.where("main").select("x", "key"))
+
+    profile = ["x", "main", "n", "added", "removed"]
+    profiles = known.select(*profile).distinct()
+    one, two = (profiles.select("x", *[F.col(c).alias(f"{c}{k}") for c in profile[1:]]) for k in (1, 2))
+    near = one.where("not main1").join(two, "x").where(
+        f"{den + num} * (added1 + added2 + abs(removed1 - removed2)) <= {den - num} * (n1 + n2)"
     )
-    pairs = across.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    pairs = kept(pairs.join(stars, ["a", "b"], "left_anti"))
-    return links.union(links_of(pairs))
+    sides = [known.select("x", *[F.col(c).alias(f"{c}{k}") for c in [*profile[1:], "key", "c"]]) for k in (1, 2)]
+    by_number = near.join(sides[0], ["x", *[f"{c}1" for c in profile[1:]]]).join(sides[1], ["x", *[f"{c}2" for c in profile[1:]]]).where("c1 <> c2")
+
+    # a linked pair shares so many added members that the rarest ones of either hold one of them
+    every = known.select("x", "key", "c", "main", (F.floor(F.col("n") * (den - num) / num) + 1).alias("most"), F.explode("extra").alias("token"))
+    often = every.groupBy("x", "token").agg(F.count("*").alias("often")).where("often > 1")
+    unique = known.select("x", "key", F.size("extra").alias("size"))
+    rarest = Window.partitionBy("x", "key").orderBy("often", "token")
+    tokens = every.join(often, ["x", "token"]).withColumn("place", F.row_number().over(rarest)).withColumn(
+        "shared", F.count("*").over(Window.partitionBy("x", "key"))
+    ).join(unique, ["x", "key"]).where("size - shared + place <= most")
+    tokens = kept(tokens.select("x", "key", "c", "main", "token"))
+    there = tokens.select("x", "token", "c", "main").distinct()
+    meet = there.where("not main").select("x", "token", F.col("c").alias("c1")).join(
+        there.select("x", "token", F.col("c").alias("c2")), ["x", "token"]
+    ).where("c1 <> c2")
+    by_token = meet.join(
+        tokens.where("not main").select("x", "token", F.col("c").alias("c1"), F.col("key").alias("key1")), ["x", "token", "c1"]
+    ).join(tokens.select("x", "token", F.col("c").alias("c2"), F.col("key").alias("key2")), ["x", "token", "c2"])
+
+    pairs = by_number.select("key1", "key2").union(by_token.select("key1", "key2"))
+    pairs = kept(pairs.select(F.least("key1", "key2").alias("a"), F.greatest("key1", "key2").alias("b")).distinct())
+    return links.union(_similar(pairs, texts_of, words, num, den))
 
 
 def jaccard_groups(docs: DataFrame, id_col="doc_id", text_col="text", words=5, num=75, den=100) -> DataFrame:
@@ -423,10 +484,12 @@ def jaccard_groups(docs: DataFrame, id_col="doc_id", text_col="text", words=5, n
     n = partitions(docs)
     buckets = 4 * n
     names = kept(set_names(docs, id_col, text_col, words))
-    links_of = lambda pairs: _similar(pairs, docs, names, id_col, text_col, words, num, den)
     shared = kept(_shared(_signature_blobs(docs, text_col, words, num, den, buckets), buckets, n))
-    links = _candidates(shared, _chosen(shared), links_of)
-    links = kept(links)
+
+    def texts_of(pairs):
+        return _with_texts(pairs, docs, names, id_col, text_col)
+
+    links = kept(_links(shared, _chosen(shared), texts_of, words, num, den))
     groups = kept(components(links))
     sets = names.where("n_shingles > 0").groupBy("key").agg(F.min("id").alias("first"))
     roots = sets.join(groups, sets["key"] == groups["node"], "left").select(

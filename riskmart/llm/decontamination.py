@@ -238,17 +238,17 @@ def find_leaks(docs: DataFrame, items: DataFrame, text_col="text", item_id="item
     """The rows with `leaks`: array of (item, score, question, answer), ordered by item.
 
     Every row stays, repeated ones too. A null or empty text has no leaks; items with a null
-    id or without a word are not asked for, rows of one item id count as one item. Words are
+    id or without a word are not asked for, each text of a repeated item id is asked for under that id. Words are
     runs of letters and digits in lower case. A column `leaks` of the input is replaced.
     """
     spark = docs.sparkSession
-    parts = item_words(items, item_id, item_text)
+    parts = item_words(items, item_id, item_text).distinct()
     held = parts.select(F.explode(F.array_distinct("words")).alias("word")).groupBy("word").agg(F.count("*").alias("held"))
     sizes = parts.agg(F.count("*").alias("n"), F.avg(F.size("words")).alias("mean")).first()
     rounds = max(1, math.ceil(sizes["n"] / INDEX_ITEMS))
-    numbered = parts.select("item", "part", "answer", "words", F.pmod(F.xxhash64("item", "part"), F.lit(rounds)).alias("round"))
-    long = numbered.select("item", "part", "answer", "round", F.posexplode("words").alias("at", "word")).join(held, "word")
-    listed = long.groupBy("round", "item", "part", "answer").agg(
+    numbered = parts.select("item", "part", "answer", "words", F.xxhash64("words").alias("text"), F.pmod(F.xxhash64("item", "part"), F.lit(rounds)).alias("round"))
+    long = numbered.select("item", "part", "text", "answer", "round", F.posexplode("words").alias("at", "word")).join(held, "word")
+    listed = long.groupBy("round", "item", "part", "text", "answer").agg(
         F.array_sort(F.collect_list(F.struct("at", "word", "held"))).alias("words")
     )
     names = [c for c in docs.columns if c != "leaks"]
@@ -256,7 +256,7 @@ def find_leaks(docs: DataFrame, items: DataFrame, text_col="text", item_id="item
     leak = f"array<struct<item:{kind},score:double,question:double,answer:double>>"
     out = docs.select(*[F.col(f"`{c}`") for c in names], F.lower(F.col(f"`{text_col}`").cast("string")).alias("__asked"), F.array().cast(leak).alias("leaks"))
     for k in range(rounds):
-        rows = listed.where(F.col("round") == k).orderBy("item", "part").collect()
+        rows = listed.where(F.col("round") == k).orderBy("item", "part", "text").collect()
         index = spark.sparkContext.broadcast(vars(Index(
             [(r["item"], [w["word"] for w in r["words"]], r["answer"], [w["held"] for w in r["words"]]) for r in rows],
             sizes["n"], sizes["mean"] or 1.0,

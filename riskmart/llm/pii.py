@@ -2,8 +2,9 @@
 
 The patterns of each kind are fixed. The model scores whole candidate spans of up to
 MAX_TOKENS blank-separated tokens; dynamic programming picks boundaries and kinds together.
-It learns from the pattern matches of a bounded sample and from the same spans in other
-spellings (without a plus sign, other separators, a spelled-out at sign).
+It learns from the pattern matches of a bounded sample, from the same spans in other
+spellings (without a plus sign, other separators, a spelled-out at sign), and from made-up
+dates, amounts and the like as counterexamples.
 """
 
 import re
@@ -299,6 +300,16 @@ def respelled(text, kind, rng):
     return None
 
 
+def harmless(rng):
+    """Numbers that are no personal data: dates, times, amounts, versions, references."""
+    n = lambda lo, hi: int(rng.integers(lo, hi))
+    return rng.choice([
+        f"{n(1900, 2100)}-{n(10, 13)}-{n(10, 29)}", f"{n(1, 29)}.{n(1, 13)}.{n(1900, 2100)}", f"{n(1, 13)}/{n(1, 29)}/{n(1900, 2100)}",
+        f"{n(10, 24)}:{n(10, 60)}:{n(10, 60)}", f"{n(1, 10**6)}.{n(10, 99)}", f"{n(1, 20)}.{n(0, 20)}.{n(0, 99)}", f"{n(1, 999)},{n(100, 999)},{n(100, 999)}",
+        f"{n(1900, 2100)}-{n(1900, 2100)}", f"#{n(1, 10**7)}", f"{n(1, 10**5)}", f"{n(10**8, 10**9)}", f"{n(1, 99)}%",
+    ])
+
+
 def lesson(text, spans):
     """(text, window, truth) for the windows of a text in which no token belongs to two spans."""
     out = []
@@ -325,6 +336,8 @@ def train(texts):
     for text in texts:
         spans = base_spans(text)
         lessons += lesson(text, spans)
+        if rng.random() < 0.3:
+            lessons += lesson(f"in {harmless(rng)} for {harmless(rng)} of", [])
         for kind, a, b in spans:
             other = respelled(text[a:b], kind, rng)
             if other and rng.random() < 0.5:

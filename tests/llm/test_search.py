@@ -1,0 +1,29 @@
+import numpy as np
+
+from brute import top_products
+from riskmart.llm import knn
+
+FIELDS = "vec_id long, embedding array<float>"
+
+
+def rows_of(df):
+    return sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in df.collect())
+
+
+def test_equals_brute_force_with_ties_and_blocks(spark, monkeypatch):
+    monkeypatch.setattr(knn, "BLOCK_ROWS", 16)
+    monkeypatch.setattr(knn, "GROUP_ROWS", 4)
+    monkeypatch.setattr(knn, "TASK_BLOCKS", 3)
+    rng = np.random.default_rng(5)
+    vectors = {i: rng.normal(size=6).round(1).astype(np.float32).tolist() for i in range(300)}
+    for i in range(100, 180):
+        vectors[i] = vectors[40]
+    df = spark.createDataFrame(list(vectors.items()), FIELDS)
+    assert rows_of(knn.top_inner_products(df)) == top_products(vectors)
+
+
+def test_edge_cases(spark):
+    rows = [(0, [1.0, 2.0]), (1, [1.0, None]), (2, None), (3, [float("nan"), 1.0]), (4, [float("inf"), 1.0]), (5, [0.5, -1.0]), (6, []), (7, [1.0])]
+    df = spark.createDataFrame([(*r, "z") for r in rows], FIELDS + ", cell string")
+    assert rows_of(knn.top_inner_products(df)) == [(0, 1, 5, 64 * 32 - 128 * 64)]
+    assert rows_of(knn.top_inner_products(spark.createDataFrame([], FIELDS))) == []

@@ -90,7 +90,7 @@ def days_late(paid_day, due_day) -> Column:
 
 
 def decision_band(score, approve_below=S.APPROVE_BELOW, decline_from=S.DECLINE_FROM) -> Column:
-    """APPROVE / REVIEW / DECLINE; a missing score declines."""
+    """APPROVE / REVIEW / DECLINE; a missing score declines, and so does NaN, which sorts above all."""
     score = _col(score)
     return (
         F.when(score < approve_below, F.lit("APPROVE"))
@@ -100,7 +100,9 @@ def decision_band(score, approve_below=S.APPROVE_BELOW, decline_from=S.DECLINE_F
 
 
 def predicted_class(score, threshold) -> Column:
-    return F.coalesce(_col(score) >= F.lit(float(threshold)), F.lit(False)).cast("int")
+    """1 from the threshold on; a missing score or one that is no number is 0."""
+    score = nan_to_null(_col(score).cast("double"))
+    return F.coalesce(score >= F.lit(float(threshold)), F.lit(False)).cast("int")
 
 
 def income_tertile(c, q1, q2) -> Column:

@@ -3,54 +3,39 @@
 from pyspark.sql import DataFrame, functions as F
 
 from riskmart import schema as S
-from riskmart.functions.expr import quoted
-from riskmart.operators.keys import salt_count
+from riskmart.operators.keys import HOT_SHARE, salt_count
 
-LITERAL_VALUES = 1000       # kept values that may be part of an expression
-MAX_CATEGORIES = 10000      # dummy columns a frozen encoder may have
 
 
 def pool_rare(df, column, min_count=S.RARE_MIN_COUNT, output=None, other="OTHER", kept=None) -> DataFrame:
-    """Values below `min_count` rows become `other`; missing counts as a value.
+    """Values below `min_count` rows become `other`, as text; missing counts as a value.
 
-    Up to a thousand kept values are written into the expression. Beyond that the
-    most frequent thousand still are, and only rows with less frequent values go
-    through a join, so no join key is frequent. `kept` gives the values instead.
+    The values that hold many rows are written into the expression; there are fewer of them
+    than a few times the partitions. Rows with other values find theirs by a join, so no join
+    key is frequent. `kept` gives the values instead.
     """
     output = output or column
-    value = F.col(column)
+    value = F.col(column).cast("string")
     if kept is not None:
         return df.withColumn(output, _keep(value, kept, F.lit(other)))
-    counts = df.groupBy(column).agg(F.count("*").alias("__n")).where(F.col("__n") >= min_count)
-    top = counts.orderBy(F.desc("__n"), value).limit(LITERAL_VALUES + 1).collect()
-    kept = [r[0] for r in top]
-    if len(kept) <= LITERAL_VALUES:
-        return df.withColumn(output, _keep(value, kept, F.lit(other)))
-    frequent = [v for v in kept if v is not None]
-    known = value.isin(frequent) | value.isNull()
+    counts = df.groupBy(value.alias("__kept")).agg(F.count("*").alias("__n"))
+    least = df.count() / (HOT_SHARE * salt_count(df))
+    decided = {r["__kept"]: r["__n"] >= min_count for r in counts.where(F.col("__n") > least).collect()}
+    frequent = [v for v in decided if v is not None]
+    known = F.coalesce(value.isin(frequent), F.lit(False)) if frequent else F.lit(False)
+    if None in decided:
+        known = known | value.isNull()
     # Rows already decided carry a salt no kept value has: they match nothing, evenly spread.
-    salt = F.pmod(F.xxhash64(*df.columns), F.lit(salt_count(df))).cast("int") + 1
-    rest = counts.where(~known).select(
-        F.col(column).alias("__kept"), F.lit(0).alias("__kept_salt")
-    )
-    joined = df.withColumn("__salt", F.when(known, salt).otherwise(F.lit(0))).join(
-        rest, (value == F.col("__kept")) & (F.col("__salt") == F.col("__kept_salt")), "left"
-    )
-    pooled = _keep(value, kept, F.when(F.col("__kept").isNotNull(), value).otherwise(F.lit(other)))
-    return joined.withColumn(output, pooled).drop("__salt", "__kept", "__kept_salt")
-
-
-def kept_values(df, columns, min_count=S.RARE_MIN_COUNT) -> dict:
-    """Values of several columns with enough rows, from one scan; None for a column with
-    more of them than an expression should hold."""
-    cells = ", ".join(f"struct({i} as i, cast({quoted(c)} as string) as v)" for i, c in enumerate(columns))
-    counts = df.selectExpr(f"inline(array({cells}))").groupBy("i", "v").agg(F.count("*").alias("n"))
-    most = len(columns) * (LITERAL_VALUES + 1)
-    rows = counts.where(F.col("n") >= min_count).orderBy(F.desc("n")).limit(most).collect()
-    kept = {c: [r["v"] for r in rows if r["i"] == i] for i, c in enumerate(columns)}
-    if len(rows) == most:
-        return {c: None for c in columns}
-    return {c: v if len(v) <= LITERAL_VALUES else None for c, v in kept.items()}
+    salt = F.pmod(F.monotonically_increasing_id(), F.lit(salt_count(df))).cast("int") + 1
+    there = F.coalesce(F.col("__kept"), F.lit("")).alias("__text"), F.col("__kept").isNull().alias("__gone")
+    rest = counts.where(F.col("__n") >= min_count).select(*there, F.lit(0).alias("__salt"), F.lit(True).alias("__stays"))
+    keyed = df.withColumns({
+        "__text": F.coalesce(value, F.lit("")), "__gone": value.isNull(), "__salt": F.when(known, salt).otherwise(F.lit(0)),
+    })
+    joined = keyed.join(rest, ["__text", "__gone", "__salt"], "left")
+    kept_often = [v for v, stays in decided.items() if stays]
+    pooled = _keep(value, kept_often, F.when(F.col("__stays"), value).otherwise(F.lit(other)))
+    return joined.withColumn(output, pooled).drop("__text", "__gone", "__salt", "__stays")
 
 
 def _keep(value, kept, otherwise):
@@ -89,15 +74,7 @@ def fit_rare_map(df, columns, min_count=S.RARE_MIN_COUNT, fill="MISSING"):
     if not columns:
         return {}, []
     pooled = F.when(F.col("n") >= min_count, F.col("value")).alias("value")
-    rows = (
-        category_counts(df, columns, fill)
-        .groupBy("column", pooled)
-        .count()
-        .limit(MAX_CATEGORIES + 1)
-        .collect()
-    )
-    if len(rows) > MAX_CATEGORIES:
-        raise ValueError(f"more than {MAX_CATEGORIES} categories would become columns")
+    rows = category_counts(df, columns, fill).groupBy("column", pooled).count().collect()      # a row per dummy
     kept = {c: sorted(r["value"] for r in rows if r["column"] == c and r["value"] is not None) for c in columns}
     with_rare = [c for c in columns if any(r["column"] == c and r["value"] is None for r in rows)]
     return kept, with_rare

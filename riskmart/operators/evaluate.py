@@ -30,22 +30,17 @@ def confusion_matrix(df, target=S.TARGET, score="CALIBRATED_PD", threshold=S.DEC
 
 
 def score_counts(df, target=S.TARGET, score="CALIBRATED_PD") -> DataFrame:
-    """Positives and negatives per distinct score; a much-repeated score is one row."""
+    """Positives and negatives per distinct score; a much-repeated score is one row, a NaN is missing."""
     return (
-        df.where(F.col(score).isNotNull())
-        .groupBy(F.col(score).cast("double").alias("threshold"))
+        df.select(target, X.nan_to_null(F.col(score).cast("double")).alias("threshold"))
+        .where("threshold is not null")
+        .groupBy("threshold")
         .agg(F.count_if(F.col(target) == 1).alias("pos"), F.count_if(F.col(target) == 0).alias("neg"))
     )
 
 
 def _curve(df, target, score) -> tuple[DataFrame, int, int]:
-    raw = df.where(F.col(score).isNotNull()).select(
-        F.col(score).cast("double").alias("threshold"),
-        (F.col(target) == 1).cast("long").alias("pos"),
-        (F.col(target) == 0).cast("long").alias("neg"),
-    )
-    counts = score_counts(df, target, score)
-    curve, totals = running_sums(counts, "threshold", ("pos", "neg"), raw=raw)
+    curve, totals = running_sums(score_counts(df, target, score), "threshold", ("pos", "neg"))
     return curve, totals["pos"], totals["neg"]
 
 
@@ -132,15 +127,16 @@ def score_batch(
     """Scores, calibrates and bands rows with fitted Spark ML models; lazy.
 
     `model` adds a probability vector. `calibrator` is a fitted isotonic model that
-    takes the raw score from `RAW_PD`; without one the raw score stands.
+    takes the raw score from `RAW_PD`; without one the raw score stands. A score that is no
+    number is missing.
     """
     scored = model.transform(features).withColumn(
-        "RAW_PD", vector_to_array(F.col(probability)).getItem(positive)
+        "RAW_PD", X.nan_to_null(vector_to_array(F.col(probability)).getItem(positive))
     )
     if calibrator is None:
         scored = scored.withColumn(score, F.col("RAW_PD"))
     else:
         scored = calibrator.transform(scored).withColumnRenamed(
             calibrator.getOrDefault("predictionCol"), score
-        )
+        ).withColumn(score, X.nan_to_null(score))
     return scored.withColumn(decision, X.decision_band(score))

@@ -71,7 +71,10 @@ def top_values(df, attributions, features, k=10, output="top") -> DataFrame:
 
 def _long(df, attributions, features, keep=()) -> DataFrame:
     names = F.array(*[F.lit(f) for f in features])
-    return df.select(*keep, F.posexplode(attributions).alias("__i", "value")).select(
+    size = F.size(attributions)
+    message = F.concat(F.lit(f"expected {len(features)} attributions, found "), size.cast("string"))
+    fits = F.when(size != len(features), F.raise_error(message).cast("boolean")).otherwise(F.lit(True))
+    return df.where(fits).select(*keep, F.posexplode(attributions).alias("__i", "value")).select(
         *keep, F.get(names, F.col("__i")).alias("feature"), F.col("value").cast("double").alias("value")
     )
 

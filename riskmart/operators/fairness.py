@@ -4,7 +4,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from riskmart import schema as S
 from riskmart.functions import expr as X
-from riskmart.operators.categories import kept_values, pool_rare
+from riskmart.operators.categories import pool_rare
 
 FAMILIES = {
     "primary": "FAIR_GROUP_PRIMARY",
@@ -20,10 +20,10 @@ def derive_groups(df, q1, q2, min_count=S.RARE_MIN_COUNT, kept=None) -> DataFram
     values) takes values fitted elsewhere.
     """
     pools = {"NAME_INCOME_TYPE": "INCOME_TYPE_POOLED", "NAME_HOUSING_TYPE": "HOUSING_TYPE_POOLED"}
-    kept = kept or kept_values(df, list(pools), min_count)
+    kept = kept or {}
     out = df.withColumn("INCOME_TERTILE", X.income_tertile("AMT_INCOME_TOTAL", q1, q2))
     for column, pooled in pools.items():
-        out = pool_rare(out, column, min_count, pooled, kept=kept[column])
+        out = pool_rare(out, column, min_count, pooled, kept=kept.get(column))
         out = out.withColumn(pooled, F.coalesce(F.col(pooled), F.lit("MISSING")))
     out = out.withColumns(
         {
@@ -50,7 +50,7 @@ def _counts(y, score, decision, counted) -> list:
     """Additive per-cell sums; everything a cell's metrics need."""
     approve = F.coalesce(F.col(decision) == "APPROVE", F.lit(False))
     good = F.col(y) == 0
-    error = F.col(score) - F.col(y)
+    error = X.nan_to_null(F.col(score).cast("double")) - F.col(y)
     return [
         F.count_if(counted).alias("n"),
         F.coalesce(F.sum(F.when(counted, F.col(y).cast("long"))), F.lit(0)).alias("n_defaults"),

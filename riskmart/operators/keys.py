@@ -4,8 +4,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from riskmart import schema as S
 
-HOT_KEYS = 1000          # keys looked at for skew
-HOT_ROWS = 1_000_000     # rows a key may bring into one task
+HOT_SHARE = 4            # a key is frequent beyond 1 / (HOT_SHARE * partitions) of the rows
 
 
 def surplus_rows(df: DataFrame, key: str) -> DataFrame:
@@ -39,36 +38,26 @@ def parent_keys(parents, link=S.LINK_KEY, key=S.KEY, validate=True) -> DataFrame
     leads to two keys fails the job while it runs, without a scan of its own.
     The result is partitioned by the link, so a join on it adds no exchange.
     """
-    pairs = parents.where(F.col(link).isNotNull()).groupBy(link).agg(
-        F.min(key).alias(key),
-        F.max(key).alias("__last"),
-        F.count("*").alias("__n"),
-        F.count(key).alias("__present"),
+    # one flag, so that the optimizer has no reason to spell the error out more than once
+    two_keys = F.coalesce(
+        (F.min(key) != F.max(key)) | ((F.count(key) > 0) & (F.count(key) < F.count("*"))), F.lit(False)
     )
+    pairs = parents.where(F.col(link).isNotNull()).groupBy(link).agg(F.min(key).alias(key), two_keys.alias("__two"))
     if not validate:
         return pairs.select(link, key)
-    two_keys = (F.col(key) != F.col("__last")) | (
-        (F.col("__present") > 0) & (F.col("__present") < F.col("__n"))
-    )
-    message = F.concat(
-        F.lit(f"{link} is not unique among parents: "), F.col(link).cast("string")
-    )
-    return pairs.select(
-        link,
-        F.when(two_keys, F.raise_error(message).cast(parents.schema[key].dataType))
-        .otherwise(F.col(key))
-        .alias(key),
-    )
+    # a filter, as a column that nobody reads would be pruned and the check with it
+    message = F.concat(F.lit(f"{link} is not unique among parents: "), F.col(link).cast("string"))
+    unique = F.when(F.col("__two"), F.raise_error(message).cast("boolean")).otherwise(F.lit(True))
+    return pairs.where(unique).select(link, key)
 
 
-def frequent_values(df, column, limit=HOT_KEYS, min_rows=HOT_ROWS) -> list:
-    """The most frequent values of a column with at least `min_rows` rows each.
-
-    Whatever is beyond `limit` occurs in fewer than 1/limit of the rows.
-    """
-    counts = df.where(F.col(column).isNotNull()).groupBy(column).agg(F.count("*").alias("n"))
-    top = counts.where(F.col("n") >= min_rows).orderBy(F.desc("n"), F.col(column)).limit(limit)
-    return [r[0] for r in top.collect()]
+def frequent_values(df, column, parts=None) -> list:
+    """The values that hold more than 1 / (HOT_SHARE * parts) of the rows, so fewer than
+    HOT_SHARE * parts of them; `parts` is the number of shuffle partitions by default."""
+    present = df.where(F.col(column).isNotNull())
+    least = present.count() / (HOT_SHARE * (parts or salt_count(df)))
+    hot = present.groupBy(column).agg(F.count("*").alias("n")).where(F.col("n") > least)
+    return [r[0] for r in hot.orderBy(F.desc("n"), F.col(column)).collect()]
 
 
 def salt_count(df) -> int:
@@ -86,7 +75,8 @@ def join_many_to_one(child, parent, on, how="inner", hot=(), salts=None) -> Data
         return child.join(parent, on, how)
     salts = salts or salt_count(child)
     is_hot = F.col(on).isin(list(hot))
-    spread = F.pmod(F.xxhash64(*child.columns), F.lit(salts)).cast("int")
+    # by place, as equal rows of one key have to part as well
+    spread = F.pmod(F.monotonically_increasing_id(), F.lit(salts)).cast("int")
     salted = child.withColumn("__salt", F.when(is_hot, spread).otherwise(F.lit(0)))
     copies = parent.withColumn(
         "__salt",
@@ -112,18 +102,16 @@ def many_to_one_inner(
     joined = join_many_to_one(child.where(F.col(link).isNotNull()), pairs, link, hot=hot)
     if carries:
         if validate:
-            joined = joined.withColumn(key, checked_key("__child_key", key, name, joined))
+            joined = joined.where(keys_agree("__child_key", key, name))
         joined = joined.drop("__child_key")
     return joined
 
 
-def checked_key(carried, key, name, df):
-    """The parent's key, failing the job where the carried one differs."""
+def keys_agree(carried, key, name):
+    """A condition that fails the job where the carried key differs from the parent's."""
     message = f"{name} rows carry a {key} that differs from their parent's"
-    return F.when(
-        ~F.col(carried).eqNullSafe(F.col(key)),
-        F.raise_error(F.lit(message)).cast(df.schema[key].dataType),
-    ).otherwise(F.col(key))
+    differs = ~F.col(carried).eqNullSafe(F.col(key))
+    return F.when(differs, F.raise_error(F.lit(message)).cast("boolean")).otherwise(F.lit(True))
 
 
 def key_conflicts(child, parents, link=S.LINK_KEY, key=S.KEY) -> DataFrame:

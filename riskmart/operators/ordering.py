@@ -92,26 +92,18 @@ def bucket_of(df, column, bounds, output) -> DataFrame:
     )
 
 
-def running_sums(df, order, names, buckets=None, raw=None) -> tuple[DataFrame, dict]:
+def running_sums(df, order, names, partitions=None) -> tuple[DataFrame, dict]:
     """Whole-number sums over all rows ordered above each row, as `<name>_above`; and totals.
 
-    `order` is a double, unique per row. Rows fall into buckets of about equal size
-    with literal bounds; whole buckets above come from their totals, the rest from a
-    window inside the bucket. `raw` may name an equivalent, unaggregated source for
-    the bounds and totals.
+    `order` is unique per row. Rows are range-partitioned and stored with the number of their
+    partition: whole partitions above come from their totals, the rest from a window inside
+    the partition. A partition's boundaries cannot move once it is stored.
     """
-    spark = df.sparkSession
-    raw = raw if raw is not None else df
-    buckets = buckets or min(1000, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
-    steps = X.number_array([i / buckets for i in range(1, buckets)], "double")
-    bounds = raw.agg(F.percentile_approx(order, steps, 10 * buckets)).first()[0] or []
-    bounds = sorted(set(bounds))
-    totals = bucket_of(raw, order, bounds, "__bucket").groupBy("__bucket").agg(
-        *[F.sum(n).alias(n) for n in names]
-    )
-    totals = {r["__bucket"]: r for r in totals.collect()}              # one row per bucket
-    width = len(bounds) + 1
-    out = bucket_of(df, order, bounds, "__bucket")
+    partitions = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    out = materialize(df.repartitionByRange(partitions, order).withColumn("__bucket", F.spark_partition_id()))
+    totals = out.groupBy("__bucket").agg(*[F.sum(n).alias(n) for n in names])
+    totals = {r["__bucket"]: r for r in totals.collect()}              # one row per partition
+    width = max(totals, default=0) + 1
     above = Window.partitionBy("__bucket").orderBy(F.desc(order)).rowsBetween(
         Window.unboundedPreceding, -1
     )

@@ -15,8 +15,13 @@ def _long(one_row, columns, name, value) -> DataFrame:
 
 
 def value_counts(df, column, shares=True) -> DataFrame:
-    out = df.groupBy(column).agg(F.count("*").alias("n"))
-    return out.withColumn("share", F.col("n") / F.lit(df.count())) if shares else out
+    """(value, n, share) of the present values, from one scan."""
+    out = df.where(F.col(column).isNotNull()).groupBy(column).agg(F.count("*").alias("n"))
+    if not shares:
+        return out
+    total = out.agg(F.lit(1).alias("__one"), F.sum("n").alias("__total"))                           # one row
+    shared = out.withColumn("__one", F.lit(1)).join(F.broadcast(total), "__one")
+    return shared.select(column, "n", (F.col("n") / F.col("__total")).alias("share"))
 
 
 def missing_rates(df, columns=None) -> DataFrame:
@@ -33,14 +38,25 @@ def top_missing(df, limit=40, columns=None) -> DataFrame:
 
 
 def correlations(df, columns) -> DataFrame:
-    """Pearson correlation of every pair, over rows where all columns are present."""
+    """Pearson correlation of every pair, over rows where all columns are present.
+
+    Missing where a column of the pair is constant, also with itself.
+    """
     full = df.select(*[F.col(c).cast("double").alias(c) for c in columns]).dropna()
     pairs = list(combinations(range(len(columns)), 2))
-    row = full.agg(*[F.corr(columns[i], columns[j]).alias(f"r{i}_{j}") for i, j in pairs])
+    # several values, so neither deviation is zero
+    varies = [F.min(c) < F.max(c) for c in columns]
+    row = full.agg(
+        *[
+            F.try_divide(F.covar_samp(columns[i], columns[j]), F.stddev_samp(columns[i]) * F.stddev_samp(columns[j])).alias(f"r{i}_{j}")
+            for i, j in pairs
+        ],
+        *[v.alias(f"v{i}") for i, v in enumerate(varies)],
+    )
     cells = []
     for i, a in enumerate(columns):
         for j, b in enumerate(columns):
-            r = F.lit(1.0) if i == j else F.col(f"r{min(i, j)}_{max(i, j)}")
+            r = F.when(F.col(f"v{i}") & F.col(f"v{j}"), F.lit(1.0) if i == j else F.col(f"r{min(i, j)}_{max(i, j)}"))
             cells.append(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), r.alias("corr")))
     return row.select(F.inline(F.array(*cells)))
 

@@ -6,10 +6,10 @@ from pyspark.sql import DataFrame, functions as F
 
 from riskmart import schema as S
 from riskmart.functions import expr as X
+from riskmart.lineage import materialize
 from riskmart.operators import selection
 
 SEED = 42
-MAX_LABELS = 1000
 
 
 def hash_order(key, seed=SEED) -> list:
@@ -41,7 +41,7 @@ def held_out_counts(counts: dict, fraction) -> dict:
     total = ceil(rows * fraction)
     exact = {v: n * total / rows for v, n in counts.items()} if rows else {}
     out = {v: int(x) for v, x in exact.items()}
-    by_remainder = sorted(exact, key=lambda v: (out[v] - exact[v], v))
+    by_remainder = sorted(exact, key=lambda v: (out[v] - exact[v], str(v)))
     for v in by_remainder[: total - sum(out.values())]:
         out[v] += 1
     return out
@@ -50,22 +50,25 @@ def held_out_counts(counts: dict, fraction) -> dict:
 def stratified_split(
     df, label, key=S.KEY, fraction=0.20, seed=SEED, names=("train", "val"), column="part"
 ) -> DataFrame:
-    """Marks the held-out fraction of each label; sizes are exact, membership is by hash."""
-    rows = df.groupBy(label).count().limit(MAX_LABELS + 1).collect()
-    if len(rows) > MAX_LABELS:
-        raise ValueError(f"{label} has more than {MAX_LABELS} labels")
-    counts = {r[0]: r[1] for r in rows}
-    held = held_out_counts(counts, fraction)
+    """Marks the held-out fraction of each label; sizes are exact, membership is by hash.
+
+    A missing label is a label. Hashes are computed once and stored; each label's share and
+    cut come in by a join on the label, so any number of labels is one plan.
+    """
     order = hash_order(key, seed)
+    keyed = materialize(df.withColumns({"__label": selection.group_name(label), "__h": order[0]}))
+    counts = {r["__label"]: r["n"] for r in keyed.groupBy("__label").agg(F.count("*").alias("n")).collect()}  # one row per label
+    held = held_out_counts(counts, fraction)
     cuts = selection.group_tuples_at(
-        df, label, order, {v: n for v, n in held.items() if 0 < n < counts[v]}
+        keyed, "__label", ["__h", key], {f"={v}": n for v, n in held.items() if 0 < n < counts[v]}
     )
-    in_held = F.lit(False)
-    for v, n in held.items():
-        if n:
-            own = F.col(label) == F.lit(v)
-            in_held = in_held | (own & X.precedes(order, cuts[v]) if v in cuts else own)
-    return df.withColumn(column, F.when(in_held, F.lit(names[1])).otherwise(F.lit(names[0])))
+    kind = df.schema[key].dataType.simpleString()
+    rows = [(v, n == counts[v] and n > 0, *(cuts.get(f"={v}") or (None, None))) for v, n in held.items()]
+    table = df.sparkSession.createDataFrame(rows, f"__label string, __all boolean, __cut long, __cut_key {kind}")
+    before = (F.col("__h") < F.col("__cut")) | ((F.col("__h") == F.col("__cut")) & (F.col(key) < F.col("__cut_key")))
+    in_held = F.col("__all") | F.coalesce(before, F.lit(False))
+    out = keyed.join(table, "__label").withColumn(column, F.when(in_held, F.lit(names[1])).otherwise(F.lit(names[0])))
+    return out.select(*df.columns, column)
 
 
 def adversarial_set(

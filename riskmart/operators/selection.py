@@ -1,182 +1,142 @@
 """Exact order statistics without sorting the data in one place.
 
-A row at a given rank is found by narrowing. One aggregate counts the rows around
-candidate bounds and takes an approximate percentile grid of what lies between;
-the grid gives the next bounds. Counts are exact, so an approximate grid can only
-cost another pass, never a wrong answer. Each pass cuts the candidates by a factor
-of several hundred; once few are left, one last aggregate sorts just those.
+A row at a given rank is found by narrowing. Each pass cuts the value range of a search into
+buckets, counts the rows per bucket in one grouped aggregate, and goes on with the bucket
+that holds the rank, from its smallest to its largest value. Counts combine before the
+shuffle and are spread over (search, bucket), so no task sees more than partial sums,
+whatever the number of rows. The smallest and the largest value of a range never share a
+bucket, so every pass shortens the range and the search ends.
 """
 
 from dataclasses import dataclass, field
 from math import ceil, floor
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql.types import DoubleType, FloatType, IntegralType, LongType, StringType, StructField, StructType
 
-from riskmart.functions.expr import quoted, sql_array, sql_number
+from riskmart.functions.expr import quoted
 
-GRID = 1000          # percentile steps per pass
-ACCURACY = 10000     # rank error of a grid value is at most rows / ACCURACY
-FEW_ROWS = 20000     # candidates that may be sorted inside one aggregate
-MAX_PASSES = 60
+BUCKETS = 1024
+INLINE_STATES = 200      # states written into the plan; more travel as a table
 
-_STEPS = sql_array([i / GRID for i in range(GRID + 1)], "double")
+# Whole numbers this far apart or less are exact as doubles.
+_EXACT = 1 << 52
 
 
 @dataclass
 class _Search:
-    """Looks for the key tuple at one 0-based rank among the rows with all keys present.
+    """Looks for the key tuple at one 0-based rank among a group's rows with all keys present.
 
-    Keys are columns, compared from left to right.
+    Keys are compared from left to right; `found` are those already known.
     """
 
-    keys: list[str]
+    group: str
+    keys: int
     rank_of: object                       # rows -> rank
     found: list = field(default_factory=list)
-    rank: int | None = None               # among the rows still in question
+    rank: int | None = None               # among the rows from low to high
     total: int | None = None              # rows with the first key present
-    rows: int | None = None               # rows strictly inside (low, high)
-    low: object = None                    # proven: answer > low
-    high: object = None                   # proven: answer < high
-    cut: tuple | None = None              # candidate bounds to test next
-    grid: list | None = None
-    want_grid: bool = True
+    low: object = None
+    high: object = None
     done: bool = False
     answer: tuple | None = None
 
-    @property
-    def key(self) -> str:
-        return self.keys[len(self.found)]
+    def state(self):
+        """Equal for searches that would ask the same of the data."""
+        return self.group, tuple(self.found), self.low, self.high
 
-    def where(self, *tests) -> str:
-        """SQL condition: the keys found so far, and tests of the current one."""
-        known = [f"{k} = {sql_number(v)}" for k, v in zip(self.keys, self.found)]
-        return " and ".join([*known, f"{self.key} is not null", *tests])
+    def absorb(self, rows, low, high, before) -> None:
+        if self.rank is None:
+            self.total, self.rank = rows, self.rank_of(rows)
+            if self.rank is None or not 0 <= self.rank < rows:
+                self.done = True
+                return
+        else:
+            self.rank -= before
+        self.low, self.high = low, high
+        if low == high:
+            self.found.append(low)
+            self.low = self.high = None
+            if len(self.found) == self.keys:
+                self.answer, self.done = tuple(self.found), True
+
+
+def _states(spark, rows, schema) -> DataFrame:
+    """A small table, as literals where it is very small."""
+    if len(rows) > INLINE_STATES:
+        return spark.createDataFrame(rows, schema)
+    cells = [
+        F.struct(*[F.lit(v).cast(f.dataType).alias(f.name) for v, f in zip(row, schema.fields)]) for row in rows
+    ]
+    return spark.range(1).select(F.inline(F.array(*cells)))
 
-    def inside(self, low, high) -> str:
-        tests = [] if low is None else [f"{self.key} > {sql_number(low)}"]
-        tests += [] if high is None else [f"{self.key} < {sql_number(high)}"]
-        return self.where(*tests)
 
-    def signature(self):
-        """Equal for searches that would ask the same of the data."""
-        spot = self.low, self.high, self.cut, self.want_grid, self.ready()
-        return tuple(self.keys), tuple(self.found), spot
-
-    # -- one pass ----------------------------------------------------------
-
-    def probes(self) -> list[str]:
-        low, high = self.cut or (self.low, self.high)
-        out = [f"count_if({self.inside(low, high)})"]
-        if self.cut:
-            out += [
-                f"count_if({self.inside(self.low, low)})",
-                f"count_if({self.where(f'{self.key} = {sql_number(low)}')})",
-                f"count_if({self.where(f'{self.key} = {sql_number(high)}')})",
-            ]
-        if self.want_grid:
-            out.append(
-                f"percentile_approx(case when {self.inside(low, high)} then {self.key} end,"
-                f" {_STEPS}, {ACCURACY})"
-            )
-        return out
-
-    def absorb(self, values) -> None:
-        mid, grid = values[0], (values[-1] if self.want_grid else None)
-        self.want_grid = True
-        if not self.cut:
-            self.rows, self.grid = mid, grid
-            if self.rank is None:
-                self.total = mid
-                self.rank = self.rank_of(mid) if mid else None
-                if self.rank is None or not 0 <= self.rank < mid:
-                    self.done = True
-                    return
-        else:
-            (low, high), (under, at_low, at_high) = self.cut, values[1:4]
-            if low == high:
-                at_high = 0
-            self.cut = None
-            if self.rank < under:
-                self.high, self.rows, self.grid = low, under, None
-            elif self.rank < under + at_low:
-                self._resolve(low, under, at_low)
-                return
-            elif self.rank < under + at_low + mid:
-                self.rank -= under + at_low
-                self.low, self.high, self.rows, self.grid = low, high, mid, grid
-            elif self.rank < under + at_low + mid + at_high:
-                self._resolve(high, under + at_low + mid, at_high)
-                return
+def _bucket(kind):
+    """The bucket of key `k` between `low` and `high`: grows with the key, and tells low from high."""
+    share = "(double(k) / 2 - double(low) / 2) / (double(high) / 2 - double(low) / 2)"
+    spread = f"least(cast(floor({share} * {BUCKETS}) as int), {BUCKETS - 1})"
+    if isinstance(kind, IntegralType):
+        near = f"double(high) - double(low) < {_EXACT}"
+        step = f"((high - low) div {BUCKETS} + 1)"
+        inner = f"case when {near} then cast((k - low) div {step} as int) else {spread} end"
+    else:
+        inner = f"case when double(high) / 2 > double(low) / 2 then {spread} else cast(k > low as int) end"
+    return F.expr(f"case when low is null or low = high then 0 else {inner} end")
+
+
+def _pass(rows: DataFrame, searches, at: int) -> None:
+    """One aggregate for all searches whose current key is the one at position `at`."""
+    spark, kind = rows.sparkSession, rows.schema[f"k{at}"].dataType
+    places = {}
+    for s in searches:
+        places.setdefault(s.state(), []).append(s)
+    known = [f"f{i}" for i in range(at)]
+    schema = StructType(
+        [StructField("id", LongType()), StructField("g", StringType()), StructField("low", kind), StructField("high", kind)]
+        + [StructField(f, rows.schema[f"k{i}"].dataType) for i, f in enumerate(known)]
+    )
+    states = _states(spark, [(i, g, low, high, *found) for i, (g, found, low, high) in enumerate(places)], schema)
+    inside = F.col("k").isNotNull() & (F.col("low").isNull() | F.col("k").between(F.col("low"), F.col("high")))
+    for i, f in enumerate(known):
+        inside &= F.col(f"k{i}") == F.col(f)
+    met = rows.withColumn("k", F.col(f"k{at}")).join(F.broadcast(states), "g").where(inside)      # a state per search
+    counts = met.groupBy("id", _bucket(kind).alias("b")).agg(
+        F.count("*").alias("n"), F.min("k").alias("lo"), F.max("k").alias("hi")
+    )
+    upto = F.sum("n").over(Window.partitionBy("id").orderBy("b"))
+    ranks = sorted({(i, s.rank) for i, group in enumerate(places.values()) for s in group}, key=lambda r: (r[0], r[1] or 0))
+    wanted = _states(spark, ranks, StructType([StructField("id", LongType()), StructField("rank", LongType())]))
+    hits = (
+        counts.withColumn("upto", upto)
+        .join(F.broadcast(wanted), "id")
+        .where("rank is null or (rank < upto and rank >= upto - n)")
+        .collect()                                                                   # a row per search
+    )
+    hits = {(h["id"], h["rank"]): h for h in hits}
+    for i, group in enumerate(places.values()):
+        for s in group:
+            hit = hits.get((i, s.rank))
+            if hit is None:
+                s.done = True
             else:
-                self.rank -= under + at_low + mid + at_high
-                self.rows -= under + at_low + mid + at_high
-                self.low, self.grid = high, None
-        if self.rows > FEW_ROWS and self.grid:
-            self._propose()
-
-    def _propose(self) -> None:
-        """Two grid values with the rank safely between them."""
-        slack = 2 * self.rows / ACCURACY + 2
-        i = max(0, floor((self.rank - slack) / self.rows * GRID) - 1)
-        j = min(GRID, ceil((self.rank + 1 + slack) / self.rows * GRID) + 1)
-        self.cut = (self.grid[i], self.grid[j])
-        # Few rows expected between the bounds: then this pass need only count.
-        self.want_grid = (j - i) / GRID * self.rows + slack > FEW_ROWS
-
-    def _resolve(self, value, before, ties) -> None:
-        """The current key is known; go on to the next key among its ties."""
-        self.rank -= before
-        self.found.append(value)
-        self.low = self.high = self.cut = self.grid = None
-        self.rows = ties
-        if len(self.found) == len(self.keys):
-            self.answer, self.done = tuple(self.found), True
-
-    # -- last step ---------------------------------------------------------
-
-    def ready(self) -> bool:
-        return not self.done and self.rank is not None and self.rows <= FEW_ROWS
-
-    def final(self, first, last) -> str:
-        """Sorts the few remaining key tuples and takes those at a stretch of ranks."""
-        rest = self.keys[len(self.found):]
-        entry = rest[0] if len(rest) == 1 else f"struct({', '.join(rest)})"
-        few = f"collect_list(case when {self.inside(self.low, self.high)} then {entry} end)"
-        return f"slice(sort_array({few}), {first + 1}, {last - first + 1})"
-
-    def finish(self, entry) -> None:
-        rest = tuple(entry) if len(self.keys) - len(self.found) > 1 else (entry,)
-        self.answer, self.done = tuple(self.found) + rest, True
-
-
-def _run(df: DataFrame, searches: list[_Search]) -> None:
-    """Advances all searches together; one action per pass."""
-    for _ in range(MAX_PASSES):
-        alike = {}
-        for s in searches:
-            if not s.done:
-                alike.setdefault(s.signature(), []).append(s)
-        if not alike:
+                s.absorb(hit["n"], hit["lo"], hit["hi"], hit["upto"] - hit["n"])
+
+
+def _run(rows: DataFrame, searches: list[_Search]) -> None:
+    """Advances all searches; `rows` has a group g and keys k0, k1, ..."""
+    while True:
+        left = [s for s in searches if not s.done]
+        if not left:
             return
-        exprs, places = [], []
-        for group in alike.values():
-            ranks = [s.rank for s in group]
-            ready = group[0].ready()
-            asks = [group[0].final(min(ranks), max(ranks))] if ready else group[0].probes()
-            places.append((group, ready and min(ranks), slice(len(exprs), len(exprs) + len(asks))))
-            exprs += asks
-        row = tuple(df.selectExpr(*[f"{e} as e{i}" for i, e in enumerate(exprs)]).first())
-        for group, first, at in places:
-            for s in group:
-                s.finish(row[at][0][s.rank - first]) if s.ready() else s.absorb(row[at])
-    raise RuntimeError("order statistic search did not settle")
-
-
-def _keyed(df, keys, extra=()) -> tuple[DataFrame, list[str]]:
-    """The frame reduced to its keys under plain names."""
-    names = [f"k{i}" for i in range(len(keys))]
+        for at in sorted({len(s.found) for s in left}):
+            _pass(rows, [s for s in left if len(s.found) == at], at)
+
+
+def _keyed(df, keys, group) -> DataFrame:
     columns = [F.col(k) if isinstance(k, str) else k for k in keys]
-    return df.select(*[c.alias(n) for c, n in zip(columns, names)], *extra), names
+    out = df.select(group.alias("g"), *[c.alias(f"k{i}") for i, c in enumerate(columns)])
+    floats = [f.name for f in out.schema.fields if isinstance(f.dataType, (DoubleType, FloatType))]
+    return out.withColumns({c: F.when(~F.isnan(c), F.col(c) + F.lit(0.0)) for c in floats}) if floats else out
 
 
 def tuples_at(df: DataFrame, keys: list, ranks) -> list[tuple | None]:
@@ -186,24 +146,21 @@ def tuples_at(df: DataFrame, keys: list, ranks) -> list[tuple | None]:
     and present. The first keys may repeat: a value with very many ties is settled
     by the next key.
     """
-    keyed, names = _keyed(df, keys)
-    searches = [_Search(names, (lambda rows, i=i: ranks(rows)[i])) for i in range(len(ranks(1)))]
-    _run(keyed, searches)
+    searches = [_Search("", len(keys), (lambda rows, i=i: ranks(rows)[i])) for i in range(len(ranks(1)))]
+    _run(_keyed(df, keys, F.lit("")), searches)
     return [s.answer for s in searches]
 
 
+def group_name(column):
+    """A group's value as text, with a name of its own for a missing one."""
+    return F.coalesce(F.concat(F.lit("="), F.col(column).cast("string")), F.lit(""))
+
+
 def group_tuples_at(df, group, keys, ranks: dict) -> dict:
-    """Per group value the key tuple at a 0-based rank within the group, in shared passes."""
-    columns = [F.col(k) if isinstance(k, str) else k for k in keys]
-    own = {v: F.when(F.col(group) == F.lit(v), columns[0]) for v in ranks}
-    extra = [c.alias(f"own{i}") for i, c in enumerate(own.values())]
-    keyed, names = _keyed(df, columns, extra)
-    searches = {
-        v: _Search([f"own{i}", *names[1:]], lambda rows, rank=ranks[v]: rank)
-        for i, v in enumerate(own)
-    }
-    _run(keyed, list(searches.values()))
-    return {v: s.answer for v, s in searches.items()}
+    """Per group name (see `group_name`) the key tuple at a 0-based rank within the group, in shared passes."""
+    searches = {g: _Search(g, len(keys), lambda rows, rank=rank: rank) for g, rank in ranks.items()}
+    _run(_keyed(df, keys, group_name(group)), list(searches.values()))
+    return {g: s.answer for g, s in searches.items()}
 
 
 def exact_quantiles(df: DataFrame, columns: dict, probabilities) -> dict[str, list[float | None]]:
@@ -212,25 +169,25 @@ def exact_quantiles(df: DataFrame, columns: dict, probabilities) -> dict[str, li
     `columns` maps names to columns. Returns, per name, one value per probability, or
     None without data.
     """
-    texts = [
-        f"nanvl(cast({quoted(c)} as double), null) as v{i}"
-        for i, c in enumerate(columns.values())
-        if isinstance(c, str)
-    ]
-    if len(texts) < len(columns):
-        plain = [(F.col(c) if isinstance(c, str) else c).cast("double") for c in columns.values()]
-        values = df.select(*[F.when(~F.isnan(c), c).alias(f"v{i}") for i, c in enumerate(plain)])
+    if all(isinstance(c, str) for c in columns.values()):
+        cells = ", ".join(f"struct('{i}' as g, cast({quoted(c)} as double) as k0)" for i, c in enumerate(columns.values()))
+        rows = df.selectExpr(f"inline(array({cells}))")
     else:
-        values = df.selectExpr(*texts)
+        cells = [
+            F.struct(F.lit(str(i)).alias("g"), (F.col(c) if isinstance(c, str) else c).cast("double").alias("k0"))
+            for i, c in enumerate(columns.values())
+        ]
+        rows = df.select(F.inline(F.array(*cells)))
+    rows = rows.where("k0 is not null and not isnan(k0)").withColumn("k0", F.col("k0") + F.lit(0.0))
     spots = {
         (name, p): (
-            _Search([f"v{i}"], lambda rows, p=p: floor(p * (rows - 1))),
-            _Search([f"v{i}"], lambda rows, p=p: ceil(p * (rows - 1))),
+            _Search(str(i), 1, lambda rows, p=p: floor(p * (rows - 1))),
+            _Search(str(i), 1, lambda rows, p=p: ceil(p * (rows - 1))),
         )
         for i, name in enumerate(columns)
         for p in probabilities
     }
-    _run(values, [s for pair in spots.values() for s in pair])
+    _run(rows, [s for pair in spots.values() for s in pair])
     out = {name: [] for name in columns}
     for (name, p), (below, above) in spots.items():
         if below.answer is None:

@@ -34,11 +34,19 @@ def test_pool_rare_missing_is_a_value(spark):
 def test_pool_rare_beyond_literals(spark, monkeypatch, missing):
     counts = {f"v{i}": 2 + i % 9 for i in range(60)} | {"hot": 400, None: missing}
     df = letters(spark, counts)
-    plain = sorted(map(str, column(C.pool_rare(df, "s", 5), "s")))
-    monkeypatch.setattr(C, "LITERAL_VALUES", 4)
-    joined = C.pool_rare(df, "s", 5)
-    assert "Join" in joined._jdf.queryExecution().optimizedPlan().toString()
-    assert sorted(map(str, column(joined, "s"))) == plain
+    keep = {v for v, n in counts.items() if n >= 5}
+    plain = sorted(str(v if v in keep else "OTHER") for v, n in counts.items() for _ in range(n))
+    for share in (0.1, 4, 100):      # no value is frequent, some are, all are
+        monkeypatch.setattr(C, "HOT_SHARE", share)
+        joined = C.pool_rare(df, "s", 5)
+        assert "Join" in joined._jdf.queryExecution().optimizedPlan().toString()
+        assert joined.columns == df.columns and sorted(map(str, column(joined, "s"))) == plain
+
+
+def test_pool_rare_of_numbers_and_maps(spark):
+    df = spark.range(60).selectExpr("cast(if(id < 50, 1, id) as int) as n", "map('k', id) as m")
+    got = {r[0]: r[1] for r in C.pool_rare(df, "n", 10).groupBy("n").count().collect()}
+    assert got == {"1": 50, "OTHER": 10}
 
 
 def test_pool_rare_with_given_values(spark):
@@ -55,10 +63,9 @@ def test_rare_map(spark):
     assert column(out, "s") == ["A", "OTHER", "MISSING"] and column(out, "t") == ["x", "OTHER", "OTHER"]
 
 
-def test_too_many_categories_is_an_error(spark, monkeypatch):
-    monkeypatch.setattr(C, "MAX_CATEGORIES", 5)
-    with pytest.raises(ValueError, match="categories"):
-        C.fit_rare_map(spark.range(50).selectExpr("cast(id as string) as s"), ["s"], 1)
+def test_many_categories(spark):
+    kept, with_rare = C.fit_rare_map(spark.range(12_000).selectExpr("cast(id as string) as s"), ["s"], 1)
+    assert len(kept["s"]) == 12_000 and with_rare == []
 
 
 # -- policies ----------------------------------------------------------------

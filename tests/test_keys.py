@@ -1,5 +1,5 @@
 import pytest
-from pyspark.sql import types as T
+from pyspark.sql import functions as F, types as T
 
 from riskmart.operators import keys as K
 
@@ -51,7 +51,7 @@ def test_many_to_one_inner_drops_orphans(spark):
 def test_salted_join_equals_plain(spark):
     child = spark.range(2000).selectExpr("if(id % 3 = 0, 5, id % 40) as SK_ID_PREV", "cast(id as int) as v")
     parents = spark.range(40).selectExpr("id as SK_ID_PREV", "id * 10 as SK_ID_CURR")
-    hot = K.frequent_values(child, "SK_ID_PREV", limit=2, min_rows=100)
+    hot = K.frequent_values(child, "SK_ID_PREV", parts=2)
     assert hot == [5]
     plain = K.many_to_one_inner(child, parents, hot=())
     salted = K.many_to_one_inner(child, parents, hot=hot)
@@ -60,8 +60,34 @@ def test_salted_join_equals_plain(spark):
     assert left.count() == 2000
 
 
-def test_frequent_values_need_enough_rows(spark):
-    assert K.frequent_values(spark.range(100).selectExpr("id % 2 as k"), "k") == []
+def test_frequent_values_are_bounded(spark):
+    df = spark.range(1000).selectExpr("if(id < 500, -1, id) as k")
+    assert K.frequent_values(df, "k", parts=8) == [-1]
+    assert K.frequent_values(spark.range(100).selectExpr("id % 50 as k"), "k", parts=8) == []
+
+
+def test_equal_rows_of_a_hot_key_are_spread(spark):
+    child = spark.range(20_000).selectExpr("cast(7 as long) as SK_ID_PREV", "map('a', 1) as m")
+    parents = spark.createDataFrame([(7, 1)], "SK_ID_PREV long, SK_ID_CURR long")
+    joined = K.join_many_to_one(child.repartition(4), parents, "SK_ID_PREV", hot=[7], salts=8)
+    keep = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    spark.conf.set("spark.sql.adaptive.enabled", False)
+    sizes = [r["count"] for r in joined.groupBy(F.spark_partition_id()).count().collect()]
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", keep)
+    spark.conf.set("spark.sql.adaptive.enabled", True)
+    assert sum(sizes) == 20_000 and max(sizes) < 15_000
+
+
+def test_key_checks_survive_pruning(spark):
+    parents = spark.createDataFrame([(7, 1), (7, 2)], "SK_ID_PREV long, SK_ID_CURR long")
+    child = spark.createDataFrame([(7, 1)], CHILD)
+    carried = spark.createDataFrame([(7, 5, 1)], "SK_ID_PREV long, SK_ID_CURR long, v int")
+    for read in (lambda df: df.count(), lambda df: df.select("v").collect()):
+        with pytest.raises(Exception, match="is not unique among parents"):
+            read(K.many_to_one_inner(child, parents))
+        with pytest.raises(Exception, match="differs from their parent"):
+            read(K.many_to_one_inner(carried, parents.limit(1)))
 
 
 def test_carried_key(spark):

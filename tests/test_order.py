@@ -11,10 +11,10 @@ from riskmart.operators import ordering as O, profile as P, sampling as SM, sele
 rng = random.Random(3)
 
 
-@pytest.fixture(params=[20000, 40], ids=["one pass", "narrowed"])
+@pytest.fixture(params=[1024, 3], ids=["many buckets", "few buckets"])
 def few(request, monkeypatch):
-    """With few rows allowed in the last step, even small data takes the narrowing passes."""
-    monkeypatch.setattr(SEL, "FEW_ROWS", request.param)
+    """With few buckets even small data takes many narrowing passes."""
+    monkeypatch.setattr(SEL, "BUCKETS", request.param)
     return request.param
 
 
@@ -52,22 +52,30 @@ def test_tuples_with_heavy_ties(spark, few):
     assert SEL.tuples_at(df, ["a", "b", "c"], lambda n: ranks) == expected
 
 
-def test_wrong_grid_still_ends_right(spark, monkeypatch):
-    """Proposed bounds that miss the rank cost a pass, not the answer."""
-    monkeypatch.setattr(SEL, "FEW_ROWS", 10)
-    propose = SEL._Search._propose
-    calls = []
+@pytest.mark.parametrize("kind", ["double", "long"])
+def test_extreme_ranges_end(spark, kind):
+    """Values that lie next to each other and very far from others."""
+    near = [1.0, float(np.nextafter(1.0, 2)), float(np.nextafter(1.0, 0))] if kind == "double" else [2**62, 2**62 + 1, 2**62 + 2]
+    data = near * 3 + ([-1.7e308, 1.7e308, 5e-324, 0.0, -0.0] if kind == "double" else [-(2**63), 2**63 - 1, 0])
+    df = spark.createDataFrame([(v,) for v in data], f"v {kind}")
+    ranks = list(range(len(data)))
+    assert [t[0] for t in SEL.tuples_at(df, ["v"], lambda n: ranks)] == sorted(data)
 
-    def miss(self):
-        propose(self)
-        if len(calls) < 2:
-            self.cut = (self.grid[-2], self.grid[-1]) if not calls else (self.grid[0], self.grid[1])
-            calls.append(1)
 
-    monkeypatch.setattr(SEL._Search, "_propose", miss)
-    df = spark.range(5000).select(F.col("id").cast("double").alias("v"))
-    assert SEL.exact_quantiles(df, {"v": "v"}, [0.5])["v"] == [2499.5]
-    assert len(calls) == 2
+def test_many_quantiles_take_few_passes(spark, monkeypatch):
+    """One aggregate per pass for all columns, no digest, nothing gathered in one partition."""
+    plans = []
+    passed = SEL._pass
+
+    def watched(rows, searches, at):
+        plans.append(len(searches))
+        return passed(rows, searches, at)
+
+    monkeypatch.setattr(SEL, "_pass", watched)
+    df = spark.range(20_000).selectExpr(*[f"cast(hash(id, {i}) as double) as v{i}" for i in range(20)])
+    got = SEL.exact_quantiles(df, {c: c for c in df.columns}, [0.5])
+    want = np.median(df.toPandas().to_numpy(), axis=0)
+    assert [got[c][0] for c in df.columns] == pytest.approx(list(want)) and len(plans) <= 6
 
 
 def recency_rows(n=400):
@@ -178,7 +186,22 @@ def test_adversarial_set(spark):
 def test_running_sums(spark):
     data = [(float(i * 7 % 501), i % 5) for i in range(501)]
     df = spark.createDataFrame(data, "s double, n long")
-    out, totals = O.running_sums(df, "s", ("n",), buckets=9)
+    out, totals = O.running_sums(df, "s", ("n",), partitions=9)
     assert totals == {"n": sum(n for _, n in data)}
     for r in out.collect():
         assert r["n_above"] == sum(n for s, n in data if s > r["s"])
+
+
+def test_split_of_many_and_missing_labels(spark):
+    df = spark.range(6000).selectExpr("id", "if(id % 3 = 0, null, concat('l', id % 2000)) as label")
+    out = SM.stratified_split(df, "label", "id")
+    sizes = {r["label"]: (r["n"], r["held"]) for r in out.groupBy("label").agg(F.count("*").alias("n"), F.count_if(F.col("part") == "val").alias("held")).collect()}
+    assert sum(h for _, h in sizes.values()) == 1200 and sizes[None] == (2000, 400) and len(sizes) > 1300
+    assert out.columns == ["id", "label", "part"]
+
+
+def test_profile_of_odd_columns(spark):
+    df = spark.createDataFrame([(1.0, 2.0, "a"), (1.0, 3.0, None), (1.0, 5.0, "a")], "c double, v double, t string")
+    cells = {(r["a"], r["b"]): r["corr"] for r in P.correlations(df, ["c", "v"]).collect()}
+    assert cells == {("c", "c"): None, ("c", "v"): None, ("v", "c"): None, ("v", "v"): 1.0}
+    assert [tuple(r) for r in P.value_counts(df, "t").collect()] == [("a", 2, 1.0)]

@@ -6,8 +6,8 @@ All functions see whole texts. A null text counts as an empty one.
 import numpy as np
 import pyarrow as pa
 
-CHUNK_BYTES = 2 << 20      # texts handled at once; a longer text is a chunk of its own
-HASH_BLOCK = 1 << 20       # bytes hashed at once
+CHUNK_BYTES = 1 << 20      # texts handled at once; a longer text is a chunk of its own
+HASH_BLOCK = 1 << 18       # bytes hashed at once
 
 _rng = np.random.default_rng(20240607)
 LETTER_CODES = _rng.integers(0, 2**64, 256, dtype=np.uint64)

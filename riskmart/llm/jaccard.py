@@ -266,6 +266,7 @@ def _shared(blobs, buckets, n):
         if not parts:
             return
         sigs, names, spares = (np.concatenate(p) for p in zip(*parts))
+        parts.clear()
         order = np.argsort(sigs)
         s = sigs[order]
         same = s[1:] == s[:-1]
@@ -303,6 +304,7 @@ def _shared(blobs, buckets, n):
             np.repeat(name, sizes)[keep], names[keep], spares[keep], np.repeat(freq, sizes)[keep], np.repeat(weight, sizes)[keep]
         )
 
+    n = 2 * n      # a task holds all signatures of its buckets
     return blobs.repartitionById(n, F.pmod("bucket", F.lit(n)).cast("int")).mapInArrow(
         count, "sig long, key long, spare short, freq long, weight long"
     )

@@ -11,12 +11,13 @@ def test_hand_worked_values(spark):
     mart = A.full_mart(base, credit.children(spark))
     assert mart.columns == ["SK_ID_CURR", *S.AGGREGATE_FEATURES]
     row = credit.one(mart, "SK_ID_CURR", 100001)
+    # loans 31 (refused, paid 9 days late, active) and 36 (approved, 3 days late, completed)
     expected = {
-        "INST_RECORD_COUNT": 1, "INST_DPD_MEAN": 2, "INST_DPD_MAX": 2, "INST_LATE_COUNT": 1,
-        "INST_PAYMENT_RATIO_MEAN": 1, "INST_MISSED_RATE": 0, "CC_UTILIZATION_MEAN": 0.24,
-        "CC_PAYMENT_RATIO_MEAN": 1.1, "PREV_APP_CREDIT_DIFF_MEAN": 10000, "PREV_APPROVAL_RATE": 1,
-        "PREV_REFUSAL_RATE": 0, "BUREAU_DEBT_TO_CREDIT_RATIO": 10001 / 50001, "BUREAU_ACTIVE_COUNT": 1,
-        "BUREAU_CLOSED_COUNT": 0, "POS_COMPLETED_RATE": 1, "POS_ACTIVE_RATE": 0, "CC_DRAWINGS_CURRENT_SUM": 250,
+        "INST_RECORD_COUNT": 2, "INST_DPD_MEAN": 6, "INST_DPD_MAX": 9, "INST_LATE_COUNT": 2,
+        "INST_PAYMENT_RATIO_MEAN": 1, "INST_MISSED_RATE": 0, "CC_UTILIZATION_MEAN": 0.225,
+        "CC_PAYMENT_RATIO_MEAN": 1.25, "PREV_APP_CREDIT_DIFF_MEAN": 530, "PREV_APPROVAL_RATE": 0.5,
+        "PREV_REFUSAL_RATE": 0.5, "BUREAU_DEBT_TO_CREDIT_RATIO": 2100 / 42000, "BUREAU_ACTIVE_COUNT": 1,
+        "BUREAU_CLOSED_COUNT": 0, "POS_COMPLETED_RATE": 0.5, "POS_ACTIVE_RATE": 0.5, "CC_DRAWINGS_CURRENT_SUM": 180,
     }
     for name, value in expected.items():
         assert row[name] == pytest.approx(value), name
@@ -49,7 +50,7 @@ def test_missing_values(spark):
     gone = {k: None for k in credit.INSTALLMENT if k != "SK_ID_PREV"}
     row = credit.one(A.installment_features(credit.frame(spark, credit.INSTALLMENT, [{}, gone]), parents))
     assert row["INST_RECORD_COUNT"] == 2 and row["INST_MISSED_RATE"] == 0.5
-    assert row["INST_DPD_MEAN"] == 2.0 and row["INST_LATE_COUNT"] == 1
+    assert row["INST_DPD_MEAN"] == 9.0 and row["INST_LATE_COUNT"] == 1
     row = credit.one(A.installment_features(credit.frame(spark, credit.INSTALLMENT, [gone]), parents))
     assert row["INST_DPD_MEAN"] is None and row["INST_LATE_COUNT"] == 0 and row["INST_MISSED_RATE"] == 1.0
 
@@ -65,7 +66,7 @@ def test_missing_values(spark):
 
 def test_zero_due_amount_has_no_ratio(spark):
     parents = credit.frame(spark, credit.PREVIOUS, [{}])
-    rows = [{"AMT_INSTALMENT": 0.0}, {"AMT_PAYMENT": 500.0}]
+    rows = [{"AMT_INSTALMENT": 0.0}, {"AMT_PAYMENT": 420.0}]
     row = credit.one(A.installment_features(credit.frame(spark, credit.INSTALLMENT, rows), parents))
     assert row["INST_PAYMENT_RATIO_MEAN"] == 0.5 and row["INST_PAYMENT_RATIO_MIN"] == 0.5
 
@@ -112,9 +113,9 @@ def test_mart_keeps_applicants_without_children(spark):
 
 def test_hot_link_meets_the_join_as_one_row(spark):
     child = spark.range(5000).select(
-        F.when(F.col("id") % 3 == 0, F.lit(1000010)).otherwise(F.col("id")).alias("SK_ID_PREV"),
+        F.when(F.col("id") % 3 == 0, F.lit(-31)).otherwise(F.col("id")).alias("SK_ID_PREV"),
         F.lit(1.0).alias("SK_DPD"), F.lit(0.0).alias("SK_DPD_DEF"),
         F.lit("Active").alias("NAME_CONTRACT_STATUS"), F.lit(2.0).alias("CNT_INSTALMENT_FUTURE"),
     )
-    out = A.pos_features(child, credit.frame(spark, credit.PREVIOUS, [{}]))
+    out = A.pos_features(child, credit.frame(spark, credit.PREVIOUS, [{"SK_ID_PREV": -31}]))
     assert credit.one(out)["POS_RECORD_COUNT"] == 1667

@@ -11,15 +11,21 @@ from riskmart.llm import decontamination, jaccard, packing, pii, toxicity
 from riskmart.llm.storing import kept, rows_with
 
 
-def _carried(docs):
-    """The whole rows as one column, next to the text an operator reads, so that no names clash."""
-    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("text").cast("string").alias("text"))
+def _numbered(docs):
+    """The rows under numbered names, so that no names clash with an operator's, and the text's name."""
+    return docs.toDF(*[f"c{i}" for i in range(len(docs.columns))]), f"c{docs.columns.index('text')}"
+
+
+def _named(rows, docs):
+    """The columns of docs, from numbered ones."""
+    return rows.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns)])
 
 
 def drop_toxic(spark, docs, sf_dir):
     """Documents that the severity model does not find toxic; null and empty texts stay."""
     model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return toxicity.score_toxicity(_carried(docs), model).where("p_toxic < 0.5").select("row.*")
+    rows, text = _numbered(docs)
+    return _named(toxicity.score_toxicity(rows, model, text).where("p_toxic < 0.5"), docs)
 
 
 def drop_near_duplicates(spark, docs, sf_dir):
@@ -41,18 +47,18 @@ def drop_near_duplicates(spark, docs, sf_dir):
 
 def drop_leaks(spark, docs, sf_dir):
     """Documents in which no benchmark item is found."""
-    found = decontamination.find_leaks(_carried(docs), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return found.where(F.size("leaks") == 0).select("row.*")
+    rows, text = _numbered(docs)
+    found = decontamination.find_leaks(rows, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), text)
+    return _named(found.where(F.size("leaks") == 0), docs)
 
 
 def mask_personal(spark, docs, sf_dir):
     """All documents, with personal data in their texts replaced by its kind and n_chars counted anew."""
     model = pii.fit(docs)
-    found = pii.find_personal(_carried(docs), model, "text").drop("base_spans")
-    rows = docs.columns
-    whole = pii.masked(found, "text", "all_spans")
-    new = {"text": F.col("text"), "n_chars": F.length("text").cast(docs.schema["n_chars"].dataType) if "n_chars" in rows else None}
-    return whole.select(*[(new[c] if c in new else F.col(f"row.`{c}`")).alias(c) for c in rows])
+    rows, text = _numbered(docs)
+    whole = _named(pii.masked(pii.find_personal(rows, model, text).drop("base_spans"), text), docs)
+    length = F.length("text").cast(docs.schema["n_chars"].dataType)
+    return whole.withColumn("n_chars", length)
 
 
 def pack_sequences(spark, docs, sf_dir):

@@ -10,10 +10,11 @@ import math
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from riskmart.llm import arrays
-from riskmart.llm.storing import extended
+from riskmart.llm.storing import extended, with_text
 
 PASSAGE_WORDS = 128
 STRIDE_WORDS = 64           # neighbouring passages overlap, so a run of 64 words lies in one whole
@@ -37,7 +38,7 @@ def item_words(items: DataFrame, id_col, text_col) -> DataFrame:
     def cut(batches):
         for batch in batches:
             out = {"item": [], "part": [], "words": [], "answer": []}
-            data, offsets = arrays.text_bytes(batch.column(1))
+            data, offsets = arrays.text_bytes(pc.utf8_lower(batch.column(1)))
             starts, ends, counts = arrays.words(data, offsets, arrays.LETTERS_DIGITS)
             hashes = arrays.word_hashes(data, starts, ends).view(np.int64)
             first = 0
@@ -60,7 +61,7 @@ def item_words(items: DataFrame, id_col, text_col) -> DataFrame:
             ))
 
     kind = items.schema[id_col].dataType.simpleString()
-    return items.select(F.col(id_col).alias("item"), F.lower(F.col(text_col)).alias("text")).where("item is not null").mapInArrow(
+    return items.select(F.col(id_col).alias("item"), F.col(text_col).cast("string").alias("text")).where("item is not null").mapInArrow(
         cut, f"item {kind}, part int, words array<long>, answer int"
     )
 
@@ -251,25 +252,26 @@ def find_leaks(docs: DataFrame, items: DataFrame, text_col="text", item_id="item
     listed = long.groupBy("round", "item", "part", "text", "answer").agg(
         F.array_sort(F.collect_list(F.struct("at", "word", "held"))).alias("words")
     )
-    names = [c for c in docs.columns if c != "leaks"]
+    docs, names = with_text(docs, text_col, ["leaks"])
+    at = names.index(text_col)
     kind = items.schema[item_id].dataType.simpleString()
     leak = f"array<struct<item:{kind},score:double,question:double,answer:double>>"
-    out = docs.select(*[F.col(f"`{c}`") for c in names], F.lower(F.col(f"`{text_col}`").cast("string")).alias("__asked"), F.array().cast(leak).alias("leaks"))
+    out = docs.withColumn("leaks", F.array().cast(leak))
     for k in range(rounds):
         rows = listed.where(F.col("round") == k).orderBy("item", "part", "text").collect()
         index = spark.sparkContext.broadcast(vars(Index(
             [(r["item"], [w["word"] for w in r["words"]], r["answer"], [w["held"] for w in r["words"]]) for r in rows],
             sizes["n"], sizes["mean"] or 1.0,
         )))
-        out = out.mapInArrow(_asking(index, threshold), extended(docs, names, f"__asked string, leaks {leak}"))
-    return out.withColumn("leaks", F.array_sort("leaks")).drop("__asked")
+        out = out.mapInArrow(_asking(index, threshold, at), extended(docs, names, f"leaks {leak}"))
+    return out.withColumn("leaks", F.array_sort("leaks"))
 
 
-def _asking(index, threshold):
+def _asking(index, threshold, at):
     def ask(batches):
         own = Index.of(index.value)
         for batch in batches:
-            data, offsets = arrays.text_bytes(batch.column(batch.num_columns - 2))
+            data, offsets = arrays.text_bytes(pc.utf8_lower(batch.column(at)))
             leaks = batch.column(batch.num_columns - 1)
             before = leaks.to_pylist()
             for first, _, part, places in arrays.chunks(data, offsets):

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from riskmart.llm.samples import per_class, with_sample
-from riskmart.llm.storing import extended
+from riskmart.llm.storing import extended, with_text
 
 BUCKETS = 1 << 15
 LENGTHS = (1, 2, 3)
@@ -119,13 +119,14 @@ def identify(docs: DataFrame, model, text_col="text") -> DataFrame:
     was learned. Every row stays, repeated ones too. Columns of these names are replaced.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    names = [c for c in docs.columns if c not in ("lang_pred", "score")]
+    docs, names = with_text(docs, text_col, ["lang_pred", "score"])
+    place = names.index(text_col)
 
     def score(batches):
         languages, matrix, prior = shared.value
         alphabet = Alphabet()
         for batch in batches:
-            texts = [t or "" for t in batch.column(batch.num_columns - 1).to_pylist()]
+            texts = [t or "" for t in batch.column(place).to_pylist()]
             preds, scores = [], []
             for first, last in chunks(texts):
                 letters, offsets = alphabet.texts(texts[first:last])
@@ -149,9 +150,8 @@ def identify(docs: DataFrame, model, text_col="text") -> DataFrame:
                     preds += [UNDETERMINED] * n
                     scores.append(np.zeros(n))
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:-1], pa.array(preds, pa.string()), pa.array(np.concatenate(scores) if scores else np.empty(0))],
+                [*batch.columns, pa.array(preds, pa.string()), pa.array(np.concatenate(scores) if scores else np.empty(0))],
                 names=[*names, "lang_pred", "score"],
             )
 
-    out = docs.select(*[F.col(f"`{c}`") for c in names], F.col(f"`{text_col}`").cast("string").alias("__read"))
-    return out.mapInArrow(score, extended(docs, names, "lang_pred string, score double"))
+    return docs.mapInArrow(score, extended(docs, names, "lang_pred string, score double"))

@@ -18,7 +18,7 @@ from riskmart.llm.storing import extended, partitions
 
 SEQUENCE = 1024
 GROUP_PIECES = 4096
-CACHED_UNITS = 400_000     # words whose ids a task remembers
+CACHED_UNITS = 200_000     # words whose ids a task remembers, twice
 LONG_UNIT = 48             # longer runs without a blank are not remembered
 UNSAFE = re.compile(r"\s ")
 # Fixed: the pre-token pattern of byte-level vocabularies of 50k entries.
@@ -38,7 +38,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known = {}
+        self.known, self.older = {}, {}
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.words = None
         if ranks_path:
@@ -77,7 +77,11 @@ class Encoder:
             split.append(parts)
             new.update(parts)
         if len(known) + len(new) > CACHED_UNITS:
-            known.clear()
+            # words seen since the last turn stay, the others go
+            self.known, self.older = {}, known
+            known = self.known
+        older = self.older
+        known.update((u, older[u]) for u in new if u in older and u not in known)
         new = [u for u in new if u not in known]
         known.update(zip(new, self._words(new)))
         get = known.__getitem__

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import StructType
 
-from riskmart.llm.storing import extended
+from riskmart.llm.storing import extended, with_text
 
 KINDS = ("email", "ip", "card", "phone")
 MAX_TOKENS = 6              # longest span, in blank-separated tokens
@@ -407,14 +407,15 @@ def find_personal(docs: DataFrame, model: SemiMarkov, text_col="text") -> DataFr
     matches and the model's additions. Columns of these names are replaced.
     """
     state = docs.sparkSession.sparkContext.broadcast((model.weights, model.steps))
-    names = [c for c in docs.columns if c not in ("base_spans", "all_spans")]
+    docs, names = with_text(docs, text_col, ["base_spans", "all_spans"])
+    at = names.index(text_col)
     span = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
 
     def find(batches):
         own = SemiMarkov(*state.value)
         for batch in batches:
             base, every = [], []
-            for text in batch.column(batch.num_columns - 1):
+            for text in batch.column(at):
                 text = text.as_py() or ""
                 spans, more = [], []
                 if TRIGGER.search(text):
@@ -423,11 +424,10 @@ def find_personal(docs: DataFrame, model: SemiMarkov, text_col="text") -> DataFr
                 base.append([dict(zip(("kind", "start", "end"), s)) for s in spans])
                 every.append([dict(zip(("kind", "start", "end"), s)) for s in in_order(spans + more)])
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:-1], pa.array(base, span), pa.array(every, span)], names=[*names, "base_spans", "all_spans"]
+                [*batch.columns, pa.array(base, span), pa.array(every, span)], names=[*names, "base_spans", "all_spans"]
             )
 
-    out = docs.select(*[F.col(f"`{c}`") for c in names], F.col(f"`{text_col}`").cast("string").alias("__read"))
-    return out.mapInArrow(find, extended(docs, names, f"base_spans {SPANS}, all_spans {SPANS}"))
+    return docs.mapInArrow(find, extended(docs, names, f"base_spans {SPANS}, all_spans {SPANS}"))
 
 
 def masked(docs: DataFrame, text_col="text", spans_col="all_spans") -> DataFrame:

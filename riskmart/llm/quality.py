@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from riskmart.llm import arrays
 from riskmart.llm.samples import per_class, with_sample
-from riskmart.llm.storing import extended
+from riskmart.llm.storing import extended, with_text
 
 SAMPLE_ROWS = 6000          # labelled rows per class that the trees are grown on
 BINS = 64
@@ -169,14 +169,14 @@ def score_quality(docs: DataFrame, trees: Trees, text_col="text") -> DataFrame:
     statistics of zero. A column score of the input is replaced.
     """
     state = docs.sparkSession.sparkContext.broadcast(vars(trees))
-    names = [c for c in docs.columns if c != "score"]
+    docs, names = with_text(docs, text_col, ["score"])
+    at = names.index(text_col)
 
     def score(batches):
         own = Trees(**state.value)
         for batch in batches:
-            x = _rows_of_statistics(batch.column(batch.num_columns - 1))
+            x = _rows_of_statistics(batch.column(at))
             p = own.probability(x) if len(x) else np.empty(0)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(p)], names=[*names, "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(p)], names=[*names, "score"])
 
-    out = docs.select(*[F.col(f"`{c}`") for c in names], F.col(f"`{text_col}`").cast("string").alias("__read"))
-    return out.mapInArrow(score, extended(docs, names, "score double"))
+    return docs.mapInArrow(score, extended(docs, names, "score double"))

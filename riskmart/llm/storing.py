@@ -1,6 +1,6 @@
 """Keeping intermediate frames and small model tables."""
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import StructType
 
 from riskmart.lineage import materialize
@@ -18,6 +18,16 @@ def extended(df: DataFrame, names, more: str) -> StructType:
     return StructType([*(df.schema[c] for c in names), *StructType.fromDDL(more).fields])
 
 
+def with_text(df: DataFrame, text_col: str, without=()) -> tuple[DataFrame, list]:
+    """The columns but those in `without`, the text as a string, and their names.
+
+    Texts travel to the tasks once, under their own name.
+    """
+    names = [c for c in df.columns if c not in without or c == text_col]
+    columns = [F.col(f"`{c}`").cast("string").alias(c) if c == text_col else F.col(f"`{c}`") for c in names]
+    return df.select(*columns), names
+
+
 def partitions(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
@@ -28,7 +38,5 @@ def rows_with(df: DataFrame, ids: DataFrame, on, limit=SMALL_ROWS) -> DataFrame:
     The ids are counted; up to `limit` of them are broadcast, so the wide rows stay where
     they are. Beyond it the join shuffles both sides.
     """
-    from pyspark.sql import functions as F
-
     few = ids.count() <= limit
     return df.join(F.broadcast(ids) if few else ids, on)

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from riskmart.llm import arrays
 from riskmart.llm.samples import per_class, with_sample
-from riskmart.llm.storing import extended
+from riskmart.llm.storing import extended, with_text
 
 BUCKET_BITS = 20
 PREFIXES = (4, 5, 6)       # bytes of a word's beginning that are features of their own
@@ -187,18 +187,18 @@ def score_toxicity(docs: DataFrame, model: CumulativeLink, text_col="text") -> D
     """
     shared = docs.sparkSession.sparkContext.broadcast((model.weights, model.thresholds))
     new = ["p_toxic", "grade", "severity"]
-    kept = [c for c in docs.columns if c not in new]
-    out = docs.select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{text_col}`").cast("string").alias("__scored"))
+    docs, kept = with_text(docs, text_col, new)
+    at = kept.index(text_col)
 
     def score(batches):
         own = CumulativeLink(*shared.value)
         for batch in batches:
-            data, offsets = arrays.text_bytes(batch.column(batch.num_columns - 1))
+            data, offsets = arrays.text_bytes(batch.column(at))
             parts = [own.above(*features(p, o), b - a) for a, b, p, o in arrays.chunks(data, offsets)]
             above = np.concatenate(parts) if parts else np.zeros((0, 1))
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:-1], pa.array(above[:, 0]), pa.array((above >= 0.5).sum(1).astype(np.int32)), pa.array(above.sum(1))],
+                [*batch.columns, pa.array(above[:, 0]), pa.array((above >= 0.5).sum(1).astype(np.int32)), pa.array(above.sum(1))],
                 names=[*kept, *new],
             )
 
-    return out.mapInArrow(score, extended(docs, kept, "p_toxic double, grade int, severity double"))
+    return docs.mapInArrow(score, extended(docs, kept, "p_toxic double, grade int, severity double"))

@@ -47,11 +47,11 @@ def text_bytes(column):
     return data[offsets[0]:offsets[-1]], offsets - offsets[0]
 
 
-def chunks(data, offsets):
-    """(first row, last row + 1, bytes, offsets) of runs of texts of about CHUNK_BYTES."""
+def chunks(data, offsets, size=CHUNK_BYTES):
+    """(first row, last row + 1, bytes, offsets) of runs of texts of about `size` bytes."""
     n, first = len(offsets) - 1, 0
     while first < n:
-        last = int(np.searchsorted(offsets, offsets[first] + CHUNK_BYTES, "right")) - 1
+        last = int(np.searchsorted(offsets, offsets[first] + size, "right")) - 1
         last = min(max(last, first + 1), n)
         yield first, last, data[offsets[first]:offsets[last]], offsets[first:last + 1] - offsets[first]
         first = last

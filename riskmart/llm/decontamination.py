@@ -21,6 +21,7 @@ STRIDE_WORDS = 64           # neighbouring passages overlap, so a run of 64 word
 PART_WORDS = 64             # longer items are asked for in parts of this length
 BLOCK = 16                  # postings per block
 K1, B = 1.2, 0.75
+CHUNK_BYTES = 1 << 18       # texts asked about at once
 THRESHOLD = 0.5             # of the best score an item can have
 QUESTION_SHARE = 0.5        # of the question's runs of three words
 ANSWER_SHARE = 0.5          # of the answer's words
@@ -274,7 +275,7 @@ def _asking(index, threshold, at):
             data, offsets = arrays.text_bytes(pc.utf8_lower(batch.column(at)))
             leaks = batch.column(batch.num_columns - 1)
             before = leaks.to_pylist()
-            for first, _, part, places in arrays.chunks(data, offsets):
+            for first, _, part, places in arrays.chunks(data, offsets, CHUNK_BYTES):
                 for row, hits in leaks_in(own, part, places, threshold).items():
                     before[first + row] += [
                         {"item": i, "score": s, "question": q, "answer": a} for i, (s, q, a) in hits.items()

@@ -154,7 +154,9 @@ def set_names(docs: DataFrame, id_col, text_col, words) -> DataFrame:
 def _signature_blobs(docs, text_col, words, num, den, buckets):
     """Packed signatures: (bucket, names, spares, entries per set, signatures).
 
-    A signature travels as its lower five bytes; its bucket adds bits of its own.
+    A signature travels as its lower five bytes; its bucket adds bits of its own. Those that
+    are frequent in a chunk are spread over other places, numbered from `buckets` on, where
+    they travel whole.
     """
 
     def emit(batches):
@@ -206,13 +208,13 @@ def _signature_blobs(docs, text_col, words, num, den, buckets):
         sizes = np.diff(np.append(firsts, len(grouped)))
         often = np.zeros(len(sigs), bool)
         often[order] = np.repeat(sizes >= OFTEN, sizes)
-        bucket = ((sigs >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+        bucket = _bucket_of(sigs, buckets)
         if often.any():
             home = int(names[0]) % buckets
             markers = grouped[firsts[sizes >= OFTEN]]
             bucket[often] = (home + np.arange(often.sum())) % buckets + buckets
             sets = np.concatenate([sets, np.full(len(markers), at)])
-            bucket = np.concatenate([bucket, ((markers >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)])
+            bucket = np.concatenate([bucket, _bucket_of(markers, buckets)])
             sigs = np.concatenate([sigs, markers])
             spares, names = np.append(spares, np.int16(MARKER)), np.append(names, 0)
         order = np.lexsort((sets, bucket))
@@ -228,7 +230,10 @@ def _signature_blobs(docs, text_col, words, num, den, buckets):
             rows["spares"].append(spares[s[heads]].tobytes())
             rows["n"].append(np.diff(np.append(heads, b - a)).astype(np.int32).tobytes())
             low = sigs[a:b]
-            rows["sigs"].append(low.astype(np.uint32).tobytes() + (low >> np.uint64(32)).astype(np.uint8).tobytes())
+            if bucket[a] >= buckets:
+                rows["sigs"].append(low.tobytes())
+            else:
+                rows["sigs"].append(low.astype(np.uint32).tobytes() + (low >> np.uint64(32)).astype(np.uint8).tobytes())
         yield pa.RecordBatch.from_pydict(rows, schema=BLOBS)
 
     return docs.select(F.col(text_col).cast("string")).mapInArrow(
@@ -239,12 +244,22 @@ def _signature_blobs(docs, text_col, words, num, den, buckets):
 BLOBS = pa.schema([("bucket", pa.int64()), ("names", pa.binary()), ("spares", pa.binary()), ("n", pa.binary()), ("sigs", pa.binary())])
 
 
-def _unpacked(bucket, names, spares, n, sigs):
+def _bucket_of(sigs, buckets):
+    return ((sigs >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+
+
+def _unpacked(buckets, bucket, names, spares, n, sigs):
+    """(signatures, names, spares): a signature is named by its bucket and lower five bytes, wherever it travelled."""
     n = np.frombuffer(n, np.int32)
-    size = len(sigs) // 5
-    low = np.frombuffer(sigs, np.uint32, size).astype(np.int64)
-    high = np.frombuffer(sigs, np.uint8, size, 4 * size).astype(np.int64)
-    return bucket << 40 | high << 32 | low, np.repeat(np.frombuffer(names, np.int64), n), np.repeat(np.frombuffer(spares, np.int16), n)
+    if bucket >= buckets:
+        whole = np.frombuffer(sigs, np.uint64)
+        low = (whole & np.uint64((1 << 40) - 1)).astype(np.int64)
+        bucket = _bucket_of(whole, buckets)
+    else:
+        size = len(sigs) // 5
+        low = np.frombuffer(sigs, np.uint32, size).astype(np.int64)
+        low |= np.frombuffer(sigs, np.uint8, size, 4 * size).astype(np.int64) << 32
+    return bucket << 40 | low, np.repeat(np.frombuffer(names, np.int64), n), np.repeat(np.frombuffer(spares, np.int16), n)
 
 
 def _shared(blobs, buckets, n):
@@ -258,7 +273,7 @@ def _shared(blobs, buckets, n):
         parts = []
         for batch in batches:
             for bucket, *packed in zip(*(batch.column(i).to_pylist() for i in range(5))):
-                part = _unpacked(bucket % buckets, *packed)
+                part = _unpacked(buckets, bucket, *packed)
                 if bucket >= buckets:      # frequent in its chunk: passed on without a count
                     yield _shared_rows(*part, np.full(len(part[0]), FREQUENT), np.ones(len(part[0]), np.int64))
                 else:

@@ -44,6 +44,30 @@ def test_equals_brute_force(spark, seed):
     assert groups(spark, rows) == brute_groups(rows)
 
 
+@pytest.mark.parametrize("partitions", [8, 200])
+@pytest.mark.parametrize("chunks", [1, 2])
+def test_large_families_of_short_texts(spark, chunks, partitions):
+    """More near copies in a chunk than a signature may have without being spread."""
+    rng = random.Random(9)
+    words = [f"w{i}" for i in range(3000)]
+    rows = []
+    for size, n in ((30, 150), (24, 90), (60, 160), (12, 3)):
+        base = [rng.choice(words) for _ in range(size)]
+        for k in range(n):
+            copy = list(base)
+            copy[0 if k % 2 else -1] = f"x{len(rows)}"
+            rows.append((len(rows), " ".join(copy)))
+    rng.shuffle(rows)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(chunks)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", partitions)
+    try:
+        got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in J.jaccard_groups(df).collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert got == brute_groups(rows)
+
+
 def test_edge_cases(spark):
     rows = [
         (5, "A b C d e", "x", 1), (3, "a B c D E", "x", 2), (3, "a B c D E", "x", 2), (9, None, "x", 3), (None, "a b c d e", "x", 4),

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from riskmart.llm import arrays
 from riskmart.llm.graph import components
-from riskmart.llm.storing import kept, partitions, rows_with
+from riskmart.llm.storing import extended, kept, partitions, rows_with
 
 NOT_PROBING = -32768        # spare units of a set that is only looked up
 MARKER = -32767             # an entry telling that its signature is frequent in some chunk
@@ -364,12 +364,35 @@ def _chosen(shared):
     return shared.where(F.col("spare") > MARKER).repartition(partitions(shared), "key").mapInArrow(choose, "sig long, key long").distinct()
 
 
-def _with_texts(pairs, docs, names, id_col, text_col):
-    """(a, b, ta, tb): pairs of set names with a whole text of either."""
+def with_names(docs: DataFrame, text_col, words=5) -> DataFrame:
+    """The rows with `n_shingles` and `key`, the size and the name of the text's set."""
+    columns = docs.columns
+    at = columns.index(text_col)
+
+    def name(batches):
+        for batch in batches:
+            for first, last, values, counts in arrays.sets_of(batch.column(at), words):
+                part = batch.slice(first, last - first)
+                yield pa.RecordBatch.from_arrays(
+                    [*part.columns, pa.array(counts.astype(np.int64)), pa.array(_set_keys(values, counts, words))],
+                    names=[*columns, "n_shingles", "key"],
+                )
+
+    return docs.mapInArrow(name, extended(docs, columns, "n_shingles long, key long"))
+
+
+def _with_texts(pairs, docs, names, id_col, text_col, words):
+    """(a, b, ta, tb): pairs of set names with a whole text of either.
+
+    Rows of one id may hold different texts, so the rows of the ids are named again, and those
+    of the wanted names stay.
+    """
     nodes = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
     first = kept(names.join(nodes, "key").groupBy("key").agg(F.min("id").alias("__id")))
+    ids = kept(first.select("__id").distinct())
     wide = docs.select(F.col(id_col).alias("__id"), F.col(text_col).cast("string").alias("text"))
-    texts = kept(rows_with(wide, first, "__id").groupBy("key").agg(F.min("text").alias("text")))
+    own = with_names(rows_with(wide, ids, "__id").select("__id", "text"), "text", words).drop("n_shingles")
+    texts = kept(rows_with(own, first, ["__id", "key"]).groupBy("key").agg(F.min("text").alias("text")))
     return pairs.join(texts.withColumnsRenamed({"key": "a", "text": "ta"}), "a").join(
         texts.withColumnsRenamed({"key": "b", "text": "tb"}), "b"
     ).select("a", "b", "ta", "tb")
@@ -504,7 +527,7 @@ def jaccard_groups(docs: DataFrame, id_col="doc_id", text_col="text", words=5, n
     shared = kept(_shared(_signature_blobs(docs, text_col, words, num, den, buckets), buckets, n))
 
     def texts_of(pairs):
-        return _with_texts(pairs, docs, names, id_col, text_col)
+        return _with_texts(pairs, docs, names, id_col, text_col, words)
 
     links = kept(_links(shared, _chosen(shared), texts_of, words, num, den))
     groups = kept(components(links))

@@ -68,6 +68,15 @@ def test_large_families_of_short_texts(spark, chunks, partitions):
     assert got == brute_groups(rows)
 
 
+def test_one_id_with_different_texts(spark):
+    """Each text of a repeated id is compared as it is."""
+    say = lambda c: " ".join(f"{c}{k}" for k in range(30))
+    rows = [(1, say("a")), (1, say("b")), (2, say("a") + " end"), (3, say("b") + " end"), (1, say("c"))]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in J.jaccard_groups(frame).collect())
+    assert got == [(1, 26, 1)] * 3 + [(2, 27, 1), (3, 27, 1)]
+
+
 def test_edge_cases(spark):
     rows = [
         (5, "A b C d e", "x", 1), (3, "a B c D E", "x", 2), (3, "a B c D E", "x", 2), (9, None, "x", 3), (None, "a b c d e", "x", 4),

@@ -29,20 +29,28 @@ def drop_toxic(spark, docs, sf_dir):
 
 
 def drop_near_duplicates(spark, docs, sf_dir):
-    """The document of the smallest id of each group of near duplicates, once.
+    """One row of each group of near duplicates: of those with its smallest id the first by text.
 
-    Documents without words and rows without an id belong to no group and stay.
+    Rows of one id are told apart by their texts. Documents without words and rows without an
+    id belong to no group and stay.
     """
-    groups = kept(jaccard.jaccard_groups(docs))
-    heads = groups.where("doc_id = component_id").groupBy("doc_id").agg(
-        F.count("*").alias("n"), F.max("n_shingles").alias("n_shingles")
-    ).select(F.col("doc_id").alias("__head"), ((F.col("n") > 1) & (F.col("n_shingles") > 0)).alias("__again"))
-    placed = rows_with(docs.withColumn("__head", F.col("doc_id")), kept(heads), "__head")
-    once = placed.where("not __again").select(*docs.columns)
-    # rows that repeat an id of a group: the first by text
-    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
-    again = placed.where("__again").groupBy("__head").agg(F.min_by(row, "text").alias("row")).select("row.*")
-    return once.unionByName(again).unionByName(docs.where("doc_id is null"))
+    rows, text = _numbered(docs)
+    name = f"c{docs.columns.index('doc_id')}"
+    sets = kept(jaccard.placed_sets(docs))
+    ids = sets.groupBy("doc_id").agg(
+        F.count("*").alias("n"), F.bool_or(F.col("doc_id") == F.col("component_id")).alias("head")
+    ).where("head").select(F.col("doc_id").alias(name), (F.col("n") > 1).alias("again"))
+    ids = kept(ids)
+    once = rows_with(rows, kept(ids.where("not again").select(name)), name).select(*rows.columns)
+    # rows that repeat an id: each by its own set
+    again = kept(ids.where("again").select(name))
+    named = jaccard.with_names(rows_with(rows, again, name).select(*rows.columns), text)
+    heads = sets.where("n_shingles > 0 and doc_id = component_id").select(F.col("doc_id").alias(name), "key", "root").distinct()
+    placed = rows_with(named, kept(heads.join(again, name, "left_semi")), [name, "key"])
+    row = F.struct(*rows.columns)
+    first = placed.groupBy("root").agg(F.min_by(row, text).alias("row")).select("row.*")
+    empty = named.where("n_shingles = 0").select(*rows.columns)
+    return _named(once.unionByName(first).unionByName(empty).unionByName(rows.where(f"{name} is null")), docs)
 
 
 def drop_leaks(spark, docs, sf_dir):

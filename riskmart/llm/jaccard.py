@@ -520,6 +520,14 @@ def jaccard_groups(docs: DataFrame, id_col="doc_id", text_col="text", words=5, n
     are left out; repeated ids count as separate rows. Other columns are not read. Sets are
     compared by 64-bit hashes of their members.
     """
+    return placed_sets(docs, id_col, text_col, words, num, den).select(id_col, "n_shingles", "component_id")
+
+
+def placed_sets(docs: DataFrame, id_col="doc_id", text_col="text", words=5, num=75, den=100) -> DataFrame:
+    """jaccard_groups with the name of each row's set, `key`, and of its component, `root`.
+
+    Rows of one id may belong to different components; `root` is null for empty sets.
+    """
     docs = docs.where(F.col(id_col).isNotNull())
     n = partitions(docs)
     buckets = 4 * n
@@ -536,9 +544,11 @@ def jaccard_groups(docs: DataFrame, id_col="doc_id", text_col="text", words=5, n
         "key", "first", F.coalesce("component", "key").alias("root")
     )
     heads = roots.groupBy("root").agg(F.min("first").alias("component_id"))
-    placed = roots.join(heads, "root").select("key", "component_id")
+    placed = roots.join(heads, "root").select("key", "root", "component_id")
     return names.join(placed, "key", "left").select(
         F.col("id").alias(id_col),
         "n_shingles",
         F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("id")).alias("component_id"),
+        "key",
+        "root",
     )

@@ -49,6 +49,14 @@ def test_one_of_each_group_stays(stages):
     assert sorted(i for i in got if i is not None) == want and got.count(None) == 1
 
 
+def test_rows_of_one_id_are_told_apart(spark):
+    say = lambda c: " ".join(f"{c}{k}" for k in range(30))
+    texts = [(2, say("a")), (2, say("b")), (3, say("a") + " end"), (1, say("c")), (2, say("c") + " end"), (2, say("b")), (2, " "), (2, None), (4, say("d"))]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    left = sorted(map(tuple, P.drop_near_duplicates(spark, docs, DATA).collect()), key=repr)
+    assert left == sorted([(2, say("a")), (2, say("b")), (1, say("c")), (2, " "), (2, None), (4, say("d"))], key=repr)
+
+
 def test_leaks_go(spark, stages):
     items = [r["text"] for r in spark.read.parquet(f"{DATA}/benchmark.parquet").collect()]
     leaks = lambda t: any(i.split(".")[0].lower() in (t or "").lower() for i in items)

@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from riskmart.llm.storing import kept, partitions
+from riskmart.llm.storing import extended, kept, partitions
 
 SCALE = 64
 PIVOTS = 32
@@ -52,24 +52,27 @@ def nearest(x, pivots):
 
 
 def _placed(vectors, pivots, n_cells):
-    """(id, v, cell, distance) among the first n_cells pivots."""
+    """The rows of (id, v, ...) with cell and distance, among the first n_cells pivots."""
 
     def place(batches):
         for batch in batches:
             cell, distance = nearest(matrix(batch.column(1)), pivots.value[:n_cells])
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell.astype(np.int32)), pa.array(distance)], names=["id", "v", "cell", "distance"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell.astype(np.int32)), pa.array(distance)], names=[*batch.schema.names, "cell", "distance"])
 
-    return vectors.mapInArrow(place, "id long, v array<int>, cell int, distance double")
+    return vectors.mapInArrow(place, extended(vectors, vectors.columns, "cell int, distance double"))
 
 
-def _packed(rows, keys):
-    """Rows of equal keys as one row: ids and vectors, ordered by id."""
-    got = rows.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("id", "v"))).alias("r"))
-    return got.select(*keys, F.col("r.id").alias("ids"), F.flatten("r.v").alias("values"))
+def _packed(rows, keys, more=()):
+    """Rows of equal keys as one row: ids, vectors and more columns, ordered by id."""
+    got = rows.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("id", "v", *more))).alias("r"))
+    return got.select(*keys, F.col("r.id").alias("ids"), F.flatten("r.v").alias("values"), *[F.col(f"r.{c}").alias(c) for c in more])
 
 
-def needed_cells(x, pivots, counts, radii, k):
-    """Which cells each query has to see, from the cells' sizes and radii."""
+def needed_cells(x, pivots, counts, radii, k, own):
+    """Which cells each query has to see, from the cells' sizes and radii.
+
+    `own` are the numbers of rows with the queries' ids, which they do not meet.
+    """
     if not len(x):
         return np.zeros((0, len(counts)), bool)
     middle = x @ pivots.T
@@ -79,9 +82,10 @@ def needed_cells(x, pivots, counts, radii, k):
     low[:, counts == 0] = -np.inf
     order = np.argsort(-low, 1)
     seen = np.cumsum(counts[order], 1)
-    at = np.minimum((seen < k + 1).sum(1), len(counts) - 1)      # one more: the query itself
+    enough = k + np.asarray(own)      # more, for the query's own rows
+    at = np.minimum((seen < enough[:, None]).sum(1), len(counts) - 1)
     sure = low[np.arange(len(x)), order[np.arange(len(x)), at]]
-    sure[seen[:, -1] < k + 1] = -np.inf
+    sure[seen[:, -1] < enough] = -np.inf
     return (high >= sure[:, None]) & (counts > 0)
 
 
@@ -91,7 +95,7 @@ def top_inner_products(vectors: DataFrame, k=20, id_col="vec_id", vector_col="em
     Ties go to the smaller id. Vectors that are null or empty, hold a null or non-finite
     component or one whose quantised value would not fit the score, and vectors of another
     length than most, take no part. Rows of one id never meet each other; a repeated id counts
-    as several vectors, and as one query. Other columns are not read.
+    as several vectors, and as one query, that of its smallest vector. Other columns are not read.
     """
     spark = vectors.sparkSession
     rows = kept(quantised(vectors, id_col, vector_col))
@@ -110,20 +114,20 @@ def top_inner_products(vectors: DataFrame, k=20, id_col="vec_id", vector_col="em
     salted = placed.withColumn("block", F.pmod(F.xxhash64("id", F.monotonically_increasing_id()), F.get(lookup, F.col("cell"))).cast("int"))
     data = kept(_packed(salted, ["cell", "block"]))
 
-    asked = rows.where(F.col("id") % every == 0).dropDuplicates(["id"])
+    asked = kept(rows.where(F.col("id") % every == 0).groupBy("id").agg(F.min("v").alias("v"), F.count("*").alias("own")))
     n_asked = asked.count()
     groups = int(min(len(pivots), max(1, -(-n_asked // GROUP_ROWS))))
     near = _placed(asked, shared, groups)
     parts = max(1, -(-n_asked // (groups * GROUP_ROWS)))
     near = near.withColumn("part", F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int")).withColumnRenamed("cell", "group")
-    queries = kept(_packed(near, ["group", "part"]))
+    queries = kept(_packed(near, ["group", "part"], ["own"]))
 
     def route(batches):
         for batch in batches:
             out = {"group": [], "part": [], "cell": [], "block": []}
-            for group, part, ids, values in zip(*(batch.column(i) for i in range(4))):
+            for group, part, ids, values, own in zip(*(batch.column(i) for i in range(5))):
                 x = np.array(values.as_py(), np.float64).reshape(len(ids), -1)
-                for cell in np.flatnonzero(needed_cells(x, shared.value, counts, radii, k).any(0)):
+                for cell in np.flatnonzero(needed_cells(x, shared.value, counts, radii, k, own.as_py()).any(0)):
                     for block in range(blocks_of[cell]):
                         for c, v in zip(out, (group.as_py(), part.as_py(), int(cell), block)):
                             out[c].append(v)
@@ -133,7 +137,7 @@ def top_inner_products(vectors: DataFrame, k=20, id_col="vec_id", vector_col="em
     slices = max(1, -(-int(blocks_of.sum()) // TASK_BLOCKS))
     met = (
         tasks.join(data, ["cell", "block"])
-        .join(queries.withColumnsRenamed({"ids": "query_ids", "values": "query_values"}), ["group", "part"])
+        .join(queries.drop("own").withColumnsRenamed({"ids": "query_ids", "values": "query_values"}), ["group", "part"])
         .withColumn("slice", F.pmod(F.xxhash64("cell", "block"), F.lit(slices)))
         .select("group", "part", "slice", "query_ids", "query_values", "ids", "values")
     )

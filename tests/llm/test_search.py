@@ -22,6 +22,16 @@ def test_equals_brute_force_with_ties_and_blocks(spark, monkeypatch):
     assert rows_of(knn.top_inner_products(df)) == top_products(vectors)
 
 
+def test_copies_of_a_query_fill_a_cell(spark, monkeypatch):
+    monkeypatch.setattr(knn, "PIVOTS", 1000)      # each distinct vector is a cell
+    rng = np.random.default_rng(6)
+    vectors = {i: rng.normal(size=4).round(1).astype(np.float32).tolist() for i in range(90)}
+    vectors[40] = [9.0, 9.0, 9.0, 9.0]
+    df = spark.createDataFrame([*vectors.items(), *[(40, vectors[40])] * 50], FIELDS)
+    got = [r for r in rows_of(knn.top_inner_products(df)) if r[0] == 40]
+    assert got == [r for r in top_products(vectors) if r[0] == 40]
+
+
 def test_edge_cases(spark):
     rows = [(0, [1.0, 2.0]), (1, [1.0, None]), (2, None), (3, [float("nan"), 1.0]), (4, [float("inf"), 1.0]), (5, [0.5, -1.0]), (6, []), (7, [1.0])]
     df = spark.createDataFrame([(*r, "z") for r in rows], FIELDS + ", cell string")

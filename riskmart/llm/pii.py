@@ -21,7 +21,7 @@ MAX_TOKENS = 6              # longest span, in blank-separated tokens
 SIDE_TOKENS = 2             # tokens of context around the ones that may be personal data
 SAMPLE_TEXTS = 800          # texts the model is fitted on
 EPOCHS = 6
-WINDOW_TOKENS = 400         # longer runs of tokens are decoded in pieces
+WINDOW_TOKENS = 400         # longer runs of tokens are learned from in pieces
 
 # Fixed patterns of the contract, each written so that a search stays linear.
 AT_DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -157,8 +157,11 @@ def span_features(text, n_tokens):
     return on
 
 
-def windows(text, skip=()):
-    """Token lists [(start, end, may be personal data)] around tokens with a trigger outside `skip`."""
+def windows(text, skip=(), longest=None):
+    """Token lists [(start, end, may be personal data)] around tokens with a trigger outside `skip`.
+
+    Runs of more than `longest` tokens are cut, if it is given.
+    """
     tokens, last, out = [], -1, []
     spots = [m.start() for m in TRIGGER.finditer(text)]
     if skip:
@@ -182,7 +185,7 @@ def windows(text, skip=()):
         near[k:] |= hit[:-k]
         near[:-k] |= hit[k:]
     for i in np.flatnonzero(near):
-        if i != last + 1 or not out or len(out[-1]) >= WINDOW_TOKENS:
+        if i != last + 1 or not out or len(out[-1]) == longest:
             out.append([])
         out[-1].append((*tokens[i], bool(hit[i])))
         last = i
@@ -198,49 +201,53 @@ class SemiMarkov:
 
     def candidates(self, text, window):
         """For each end: [(begin, features)]; longer than one token only from a hit to a hit or its neighbour."""
-        out = []
-        for j in range(1, len(window) + 1):
-            here = []
-            for i in range(j - 1, max(-1, j - 1 - MAX_TOKENS), -1):
-                if i < j - 1 and not any(t[2] for t in window[i:j]):
-                    continue
-                here.append((i, span_features(text[window[i][0]:window[j - 1][1]], j - i)))
-            out.append(here)
-        return out
+        return [self._ending(text, window, j) for j in range(1, len(window) + 1)]
+
+    @staticmethod
+    def _ending(text, window, j):
+        here = []
+        for i in range(j - 1, max(-1, j - 1 - MAX_TOKENS), -1):
+            if i < j - 1 and not any(t[2] for t in window[i:j]):
+                continue
+            here.append((i, span_features(text[window[i][0]:window[j - 1][1]], j - i)))
+        return here
 
     def scores(self, window, spans):
         """Score per candidate and label; only tokens with a trigger can be data, only single ones none."""
-        out = []
-        for j, here in enumerate(spans, 1):
-            rows = np.array([self.weights[:, f].sum(1) for _, f in here])
-            for k, (i, _) in enumerate(here):
-                if j - i > 1:
-                    rows[k, 0] = -np.inf
-                if not any(t[2] for t in window[i:j]):
-                    rows[k, 1:] = -np.inf
-            out.append(rows)
-        return out
+        return [self._scores_at(window, j, here) for j, here in enumerate(spans, 1)]
+
+    def _scores_at(self, window, j, here):
+        rows = np.array([self.weights[:, f].sum(1) for _, f in here])
+        for k, (i, _) in enumerate(here):
+            if j - i > 1:
+                rows[k, 0] = -np.inf
+            if not any(t[2] for t in window[i:j]):
+                rows[k, 1:] = -np.inf
+        return rows
 
     def best(self, text, window):
-        """[(kind, first token, token after)] of the best segmentation."""
-        spans = self.candidates(text, window)
-        scores = self.scores(window, spans)
+        """[(kind, first token, token after)] of the best segmentation of the whole window.
+
+        Candidates are built and left position by position, so a long window takes a few
+        numbers per token.
+        """
         value = np.full((len(window) + 1, self.steps.shape[0]), -np.inf)
         value[0, 0] = 0.0
-        came = {}
-        for j, (here, rows) in enumerate(zip(spans, scores), 1):
-            for (i, _), row in zip(here, rows):
+        begin, label = np.zeros(value.shape, np.int64), np.zeros(value.shape, np.int8)
+        for j in range(1, len(window) + 1):
+            here = self._ending(text, window, j)
+            for (i, _), row in zip(here, self._scores_at(window, j, here)):
                 through = value[i][:, None] + self.steps
                 prior = through.argmax(0)
                 total = through[prior, np.arange(len(prior))] + row
                 for y in np.flatnonzero(total > value[j]):
-                    value[j, y], came[j, y] = total[y], (i, prior[y])
+                    value[j, y], begin[j, y], label[j, y] = total[y], i, prior[y]
         out, j, y = [], len(window), int(value[-1].argmax())
         while j > 0:
-            i, before = came[j, y]
+            i, before = int(begin[j, y]), int(label[j, y])
             if y:
                 out.append((KINDS[y - 1], i, j))
-            j, y = i, int(before)
+            j, y = i, before
         return out[::-1]
 
     def gradient(self, text, window, truth):
@@ -313,7 +320,7 @@ def harmless(rng):
 def lesson(text, spans):
     """(text, window, truth) for the windows of a text in which no token belongs to two spans."""
     out = []
-    for window in windows(text):
+    for window in windows(text, longest=WINDOW_TOKENS):
         truth, taken, good = {}, set(), True
         for kind, a, b in spans:
             inside = [k for k, (s, e, _) in enumerate(window) if s < b and e > a]
@@ -371,7 +378,7 @@ def fit(docs: DataFrame, id_col="doc_id", text_col="text") -> SemiMarkov:
         for batch in batches:
             out = []
             for text in batch.column(0).to_pylist():
-                out += [text[max(0, w[0][0] - 1):w[-1][1] + 1] for w in windows(text)]
+                out += [text[max(0, w[0][0] - 1):w[-1][1] + 1] for w in windows(text, longest=WINDOW_TOKENS)]
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], names=["t"])
 
     texts = picked.mapInArrow(cut, "t string").select("t").distinct().orderBy(F.xxhash64("t"), "t").limit(SAMPLE_TEXTS)

@@ -49,6 +49,21 @@ def test_personal_data(spark, docs):
     assert pii.find_personal(df, untrained).count() == len(rows)
 
 
+def test_spans_in_long_runs_of_numbers():
+    rng = random.Random(3)
+    number = lambda: f"+1 ({rng.randrange(200, 999)}) {rng.randrange(200, 999)}-{rng.randrange(1000, 9999)}"
+    model = pii.train([f"row {rng.randrange(99)} and {rng.randrange(99)} call {number()} or {rng.randrange(99)} more" for _ in range(150)])
+
+    def found(before):
+        lead = "12 " * before
+        text = lead + "(555) 123-4567 " + "12 " * (450 - before)
+        return [(kind, a - len(lead), b - len(lead)) for kind, a, b in pii.added_spans(model, text, [])]
+
+    assert [(kind, b) for kind, a, b in found(200) if a <= 0 and b > 0] == [("phone", 14)]
+    for before in range(390, 410):
+        assert found(before) == found(200)
+
+
 def test_semi_markov_gradient():
     text = "call 555-0147 now 12 x"
     window = pii.windows(text)[0]

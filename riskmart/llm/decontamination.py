@@ -50,9 +50,11 @@ def item_words(items: DataFrame, id_col, text_col) -> DataFrame:
                 answer = stops[-1] if stops else n - max(1, n // ANSWER_PART)
                 words = hashes[own]
                 first += n
-                parts = [words[k:k + PART_WORDS] for k in range(0, n, PART_WORDS)]
-                for k, part in enumerate(parts):
-                    inside = int(answer) - k * PART_WORDS
+                # parts overlap by half, and none of a longer item is shorter than the others
+                last = max(int(n) - PART_WORDS, 0)
+                for k in [*range(0, last, PART_WORDS // 2), last] if n else []:
+                    part = words[k:k + PART_WORDS]
+                    inside = int(answer) - k
                     out["item"].append(batch.column(0)[row].as_py())
                     out["part"].append(k)
                     out["words"].append(part)

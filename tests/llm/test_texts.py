@@ -149,6 +149,17 @@ def test_leaks(spark):
     assert D.find_leaks(df.where("false"), items).count() == 0
 
 
+def test_parts_of_long_items(spark):
+    """No short rest of an item decides, and an excerpt is found wherever it begins."""
+    say = lambda name, n: [f"{name}{k}" for k in range(n)]
+    items = [(n, " ".join(say(f"i{n}x", n))) for n in (65, 66, 128)]
+    clean = [" ".join(say("c", 50) + say(f"i{n}x", n)[-2:] + say("d", 50)) for n in (65, 66)]
+    shifted = " ".join(say("c", 50) + say("i128x", 128)[32:96] + say("d", 50))
+    rows = [*[(k, t) for k, t in enumerate(clean)], (2, shifted), *[(n, t) for n, t in items]]
+    got = D.find_leaks(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {r["doc_id"]: [x["item"] for x in r["leaks"]] for r in got} == {0: [], 1: [], 2: [128], 65: [65], 66: [66], 128: [128]}
+
+
 def test_index_rounds_find_the_same(spark, docs, monkeypatch):
     items = spark.read.parquet(f"{DATA}/benchmark.parquet")
     once = {r["doc_id"]: r["leaks"] for r in D.find_leaks(docs, items).collect() if r["leaks"]}

@@ -196,6 +196,10 @@ class Index:
     def verify(self, part, passage):
         """(share of the question's word triples, share of the answer's words) in a passage."""
         words, cut = self.words[part], self.answers[part]
+        if len(words) < 3:      # an item of one or two words: all of them in their order
+            runs = [passage[k:len(passage) - len(words) + 1 + k] == w for k, w in enumerate(words)]
+            whole = float(len(passage) >= len(words) and np.logical_and.reduce(runs).any())
+            return whole, whole
         question, answer = words[:cut], words[cut:]
         inside = set(zip(passage.tolist(), passage[1:].tolist(), passage[2:].tolist()))
         triples = list(zip(question.tolist(), question[1:].tolist(), question[2:].tolist()))

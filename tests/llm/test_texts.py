@@ -160,6 +160,13 @@ def test_parts_of_long_items(spark):
     assert {r["doc_id"]: [x["item"] for x in r["leaks"]] for r in got} == {0: [], 1: [], 2: [128], 65: [65], 66: [66], 128: [128]}
 
 
+def test_items_of_two_words_need_their_order():
+    index = D.Index([(1, [5, 6], 1, [1, 1]), (2, [7], 1, [1])], 2, 2.0)
+    said = lambda *words: np.array(words, np.int64)
+    assert index.verify(0, said(1, 5, 6)) == (1.0, 1.0) and index.verify(0, said(6, 5, 1)) == (0.0, 0.0)
+    assert index.verify(0, said(5)) == (0.0, 0.0) and index.verify(1, said(3, 7)) == (1.0, 1.0)
+
+
 def test_index_rounds_find_the_same(spark, docs, monkeypatch):
     items = spark.read.parquet(f"{DATA}/benchmark.parquet")
     once = {r["doc_id"]: r["leaks"] for r in D.find_leaks(docs, items).collect() if r["leaks"]}

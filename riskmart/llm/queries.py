@@ -7,7 +7,9 @@ or None).
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from riskmart.llm import decontamination, jaccard, knn, language, packing, pii, preference, quality, sharding, toxicity
+from riskmart.llm import (
+    decontamination, exact, jaccard, knn, language, packing, pii, preference, quality, ranked, sharding, toxicity,
+)
 from riskmart.llm.storing import kept
 
 QUERIES = {}
@@ -230,3 +232,47 @@ def op10_preference_format(spark, folder):
         listed("chosen_mask"),
         listed("rejected_mask"),
     )
+
+
+LOWER_SQL = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+EXACT_DEDUP_SQL = f"""
+with hashed as (select doc_id, sha256({LOWER_SQL}) as text_sha256 from documents),
+groups as (select text_sha256, max(doc_id) as keep_id, count(*) as group_size from hashed group by 1)
+select doc_id, keep_id, group_size, doc_id = keep_id as kept, text_sha256 from hashed join groups using (text_sha256)
+"""
+
+
+@query("op12_exact_dedup", EXACT_DEDUP_SQL)
+def op12_exact_dedup(spark, folder):
+    """One row per document: the document that stays for its text, and the size of its group."""
+    return exact.exact_duplicates(table(spark, folder, "documents"))
+
+
+RANKED_SEARCH_SQL = rf"""
+with words as (
+  select doc_id, row_number() over () as r,
+    regexp_extract_all({LOWER_SQL}, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') as w from documents),
+asked as (
+  select item_id, t, count(*) as times from (
+    select item_id, unnest(regexp_extract_all({LOWER_SQL}, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) as t
+    from (select item_id, min(text) as text from benchmark where item_id is not null group by 1)) group by 1, 2),
+total as (select count(*) filter (len(w) > 0) as n, cast(sum(len(w)) as bigint) as l from words),
+held as (select r, t, count(*) as tf from (select r, unnest(w) as t from words) group by 1, 2),
+weights as (
+  select t, cast(floor(1000 * ln((2 * n + 2) / (2 * count(*) + 1))) as bigint) as w from held, total group by t, n),
+lengths as (select r, doc_id, 100 - 25 + (25 * len(w) * n) // l as m from words, total where l > 0),
+scores as (
+  select item_id, r, doc_id, cast(sum(times * w * ((1000000000 * tf) // (1000 * tf + 12 * m))) as bigint) as score
+  from asked join held using (t) join weights using (t) join lengths using (r) group by 1, 2, 3),
+ranked as (
+  select item_id, cast(row_number() over (partition by item_id order by score desc, doc_id) as int) as rank, doc_id, score
+  from scores where score > 0)
+select * from ranked where rank <= 20
+"""
+
+
+@query("op11_ranked_search", RANKED_SEARCH_SQL)
+def op11_ranked_search(spark, folder):
+    """The 20 documents that score highest for each benchmark item."""
+    return ranked.rank_documents(table(spark, folder, "documents"), table(spark, folder, "benchmark"))

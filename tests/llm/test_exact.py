@@ -1,0 +1,73 @@
+import hashlib
+
+from riskmart.llm import exact
+
+FIELDS = "doc_id long, text string, digest string, keep_id int"
+
+
+def lowered(text):
+    return "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
+
+
+def plain(rows):
+    """{(id, sha256): [(keep_id, group_size, kept), ...]} of (id, text) rows."""
+    groups = {}
+    for i, text in rows:
+        groups.setdefault(lowered(text), []).append(i)
+    out = {}
+    for text, ids in groups.items():
+        keep = max(ids, key=lambda i: (i is not None, i or 0))
+        digest, free = hashlib.sha256(text.encode()).hexdigest(), True
+        for i in ids:
+            out.setdefault((i, digest), []).append((keep, len(ids), i == keep and free))
+            free &= i != keep
+    return {k: sorted(v) for k, v in out.items()}
+
+
+def got_of(df, id_col="doc_id"):
+    out = {}
+    for r in df.collect():
+        out.setdefault((r[id_col], r["text_sha256"]), []).append((r["keep_id"], r["group_size"], r["kept"]))
+    return {k: sorted(v) for k, v in out.items()}
+
+
+def test_equals_plain_version(spark):
+    rows = [(1, "Abc"), (2, "aBC"), (9, None), (7, ""), (3, "ÄBC"), (4, "äbc"), (5, "x" * 300_000), (6, "X" * 300_000)]
+    rows += [(None, "abc"), (None, "lost"), (None, "LOST"), (2, "abc"), (8, " abc"), (-50, "abc")]
+    df = spark.createDataFrame([(*r, "z", 0) for r in rows], FIELDS)
+    assert got_of(exact.exact_duplicates(df)) == plain(rows)
+    assert got_of(exact.exact_duplicates(df.repartition(5))) == plain(rows)
+    assert exact.exact_duplicates(df.where("false")).count() == 0
+
+
+def test_one_text_holds_most_rows(spark):
+    rows = [(i, "same" if i % 3 else f"own {i % 1000}") for i in range(6000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(7)
+    assert got_of(exact.exact_duplicates(df)) == plain(rows)
+
+
+def test_index_lasts_and_takes_each_text_once(spark, tmp_path):
+    first = spark.createDataFrame([(1, "a"), (2, "b"), (3, "A")], "doc_id long, text string")
+    later = spark.createDataFrame([(10, "b"), (11, "c"), (12, "c")], "doc_id long, text string")
+    index = exact.DigestIndex.create(spark, str(tmp_path / "index"), 4)
+    exact.exact_duplicates(first, index=index)
+    assert sorted(r["keep_id"] for r in index.table().collect()) == [2, 3]
+    index.close()
+    again = exact.DigestIndex.open(spark, str(tmp_path / "index"))
+    assert again.buckets == 4
+    got = {r["doc_id"]: (r["keep_id"], r["kept"]) for r in exact.exact_duplicates(later, index=again).collect()}
+    assert got == {10: (2, False), 11: (12, False), 12: (12, True)}
+    exact.add_by_id(again, exact.digest_rows(later))
+    assert sorted(r["keep_id"] for r in again.table().collect()) == [2, 3, 12]
+    again.close()
+
+
+def test_plan_merges_with_the_index_where_it_lies(spark, tmp_path):
+    index = exact.DigestIndex.create(spark, str(tmp_path / "index"), 8)
+    rows = exact.digest_rows(spark.createDataFrame([(1, "a")], "doc_id long, text string"))
+    index.add(rows)
+    best = rows.groupBy("digest").agg({"id": "max"})
+    plan = best.join(index.table().hint("merge"), "digest", "left_anti")._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "LeftAnti" in plan and "Bucketed: true" in plan
+    assert plan.count("Exchange hashpartitioning(digest") == 1
+    index.close()

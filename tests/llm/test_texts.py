@@ -274,7 +274,7 @@ def test_stale_answers(spark):
 @pytest.mark.parametrize("name", sorted(k for k, (_, sql) in QUERIES.items() if sql))
 def test_query_equals_sql(spark, name):
     db = duckdb.connect()
-    for t in ("documents", "embeddings", "conversations"):
+    for t in ("documents", "embeddings", "conversations", "benchmark"):
         db.execute(f"create view {t} as select * from '{DATA}/{t}.parquet'")
     query, sql = QUERIES[name]
     df = query(spark, DATA)

@@ -8,9 +8,10 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 from riskmart.llm import (
-    decontamination, exact, jaccard, knn, language, packing, pii, preference, quality, ranked, sharding, toxicity,
+    decontamination, exact, jaccard, knn, language, packing, pii, preference, quality, ranked, sharding, toxicity, trie,
 )
 from riskmart.llm.storing import kept
+from riskmart.operators.keys import join_many_to_one
 
 QUERIES = {}
 
@@ -276,3 +277,73 @@ select * from ranked where rank <= 20
 def op11_ranked_search(spark, folder):
     """The 20 documents that score highest for each benchmark item."""
     return ranked.rank_documents(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+CONVERSATION_TRIE_SQL = """
+with recursive turns as (
+  select conv_id as c, role, text, row_number() over (
+      partition by conv_id order by turn nulls first, substr(role, 1, 32), substr(text, 1, 256), md5(concat(role, chr(0), text))) as p
+  from (select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations where conv_id is not null)),
+crc(c, digits, i, v) as (
+  select distinct c, cast(c as varchar), 0, 4294967295 from turns
+  union all
+  select c, digits, i + 1, case when x % 2 = 1 then xor(x >> 1, 3988292384) else x >> 1 end
+  from (select c, digits, i, case when i % 8 = 0 then xor(v, cast(ascii(substr(digits, i // 8 + 1, 1)) as bigint)) else v end as x
+        from crc where i < 8 * length(digits))),
+heads as (select c, xor(v, 4294967295) % 9 as h from crc where i = 8 * length(digits)),
+rebuilt as (
+  select c, role, text, row_number() over (partition by c order by own, p) as d from (
+    select h.c, t.role, t.text, t.p, 0 as own from heads h join turns t on t.c = h.c - h.c % 5 where t.p <= h.h
+    union all
+    select h.c, t.role, t.text, t.p, 1 from heads h join turns t on t.c = h.c where t.p > h.h)),
+paths as (
+  select c, d, cast(strlen(text) as bigint) as bytes,
+    string_agg(md5(concat(role, chr(0), text)), '') over (partition by c order by d rows unbounded preceding) as node,
+    coalesce(string_agg(md5(concat(role, chr(0), text)), '') over (partition by c order by d rows between unbounded preceding and 1 preceding), '') as parent
+  from rebuilt
+  union all select c, 0, 0, '', null from heads),
+nodes as (select node, max(parent) as parent, max(d) as d, max(bytes) as bytes, count(*) as n, min(c) as owner from paths group by node),
+children as (select parent, count(*) as n_children from nodes group by parent),
+whole as (select n.*, coalesce(k.n_children, 0) as n_children from nodes n left join children k on k.parent = n.node),
+below as (
+  select a.node, count(*) filter (w.n_children = 0) as n_leaves, sum((w.n - 1) * w.bytes) as saved
+  from whole w join paths a on a.c = w.owner and a.d <= w.d group by a.node),
+ends as (
+  select node, sha256(string_agg(cast(c as varchar), ',' order by c)) as sha
+  from (select c, max(d) as d from paths group by c) join paths using (c, d) group by node)
+select w.owner as conv_id, cast(w.d as bigint) as depth, p.owner as parent_conv_id, w.n as n_convs, w.n_children,
+  b.n_leaves, cast(b.saved as bigint) as saved_tokens, coalesce(e.sha, sha256('')) as ends_sha256
+from whole w join below b using (node) left join nodes p on p.node = w.parent left join ends e on e.node = w.node
+"""
+
+
+def with_shared_openings(turns):
+    """(turns, members): conversations that open with the first turns of another.
+
+    Conversation c takes the first crc32(c) % 9 turns of conversation c - c % 5, as far as
+    there are any, and goes on with its own turns after that many.
+    """
+    head = F.crc32(F.col("id").cast("string").cast("binary")) % 9
+    sizes = kept(turns.groupBy("id").agg(F.count("*").alias("n")))
+    bases = sizes.select(F.col("id").alias("base"), F.least("n", F.lit(8)).alias("base_n"))
+    taken = F.least(head, F.coalesce("base_n", F.lit(0)))
+    members = kept(
+        sizes.withColumn("base", F.expr("id - id % 5")).join(bases, "base", "left")
+        .select("id", "n", taken.alias("taken"), (taken + F.greatest(F.col("n") - head, F.lit(0))).alias("length"))
+    )
+    lengths = members.select("id", "taken", "length")
+    own = join_many_to_one(
+        turns.where(F.col("place") > head), lengths, "id", hot=trie.hot_ids(members, "id", "n", turns.count())
+    ).withColumn("place", F.col("taken") + F.col("place") - head)
+    near = turns.where("place <= 8 and id % 5 = 0").select(
+        F.explode(F.transform(F.sequence(F.lit(-4), F.lit(4)), lambda k: F.col("id") + k)).alias("c"), "id", "place", "a", "b", "bytes"
+    ).where("c - c % 5 = id")
+    openings = near.drop("id").withColumnRenamed("c", "id").join(lengths, "id").where("place <= taken")
+    columns = ["id", "place", "length", "a", "b", "bytes"]
+    return kept(own.select(*columns).unionByName(openings.select(*columns))), members.select("id", "length")
+
+
+@query("op13_conversation_trie", CONVERSATION_TRIE_SQL)
+def op13_conversation_trie(spark, folder):
+    """One row per distinct opening of the rebuilt conversations."""
+    return trie.prefix_trie(*with_shared_openings(trie.ordered_turns(table(spark, folder, "conversations"))))

@@ -522,7 +522,7 @@ def _sd_sql(c):
     f"select '{c}' as name, {rounded_sql(_sd_sql(c))} as scale" for c in POLICY_NUMERIC))
 def scaler_fit(spark, d):
     df = policy_frame(spark, d)
-    fitted = FE.fit_scaler(df, POLICY_NUMERIC, FE.fit_imputers(df, POLICY_NUMERIC))
+    fitted = FE.fit_scaler(df, POLICY_NUMERIC)
     cells = [F.struct(F.lit(c).alias("name"), F.lit(v).alias("scale")) for c, v in fitted.items()]
     return round_columns(_rows(spark, cells), {"scale": 6})
 
@@ -531,7 +531,7 @@ def scaler_fit(spark, d):
     rounded_sql(f"{c} / {_sd_sql(c)}") + f" as {c}" for c in POLICY_NUMERIC) + f" from {CLEAN_SQL}")
 def scaler_apply(spark, d):
     df = policy_frame(spark, d).select("SK_ID_CURR", *POLICY_NUMERIC)
-    scales = FE.fit_scaler(df, POLICY_NUMERIC, FE.fit_imputers(df, POLICY_NUMERIC))
+    scales = FE.fit_scaler(df, POLICY_NUMERIC)
     return round_columns(FE.apply_scaler(df, scales), {c: 6 for c in POLICY_NUMERIC})
 
 

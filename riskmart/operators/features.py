@@ -134,18 +134,46 @@ def apply_fill(df, values: dict) -> DataFrame:
     return df.withColumns(fills) if fills else df
 
 
-def fit_scaler(df, columns, imputers) -> dict[str, float]:
-    """Population standard deviation of the imputed columns; 1 where a column is constant."""
+def _spread(summary, fill) -> float:
+    """Population standard deviation of a summarised column whose missing values are filled; 1 if it is constant."""
+    n, present, missing = summary.rows, summary.present, summary.rows - summary.present
+    if not n or not present:
+        return 1.0
+    mean = (present * summary.mean + missing * fill) / n
+    var = (present * (summary.variance + (summary.mean - mean) ** 2) + missing * (fill - mean) ** 2) / n
+    # Rounding alone gives a constant column a variance of about this size.
+    eps = 2.0 ** -52
+    return 1.0 if var <= n * eps * var + (n * mean * eps) ** 2 else var ** 0.5
+
+
+def fit_numeric(df, columns, rate=S.MISSING_FLAG_RATE) -> tuple[list, dict, dict]:
+    """Columns to flag, medians and scales from the same passes.
+
+    The first pass of the medians also counts missing values and gives mean and variance of
+    the values; those of the filled column follow from them.
+    """
+    found = selection.summaries(df, columns)
+    flags = [c for c, s in found.items() if s.rows and (s.rows - s.present) / s.rows >= rate]
+    medians = {c: 0.0 if s.median is None else s.median for c, s in found.items()}
+    return flags, medians, {c: _spread(s, medians[c]) for c, s in found.items()}
+
+
+def fit_scaler(df, columns, imputers=None) -> dict[str, float]:
+    """Population standard deviation of the imputed columns; 1 where a column is constant.
+
+    Without `imputers`, missing values count as the median.
+    """
+    if imputers is None:
+        return fit_numeric(df, columns)[2]
     if not columns:
         return {}
-    medians = X.sql_array([float(imputers.get(c, 0.0)) for c in columns], "double")
-    filled = _long(df, columns).selectExpr("i", f"coalesce(v, get({medians}, i)) as v")
-    rows = filled.groupBy("i").agg(F.count("*"), F.var_pop("v"), F.avg("v")).collect()   # one per column
-    eps, out = 2.0 ** -52, {c: 1.0 for c in columns}
-    for i, n, var, mean in rows:
-        # Rounding alone gives a constant column a variance of about this size.
-        noise = n * eps * var + (n * mean * eps) ** 2
-        out[columns[i]] = 1.0 if var <= noise else var ** 0.5
+    rows = _long(df, columns).groupBy("i").agg(
+        F.count("*").alias("n"), F.count("v").alias("present"), F.avg("v").alias("mean"), F.var_pop("v").alias("var")
+    ).collect()                                                                                # one per column
+    out = {c: 1.0 for c in columns}
+    for r in rows:
+        c = columns[r["i"]]
+        out[c] = _spread(selection.Summary(r["n"], r["present"], r["mean"], r["var"], None), float(imputers.get(c, 0.0)))
     return out
 
 
@@ -253,9 +281,7 @@ class FeatureBuilder(Estimator, _BuilderParams, DefaultParamsReadable, DefaultPa
         numeric, cats = get("numericCols"), get("categoricalCols")
         kept, with_rare = categories.fit_rare_map(df, cats, get("minCount"), get("fill"))
         # Categories are filled before flags are fitted, so only numeric columns get one.
-        flags = fit_missing_flags(df, numeric, get("flagRate"))
-        imputers = fit_imputers(df, numeric)
-        scales = fit_scaler(df, numeric, imputers)
+        flags, imputers, scales = fit_numeric(df, numeric, get("flagRate"))
         dummies = dummy_names(kept, with_rare, get("other"))
         model = FeatureBuilderModel()
         model._resetUid(self.uid)

@@ -11,10 +11,12 @@ from riskmart.operators import ordering as O, profile as P, sampling as SM, sele
 rng = random.Random(3)
 
 
-@pytest.fixture(params=[1024, 3], ids=["many buckets", "few buckets"])
+@pytest.fixture(params=[None, (30, 16, 8, 0)], ids=["as is", "coarse"])
 def few(request, monkeypatch):
-    """With few buckets even small data takes many narrowing passes."""
-    monkeypatch.setattr(SEL, "BUCKETS", request.param)
+    """With coarse sketches, bounds that often miss, and little gathered, small data takes many passes."""
+    if request.param:
+        for name, value in zip(("GATHER_ROWS", "SKETCH_SIZE", "GRID", "REACH"), request.param):
+            monkeypatch.setattr(SEL, name, value)
     return request.param
 
 
@@ -62,20 +64,56 @@ def test_extreme_ranges_end(spark, kind):
     assert [t[0] for t in SEL.tuples_at(df, ["v"], lambda n: ranks)] == sorted(data)
 
 
-def test_many_quantiles_take_few_passes(spark, monkeypatch):
-    """One aggregate per pass for all columns, no digest, nothing gathered in one partition."""
-    plans = []
-    passed = SEL._pass
+@pytest.fixture
+def passes(monkeypatch):
+    """The names of the aggregates that searches run, in order."""
+    names = []
+    for name in ("_sketch", "_gather"):
+        def watched(*args, run=getattr(SEL, name), name=name):
+            names.append(name)
+            return run(*args)
+        monkeypatch.setattr(SEL, name, watched)
+    return names
 
-    def watched(rows, searches, at):
-        plans.append(len(searches))
-        return passed(rows, searches, at)
 
-    monkeypatch.setattr(SEL, "_pass", watched)
+def test_many_quantiles_take_three_passes(spark, passes):
     df = spark.range(20_000).selectExpr(*[f"cast(hash(id, {i}) as double) as v{i}" for i in range(20)])
     got = SEL.exact_quantiles(df, {c: c for c in df.columns}, [0.5])
     want = np.median(df.toPandas().to_numpy(), axis=0)
-    assert [got[c][0] for c in df.columns] == pytest.approx(list(want)) and len(plans) <= 6
+    assert [got[c][0] for c in df.columns] == pytest.approx(list(want))
+    assert passes == ["_sketch", "_sketch", "_gather"]
+
+
+def test_few_rows_take_two_passes(spark, passes):
+    df = spark.range(9000).selectExpr("cast(id % 5 as double) as a", "id % 7 as b", "id")
+    rows = sorted((float(i % 5), i % 7, i) for i in range(9000))
+    assert SEL.tuples_at(df, ["a", "b", "id"], lambda n: [5400, 6300, 7200]) == [rows[i] for i in (5400, 6300, 7200)]
+    assert passes == ["_sketch", "_gather"]
+
+
+def test_passes_of_many_rows(spark, passes):
+    """2 million rows, a third of them one value: counts settle it, the tie goes to the next key."""
+    df = spark.range(2_000_000).selectExpr("if(id % 3 = 0, 5, hash(id) % 1000) as a", "id")
+    pdf = df.toPandas().sort_values(["a", "id"])
+    ranks = [0, 700_000, 1_199_999, 1_999_999]
+    assert SEL.tuples_at(df, ["a", "id"], lambda n: ranks) == [tuple(map(int, pdf.iloc[r])) for r in ranks]
+    assert len(passes) <= 6
+
+
+def test_infinite_values(spark, few):
+    data = [float("inf"), float("-inf"), 1.0, 2.0, 3.0] * 20
+    df = spark.createDataFrame([(v,) for v in data], "v double")
+    assert [t[0] for t in SEL.tuples_at(df, ["v"], lambda n: range(100))] == sorted(data)
+
+
+def test_summaries(spark):
+    data = [(1.0, None), (2.0, None), (4.0, None), (None, None), (float("nan"), None)]
+    got = SEL.summaries(spark.createDataFrame(data, "a double, b double"), ["a", "b"])
+    a = got["a"]
+    assert (a.rows, a.present, a.median) == (5, 3, 2.0)
+    assert a.mean == pytest.approx(7 / 3) and a.variance == pytest.approx(np.var([1, 2, 4]))
+    assert (got["b"].rows, got["b"].present, got["b"].median) == (5, 0, None)
+    assert SEL.summaries(spark.createDataFrame([], "a double"), ["a"])["a"].rows == 0
 
 
 def recency_rows(n=400):

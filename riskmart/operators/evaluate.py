@@ -1,5 +1,7 @@
 """Evaluation of scores against outcomes."""
 
+from dataclasses import dataclass
+
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, functions as F
 
@@ -39,36 +41,53 @@ def score_counts(df, target=S.TARGET, score="CALIBRATED_PD") -> DataFrame:
     )
 
 
-def _curve(df, target, score) -> tuple[DataFrame, int, int]:
-    curve, totals = running_sums(score_counts(df, target, score), "threshold", ("pos", "neg"))
-    return curve, totals["pos"], totals["neg"]
+@dataclass
+class Curve:
+    """Distinct scores from high to low with what lies above them and next below; and totals."""
+
+    scores: DataFrame
+    positives: int
+    negatives: int
+
+
+def curve(df, target=S.TARGET, score="CALIBRATED_PD") -> Curve:
+    """The base of ROC points and area; both can be had from one curve."""
+    scores, totals = running_sums(score_counts(df, target, score), "threshold", ("pos", "neg"), following=True)
+    return Curve(scores, totals["pos"], totals["neg"])
 
 
-def roc_points(df, target=S.TARGET, score="CALIBRATED_PD") -> DataFrame:
+def roc_points(df, target=S.TARGET, score="CALIBRATED_PD", drop_collinear=False) -> DataFrame:
     """(threshold, tp, fp, tpr, fpr) at every distinct score, and the origin with no threshold.
 
-    Rates are NULL when the outcome they are a share of does not occur.
+    Rates are NULL when the outcome they are a share of does not occur. With `drop_collinear`,
+    a point between two equal steps goes: the next lower score adds as many positives and
+    negatives as its own. The highest and the lowest score stay. `df` may be a Curve.
     """
-    curve, p, n = _curve(df, target, score)
-    curve = curve.select(
+    base = df if isinstance(df, Curve) else curve(df, target, score)
+    rows = base.scores
+    if drop_collinear:
+        same = (F.col("pos") == F.col("pos_next")) & (F.col("neg") == F.col("neg_next"))
+        highest = (F.col("pos_above") == 0) & (F.col("neg_above") == 0)
+        rows = rows.where(highest | ~F.coalesce(same, F.lit(False)))
+    points = rows.select(
         "threshold",
         (F.col("pos_above") + F.col("pos")).alias("tp"),
         (F.col("neg_above") + F.col("neg")).alias("fp"),
     )
     none, zero = F.lit(None).cast("double"), F.lit(0).cast("long")
-    origin = df.sparkSession.range(1).select(none.alias("threshold"), zero.alias("tp"), zero.alias("fp"))
-    return origin.unionByName(curve).select(
+    origin = rows.sparkSession.range(1).select(none.alias("threshold"), zero.alias("tp"), zero.alias("fp"))
+    return origin.unionByName(points).select(
         "threshold", "tp", "fp",
-        X.safe_div("tp", F.lit(p)).alias("tpr"),
-        X.safe_div("fp", F.lit(n)).alias("fpr"),
+        X.safe_div("tp", F.lit(base.positives)).alias("tpr"),
+        X.safe_div("fp", F.lit(base.negatives)).alias("fpr"),
     )
 
 
 def auc(df, target=S.TARGET, score="CALIBRATED_PD") -> DataFrame:
-    """One row: exact area under the ROC curve with ties; NULL with one class only."""
-    curve, p, n = _curve(df, target, score)
+    """One row: exact area under the ROC curve with ties; NULL with one class only. `df` may be a Curve."""
+    base = df if isinstance(df, Curve) else curve(df, target, score)
     area = F.sum(F.col("neg") * (F.col("pos_above") + F.col("pos") / 2.0))
-    return curve.agg(X.safe_div(area, F.lit(float(p) * float(n))).alias("auc"))
+    return base.scores.agg(X.safe_div(area, F.lit(float(base.positives) * float(base.negatives))).alias("auc"))
 
 
 def f_beta_score(df, target=S.TARGET, predicted="PREDICTED", beta=5.0) -> DataFrame:

@@ -92,21 +92,23 @@ def bucket_of(df, column, bounds, output) -> DataFrame:
     )
 
 
-def running_sums(df, order, names, partitions=None) -> tuple[DataFrame, dict]:
+def running_sums(df, order, names, partitions=None, following=False) -> tuple[DataFrame, dict]:
     """Whole-number sums over all rows ordered above each row, as `<name>_above`; and totals.
 
     `order` is unique per row. Rows are range-partitioned and stored with the number of their
     partition: whole partitions above come from their totals, the rest from a window inside
-    the partition. A partition's boundaries cannot move once it is stored.
+    the partition. A partition's boundaries cannot move once it is stored. With `following`,
+    `<name>_next` holds the value of the row ordered next below, whichever partition it is in.
     """
     partitions = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     out = materialize(df.repartitionByRange(partitions, order).withColumn("__bucket", F.spark_partition_id()))
-    totals = out.groupBy("__bucket").agg(*[F.sum(n).alias(n) for n in names])
+    totals = out.groupBy("__bucket").agg(
+        *[F.sum(n).alias(n) for n in names], *[F.max_by(n, order).alias(f"{n}_first") for n in names]
+    )
     totals = {r["__bucket"]: r for r in totals.collect()}              # one row per partition
     width = max(totals, default=0) + 1
-    above = Window.partitionBy("__bucket").orderBy(F.desc(order)).rowsBetween(
-        Window.unboundedPreceding, -1
-    )
+    below = Window.partitionBy("__bucket").orderBy(F.desc(order))
+    above = below.rowsBetween(Window.unboundedPreceding, -1)
     whole = {}
     for name in names:
         per_bucket = [int(totals[b][name] or 0) if b in totals else 0 for b in range(width)]
@@ -114,4 +116,10 @@ def running_sums(df, order, names, partitions=None) -> tuple[DataFrame, dict]:
         whole[name] = higher.pop()
         base = F.get(X.number_array(higher[::-1]), F.col("__bucket"))
         out = out.withColumn(f"{name}_above", base + F.coalesce(F.sum(name).over(above), F.lit(0)))
+        if following:
+            # the highest row of the next partition below that has rows; -1 past the last
+            firsts = accumulate((int(totals[b][f"{name}_first"]) if b in totals else None for b in range(width)), lambda last, v: last if v is None else v)
+            heads = [-1, *[-1 if v is None else v for v in firsts]]
+            beyond = F.nullif(F.get(X.number_array(heads), F.col("__bucket")), F.lit(-1))
+            out = out.withColumn(f"{name}_next", F.coalesce(F.lead(name).over(below), beyond))
     return out.drop("__bucket"), whole

@@ -1,9 +1,10 @@
 """Profile tables and the data-quality report."""
 
-from itertools import combinations
-
-from pyspark.sql import DataFrame, functions as F
+from pyspark.ml.functions import array_to_vector
+from pyspark.ml.stat import Correlation, Summarizer
+from pyspark.sql import DataFrame, functions as F, types as T
 
+from riskmart.functions import expr as X
 from riskmart.operators import selection
 from riskmart.operators.ordering import bucket_of
 
@@ -40,25 +41,22 @@ def top_missing(df, limit=40, columns=None) -> DataFrame:
 def correlations(df, columns) -> DataFrame:
     """Pearson correlation of every pair, over rows where all columns are present.
 
-    Missing where a column of the pair is constant, also with itself.
+    Missing where a column of the pair is constant, also with itself. The columns are one
+    vector: its products are summed as one matrix that merges over tasks, for any number of
+    columns; the driver receives columns x columns numbers.
     """
     full = df.select(*[F.col(c).cast("double").alias(c) for c in columns]).dropna()
-    pairs = list(combinations(range(len(columns)), 2))
-    # several values, so neither deviation is zero
-    varies = [F.min(c) < F.max(c) for c in columns]
-    row = full.agg(
-        *[
-            F.try_divide(F.covar_samp(columns[i], columns[j]), F.stddev_samp(columns[i]) * F.stddev_samp(columns[j])).alias(f"r{i}_{j}")
-            for i, j in pairs
-        ],
-        *[v.alias(f"v{i}") for i, v in enumerate(varies)],
-    )
-    cells = []
-    for i, a in enumerate(columns):
-        for j, b in enumerate(columns):
-            r = F.when(F.col(f"v{i}") & F.col(f"v{j}"), F.lit(1.0) if i == j else F.col(f"r{min(i, j)}_{max(i, j)}"))
-            cells.append(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), r.alias("corr")))
-    return row.select(F.inline(F.array(*cells)))
+    vectors = full.select(array_to_vector(F.array(*[F.col(X.quoted(c)) for c in columns])).alias("v"))
+    about = vectors.select(Summarizer.metrics("count", "min", "max").summary(F.col("v")).alias("s")).select("s.*").first()
+    matrix = Correlation.corr(vectors, "v").first()[0].toArray() if about["count"] > 1 else None
+    varies = [about["count"] > 1 and about["min"][i] < about["max"][i] for i in range(len(columns))]
+    rows = [
+        (a, b, (1.0 if i == j else float(matrix[i, j])) if varies[i] and varies[j] else None)
+        for i, a in enumerate(columns)
+        for j, b in enumerate(columns)
+    ]
+    kinds = T.StructType([T.StructField("a", T.StringType()), T.StructField("b", T.StringType()), T.StructField("corr", T.DoubleType())])
+    return selection.small_table(df.sparkSession, rows, kinds)
 
 
 def histogram(df, column, bins=50, clip_upper=None) -> DataFrame:

@@ -43,6 +43,8 @@ class Prepared:
     previous: DataFrame
     income_cap: float | None
     report: DataFrame
+    rows: int
+    test_rows: int
 
 
 def prepare(tables: dict, target=S.TARGET) -> Prepared:
@@ -69,24 +71,33 @@ def prepare(tables: dict, target=S.TARGET) -> Prepared:
         previous=clean_previous(tables["previous_application"]),
         income_cap=cap,
         report=report,
+        rows=app.count(),           # of stored files
+        test_rows=test.count(),
     )
 
 
-def run_prepare(spark, raw, out, fmt="csv", verify=True) -> Prepared:
-    """Reads the raw tables, writes splits, adversarial set, cap and report under `out`."""
+def run_prepare(spark, raw, out, fmt="csv", verify=True, profiles=True) -> Prepared:
+    """Reads the raw tables, writes splits, adversarial set, cap, report and profile tables under `out`.
+
+    Verification scans nothing again: what went in and what was written are counted from the
+    numbers in the stored files.
+    """
     names = ("application_train", "application_test", "previous_application")
     done = prepare(IO.read_tables(spark, raw, names, fmt))
     IO.write_split(done.splits, f"{out}/splits")
     IO.write_split(done.adversarial, f"{out}/adversarial", column="part")
     IO.write_value(spark, f"{out}/income_cap", "income_cap", done.income_cap)
     IO.write_report(done.report, f"{out}/quality_report")
+    stored = spark.read.parquet(f"{out}/splits")
     if verify:
-        rows = IO.verify_written(done.splits, f"{out}/splits", column="split")
-        IO.verify_written(done.adversarial, f"{out}/adversarial", column="part")
-        stored = spark.read.parquet(f"{out}/splits")
+        rows = IO.verify_written(done.splits, f"{out}/splits", "split", done.rows)
+        IO.verify_written(done.adversarial, f"{out}/adversarial", "part", 2 * min(done.rows, done.test_rows))
         profile.assert_split_sizes(stored, rows)
         val = IO.read_split(spark, f"{out}/adversarial", "val", "part", names=None)
         profile.assert_balanced(val, "ADV_LABEL")
+    if profiles:
+        for name, table in prepare_profile(stored, done.income_cap).items():
+            table.write.mode("overwrite").parquet(f"{out}/profile/{name}")
     return done
 
 
@@ -103,9 +114,12 @@ def full_audit(
     scored, q1, q2, out=None, min_count=S.RARE_MIN_COUNT, kept=None,
     min_rows=S.CELL_MIN_ROWS, min_defaults=S.CELL_MIN_DEFAULTS,
 ) -> Audit:
-    """Three families, three metrics each; passes only if all nine do."""
+    """Three families, three metrics each; passes only if all nine do.
+
+    The cells are stored once; verdicts and files come from them.
+    """
     grouped = fairness.derive_groups(scored, q1, q2, min_count, kept)
-    cells = fairness.audit_cells(grouped, min_rows=min_rows, min_defaults=min_defaults)
+    cells = materialize(fairness.audit_cells(grouped, min_rows=min_rows, min_defaults=min_defaults))
     verdicts = fairness.family_verdicts(cells)
     if out:
         IO.write_audit(cells, out)
@@ -177,11 +191,13 @@ def prepare_profile(splits, cap, target=S.TARGET) -> dict[str, DataFrame]:
 
 
 def evaluation_tables(scored, target=S.TARGET, score="CALIBRATED_PD") -> dict[str, DataFrame]:
-    sweep = evaluate.f_beta_sweep(scored, target, score)
+    """ROC points and area share one curve, the best threshold reads the stored sweep."""
+    base = evaluate.curve(scored, target, score)
+    sweep = materialize(evaluate.f_beta_sweep(scored, target, score))
     return {
         "confusion": evaluate.confusion_matrix(scored, target, score),
-        "roc": evaluate.roc_points(scored, target, score),
-        "auc": evaluate.auc(scored, target, score),
+        "roc": evaluate.roc_points(base),
+        "auc": evaluate.auc(base),
         "fbeta_sweep": sweep,
         "best_threshold": evaluate.best_threshold(sweep),
     }

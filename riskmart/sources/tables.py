@@ -1,5 +1,8 @@
 """Typed readers and writers. Files are Parquet, CSV or JSON in any Spark file system."""
 
+import json
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from riskmart import schema as S
@@ -17,6 +20,34 @@ def check_table_names(names) -> None:
         raise ValueError(f"unknown tables: {unknown}")
 
 
+# Kinds of values in a text column, from narrow to wide; a column is of its widest value's kind.
+NO_VALUE, WHOLE, NUMBER, TEXT = range(4)
+WHOLE_FORM = r"^\\s*[+-]?[0-9]+\\s*$"
+NUMBER_FORM = r"^\\s*[+-]?([0-9]+[.]?[0-9]*|[.][0-9]+)([eE][+-]?[0-9]+)?\\s*$|^\\s*[+-]?([iI]nf|INF|[iI]nfinity|INFINITY)\\s*$"
+
+
+def infer_types(df, columns=None) -> dict:
+    """The type of each text column: long < double < text, the narrowest that holds all its values.
+
+    One aggregate over all rows: every value has a kind, and kinds combine by their maximum,
+    within tasks first. A column without any value is double; whole numbers beyond 64 bits are
+    doubles.
+    """
+    columns = list(df.columns if columns is None else columns)
+    if not columns:
+        return {}
+    values = ", ".join(X.quoted(c) for c in columns)
+    kind = (
+        f"case when v is null then {NO_VALUE}"
+        f" when v rlike '{WHOLE_FORM}' and try_cast(trim(v) as bigint) is not null then {WHOLE}"
+        f" when v rlike '{NUMBER_FORM}' then {NUMBER} else {TEXT} end"
+    )
+    cells = df.selectExpr(f"posexplode(array({values})) as (i, v)")
+    kinds = dict(cells.groupBy("i").agg(F.expr(f"max({kind})")).collect())                 # one per column
+    types = {NO_VALUE: T.DoubleType(), WHOLE: T.LongType(), NUMBER: T.DoubleType(), TEXT: T.StringType()}
+    return {c: types[kinds.get(i, NO_VALUE)] for i, c in enumerate(columns)}
+
+
 def to_type(c, data_type):
     """Text to a typed value; text that is no such value fails the job."""
     if isinstance(data_type, (T.LongType, T.IntegerType)):
@@ -27,8 +58,12 @@ def to_type(c, data_type):
     return c.cast(data_type)
 
 
-def read_csv(spark, path, types=None, columns=None, multi_line=False) -> DataFrame:
-    """CSV with a header. Missing markers become NULL; unlisted columns stay text."""
+def read_csv(spark, path, types=None, columns=None, multi_line=False, infer=True) -> DataFrame:
+    """CSV with a header. Missing markers become NULL.
+
+    Columns without a given type get the one that `infer_types` finds, at the cost of a pass
+    over them; with `infer=False` they stay text.
+    """
     text = (
         spark.read.option("header", True)
         .option("escape", '"')
@@ -36,13 +71,15 @@ def read_csv(spark, path, types=None, columns=None, multi_line=False) -> DataFra
         .option("inferSchema", False)
         .csv(path)
     )
-    types = types or {}
-    wanted = columns or text.columns
-    exprs = []
-    for c in wanted:
-        value = F.when(~F.col(c).isin(list(S.MISSING_MARKERS)), F.col(c))
-        exprs.append((to_type(value, types[c]) if c in types else value).alias(c))
-    return text.select(*exprs)
+    types = dict(types or {})
+    wanted = list(columns or text.columns)
+    missing = [F.when(~F.col(X.quoted(c)).isin(list(S.MISSING_MARKERS)), F.col(X.quoted(c))).alias(c) for c in wanted]
+    text = text.select(*missing)
+    if infer:
+        types.update(infer_types(text, [c for c in wanted if c not in types]) if set(wanted) - set(types) else {})
+    return text.select(*[
+        (to_type(F.col(X.quoted(c)), types[c]) if c in types else F.col(X.quoted(c))).alias(c) for c in wanted
+    ])
 
 
 def read_parquet(spark, path, types=None, columns=None) -> DataFrame:
@@ -104,10 +141,14 @@ def read_split(spark, path, name, column="split", names=S.SPLIT_NAMES) -> DataFr
     return spark.read.parquet(path).where(F.col(column) == name).drop(column)
 
 
-def verify_written(df, path, column=None) -> int:
-    """Row count and schema of what was written, against the source; returns the rows."""
+def verify_written(df, path, column=None, rows=None) -> int:
+    """Row count and schema of what was written, against the source; returns the rows.
+
+    With `rows`, known from the source's own files, the source is not read again, and the rows
+    that are stored are counted from the files' numbers: no row is scanned.
+    """
     stored = df.sparkSession.read.parquet(path)
-    wanted, found = df.count(), stored.count()
+    wanted, found = df.count() if rows is None else rows, stored.count()
     if wanted != found:
         raise ValueError(f"{path} holds {found} of {wanted} rows")
     skip = {column} if column else set()
@@ -131,11 +172,14 @@ def read_value(spark, path, name, kind="double"):
 
 
 def write_audit(cells, path) -> None:
-    """One CSV folder per family, 13 columns; audits are a few dozen rows."""
-    families = [r[0] for r in cells.select("family").distinct().collect()]
-    for family in families:
-        one = cells.where(F.col("family") == family).select(*S.AUDIT_COLS).orderBy("group_value")
-        one.coalesce(1).write.mode("overwrite").option("header", True).csv(f"{path}/audit_{family}")
+    """A CSV per family, 13 columns, one write; audits are a few dozen rows, so a file each will do."""
+    rows = cells.select("family", *S.AUDIT_COLS).repartition(1).sortWithinPartitions("family", "group_value")
+    rows.write.mode("overwrite").option("header", True).partitionBy("family").csv(f"{path}/audit")
+
+
+def read_audit(spark, path, family) -> DataFrame:
+    """The CSV of one family, as text."""
+    return spark.read.option("header", True).csv(f"{path}/audit").where(F.col("family") == family).drop("family")
 
 
 def write_report(report, path) -> None:
@@ -146,18 +190,29 @@ def write_report(report, path) -> None:
 # -- fitted builder ----------------------------------------------------------
 
 def path_exists(spark, path) -> bool:
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop)
+    try:
+        spark.read.text(path)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return False
+    return True
 
 
 def load_or_fit_builder(spark, path, fit) -> FeatureBuilderModel:
     """The saved builder, or a newly fitted one that is saved there.
 
-    Anything else stored under the path is an error.
+    Something else stored under the path is a TypeError; errors of the storage stay what they are.
     """
     if not path_exists(spark, path):
         fit().write().save(path)
-    try:
-        return FeatureBuilderModel.load(path)
-    except Exception as error:
-        raise TypeError(f"{path} must contain a FeatureBuilderModel") from error
+    stored = None
+    if path_exists(spark, f"{path}/metadata"):
+        line = spark.read.text(f"{path}/metadata").first()
+        try:
+            stored = json.loads(line["value"])["class"] if line else None
+        except (ValueError, KeyError, TypeError):
+            stored = None
+    if stored != f"{FeatureBuilderModel.__module__}.{FeatureBuilderModel.__name__}":
+        raise TypeError(f"{path} must contain a FeatureBuilderModel")
+    return FeatureBuilderModel.load(path)

@@ -10,7 +10,7 @@ def test_hand_worked_values(spark):
     base = credit.applications(spark).select("SK_ID_CURR")
     mart = A.full_mart(base, credit.children(spark))
     assert mart.columns == ["SK_ID_CURR", *S.AGGREGATE_FEATURES]
-    row = credit.one(mart, "SK_ID_CURR", 100001)
+    row = credit.one(mart, "SK_ID_CURR", 41)
     # loans 31 (refused, paid 9 days late, active) and 36 (approved, 3 days late, completed)
     expected = {
         "INST_RECORD_COUNT": 2, "INST_DPD_MEAN": 6, "INST_DPD_MAX": 9, "INST_LATE_COUNT": 2,
@@ -90,10 +90,10 @@ def test_means_weigh_rows_not_links(spark):
 
 def test_carried_key_must_agree(spark):
     parents = credit.frame(spark, credit.PREVIOUS, [{}])
-    good = credit.frame(spark, credit.POS, [{"SK_ID_CURR": 100001}, {"SK_ID_CURR": 100001}])
+    good = credit.frame(spark, credit.POS, [{"SK_ID_CURR": 41}, {"SK_ID_CURR": 41}])
     assert credit.one(A.pos_features(good, parents))["POS_RECORD_COUNT"] == 2
     for wrong in (7, None):
-        bad = credit.frame(spark, credit.POS, [{"SK_ID_CURR": 100001}, {"SK_ID_CURR": wrong}])
+        bad = credit.frame(spark, credit.POS, [{"SK_ID_CURR": 41}, {"SK_ID_CURR": wrong}])
         with pytest.raises(Exception, match="pos cash rows carry a SK_ID_CURR that differs"):
             A.pos_features(bad, parents).collect()
         assert A.pos_features(bad, parents, validate=False).count() == 1
@@ -107,7 +107,7 @@ def test_mart_rejects_repeated_applicants(spark):
 
 def test_mart_keeps_applicants_without_children(spark):
     base = credit.applications(spark, 5).select("SK_ID_CURR")
-    row = credit.one(A.full_mart(base, credit.children(spark, 4)), "SK_ID_CURR", 100005)
+    row = credit.one(A.full_mart(base, credit.children(spark, 4)), "SK_ID_CURR", 45)
     assert all(row[c] is None for c in S.AGGREGATE_FEATURES)
 
 

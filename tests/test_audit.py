@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from riskmart import schema as S
 from riskmart.operators import evaluate as E, explain as EX, fairness as FA
 from riskmart.plans import jobs
+from riskmart.sources.tables import read_audit
 
 SCHEMA = (
     "SK_ID_CURR long, TARGET int, CALIBRATED_PD double, DECISION string, AMT_INCOME_TOTAL double,"
@@ -162,7 +163,7 @@ def test_full_audit_equals_three_single_audits(spark, tmp_path):
     assert len(verdicts) == 3
     assert audit.passed == all(v["di"] and v["eod"] and v["brier"] for v in verdicts)
     for family in FA.FAMILIES:
-        stored = spark.read.option("header", True).csv(str(tmp_path / f"audit_{family}"))
+        stored = read_audit(spark, str(tmp_path), family)
         assert stored.columns == list(S.AUDIT_COLS)
         assert stored.count() == cells.where(F.col("family") == family).count()
 

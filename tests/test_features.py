@@ -1,3 +1,5 @@
+import statistics
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -105,11 +107,12 @@ def test_imputers_and_scaler(spark):
 
 def test_application_features(spark):
     df = credit.applications(spark, 2, EXT_SOURCE_2=lambda i: None if i == 2 else 0.4)
-    row = credit.one(FE.application_features(df), "SK_ID_CURR", 100001)
-    assert row["AGE_YEARS"] == pytest.approx(12000 / 365)
-    assert row["CREDIT_INCOME_RATIO"] == pytest.approx(250000 / 120000)
-    assert row["EXT_SOURCE_MEAN"] == pytest.approx(0.4) and row["EXT_SOURCE_STD"] == pytest.approx(0.2)
-    assert row["SOCIAL_CIRCLE_SUM"] == 2 and row["BUREAU_REQUEST_SUM"] == 3
+    row = credit.one(FE.application_features(df), "SK_ID_CURR", 41)
+    assert row["AGE_YEARS"] == pytest.approx(42.0)
+    assert row["CREDIT_INCOME_RATIO"] == pytest.approx(91450 / 51700)
+    scores = [0.71, 0.4, 0.53]
+    assert row["EXT_SOURCE_MEAN"] == pytest.approx(1.64 / 3) and row["EXT_SOURCE_STD"] == pytest.approx(statistics.stdev(scores))
+    assert row["SOCIAL_CIRCLE_SUM"] == 10 and row["BUREAU_REQUEST_SUM"] == 19
     for c in ("AMT_INCOME_TOTAL_CAPPED", "DAYS_EMPLOYED_ANOM"):
         with pytest.raises(ValueError, match=c):
             FE.application_features(df.drop(c))
@@ -122,8 +125,8 @@ def train(spark, n=40):
         spark, n,
         AMT_CREDIT=lambda i: 200000.0 + 1000 * i,
         OWN_CAR_AGE=lambda i: None if i % 2 else float(i),
-        NAME_CONTRACT_TYPE=lambda i: "Cash loans" if i > 8 else "Revolving loans",
-        OCCUPATION_TYPE=lambda i: None if i <= 12 else "Laborers",
+        NAME_CONTRACT_TYPE=lambda i: "Instalments" if i > 8 else "Overdraft",
+        OCCUPATION_TYPE=lambda i: None if i <= 12 else "Welder",
     )
 
 
@@ -138,16 +141,16 @@ def test_reduced_builder_contract(spark):
     dummies = [c for c in model.encoded_columns if c.startswith(S.CATEGORICAL_COLS)]
     flags = [c for c in model.encoded_columns if c.endswith("_IS_MISSING")]
     assert flags == ["OWN_CAR_AGE_IS_MISSING"]
-    assert "NAME_CONTRACT_TYPE_OTHER" in dummies and "NAME_CONTRACT_TYPE_Cash loans" in dummies
-    assert {"OCCUPATION_TYPE_Laborers", "OCCUPATION_TYPE_MISSING"} <= set(dummies)
+    assert "NAME_CONTRACT_TYPE_OTHER" in dummies and "NAME_CONTRACT_TYPE_Instalments" in dummies
+    assert {"OCCUPATION_TYPE_Welder", "OCCUPATION_TYPE_MISSING"} <= set(dummies)
     assert "OCCUPATION_TYPE_OTHER" not in dummies
     same = plain.select("SK_ID_CURR", *dummies, *flags)
     assert same.exceptAll(linear.select("SK_ID_CURR", *dummies, *flags)).count() == 0
     assert plain.where("OWN_CAR_AGE is null").count() == 20
     assert linear.where("OWN_CAR_AGE is null").count() == 0
     scales, imputers = model.getOrDefault("scales"), model.getOrDefault("imputers")
-    a = credit.one(plain, "SK_ID_CURR", 100003)
-    b = credit.one(linear, "SK_ID_CURR", 100003)
+    a = credit.one(plain, "SK_ID_CURR", 43)
+    b = credit.one(linear, "SK_ID_CURR", 43)
     assert b["AMT_CREDIT"] == pytest.approx(a["AMT_CREDIT"] / scales["AMT_CREDIT"])
     assert b["OWN_CAR_AGE"] == pytest.approx(imputers["OWN_CAR_AGE"] / scales["OWN_CAR_AGE"])
     assert imputers["OWN_CAR_AGE"] == 21.0
@@ -159,7 +162,7 @@ def test_unseen_categories(spark):
     new = credit.applications(spark, 1, NAME_CONTRACT_TYPE=lambda i: "New", OCCUPATION_TYPE=lambda i: "New")
     row = credit.one(FE.build_reduced(new, model))
     assert row["NAME_CONTRACT_TYPE_OTHER"] == 1.0
-    assert row["OCCUPATION_TYPE_Laborers"] == row["OCCUPATION_TYPE_MISSING"] == 0.0
+    assert row["OCCUPATION_TYPE_Welder"] == row["OCCUPATION_TYPE_MISSING"] == 0.0
 
 
 def test_small_categories_all_become_other(spark):
@@ -167,7 +170,7 @@ def test_small_categories_all_become_other(spark):
     model = FE.fit_reduced_builder(app)
     dummies = [f"{c}_{v}" for c, v in model.getOrDefault("dummies")]
     assert dummies == [f"{c}_OTHER" for c in S.CATEGORICAL_COLS]
-    assert credit.one(FE.build_reduced(app, model), "SK_ID_CURR", 100001)["OCCUPATION_TYPE_OTHER"] == 1.0
+    assert credit.one(FE.build_reduced(app, model), "SK_ID_CURR", 41)["OCCUPATION_TYPE_OTHER"] == 1.0
 
 
 def test_absent_inputs_and_empty_frame(spark):

@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.regression import IsotonicRegression
-from pyspark.sql import functions as F
+from pyspark.sql import functions as F, types as T
 
 import credit
 from riskmart import schema as S
@@ -40,6 +40,50 @@ def test_csv_markers_types_and_quotes(spark, tmp_path):
     assert few.columns == ["SK_ID_CURR"] and few.count() == 2
 
 
+def test_csv_types_of_unlisted_columns(spark, tmp_path):
+    """long < double < text: one value of a wider kind widens the column, wherever it lies."""
+    wide = ["7", "-3", "+12", " 5 ", "007", "NA", ""] * 30
+    columns = {
+        "WHOLE": wide, "REAL": wide + ["2.50"], "SMALL": wide + ["1e-3"], "DOT": wide + [".5"], "INF": wide + ["-inf"],
+        "HUGE": wide + ["9223372036854775808"], "MIXED": wide + ["7d"], "HEX": wide + ["0x10"], "DATE": wide + ["2020-01-02"],
+        "NOTHING": ["NA", "", "null"] * 70, "LOGICAL": ["True", "False"] * 100, "A b,c": wide,
+    }
+    rows = max(map(len, columns.values()))
+    lines = [",".join(f'"{c}"' for c in columns)]
+    lines += [",".join(v[i] if i < len(v) else "" for v in columns.values()) for i in range(rows)]
+    (tmp_path / "t.csv").write_text("\n".join(lines) + "\n")
+    df = IO.read_csv(spark, str(tmp_path / "t.csv"))
+    kinds = {"WHOLE": "bigint", "MIXED": "string", "HEX": "string", "DATE": "string", "LOGICAL": "string", "A b,c": "bigint"}
+    assert dict(df.dtypes) == {c: kinds.get(c, "double") for c in columns}
+    sums = df.agg(F.sum("WHOLE"), F.sum("REAL"), F.max("HUGE"), F.min("INF"), F.count("NOTHING")).first()
+    assert tuple(sums) == (28 * 30, 28 * 30 + 2.5, 2.0**63, float("-inf"), 0)
+    assert set(dict(IO.read_csv(spark, str(tmp_path / "t.csv"), infer=False).dtypes).values()) == {"string"}
+    few = IO.read_csv(spark, str(tmp_path / "t.csv"), {"WHOLE": T.DoubleType()}, ["WHOLE", "MIXED"])
+    assert few.dtypes == [("WHOLE", "double"), ("MIXED", "string")]
+
+
+def test_types_come_from_one_aggregate(spark):
+    df = spark.range(10).selectExpr("cast(id as string) as a", "'x' as b", "cast(null as string) as c")
+    assert {c: t.simpleString() for c, t in IO.infer_types(df).items()} == {"a": "bigint", "b": "string", "c": "double"}
+    assert IO.infer_types(df, []) == {} and IO.infer_types(df.where("false"))["b"].simpleString() == "double"
+
+
+def test_verification_does_not_read_the_source_again(spark, tmp_path):
+    source, path = tmp_path / "source", str(tmp_path / "splits")
+    spark.range(1000).selectExpr("id", "if(id < 600, 'train', 'test') as split").write.parquet(str(source))
+    df = spark.read.parquet(str(source))
+    rows = df.count()
+    IO.write_split(df, path)
+    for file in source.iterdir():
+        file.unlink()
+    assert IO.verify_written(df, path, "split", rows) == 1000
+    P.assert_split_sizes(spark.read.parquet(path), rows)
+    with pytest.raises(ValueError, match="holds 1000 of 999 rows"):
+        IO.verify_written(df, path, "split", 999)
+    plan = P.split_sizes(spark.read.parquet(path))._jdf.queryExecution().executedPlan().toString()
+    assert "ReadSchema: struct<>" in plan
+
+
 def test_csv_bad_number_fails(spark, tmp_path):
     (tmp_path / "bureau.csv").write_text("SK_ID_CURR,DAYS_CREDIT\n1,soon\n")
     with pytest.raises(Exception, match="soon"):
@@ -89,13 +133,13 @@ def raw_applications(spark, n, target=True):
     rows = []
     for i in range(1, n + 1):
         rows.append({
-            "SK_ID_CURR": 100000 + i, "TARGET": int(rng.random() < 0.2),
+            "SK_ID_CURR": 40 + i, "TARGET": int(rng.random() < 0.2),
             "AMT_INCOME_TOTAL": float(rng.randrange(20000, 400000)),
             "DAYS_EMPLOYED": 365243.0 if i % 5 == 0 else -float(rng.randrange(3000)),
             "DAYS_ID_PUBLISH": -float(rng.randrange(50)), "DAYS_REGISTRATION": -float(rng.randrange(50)),
             "EXT_SOURCE_1": rng.choice([None, rng.random()]), "EXT_SOURCE_2": rng.random(),
             "EXT_SOURCE_3": rng.random(), "AMT_CREDIT": float(rng.randrange(10000, 900000)),
-            "CNT_CHILDREN": rng.randrange(4), "NAME_CONTRACT_TYPE": rng.choice(["Cash loans", "Revolving loans"]),
+            "CNT_CHILDREN": rng.randrange(4), "NAME_CONTRACT_TYPE": rng.choice(["Instalments", "Overdraft"]),
         })
     df = credit.frame(spark, credit.APPLICATION, rows).drop("AMT_INCOME_TOTAL_CAPPED", "DAYS_EMPLOYED_ANOM")
     return df if target else df.drop("TARGET")
@@ -126,7 +170,8 @@ def test_prepare_audit_and_stream(spark, tmp_path):
     assert stored.where(F.col("AMT_INCOME_TOTAL_CAPPED") > done.income_cap).count() == 0
     assert stored.where("DAYS_EMPLOYED = 365243").count() == 0
     assert stored.where("DAYS_EMPLOYED_ANOM = 1").count() == 80
-    assert done.previous.where("DAYS_FIRST_DRAWING_ANOM = 1 and DAYS_FIRST_DRAWING is null").count() == 400
+    # one loan, and a second one for every other applicant
+    assert done.previous.where("DAYS_FIRST_DRAWING_ANOM = 1 and DAYS_FIRST_DRAWING is null").count() == 600
     report = json.loads(spark.read.text(f"{out}/quality_report").first()[0])
     assert report["total_rows"] == 400 and report["split_sizes"] == sizes
     assert report["sentinel_counts"] == {"DAYS_EMPLOYED_365243": 80}
@@ -135,7 +180,7 @@ def test_prepare_audit_and_stream(spark, tmp_path):
     bundle = spark.read.parquet(f"{out}/adversarial")
     assert bundle.count() == 240 and bundle.where("part = 'val'").count() == 48
 
-    charts = jobs.prepare_profile(stored, done.income_cap)
+    charts = {name: spark.read.parquet(f"{out}/profile/{name}") for name in jobs.prepare_profile(stored, done.income_cap)}
     assert charts["employed_clean"].agg(F.sum("n")).first()[0] == 320
     assert charts["employed_raw"].agg(F.sum("n")).first()[0] == 400
     assert charts["income_capped"].count() == 60 and charts["correlations"].count() == 16
@@ -170,7 +215,7 @@ def test_prepare_audit_and_stream(spark, tmp_path):
     assert spark.read.parquet(f"{out}/audit/local_examples").count() == 3
     assert spark.read.parquet(f"{out}/audit/confusion").agg(F.sum("n")).first()[0] == 80
     for family in ("primary", "secondary", "tertiary"):
-        assert spark.read.option("header", True).csv(f"{out}/audit/audit_{family}").columns == list(S.AUDIT_COLS)
+        assert IO.read_audit(spark, f"{out}/audit", family).columns == list(S.AUDIT_COLS)
 
     # The same builder over a stream, with the child-table features on the row.
     flat = test.join(

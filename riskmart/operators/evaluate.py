@@ -2,11 +2,13 @@
 
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, functions as F
 
 from riskmart import schema as S
 from riskmart.functions import expr as X
+from riskmart.lineage import materialize
 from riskmart.operators.ordering import bucket_of, running_sums
 
 THRESHOLDS = [0.01 + i * 0.01 for i in range(99)]
@@ -139,21 +141,91 @@ def best_threshold(sweep) -> DataFrame:
     return sweep.orderBy(F.desc("fbeta"), F.asc("threshold")).limit(1)
 
 
+# -- calibration -------------------------------------------------------------
+
+def _pooled(low, high, rows, hits):
+    """Pools neighbouring blocks until their shares of hits rise; whole numbers, so exactly."""
+    out = []
+    for block in zip(low.tolist(), high.tolist(), rows.tolist(), hits.tolist()):
+        while out and out[-1][3] * block[2] >= block[3] * out[-1][2]:
+            lo, _, n, k = out.pop()
+            block = lo, block[1], n + block[2], k + block[3]
+        out.append(block)
+    return out
+
+
+def calibration_blocks(df, target=S.TARGET, score="RAW_PD") -> DataFrame:
+    """(low, high, n, hits), stored: isotonic regression of a 0/1 target on a score.
+
+    Pool-adjacent-violators: rows become distinct scores with their counts, each range
+    partition of them pools its own, and what remains is pooled once more. Shares rise from
+    block to block, and N rows of a 0/1 target have at most about 3 N^(2/3) different rising shares,
+    so that the last step is small. Rows without score or target take no part.
+    """
+    counted = score_counts(df, target, score).where("pos + neg > 0")
+    cells = counted.selectExpr("threshold as low", "threshold as high", "pos + neg as n", "pos as hits")
+
+    def pool(batches):
+        parts = [b for b in batches if b.num_rows]
+        if not parts:
+            return
+        table = pa.Table.from_batches(parts)
+        blocks = _pooled(*(table.column(i).to_numpy() for i in range(4)))
+        columns = [pa.array(c) for c in zip(*blocks)]
+        yield pa.RecordBatch.from_arrays(columns, names=["low", "high", "n", "hits"])
+
+    kinds = "low double, high double, n long, hits long"
+    partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    local = materialize(cells.repartitionByRange(partitions, "low").sortWithinPartitions("low").mapInArrow(pool, kinds))
+    return materialize(local.repartition(1).sortWithinPartitions("low").mapInArrow(pool, kinds))
+
+
+@dataclass
+class Calibration:
+    """Fitted blocks of rising shares; between two blocks a score's share is interpolated."""
+
+    low: list
+    high: list
+    share: list
+
+    @classmethod
+    def fit(cls, df, target=S.TARGET, score="RAW_PD"):
+        blocks = calibration_blocks(df, target, score).orderBy("low").toArrow()
+        low, high, n, hits = (blocks.column(i).to_pylist() for i in range(4))
+        return cls(low, high, [k / m for k, m in zip(hits, n)])
+
+    def transform(self, df, score="RAW_PD", output="CALIBRATED_PD") -> DataFrame:
+        """Adds the calibrated score; missing scores stay missing, those outside get the end's share."""
+        if not self.low:
+            return df.withColumn(output, F.lit(None).cast("double"))
+        numbers = {k: X.number_array(v, "double") for k, v in vars(self).items()}
+        at = lambda name, step=0: F.get(numbers[name], F.col("__block") + step)
+        score_of = F.col(score)
+        way = (score_of - at("high")) / (at("low", 1) - at("high"))
+        between = at("share") + (at("share", 1) - at("share")) * way
+        inside = (score_of <= at("high")) | (F.col("__block") == len(self.low) - 1)
+        placed = bucket_of(df, score, self.low[1:], "__block") if len(self.low) > 1 else df.withColumn("__block", F.lit(0))
+        value = F.when(score_of.isNotNull(), F.when(inside, at("share")).otherwise(between))
+        return placed.withColumn(output, value).drop("__block")
+
+
 def score_batch(
     features, model, calibrator=None, score="CALIBRATED_PD", decision="DECISION",
     probability="probability", positive=1,
 ) -> DataFrame:
-    """Scores, calibrates and bands rows with fitted Spark ML models; lazy.
+    """Scores, calibrates and bands rows with fitted models; lazy.
 
-    `model` adds a probability vector. `calibrator` is a fitted isotonic model that
-    takes the raw score from `RAW_PD`; without one the raw score stands. A score that is no
-    number is missing.
+    `model` adds a probability vector. `calibrator` is a Calibration, or a fitted isotonic model
+    of Spark ML, that takes the raw score from `RAW_PD`; without one the raw score stands. A
+    score that is no number is missing.
     """
     scored = model.transform(features).withColumn(
         "RAW_PD", X.nan_to_null(vector_to_array(F.col(probability)).getItem(positive))
     )
     if calibrator is None:
         scored = scored.withColumn(score, F.col("RAW_PD"))
+    elif isinstance(calibrator, Calibration):
+        scored = calibrator.transform(scored, "RAW_PD", score)
     else:
         scored = calibrator.transform(scored).withColumnRenamed(
             calibrator.getOrDefault("predictionCol"), score

@@ -325,30 +325,39 @@ class FeatureBuilderModel(Model, _BuilderParams, DefaultParamsReadable, DefaultP
         dummies = [f"{c}_{v}" for c, v in self.getOrDefault("dummies")]
         return [*self.getOrDefault("numericCols"), *flags, *dummies]
 
+    def _cells(self, given) -> list[str]:
+        """The encoded columns in order, as SQL over the input columns."""
+        get = lambda p: self.getOrDefault(p)
+        linear, imputers, scales = get("forLinear"), get("imputers"), get("scales")
+        value = lambda c, kind: f"cast({X.quoted(c)} as {kind})" if c in given else f"cast(null as {kind})"
+        cells = []
+        for c in get("numericCols"):
+            number = value(c, "double")
+            if linear:
+                number = f"coalesce({number}, {X.sql_number(float(imputers[c]))}) / {X.sql_number(float(scales[c]))}"
+            cells.append(number)
+        cells += [f"cast({value(c, 'string')} is null as double)" for c in get("flagColumns")]
+        for c, v in get("dummies"):
+            filled, kept = f"coalesce({value(c, 'string')}, {X.sql_text(get('fill'))})", get("keptCategories")[c]
+            is_value = f"{filled} = {X.sql_text(v)}" if v in kept else "false"
+            if v == get("other"):
+                # every value that is not kept
+                rest = f"{filled} not in ({', '.join(map(X.sql_text, kept))})" if kept else "true"
+                is_value = f"({is_value} or {rest})"
+            cells.append(f"cast({is_value} as double)")
+        return cells
+
     def _transform(self, df):
         get = lambda p: self.getOrDefault(p)
-        inputs = self.pre_model_columns
-        carried = [c for c in df.columns if c not in inputs]
-        types = {c: T.DoubleType() for c in get("numericCols")}
-        types.update({c: T.StringType() for c in get("categoricalCols")})
-        given = set(df.columns)
-        absent = {c: F.lit(None).cast(types[c]) for c in inputs if c not in given}
-        out = df.withColumns(absent) if absent else df
-        out = categories.apply_rare_map(out, get("keptCategories"), get("fill"), get("other"))
-        out = apply_missing_flags(out, get("flagColumns"))
-        if get("forLinear"):
-            out = apply_scaler(apply_fill(out, get("imputers")), get("scales"))
-        out = one_hot(out, [tuple(d) for d in get("dummies")])
-        encoded = self.encoded_columns
-        carried = [c for c in carried if c not in encoded]
-        out = out.selectExpr(
-            *[X.quoted(c) for c in carried],
-            *[f"cast({X.quoted(c)} as double) as {X.quoted(c)}" for c in encoded],
-        )
+        encoded, inputs = self.encoded_columns, set(self.pre_model_columns)
+        carried = [X.quoted(c) for c in df.columns if c not in inputs and c not in encoded]
+        # cells are told apart by their place: names of values may differ in case only
+        rows = df.selectExpr(*carried, f"array({', '.join(self._cells(set(df.columns)))}) as `__cells`")
+        out = [F.expr(c) for c in carried] + [F.get("__cells", F.lit(i)).alias(c) for i, c in enumerate(encoded)]
         if get("featuresCol"):
-            parts = ", ".join(f"coalesce({X.quoted(c)}, double('NaN'))" for c in encoded)
-            out = out.withColumn(get("featuresCol"), array_to_vector(F.expr(f"array({parts})")))
-        return out
+            known = F.transform("__cells", lambda x: F.coalesce(x, F.lit(float("nan"))))
+            out.append(array_to_vector(known).alias(get("featuresCol")))
+        return rows.select(*out)
 
 
 # -- credit preset -----------------------------------------------------------

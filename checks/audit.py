@@ -3,12 +3,14 @@
 from pyspark.sql import functions as F
 
 from checks.frames import (
-    THIRD, TWO_THIRDS, check, round_columns, rounded_sql, shape, shape_sql, table, with_shapes,
+    THIRD, TWO_THIRDS, check, round_columns, rounded_sql, scratch, shape, shape_sql, table, with_shapes,
 )
 from riskmart import schema as S
 from riskmart.functions import expr as X
+from riskmart.lineage import materialize
 from riskmart.operators import evaluate as E, explain as EX, fairness as FA
 from riskmart.plans import jobs
+from riskmart.sources import tables as IO
 
 BAND_SQL = ("case when CALIBRATED_PD < 0.15 then 'APPROVE' when CALIBRATED_PD < 0.35 then 'REVIEW'"
             " else 'DECLINE' end")
@@ -26,7 +28,7 @@ def audit_frame(spark, d):
 
 @check("income_tertile", with_shapes("audit") + f", {CUTS_SQL} select SK_ID_CURR, {TERTILE_SQL} as tertile from audit, cuts")
 def income_tertile(spark, d):
-    df = shape(spark, d, "audit")
+    df = materialize(shape(spark, d, "audit").select("SK_ID_CURR", "AMT_INCOME_TOTAL"))
     q1, q2 = jobs.income_cuts(df)
     return df.select("SK_ID_CURR", X.income_tertile("AMT_INCOME_TOTAL", q1, q2).alias("tertile"))
 
@@ -52,7 +54,8 @@ GROUPS_SQL = with_shapes("audit") + f""", {CUTS_SQL},
 
 
 def grouped_frame(spark, d):
-    df = audit_frame(spark, d)
+    """The scored applicants, stored once as in the audit job, with their groups."""
+    df = materialize(audit_frame(spark, d))
     return FA.derive_groups(df, *jobs.income_cuts(df))
 
 
@@ -159,6 +162,18 @@ def fair_audit(spark, d):
     return round_columns(FA.audit_cells(grouped_frame(spark, d)), FLOATS)
 
 
+@check("audit_files", AUDIT_SQL + f" select family, {ROUNDED_SQL} from metrics")
+def audit_files(spark, d):
+    """The audit's three CSV files, written and read back."""
+    df, path = materialize(audit_frame(spark, d)), scratch(spark, "audit")
+    jobs.full_audit(df, *jobs.income_cuts(df), out=path)
+    kinds = {c: "boolean" if c == "evaluable" or c.endswith("_pass") else "bigint" if c.startswith("n") else "double" for c in S.AUDIT_COLS}
+    kinds["group_value"] = "string"
+    files = [IO.read_audit(spark, path, f).withColumn("family", F.lit(f)) for f in FA.FAMILIES]
+    rows = files[0].unionByName(files[1]).unionByName(files[2])
+    return round_columns(rows.select("family", *[F.col(c).cast(t).alias(c) for c, t in kinds.items()]), FLOATS)
+
+
 @check("fair_family", AUDIT_SQL + """
     select family, coalesce(bool_and(di_pass) filter (where evaluable), false) as di,
            coalesce(bool_and(eod_pass) filter (where evaluable), false) as eod,
@@ -197,6 +212,19 @@ def roc_points(spark, d):
     return round_columns(E.roc_points(audit_frame(spark, d)), {"tpr": 6, "fpr": 6})
 
 
+@check("roc_corners", ROC_SQL + f""",
+    steps as (select *, lead(pos) over (order by threshold desc) as next_pos, lead(neg) over (order by threshold desc) as next_neg,
+              row_number() over (order by threshold desc) as place from curve)
+    select threshold, cast(tp as bigint) as tp, cast(fp as bigint) as fp,
+           {rounded_sql("tp / p")} as tpr, {rounded_sql("fp / n")} as fpr from steps
+    where place = 1 or next_pos is null or pos <> next_pos or neg <> next_neg
+    union all select null, 0, 0, {rounded_sql("0")}, {rounded_sql("0")}
+""")
+def roc_corners(spark, d):
+    """The curve without points between two equal steps."""
+    return round_columns(E.roc_points(audit_frame(spark, d), drop_collinear=True), {"tpr": 6, "fpr": 6})
+
+
 @check("auc", with_shapes("audit") + f"""
     , ranked as (select TARGET as y, rank() over (order by CALIBRATED_PD)
                  + (count(*) over (partition by CALIBRATED_PD) - 1) / 2 as r

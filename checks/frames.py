@@ -6,9 +6,12 @@ and children without a parent do not occur in the tables; the expressions make t
 from column values. No shape drops rows of its table.
 """
 
+from uuid import uuid4
+
 from pyspark.sql import functions as F
 
 from riskmart.functions.expr import quoted
+from riskmart.lineage import shared_folder
 
 CHECKS = {}
 
@@ -164,6 +167,11 @@ def with_shapes(*names):
     return "with " + ", ".join(f"{n} as {shape_sql(n)}" for n in names)
 
 
+def scratch(spark, name):
+    """A new path in the shared folder."""
+    return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid4().hex}"
+
+
 def check(name, sql=None):
     """Registers a query under a name, with its SQL if there is any."""
 

@@ -1,20 +1,21 @@
 """Scans, projections, joins, child-table roll-ups and the feature builder."""
 
-from uuid import uuid4
-
-from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.regression import IsotonicRegression
+from pyspark.ml.classification import NaiveBayes
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import functions as F, types as T
 
 from checks.frames import (
-    check, round_columns, rounded, rounded_sql, shape, shape_sql, table, with_shapes,
+    BUREAU, check, round_columns, rounded, rounded_sql, scratch, shape, shape_sql, table, with_shapes,
 )
 from riskmart import schema as S
 from riskmart.functions import expr as X
-from riskmart.lineage import materialize, shared_folder
-from riskmart.operators import aggregates as A, categories as C, evaluate as E, features as FE, keys as K
+from riskmart.lineage import materialize
+from riskmart.operators import (
+    aggregates as A, categories as C, encoding as EN, evaluate as E, features as FE, keys as K,
+)
 from riskmart.plans import jobs
 from riskmart.sources import tables as IO
+from riskmart.streaming import scoring
 
 MIN_COUNT = 60      # pooling threshold fit for the size of the test tables
 
@@ -64,19 +65,16 @@ def dup_keys(spark, d):
     return out[0].unionAll(out[1]).unionAll(out[2])
 
 
-UNFINISHED = "o_orderstatus = 'P'"
-
-
 @check("left_one_to_one", f"""
     select c_custkey, c_mktsegment, cast(n_orders as double) as n_orders, {rounded_sql("total", 4)} as total
     from customer left join (
         select o_custkey, count(*) as n_orders, sum(o_totalprice) as total
-        from orders where {UNFINISHED} group by o_custkey
+        from orders group by o_custkey
     ) on c_custkey = o_custkey
 """)
 def left_one_to_one(spark, d):
     features = (
-        table(spark, d, "orders").where(UNFINISHED).groupBy(F.col("o_custkey").alias("c_custkey"))
+        table(spark, d, "orders").groupBy(F.col("o_custkey").alias("c_custkey"))
         .agg(F.count("*").alias("n_orders"), F.sum("o_totalprice").alias("total"))
     )
     base = table(spark, d, "customer").select("c_custkey", "c_mktsegment")
@@ -84,15 +82,19 @@ def left_one_to_one(spark, d):
     return round_columns(out, {"total": 4}).withColumn("n_orders", F.col("n_orders").cast("double"))
 
 
+# Unfinished orders get a link of their own: parents without children, and children without a parent.
+LINK = "case when o_orderstatus = 'P' then -o_orderkey else o_orderkey end"
+
+
 @check("many_to_one_inner", """
     select l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, o_custkey
-    from lineitem join orders on l_orderkey = o_orderkey and o_orderstatus <> 'P'
+    from lineitem join (select """ + LINK + """ as link, o_custkey from orders) on l_orderkey = link
 """)
 def many_to_one_inner(spark, d):
     child = table(spark, d, "lineitem").select(
         "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity"
     ).withColumnRenamed("l_orderkey", "o_orderkey")
-    parents = table(spark, d, "orders").where("o_orderstatus <> 'P'")
+    parents = table(spark, d, "orders").withColumn("o_orderkey", F.expr(LINK))
     joined = K.many_to_one_inner(child, parents, "o_orderkey", "o_custkey", "lines")
     return joined.withColumnRenamed("o_orderkey", "l_orderkey")
 
@@ -104,8 +106,7 @@ def many_to_one_inner(spark, d):
         select l_orderkey, case when l_linenumber = 7 then null when l_quantity = 50 then l_suppkey
                                 else c end as carried
         from lineitem join (select o_orderkey as k, o_custkey as c from orders) on k = l_orderkey
-    ) on o_orderkey = l_orderkey
-    where o_orderstatus <> 'P'
+    ) on """ + LINK + """ = l_orderkey
 """)
 def key_conflicts(spark, d):
     orders = table(spark, d, "orders")
@@ -115,7 +116,7 @@ def key_conflicts(spark, d):
         "l_orderkey as o_orderkey",
         "case when l_linenumber = 7 then null when l_quantity = 50 then l_suppkey else c end as o_custkey",
     )
-    return K.key_conflicts(carried, orders.where("o_orderstatus <> 'P'"), "o_orderkey", "o_custkey")
+    return K.key_conflicts(carried, orders.withColumn("o_orderkey", F.expr(LINK)), "o_orderkey", "o_custkey")
 
 
 @check("prefix_columns", """
@@ -249,10 +250,7 @@ def _agg_sql(source, key_from, exprs, digits, where="true"):
     return f"select SK_ID_CURR, {cols} from {source} {key_from} where {where} group by SK_ID_CURR"
 
 
-THROUGH = (
-    " join (select o_orderkey as SK_ID_PREV, o_custkey as SK_ID_CURR from orders"
-    " where o_orderstatus <> 'P') using (SK_ID_PREV)"
-)
+THROUGH = f" join (select {LINK} as SK_ID_PREV, o_custkey as SK_ID_CURR from orders) using (SK_ID_PREV)"
 
 BUREAU_SQL = {
     "BUREAU_LOAN_COUNT": "count(*)",
@@ -331,9 +329,7 @@ def _mart_digits(names):
 
 
 def parents(spark, d):
-    return table(spark, d, "orders").where("o_orderstatus <> 'P'").selectExpr(
-        "o_orderkey as SK_ID_PREV", "o_custkey as SK_ID_CURR"
-    )
+    return table(spark, d, "orders").selectExpr(f"{LINK} as SK_ID_PREV", "o_custkey as SK_ID_CURR")
 
 
 @check("agg_bureau", _agg_sql(shape_sql("bureau"), "", BUREAU_SQL, DIGITS))
@@ -362,18 +358,13 @@ def agg_card(spark, d):
     return round_columns(A.card_features(shape(spark, d, "card"), parents(spark, d)), _mart_digits(S.CARD_FEATURES))
 
 
-# In the mart, the bureau has the unfinished orders only and previous applications the
-# others, so some applicants have no rows in a child table.
-MART_BUREAU = shape_sql("bureau").replace("from orders", "from orders where o_orderstatus = 'P'")
-MART_PREVIOUS = shape_sql("previous").replace("from orders", "from orders where o_orderstatus <> 'P'")
-
-
 def mart_tables(spark, d):
-    bureau = shape(spark, d, "bureau").where("AMT_CREDIT_SUM_OVERDUE > 0")
-    previous = shape(spark, d, "previous").where("NAME_CONTRACT_STATUS is not null")
+    """The five child tables, whole. A third of the customers have no order, so no rows in any."""
     return {
-        "bureau": bureau,
-        "previous_application": previous,
+        "bureau": shape(spark, d, "bureau"),
+        "previous_application": shape(spark, d, "previous").withColumn(
+            "SK_ID_PREV", F.expr("case when NAME_CONTRACT_STATUS is null then -SK_ID_PREV else SK_ID_PREV end")
+        ),
         "installments_payments": shape(spark, d, "installments"),
         "POS_CASH_balance": shape(spark, d, "pos"),
         "credit_card_balance": shape(spark, d, "card"),
@@ -382,7 +373,7 @@ def mart_tables(spark, d):
 
 def mart_joins(digits):
     parts = [
-        (MART_BUREAU, "", BUREAU_SQL), (MART_PREVIOUS, "", PREVIOUS_SQL),
+        (shape_sql("bureau"), "", BUREAU_SQL), (shape_sql("previous"), "", PREVIOUS_SQL),
         (shape_sql("installments"), THROUGH, INSTALLMENT_SQL), (shape_sql("pos"), THROUGH, POS_SQL),
         (shape_sql("card"), THROUGH, CARD_SQL),
     ]
@@ -633,19 +624,23 @@ def matrix_full(spark, d):
 
 # -- storage -----------------------------------------------------------------
 
-def scratch(spark, name):
-    return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid4().hex}"
-
-
 BUREAU_CSV = ["SK_ID_CURR", "CREDIT_ACTIVE", "AMT_CREDIT_SUM", "AMT_CREDIT_SUM_DEBT", "DAYS_CREDIT"]
+# columns whose types are not listed; one value decides where the others would fit a narrower type
+UNLISTED = {
+    "EXTRA_WHOLE": "case when o_orderkey % 3 = 0 then null else o_orderkey * 7 end",
+    "EXTRA_NUMBER": "case when o_orderkey = 1 then 5e-1 else cast(o_orderkey as double) end",
+    "EXTRA_TEXT": "case when o_orderkey = 1 then '1-A' else cast(o_orderkey as string) end",
+}
 
 
-@check("csv_scan", with_shapes("bureau") + f" select {', '.join(BUREAU_CSV)} from bureau")
+@check("csv_scan", f"""select {", ".join(f"{e} as {c}" for c, e in [*((c, BUREAU[c]) for c in BUREAU_CSV), *UNLISTED.items()])} from orders""")
 def csv_scan(spark, d):
-    """Orders as a CSV bureau table, missing values written as NA, read back with types."""
+    """Orders as a CSV bureau table, missing values written as NA, read back with given and inferred types."""
     path = scratch(spark, "csv")
-    shape(spark, d, "bureau").write.option("header", True).option("nullValue", "NA").csv(f"{path}/bureau.csv")
-    return IO.read_table(spark, path, "bureau", columns=BUREAU_CSV)
+    extra = [f"{e} as {c}" for c, e in UNLISTED.items()]
+    bureau = table(spark, d, "orders").selectExpr(*[f"{e} as {c}" for c, e in BUREAU.items()], *extra)
+    bureau.write.option("header", True).option("nullValue", "NA").csv(f"{path}/bureau.csv")
+    return IO.read_table(spark, path, "bureau", columns=[*BUREAU_CSV, *UNLISTED])
 
 
 @check("split_source", """
@@ -660,14 +655,117 @@ def split_source(spark, d):
     return IO.read_split(spark, path, "P", "o_orderstatus", names=("F", "O", "P"))
 
 
-@check("batch_score")
+SCORE_COLS = {"EXT_SOURCE_2": 0.5, "EXT_SOURCE_3": 0.5, "CNT_FAM_MEMBERS": 0.0, "DAYS_LAST_PHONE_CHANGE": 0.0}
+
+
+def _bayes_sql():
+    """Log likelihoods of a Gaussian naive Bayes model, fitted and applied."""
+    stats = ", ".join(
+        f"avg(x{i}) filter (TARGET = {t}) as m{i}_{t}, var_pop(x{i}) filter (TARGET = {t}) + e as v{i}_{t}"
+        for i in range(len(SCORE_COLS)) for t in (0, 1)
+    )
+    smooth = "1e-9 * greatest(" + ", ".join(f"var_pop(x{i})" for i in range(len(SCORE_COLS))) + ")"
+    logs = [
+        f"ln(n{t}) " + " ".join(
+            f"- 5e-1 * (ln(v{i}_{t}) + (x{i} - m{i}_{t}) * (x{i} - m{i}_{t}) / v{i}_{t})" for i in range(len(SCORE_COLS)))
+        for t in (0, 1)
+    ]
+    inputs = ", ".join(f"coalesce({c}, cast({v} as double)) as x{i}" for i, (c, v) in enumerate(SCORE_COLS.items()))
+    return f"""
+        inputs as (select SK_ID_CURR, TARGET, {inputs} from {shape_sql("application")}),
+        smooth as (select {smooth} as e from inputs),
+        model as (select {stats}, count(*) filter (TARGET = 0) as n0, count(*) filter (TARGET = 1) as n1 from inputs, smooth group by e),
+        raw as (select SK_ID_CURR, TARGET, 1 / (1 + exp(({logs[0]}) - ({logs[1]}))) as pd from inputs, model)"""
+
+
+@check("batch_score", f"""with {_bayes_sql()},
+    cells as (select pd, count(*) as n, sum(TARGET) as k, row_number() over (order by pd) as i from raw group by pd),
+    upto as (select pd, i, sum(n) over (order by i) as w, sum(k) over (order by i) as s, n, k from cells),
+    spans as (select a.i as first, b.i as last, (b.s - a.s + a.k) / (b.w - a.w + a.n) as share
+              from upto a join upto b on a.i <= b.i),
+    lows as (select first, last, min(share) over (partition by first order by last desc rows unbounded preceding) as low from spans),
+    fitted as (select last as i, max(low) as share from lows group by last),
+    scored as (select SK_ID_CURR, share as CALIBRATED_PD from raw join cells using (pd) join fitted using (i))
+    select SK_ID_CURR, {rounded_sql("CALIBRATED_PD")} as CALIBRATED_PD,
+           case when CALIBRATED_PD < 0.15 then 'APPROVE' when CALIBRATED_PD < 0.35 then 'REVIEW' else 'DECLINE' end as DECISION
+    from scored
+""")
 def batch_score(spark, d):
-    """Fits a classifier and a calibrator on the reduced matrix, then scores and bands all rows."""
-    app = cleaned(spark, d)
-    builder = FE.fit_reduced_builder(app, minCount=MIN_COUNT).setFeaturesCol("features")
-    matrix = FE.build_reduced(app, builder, for_linear=True).select("SK_ID_CURR", "features")
-    labeled = materialize(matrix.join(app.select("SK_ID_CURR", "TARGET"), "SK_ID_CURR"))
-    model = LogisticRegression(labelCol="TARGET", maxIter=5).fit(labeled)
-    raw = E.score_batch(labeled, model).select("RAW_PD", "TARGET")
-    calibrator = IsotonicRegression(featuresCol="RAW_PD", labelCol="TARGET", predictionCol="calibrated").fit(raw)
-    return E.score_batch(labeled, model, calibrator).select("SK_ID_CURR", "CALIBRATED_PD", "DECISION")
+    """A Gaussian naive Bayes model and an isotonic calibration, both fitted on all rows, then scores and bands for all."""
+    inputs = shape(spark, d, "application").select("SK_ID_CURR", "TARGET", *[
+        F.coalesce(F.col(c), F.lit(v)).alias(c) for c, v in SCORE_COLS.items()
+    ])
+    vectors = inputs.select("SK_ID_CURR", "TARGET", array_to_vector(F.array(*SCORE_COLS)).alias("features"))
+    model = NaiveBayes(labelCol="TARGET", modelType="gaussian").fit(vectors)
+    raw = materialize(E.score_batch(vectors, model).select("RAW_PD", "TARGET"))
+    scored = E.score_batch(vectors, model, E.Calibration.fit(raw))
+    return round_columns(scored.select("SK_ID_CURR", "CALIBRATED_PD", "DECISION"), {"CALIBRATED_PD": 6})
+
+
+# -- encodings ---------------------------------------------------------------
+
+# 12,000 values at a large enough scale, some of which differ in case only; a few occur once
+MANY = {
+    "ORG": "concat(case when o_orderkey % 2 = 0 then 'Org ' else 'ORG ' end, cast(o_orderkey % 6007 as string))",
+    "PRIORITY": "case when o_orderpriority = '5-LOW' then null else o_orderpriority end",
+    "CLERK": "case when o_orderkey % 3 = 0 then 'same' else concat('c', cast(o_custkey % 900 as string)) end",
+}
+
+
+@check("dictionary_encode", f"""
+    with src as (select o_orderkey, {", ".join(f"coalesce({e}, 'MISSING') as {c}" for c, e in MANY.items())} from orders),
+    entries as ({" union all ".join(
+        f"select distinct {i} as place, case when count(*) over (partition by {c}) >= 2 then {c} else 'OTHER' end as v from src"
+        for i, c in enumerate(MANY))}),
+    placed as (select *, row_number() over (order by place, v) - 1 as idx from entries)
+    {" union all ".join(
+        f"select o_orderkey, '{c}' as name, idx from (select o_orderkey, case when count(*) over (partition by {c}) >= 2"
+        f" then {c} else 'OTHER' end as v from src) join placed using (v) where place = {i}" for i, c in enumerate(MANY))}
+""")
+def dictionary_encode(spark, d):
+    """Every order's places in a sparse vector, from a dictionary fitted on all orders."""
+    df = table(spark, d, "orders").selectExpr("o_orderkey", *[f"{e} as {c}" for c, e in MANY.items()])
+    rows = EN.encode(df, EN.fit_dictionary(df, list(MANY), min_count=2), list(MANY))
+    cells = F.array(*[F.struct(F.lit(c).alias("name"), F.col(f"{c}_INDEX").alias("idx")) for c in MANY])
+    return rows.select("o_orderkey", F.inline(cells))
+
+
+CASED = "case when c_nationkey % 3 = 0 then 'Yard' when c_nationkey % 3 = 1 then 'YARD' else 'yard' end"
+
+
+@check("one_hot_case", "select c_custkey as SK_ID_CURR, 'ORGANIZATION_TYPE_' || v as feature, cast(v = " + CASED + """ as double) as value
+    from customer, (values ('Yard'), ('YARD'), ('yard')) t(v)""")
+def one_hot_case(spark, d):
+    """Categories that differ in case only: a column of the matrix each, told apart by place."""
+    app = cleaned(spark, d).withColumn("ORGANIZATION_TYPE", F.lit(None))
+    names = table(spark, d, "customer").selectExpr("c_custkey as SK_ID_CURR", f"{CASED} as ORGANIZATION_TYPE")
+    app = app.drop("ORGANIZATION_TYPE").join(names, "SK_ID_CURR")
+    model = FE.fit_reduced_builder(app, minCount=1).setFeaturesCol("features")
+    vectors = FE.build_reduced(app, model).select("SK_ID_CURR", vector_to_array("features").alias("v"))
+    wanted = [(i, c) for i, c in enumerate(model.encoded_columns) if c.startswith("ORGANIZATION_TYPE_")]
+    cells = F.array(*[F.struct(F.lit(c).alias("feature"), F.get("v", F.lit(i)).alias("value")) for i, c in wanted])
+    return vectors.select("SK_ID_CURR", F.inline(cells))
+
+
+# -- jobs --------------------------------------------------------------------
+
+@check("builder_store", _matrix_sql(FE.REDUCED, True))
+def builder_store(spark, d):
+    """A builder that is fitted and saved on the first call and loaded on the second; the loaded one transforms."""
+    app, path = cleaned(spark, d), scratch(spark, "builder")
+    fit = lambda: FE.fit_reduced_builder(app, minCount=MIN_COUNT)
+    IO.load_or_fit_builder(spark, path, fit)
+    model = IO.load_or_fit_builder(spark, path, lambda: None)
+    return long_matrix(FE.build_reduced(app, model, for_linear=True), model)
+
+
+@check("stream_matrix", _matrix_sql(FE.REDUCED, True))
+def stream_matrix(spark, d):
+    """The reduced matrix by a stream: the second half of the files arrives after the first run has ended."""
+    app, path = cleaned(spark, d), scratch(spark, "stream")
+    model = FE.fit_reduced_builder(app, minCount=MIN_COUNT)
+    for half in (0, 1):
+        app.where(F.col("SK_ID_CURR") % 2 == half).write.mode("append").parquet(f"{path}/in")
+        run = scoring.run_stream(spark, f"{path}/in", app.schema, model, f"{path}/out", f"{path}/state", True)
+        run.awaitTermination()
+    return long_matrix(spark.read.parquet(f"{path}/out"), model)

@@ -3,12 +3,14 @@
 from pyspark.sql import functions as F
 
 from checks.frames import (
-    THIRD, TWO_THIRDS, check, round_columns, rounded_sql, table,
+    APPLICATION, THIRD, TWO_THIRDS, check, round_columns, rounded_sql, scratch, shape, table,
 )
 from checks.marts import CLEAN_SQL, cleaned
 from riskmart import schema as S
 from riskmart.functions import expr as X
 from riskmart.operators import ordering as O, profile as P, sampling as SM, selection
+from riskmart.plans import jobs
+from riskmart.sources import tables as IO
 
 # -- order and splits --------------------------------------------------------
 
@@ -194,6 +196,25 @@ def corr_matrix(spark, d):
     return round_columns(P.correlations(cleaned(spark, d), CORR_COLS), {"corr": 6})
 
 
+# 40 numeric columns of the lines, a few of them missing in some rows, one of them constant
+WIDE = {f"v{i:02}": f"cast((l_orderkey * {2 * i + 3} + l_partkey * {i + 1} + l_suppkey) % {89 + i} as double)" for i in range(37)}
+WIDE |= {"v37": "case when l_linenumber < 7 then l_quantity end", "v38": "l_extendedprice", "v39": "cast(4 as double)"}
+
+
+@check("corr_wide", f"""
+    with src as (select {", ".join(f"{e} as {c}" for c, e in WIDE.items())} from lineitem),
+    r as (select {", ".join(f"corr({a}, {b}) as {a}_{b}" for a in WIDE for b in WIDE if a < b)} from src where v37 is not null),
+    long as ({" union all ".join(
+        f"select unnest({[a for b in WIDE if a != b]}) as a, unnest({[b for b in WIDE if a != b]}) as b,"
+        f" unnest([{', '.join(f'{min(a, b)}_{max(a, b)}' for b in WIDE if a != b)}]) as c from r" for a in WIDE)}
+        union all select unnest({list(WIDE)}), unnest({list(WIDE)}), 1)
+    select a, b, case when a <> 'v39' and b <> 'v39' then {rounded_sql("c")} end as corr from long
+""")
+def corr_wide(spark, d):
+    """All 1,600 correlations of 40 columns from one pass over the lines."""
+    return round_columns(P.correlations(table(spark, d, "lineitem").selectExpr(*[f"{e} as {c}" for c, e in WIDE.items()]), list(WIDE)), {"corr": 6})
+
+
 def histogram_sql(value, source, bins):
     return f"""
         with x as (select {value} as v from {source} where {value} is not null),
@@ -244,3 +265,66 @@ def quality_report(spark, d):
 
     lines = F.concat(lines, *[entries(m) for m in several])
     return report.select(F.inline(lines))
+
+
+# -- the prepare job ---------------------------------------------------------
+
+RAW_COLS = [c for c in APPLICATION if c != "AMT_INCOME_TOTAL_CAPPED"]
+
+
+def prepared_sql():
+    rates = " union all ".join(f"select '{c}' as item, avg(cast(coalesce(cast({c} as varchar) = 'None', true) as int)) as rate from app" for c in [*RAW_COLS, "DAYS_EMPLOYED_ANOM"])
+    return f"""with {RECENCY_SQL},
+    train as (select * from split where split = 'train'),
+    cap as (select quantile_cont(AMT_INCOME_TOTAL, 0.99) as cap from train),
+    sides as (select SK_ID_CURR as id, 0 as label from app union all select SK_ID_CURR + 1000000, 1 from app where SK_ID_CURR % 3 = 0),
+    size as (select least(count(*) filter (label = 0), count(*) filter (label = 1)) as m from sides),
+    picked as (select id, label, row_number() over (partition by label order by {hash_sql("id")}, id) - 1 as pos from sides),
+    bundle as (select id, label, pos from picked, size where pos < m),
+    counts as (select label, count(*) as n from bundle group by 1), {held_sql("counts")},
+    long as (
+        select 'split' as kind, split as name, SK_ID_CURR as id,
+               case when AMT_INCOME_TOTAL > cap then cap else AMT_INCOME_TOTAL end as value from split, cap
+        union all select 'adversarial', case when pos < k then 'val' else 'train' end, id, label from bundle join held using (label)
+        union all select 'income_cap', '', 0, cap from cap
+        union all select 'total_rows', '', 0, count(*) from app
+        union all select 'split_sizes', split, 0, count(*) from split group by split
+        union all select 'class_counts', cast(TARGET as varchar), 0, count(*) from train group by TARGET
+        union all select 'missing_rates', item, 0, round(rate, 4) from ({rates}) where rate > 0
+        union all select 'class_balance', cast(TARGET as varchar), 0, count(*) from train group by TARGET)
+    select kind, name, id, {rounded_sql("value", 4)} as value from long"""
+
+
+@check("prepare_job", prepared_sql())
+def prepare_job(spark, d):
+    """The prepare job from raw CSV files to its stored outputs, read back as (kind, name, id, value).
+
+    In the files the text None is a marker of a missing value.
+    """
+    path = scratch(spark, "prepare")
+    app = shape(spark, d, "application").select(*RAW_COLS)
+    later = app.where("SK_ID_CURR % 3 = 0").withColumn("SK_ID_CURR", F.col("SK_ID_CURR") + 1_000_000).drop("TARGET")
+    previous = shape(spark, d, "previous")
+    for name, df in (("application_train", app), ("application_test", later), ("previous_application", previous)):
+        df.write.option("header", True).option("escape", '"').csv(f"{path}/raw/{name}.csv")
+    jobs.run_prepare(spark, f"{path}/raw", f"{path}/out")
+
+    def rows(df, kind, name="''", id="0", value="value"):
+        return df.selectExpr(f"'{kind}' as kind", f"cast({name} as string) as name", f"cast({id} as bigint) as id", f"cast({value} as double) as value")
+
+    # every split read from its own folder
+    splits = [IO.read_split(spark, f"{path}/out/splits", n).withColumn("split", F.lit(n)) for n in S.SPLIT_NAMES]
+    out = [rows(s, "split", "split", "SK_ID_CURR", "AMT_INCOME_TOTAL_CAPPED") for s in splits]
+    out.append(rows(spark.read.parquet(f"{path}/out/adversarial"), "adversarial", "part", "SK_ID_CURR", "ADV_LABEL"))
+    cap = IO.read_value(spark, f"{path}/out/income_cap", "income_cap")
+    out.append(rows(spark.range(1).withColumn("value", F.lit(cap)), "income_cap"))
+    maps = ", ".join(f"{m} map<string, double>" for m in ("split_sizes", "class_counts", "missing_rates"))
+    report = spark.read.schema(f"total_rows double, {maps}").json(f"{path}/out/quality_report")
+    out.append(rows(report, "total_rows", value="total_rows"))
+    for m in ("split_sizes", "class_counts", "missing_rates"):
+        out.append(rows(report.select(F.explode(m).alias("name", "value")), m, "name"))
+    out.append(rows(spark.read.parquet(f"{path}/out/profile/class_balance"), "class_balance", "TARGET", value="n"))
+    whole = out[0]
+    for part in out[1:]:
+        whole = whole.unionByName(part)
+    return round_columns(whole, {"value": 4})

@@ -3,39 +3,52 @@
 from pyspark.sql import DataFrame, functions as F
 
 from riskmart import schema as S
-from riskmart.operators.keys import HOT_SHARE, salt_count
-
+from riskmart.lineage import materialize
+from riskmart.operators.keys import HOT_SHARE, join_many_to_one, salt_count
 
+BROADCAST_BYTES = 8 << 20      # values up to this size travel to the rows
 
 def pool_rare(df, column, min_count=S.RARE_MIN_COUNT, output=None, other="OTHER", kept=None) -> DataFrame:
     """Values below `min_count` rows become `other`, as text; missing counts as a value.
 
-    The values that hold many rows are written into the expression; there are fewer of them
-    than a few times the partitions. Rows with other values find theirs by a join, so no join
-    key is frequent. `kept` gives the values instead.
+    `kept` gives the values instead.
     """
-    output = output or column
-    value = F.col(column).cast("string")
     if kept is not None:
-        return df.withColumn(output, _keep(value, kept, F.lit(other)))
-    counts = df.groupBy(value.alias("__kept")).agg(F.count("*").alias("__n"))
-    least = df.count() / (HOT_SHARE * salt_count(df))
-    decided = {r["__kept"]: r["__n"] >= min_count for r in counts.where(F.col("__n") > least).collect()}
-    frequent = [v for v in decided if v is not None]
-    known = F.coalesce(value.isin(frequent), F.lit(False)) if frequent else F.lit(False)
-    if None in decided:
-        known = known | value.isNull()
-    # Rows already decided carry a salt no kept value has: they match nothing, evenly spread.
-    salt = F.pmod(F.monotonically_increasing_id(), F.lit(salt_count(df))).cast("int") + 1
-    there = F.coalesce(F.col("__kept"), F.lit("")).alias("__text"), F.col("__kept").isNull().alias("__gone")
-    rest = counts.where(F.col("__n") >= min_count).select(*there, F.lit(0).alias("__salt"), F.lit(True).alias("__stays"))
-    keyed = df.withColumns({
-        "__text": F.coalesce(value, F.lit("")), "__gone": value.isNull(), "__salt": F.when(known, salt).otherwise(F.lit(0)),
-    })
-    joined = keyed.join(rest, ["__text", "__gone", "__salt"], "left")
-    kept_often = [v for v, stays in decided.items() if stays]
-    pooled = _keep(value, kept_often, F.when(F.col("__stays"), value).otherwise(F.lit(other)))
-    return joined.withColumn(output, pooled).drop("__text", "__gone", "__salt", "__stays")
+        return df.withColumn(output or column, _keep(F.col(column).cast("string"), kept, F.lit(other)))
+    return pool_rare_columns(df, {column: output or column}, min_count, other)
+
+
+def pool_rare_columns(df, outputs: dict, min_count=S.RARE_MIN_COUNT, other="OTHER") -> DataFrame:
+    """`pool_rare` for several columns (column to output), whose values are counted in one scan.
+
+    Rows find out by a join whether their value stays: with a broadcast copy of the values that
+    stay if their bytes are few, otherwise shuffled, with values of very many rows over salts.
+    """
+    columns = list(outputs)
+    cells = F.array(*[F.struct(F.lit(i).alias("i"), F.col(c).cast("string").alias("v")) for i, c in enumerate(columns)])
+    counts = materialize(df.select(F.inline(cells)).groupBy("i", "v").agg(F.count("*").alias("n")))
+    # a missing value is a value; no other text starts with the mark
+    marked = lambda v: F.coalesce(F.concat(F.lit("="), v), F.lit(""))
+    stays = counts.where(F.col("n") >= min_count).select("i", marked(F.col("v")).alias("__value"), "n", F.lit(True).alias("__stays"))
+    about = stays.agg(F.coalesce(F.sum(F.octet_length("__value") + 16), F.lit(0)).alias("bytes")).first()
+    rows = counts.where("i = 0").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
+    least = rows / (HOT_SHARE * salt_count(df))
+    out = df
+    for i, c in enumerate(columns):
+        value = F.col(c).cast("string")
+        mine = stays.where(F.col("i") == i)
+        keyed, known = out.withColumn("__value", marked(value)), mine.select("__value", "__stays")
+        if about["bytes"] <= BROADCAST_BYTES:
+            joined = keyed.join(F.broadcast(known), "__value", "left")
+        else:
+            # fewer than HOT_SHARE times the partitions; values that go meet no row, spread or not
+            hot = [r["__value"] for r in counts.where((F.col("i") == i) & (F.col("n") > least)).select(marked(F.col("v")).alias("__value")).collect()]
+            joined = join_many_to_one(keyed, known, "__value", "left", hot=hot)
+        pooled = F.when(F.col("__stays"), value).otherwise(F.lit(other))
+        out = joined.withColumn("__pooled", pooled).drop("__value", "__stays")
+        # the output may be the column itself
+        out = out.withColumn(outputs[c], F.col("__pooled")).drop("__pooled")
+    return out
 
 
 def _keep(value, kept, otherwise):

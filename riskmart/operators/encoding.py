@@ -15,11 +15,9 @@ from pyspark.sql import DataFrame, functions as F
 from riskmart import schema as S
 from riskmart.functions import expr as X
 from riskmart.operators import features, ordering
-from riskmart.operators.categories import category_counts
+from riskmart.operators.categories import BROADCAST_BYTES, category_counts
 from riskmart.operators.keys import HOT_SHARE, join_many_to_one, salt_count
 
-BROADCAST_BYTES = 8 << 20      # a dictionary up to this size travels to the rows
-
 
 def fit_dictionary(df, columns, min_count=S.RARE_MIN_COUNT, fill="MISSING", other="OTHER") -> DataFrame:
     """(column, value, index, n), stored: kept values, and `other` where any were pooled.

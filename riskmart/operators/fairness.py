@@ -4,7 +4,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from riskmart import schema as S
 from riskmart.functions import expr as X
-from riskmart.operators.categories import pool_rare
+from riskmart.operators.categories import pool_rare, pool_rare_columns
 
 FAMILIES = {
     "primary": "FAIR_GROUP_PRIMARY",
@@ -22,8 +22,11 @@ def derive_groups(df, q1, q2, min_count=S.RARE_MIN_COUNT, kept=None) -> DataFram
     pools = {"NAME_INCOME_TYPE": "INCOME_TYPE_POOLED", "NAME_HOUSING_TYPE": "HOUSING_TYPE_POOLED"}
     kept = kept or {}
     out = df.withColumn("INCOME_TERTILE", X.income_tertile("AMT_INCOME_TOTAL", q1, q2))
+    fitted = {c: p for c, p in pools.items() if kept.get(c) is None}
+    out = pool_rare_columns(out, fitted, min_count) if fitted else out
     for column, pooled in pools.items():
-        out = pool_rare(out, column, min_count, pooled, kept=kept.get(column))
+        if column not in fitted:
+            out = pool_rare(out, column, min_count, pooled, kept=kept[column])
         out = out.withColumn(pooled, F.coalesce(F.col(pooled), F.lit("MISSING")))
     out = out.withColumns(
         {

@@ -278,3 +278,60 @@ def test_band_examples(spark):
     df = attributions(spark, [(3, [], 0.2), (7, [], 0.1), (5, [], 0.05)])
     got = {r["band"]: (r["example"], r["in_band"]) for r in EX.band_examples(df, "id", "pd").collect()}
     assert got == {"APPROVE": (5, True), "REVIEW": (3, True), "DECLINE": (3, False)}
+
+
+# -- calibration -------------------------------------------------------------
+
+def plain_isotonic(rows):
+    """{score: share} by the min-max formula."""
+    cells = {}
+    for x, y in rows:
+        n, k = cells.get(x, (0, 0))
+        cells[x] = n + 1, k + y
+    xs = sorted(cells)
+    mean = lambda a, b: sum(cells[x][1] for x in xs[a:b + 1]) / sum(cells[x][0] for x in xs[a:b + 1])
+    return {x: max(min(mean(a, b) for b in range(i, len(xs))) for a in range(i + 1)) for i, x in enumerate(xs)}
+
+
+@pytest.mark.parametrize("levels", [2, 40, 500])
+def test_calibration_equals_plain_isotonic(spark, levels):
+    rng = random.Random(levels)
+    rows = []
+    for _ in range(600):
+        x = rng.randrange(levels) / levels
+        rows.append((x, int(rng.random() < x * x)))
+    df = spark.createDataFrame(rows + [(None, 1), (0.5, None), (float("nan"), 1)], "RAW_PD double, TARGET int").repartition(7)
+    fitted = E.Calibration.fit(df)
+    assert fitted.share == sorted(fitted.share) and len(set(fitted.share)) == len(fitted.share)
+    want = plain_isotonic(rows)
+    got = {r["RAW_PD"]: r["CALIBRATED_PD"] for r in fitted.transform(df.where("RAW_PD is not null and not isnan(RAW_PD)")).collect()}
+    assert {x: got[x] for x in want} == pytest.approx(want)
+
+
+def test_calibration_between_blocks_and_outside(spark):
+    rows = [(0.1, 0), (0.2, 0), (0.4, 1), (0.5, 0), (0.9, 1)]
+    fitted = E.Calibration.fit(spark.createDataFrame(rows, "RAW_PD double, TARGET int"))
+    assert (fitted.low, fitted.high, fitted.share) == ([0.1, 0.4, 0.9], [0.2, 0.5, 0.9], [0.0, 0.5, 1.0])
+    asked = [0.0, 0.15, 0.3, 0.45, 0.7, 0.95, None]
+    got = fitted.transform(spark.createDataFrame([(x,) for x in asked], "RAW_PD double")).collect()
+    assert [r["CALIBRATED_PD"] for r in got] == pytest.approx([0.0, 0.0, 0.25, 0.5, 0.75, 1.0, None])
+    none = E.Calibration.fit(spark.createDataFrame([], "RAW_PD double, TARGET int"))
+    assert none.transform(spark.createDataFrame([(0.5,)], "RAW_PD double")).first()["CALIBRATED_PD"] is None
+
+
+@pytest.mark.parametrize("values", [1, 3, 400])
+def test_corners_of_the_curve(spark, values):
+    """Points between equal steps go, also where the steps lie in different partitions."""
+    rng = random.Random(values)
+    rows = [(rng.randrange(values) / values, int(rng.random() < 0.3)) for _ in range(900)]
+    df = spark.createDataFrame(rows, "CALIBRATED_PD double, TARGET int")
+    counts = {}
+    for x, y in rows:
+        p, n = counts.get(x, (0, 0))
+        counts[x] = p + y, n + 1 - y
+    xs = sorted(counts, reverse=True)
+    want = [x for i, x in enumerate(xs) if i in (0, len(xs) - 1) or counts[x] != counts[xs[i + 1]]]
+    got = [r["threshold"] for r in E.roc_points(df, drop_collinear=True).collect() if r["threshold"] is not None]
+    assert sorted(got, reverse=True) == want
+    full = {r["threshold"]: r for r in E.roc_points(df).collect()}
+    assert all(full[r["threshold"]] == r for r in E.roc_points(df, drop_collinear=True).collect())

@@ -38,8 +38,9 @@ def test_pool_rare_beyond_literals(spark, monkeypatch, missing):
     df = letters(spark, counts)
     keep = {v for v, n in counts.items() if n >= 5}
     plain = sorted(str(v if v in keep else "OTHER") for v, n in counts.items() for _ in range(n))
-    for share in (0.1, 4, 100):      # no value is frequent, some are, all are
+    for share, size in ((4, 1 << 20), (0.1, -1), (4, -1), (100, -1)):      # broadcast; shuffled: no value is frequent, some are, all are
         monkeypatch.setattr(C, "HOT_SHARE", share)
+        monkeypatch.setattr(C, "BROADCAST_BYTES", size)
         joined = C.pool_rare(df, "s", 5)
         assert "Join" in joined._jdf.queryExecution().optimizedPlan().toString()
         assert joined.columns == df.columns and sorted(map(str, column(joined, "s"))) == plain

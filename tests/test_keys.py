@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F, types as T
 
@@ -66,6 +68,20 @@ def test_frequent_values_are_bounded(spark):
     assert K.frequent_values(spark.range(100).selectExpr("id % 50 as k"), "k", parts=8) == []
 
 
+def test_no_frequent_value_is_missed(spark):
+    """Sizes just above the share, among many small ones, in every order of arrival."""
+    sizes = {f"hot {i}": 340 + i for i in range(7)}
+    sizes.update({f"rare {i}": 1 + i % 3 for i in range(9000)})
+    rows = [(k,) for k, n in sizes.items() for _ in range(n)]
+    total = len(rows)
+    for parts in (2, 16):
+        want = [k for k, n in sizes.items() if n > total / (K.HOT_SHARE * parts)]
+        for order in (rows, rows[::-1], random.Random(1).sample(rows, total)):
+            found = K.frequent_values(spark.createDataFrame(order, "k string").repartition(5), "k", parts)
+            assert set(want) <= set(found) and len(found) <= 2 * K.HOT_SHARE * parts
+    assert K.frequent_values(spark.createDataFrame([], "k string"), "k") == []
+
+
 def test_equal_rows_of_a_hot_key_are_spread(spark):
     child = spark.range(20_000).selectExpr("cast(7 as long) as SK_ID_PREV", "map('a', 1) as m")
     parents = spark.createDataFrame([(7, 1)], "SK_ID_PREV long, SK_ID_CURR long")

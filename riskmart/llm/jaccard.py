@@ -34,6 +34,7 @@ NOT_PROBING = -32768        # spare units of a set that is only looked up
 MARKER = -32767             # an entry telling that its signature is frequent in some chunk
 OFTEN = 64                  # sets of a chunk from which on a signature is spread out
 FREQUENT = 1 << 40
+BUCKET_TEXT = 24 << 20      # bytes of text whose signatures one task counts, about
 ALL = -1000                 # spare units of a set that takes every segment
 
 
@@ -228,7 +229,7 @@ def _signature_blobs(docs, text_col, words, num, den, buckets):
             rows["bucket"].append(int(bucket[a]))
             rows["names"].append(names[s[heads]].tobytes())
             rows["spares"].append(spares[s[heads]].tobytes())
-            rows["n"].append(np.diff(np.append(heads, b - a)).astype(np.int32).tobytes())
+            rows["n"].append(_counts(np.diff(np.append(heads, b - a))))
             low = sigs[a:b]
             if bucket[a] >= buckets:
                 rows["sigs"].append(low.tobytes())
@@ -244,13 +245,22 @@ def _signature_blobs(docs, text_col, words, num, den, buckets):
 BLOBS = pa.schema([("bucket", pa.int64()), ("names", pa.binary()), ("spares", pa.binary()), ("n", pa.binary()), ("sigs", pa.binary())])
 
 
+def _counts(n):
+    """Entries per set: a byte each, where one of them needs more, four bytes each after a mark."""
+    return b"\1" + n.astype(np.uint8).tobytes() if n.max() < 256 else b"\4" + n.astype(np.int32).tobytes()
+
+
+def _counts_of(packed):
+    return np.frombuffer(packed, np.uint8 if packed[:1] == b"\1" else np.int32, offset=1).astype(np.int64)
+
+
 def _bucket_of(sigs, buckets):
     return ((sigs >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
 
 
 def _unpacked(buckets, bucket, names, spares, n, sigs):
     """(signatures, names, spares): a signature is named by its bucket and lower five bytes, wherever it travelled."""
-    n = np.frombuffer(n, np.int32)
+    n = _counts_of(n)
     if bucket >= buckets:
         whole = np.frombuffer(sigs, np.uint64)
         low = (whole & np.uint64((1 << 40) - 1)).astype(np.int64)
@@ -265,6 +275,8 @@ def _unpacked(buckets, bucket, names, spares, n, sigs):
 def _shared(blobs, buckets, n):
     """(sig, key, spare, freq, weight): signatures that occur in several sets, one of them probing.
 
+    There is a task per bucket, which holds all signatures of it.
+
     Signatures of equal segments that have the same members are one row per member, named by
     the members and weighted by their number.
     """
@@ -319,7 +331,6 @@ def _shared(blobs, buckets, n):
             np.repeat(name, sizes)[keep], names[keep], spares[keep], np.repeat(freq, sizes)[keep], np.repeat(weight, sizes)[keep]
         )
 
-    n = 2 * n      # a task holds all signatures of its buckets
     return blobs.repartitionById(n, F.pmod("bucket", F.lit(n)).cast("int")).mapInArrow(
         count, "sig long, key long, spare short, freq long, weight long"
     )
@@ -529,10 +540,11 @@ def placed_sets(docs: DataFrame, id_col="doc_id", text_col="text", words=5, num=
     Rows of one id may belong to different components; `root` is null for empty sets.
     """
     docs = docs.where(F.col(id_col).isNotNull())
-    n = partitions(docs)
-    buckets = 4 * n
+    # few buckets keep the heads of sets few; as many as the text needs bound a task
+    size = docs.agg(F.coalesce(F.sum(F.octet_length(F.col(text_col).cast("string"))), F.lit(0))).first()[0]
+    buckets = max(partitions(docs), -(-size // BUCKET_TEXT))
     names = kept(set_names(docs, id_col, text_col, words))
-    shared = kept(_shared(_signature_blobs(docs, text_col, words, num, den, buckets), buckets, n))
+    shared = kept(_shared(_signature_blobs(docs, text_col, words, num, den, buckets), buckets, buckets))
 
     def texts_of(pairs):
         return _with_texts(pairs, docs, names, id_col, text_col, words)

@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from riskmart.llm.samples import per_class, with_sample
+from riskmart.llm.samples import per_class
 from riskmart.llm.storing import extended, with_text
 
 BUCKETS = 1 << 15
@@ -75,39 +75,42 @@ def fit(docs: DataFrame, id_col="doc_id", text_col="text", lang_col="lang"):
     Rows with a null text, id or language teach nothing. Priors are the languages' shares of
     all training rows.
     """
-    known = docs.where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull())
-    sample = per_class(known, id_col, lang_col, SAMPLE_ROWS).dropDuplicates(["id"])
-    rows = with_sample(known.select(id_col, F.col(text_col).cast("string").alias(text_col)), sample, id_col)
+    known = docs.where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull() & F.col(id_col).isNotNull())
+    sample = per_class(known, id_col, lang_col, SAMPLE_ROWS)
+    # an id with rows of several languages teaches each its own text
+    texts = known.select(F.col(id_col).alias("id"), F.col(lang_col).alias("label"), F.col(text_col).cast("string").alias("text"))
+    rows = texts.join(F.broadcast(sample), ["id", "label"]).groupBy("id", "label").agg(F.min("text").alias("text"))
 
     def count(batches):
-        alphabet, sums, weights = Alphabet(), {}, {}
+        alphabet, sums = Alphabet(), {}
         for batch in batches:
-            texts, langs, shares = (batch.column(i).to_pylist() for i in range(3))
+            texts, langs = (batch.column(i).to_pylist() for i in range(2))
             for first, last in chunks(texts):
                 letters, offsets = alphabet.texts(texts[first:last])
                 for at, bucket in grams(letters, offsets):
                     row = np.searchsorted(offsets, at, "right") - 1
                     for lang in set(langs[first:last]):
                         own = np.array([x == lang for x in langs[first:last]])
-                        total = sums.setdefault(lang, np.zeros(BUCKETS))
+                        total = sums.setdefault(lang, np.zeros(BUCKETS, np.int64))
                         total += np.bincount(bucket[own[row]], minlength=BUCKETS)
-            for lang, share in zip(langs, shares):
-                weights[lang] = weights.get(lang, 0.0) + share
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(list(sums), pa.string()), pa.array([s.tobytes() for s in sums.values()], pa.binary()), pa.array([weights[x] for x in sums], pa.float64())],
-            names=["lang", "sums", "weight"],
-        )
-
-    got = rows.select(text_col, F.col("label").cast("string").alias("lang"), "weight").mapInArrow(
-        count, "lang string, sums binary, weight double"
-    ).toArrow()
-    languages = sorted(set(got["lang"].to_pylist()))
+        for lang, total in sums.items():
+            there = np.flatnonzero(total)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([lang] * len(there), pa.string()), pa.array(there.astype(np.int32)), pa.array(total[there])],
+                names=["lang", "bucket", "n"],
+            )
+
+    # summed in Spark: at most BUCKETS rows of each language come back
+    got = rows.select("text", F.col("label").cast("string").alias("lang")).mapInArrow(
+        count, "lang string, bucket int, n long"
+    ).groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()
+    shares = {str(r["lang"]): r["n"] for r in sample.groupBy(F.col("label").cast("string").alias("lang")).agg(F.sum("weight").alias("n")).collect()}
+    languages = sorted(shares)
     if not languages:
         return [], np.zeros((BUCKETS, 0), np.float32), np.zeros(0)
-    counts, prior = np.zeros((BUCKETS, len(languages))), np.zeros(len(languages))
-    for lang, sums, weight in zip(*(got[c].to_pylist() for c in ("lang", "sums", "weight"))):
-        counts[:, languages.index(lang)] += np.frombuffer(sums)
-        prior[languages.index(lang)] += weight
+    counts, prior = np.zeros((BUCKETS, len(languages))), np.array([shares[x] for x in languages])
+    place = np.array([languages.index(x) for x in got["lang"].to_pylist()], np.int64)
+    counts[got["bucket"].to_numpy(), place] = got["n"].to_numpy()
     counts += SMOOTHING
     return languages, np.log(counts / counts.sum(0)).astype(np.float32), np.log(prior / prior.sum())
 

@@ -22,6 +22,8 @@ SIDE_TOKENS = 2             # tokens of context around the ones that may be pers
 SAMPLE_TEXTS = 800          # texts the model is fitted on
 EPOCHS = 6
 WINDOW_TOKENS = 400         # longer runs of tokens are learned from in pieces
+LESSON_TOKENS = 60          # longest run that is a lesson in fitting
+LESSONS = 1600              # lessons of the fitting sample that are used
 
 # Fixed patterns of the contract, each written so that a search stays linear.
 AT_DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -331,7 +333,7 @@ def lesson(text, spans):
                 break
             taken |= set(inside)
             truth[inside[-1] + 1] = (inside[0], 1 + KINDS.index(kind))
-        if good and len(window) <= 60:
+        if good and len(window) <= LESSON_TOKENS:
             out.append((text, window, truth))
     return out
 
@@ -354,8 +356,8 @@ def train(texts):
                     lessons += lesson(f"{before}{other}{after}", [(kind, len(before), len(before) + len(other))])
     model = SemiMarkov()
     squares = [np.full_like(model.weights, 1e-3), np.full_like(model.steps, 1e-3)]
-    if len(lessons) > 2 * SAMPLE_TEXTS:
-        lessons = [lessons[k] for k in rng.permutation(len(lessons))[: 2 * SAMPLE_TEXTS]]
+    if len(lessons) > LESSONS:
+        lessons = [lessons[k] for k in rng.permutation(len(lessons))[:LESSONS]]
     for _ in range(EPOCHS):
         for k in rng.permutation(len(lessons)):
             for own, square, step in zip((model.weights, model.steps), squares, model.gradient(*lessons[k])):
@@ -368,7 +370,10 @@ def train(texts):
 def fit(docs: DataFrame, id_col="doc_id", text_col="text") -> SemiMarkov:
     """A model from at most SAMPLE_TEXTS texts with digits or at signs, those with the smallest id hashes.
 
-    Long texts lend the model their runs around possible data; other parts teach nothing.
+    Long texts lend the model their runs around possible data; other parts teach nothing. Of the
+    fitting sample, runs of more than LESSON_TOKENS tokens teach nothing, and of more than LESSONS
+    lessons a fixed random choice is used. The bounds concern the model alone: every run of
+    every text is searched.
     """
     rows = docs.where(F.col(text_col).rlike("[0-9@]")).select(F.col(id_col).alias("id"), F.xxhash64(id_col).alias("h"))
     ids = rows.orderBy("h", "id").limit(SAMPLE_TEXTS).select("id")
@@ -438,7 +443,11 @@ def find_personal(docs: DataFrame, model: SemiMarkov, text_col="text") -> DataFr
 
 
 def masked(docs: DataFrame, text_col="text", spans_col="all_spans") -> DataFrame:
-    """The rows with the spans of their texts replaced by <kind>; overlapping spans by the first."""
+    """The rows with the spans of their texts replaced by <kind>.
+
+    Spans that overlap are masked as one, with all characters of either, under the kind of the
+    one that begins first, or of the longer one of two that begin together.
+    """
 
     def mask(batches):
         at = names.index(text_col)
@@ -450,7 +459,7 @@ def masked(docs: DataFrame, text_col="text", spans_col="all_spans") -> DataFrame
                     for s in sorted(spans, key=lambda s: (s["start"], -s["end"])):
                         if s["start"] >= end:
                             out += [text[end:s["start"]], f"<{s['kind']}>"]
-                            end = s["end"]
+                        end = max(end, s["end"])
                     text = "".join(out) + text[end:]
                 texts.append(text)
             columns = list(batch.columns[:-1])

@@ -139,11 +139,11 @@ def _rows_of_statistics(column):
 def fit(docs: DataFrame, labels: DataFrame, id_col="doc_id", text_col="text", label_col="quality") -> Trees:
     """Trees from at most SAMPLE_ROWS labelled documents of each class, weighted to the classes' sizes.
 
-    Labels of one id that disagree count as the lowest; rows with a null id or label are left out.
+    Of an id that repeats, the smallest text is taken. Labels of one id that disagree count as the lowest; rows with a null id or label are left out.
     """
     known = labels.where(F.col(label_col).isNotNull()).groupBy(id_col).agg((F.min(label_col) > 0).cast("int").alias("__label"))
     sample = per_class(known, id_col, "__label", SAMPLE_ROWS)
-    rows = with_sample(docs.select(id_col, F.col(text_col).cast("string").alias(text_col)), sample, id_col)
+    rows = with_sample(docs, sample, id_col, text_col)
 
     def extract(batches):
         for batch in batches:
@@ -153,7 +153,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col="doc_id", text_col="text", la
                 names=["label", "weight", "id", "x"],
             )
 
-    got = rows.select(text_col, "label", "weight", F.xxhash64(id_col).alias("id")).mapInArrow(
+    got = rows.select("text", "label", "weight", F.xxhash64("id").alias("id")).mapInArrow(
         extract, "label int, weight double, id long, x binary"
     ).toArrow().sort_by([("id", "ascending"), ("x", "ascending")])
     if not got.num_rows:

@@ -2,24 +2,35 @@
 
 from pyspark.sql import DataFrame, Window, functions as F
 
+from riskmart.llm.storing import kept, partitions
+
 
 def per_class(labelled: DataFrame, id_col: str, label_col: str, limit: int) -> DataFrame:
     """At most `limit` ids of each class, those with the smallest hashes, and the class weights.
 
     Columns: id, label, weight (rows of the class that one sampled row stands for). A null
-    id or label takes no part. The classes have to be few.
+    id or label takes no part. The classes have to be few. Ids are ranked in two levels, first
+    among those of their class and of one salt, so that no task sorts a whole class. Salts follow
+    the hash, and a repeated id is one id.
     """
     clean = labelled.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).select(
         F.col(id_col).alias("id"), F.col(label_col).alias("label")
     )
-    sizes = clean.groupBy("label").agg(F.count("*").alias("size"))
-    order = Window.partitionBy("label").orderBy(F.xxhash64("id"), "id")
-    taken = clean.withColumn("place", F.row_number().over(order)).where(F.col("place") <= limit)
-    return taken.join(F.broadcast(sizes), "label").select(
-        "id", "label", (F.col("size") / F.least("size", F.lit(limit))).alias("weight")
-    )
+    counted = kept(clean.groupBy("label", "id").agg(F.count("*").alias("n")))
+    sizes = counted.groupBy("label").agg(F.sum("n").alias("size"), F.count("*").alias("ids"))
+    salted = counted.withColumns({"h": F.xxhash64("id"), "salt": F.pmod(F.hash("id"), F.lit(4 * partitions(labelled)))})
+    order = ["h", "id"]
+    first = salted.withColumn("place", F.row_number().over(Window.partitionBy("label", "salt").orderBy(*order))).where(F.col("place") <= limit)
+    taken = first.withColumn("place", F.row_number().over(Window.partitionBy("label").orderBy(*order))).where(F.col("place") <= limit)
+    return kept(taken.join(F.broadcast(sizes), "label").select(
+        "id", "label", (F.col("size") / F.least("ids", F.lit(limit))).alias("weight")
+    ))
 
 
-def with_sample(docs: DataFrame, sample: DataFrame, id_col: str) -> DataFrame:
-    """Documents of a sample with its label and weight; the sample is bounded, so it is broadcast."""
-    return docs.join(F.broadcast(sample), F.col(id_col) == F.col("id"))
+def with_sample(docs: DataFrame, sample: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(text, label, weight, id) of a sample: one row per sampled id, that with its smallest text.
+
+    The sample is bounded, so it is broadcast.
+    """
+    met = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(sample), "id")
+    return met.groupBy("id", "label").agg(F.min("text").alias("text"), F.first("weight").alias("weight"))

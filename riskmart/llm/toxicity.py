@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from riskmart.llm import arrays
 from riskmart.llm.samples import per_class, with_sample
-from riskmart.llm.storing import extended, with_text
+from riskmart.llm.storing import extended, kept, with_text
 
 BUCKET_BITS = 20
 PREFIXES = (4, 5, 6)       # bytes of a word's beginning that are features of their own
@@ -130,7 +130,7 @@ def fit_cumulative_link(rows, columns, grades, weights, n_columns, penalty=1e-4)
 def fit(docs: DataFrame, labels: DataFrame, id_col="doc_id", text_col="text", label_col="toxic") -> CumulativeLink:
     """A model from the labelled documents, at most SAMPLE_ROWS of each class.
 
-    Labels of one id that disagree count as the highest. A label of 0 is grade 0. Where labels
+    Of an id that repeats, the smallest text is taken. Labels of one id that disagree count as the highest. A label of 0 is grade 0. Where labels
     only say toxic or not, toxic rows get grade 1 or 2: 2 for those with more distinct marker
     features (features that only occur in toxic rows) than the median toxic row.
     """
@@ -150,30 +150,59 @@ def fit(docs: DataFrame, labels: DataFrame, id_col="doc_id", text_col="text", la
                     names=["label", "weight", "found"],
                 )
 
-    rows = with_sample(docs.select(id_col, F.col(text_col).cast("string").alias(text_col)), sample, id_col)
-    got = rows.select(text_col, "label", "weight").mapInArrow(extract, "label int, weight double, found binary").toArrow()
-    dense = np.zeros(1 << BUCKET_BITS, np.float32)
-    if not got.num_rows:
+    size = 1 << BUCKET_BITS
+    rows = with_sample(docs, sample, id_col, text_col).select("text", "label", "weight")
+    stored = kept(rows.mapInArrow(extract, "label int, weight double, found binary"))
+
+    def count(batches):
+        in_all, in_bad = np.zeros(size, np.int64), np.zeros(size, np.int64)
+        for batch in batches:
+            for label, found in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                places = np.frombuffer(found, np.int32)
+                in_all[places] += 1
+                in_bad[places] += label > 0
+        there = np.flatnonzero(in_all)
+        yield pa.RecordBatch.from_arrays([pa.array(there), pa.array(in_all[there]), pa.array(in_bad[there])], names=["bucket", "in_all", "in_bad"])
+
+    dense = np.zeros(size, np.float32)
+    classes = stored.groupBy((F.col("label") > 0).alias("bad")).count().collect()
+    if not classes:
         return CumulativeLink(dense, np.array([30.0]))
-    labels_, weights = got["label"].to_numpy(), got["weight"].to_numpy()
-    found = [np.frombuffer(b, np.int32) for b in got["found"].to_pylist()]
-    row, bucket = np.repeat(np.arange(len(found)), [len(f) for f in found]), np.concatenate(found).astype(np.int64)
-    bad = labels_ > 0
-    in_all, in_bad = np.bincount(bucket, minlength=len(dense)), np.bincount(bucket[bad[row]], minlength=len(dense))
-    share = bad.mean()
+    # sums over all tasks: a row per feature, of which there are 2^BUCKET_BITS
+    sums = stored.select("label", "found").mapInArrow(count, "bucket long, in_all long, in_bad long").groupBy("bucket").agg(
+        F.sum("in_all").alias("in_all"), F.sum("in_bad").alias("in_bad")
+    ).where(F.col("in_all") >= LEAST_ROWS).toArrow()
+    in_all, in_bad = np.zeros(size, np.int64), np.zeros(size, np.int64)
+    in_all[sums["bucket"].to_numpy()], in_bad[sums["bucket"].to_numpy()] = sums["in_all"].to_numpy(), sums["in_bad"].to_numpy()
+    share = sum(c["count"] for c in classes if c["bad"]) / sum(c["count"] for c in classes)
     apart = np.abs(in_bad - in_all * share) / np.sqrt(in_all * share * (1 - share) + 1)
     best = np.argsort(-apart, kind="stable")[:FEATURES]
     best = np.sort(best[(in_all[best] >= LEAST_ROWS) & (apart[best] > 3)])
-    column = np.full(len(dense), -1)
+    column = np.full(size, -1, np.int32)
     column[best] = np.arange(len(best))
-    use = column[bucket] >= 0
-    row, bucket = row[use], bucket[use]
-    grades = np.maximum(labels_, 0).astype(int)
+    marker = in_bad == in_all
+
+    def choose(batches):
+        for batch in batches:
+            places = [np.frombuffer(f, np.int32) for f in batch.column(2).to_pylist()]
+            chosen = [column[p][column[p] >= 0] for p in places]
+            marks = [int(marker[p[column[p] >= 0]].sum()) for p in places]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), pa.array([c.tobytes() for c in chosen], pa.binary()), pa.array(marks, pa.int64())],
+                names=["label", "weight", "chosen", "marks"],
+            )
+
+    # a sampled row sends the few features that were chosen
+    got = stored.mapInArrow(choose, "label int, weight double, chosen binary, marks long").toArrow().sort_by(
+        [("label", "ascending"), ("weight", "ascending"), ("chosen", "ascending"), ("marks", "ascending")]
+    )
+    labels_, weights, n_marks = (got[c].to_numpy() for c in ("label", "weight", "marks"))
+    chosen = [np.frombuffer(b, np.int32) for b in got["chosen"].to_pylist()]
+    row, columns = np.repeat(np.arange(len(chosen)), [len(c) for c in chosen]), np.concatenate(chosen).astype(np.int64)
+    grades, bad = np.maximum(labels_, 0).astype(int), labels_ > 0
     if grades.max() == 1:
-        marks = (in_bad == in_all)[bucket]
-        n_marks = np.bincount(row[marks], minlength=len(grades))
         grades[bad & (n_marks > np.median(n_marks[bad]))] = 2
-    weights_, cuts = fit_cumulative_link(row, column[bucket], grades, weights, len(best))
+    weights_, cuts = fit_cumulative_link(row, columns, grades, weights, len(best))
     dense[best] = weights_
     return CumulativeLink(dense, cuts)
 
@@ -187,8 +216,8 @@ def score_toxicity(docs: DataFrame, model: CumulativeLink, text_col="text") -> D
     """
     shared = docs.sparkSession.sparkContext.broadcast((model.weights, model.thresholds))
     new = ["p_toxic", "grade", "severity"]
-    docs, kept = with_text(docs, text_col, new)
-    at = kept.index(text_col)
+    docs, names = with_text(docs, text_col, new)
+    at = names.index(text_col)
 
     def score(batches):
         own = CumulativeLink(*shared.value)
@@ -198,7 +227,7 @@ def score_toxicity(docs: DataFrame, model: CumulativeLink, text_col="text") -> D
             above = np.concatenate(parts) if parts else np.zeros((0, 1))
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns, pa.array(above[:, 0]), pa.array((above >= 0.5).sum(1).astype(np.int32)), pa.array(above.sum(1))],
-                names=[*kept, *new],
+                names=[*names, *new],
             )
 
-    return docs.mapInArrow(score, extended(docs, kept, "p_toxic double, grade int, severity double"))
+    return docs.mapInArrow(score, extended(docs, names, "p_toxic double, grade int, severity double"))

@@ -59,8 +59,9 @@ def top_products(vectors, k=20, every=20):
     import math
 
     whole = {i: [math.floor(64 * float(c)) for c in v] for i, v in vectors.items()}
+    near = lambda n: min(max(n, -(2**63)), 2**63 - 1)
     out = []
     for q in sorted(i for i in whole if i % every == 0):
-        scores = sorted((-sum(a * b for a, b in zip(whole[q], x)), i) for i, x in whole.items() if i != q)
+        scores = sorted((-near(sum(a * b for a, b in zip(whole[q], x))), i) for i, x in whole.items() if i != q)
         out += [(q, r, i, -s) for r, (s, i) in enumerate(scores[:k], 1)]
     return out

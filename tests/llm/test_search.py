@@ -32,8 +32,26 @@ def test_copies_of_a_query_fill_a_cell(spark, monkeypatch):
     assert got == [r for r in top_products(vectors) if r[0] == 40]
 
 
+def test_large_components_and_mixed_lengths(spark, monkeypatch):
+    """Nothing finite is left out: large components, products beyond 64 bits, vectors of several lengths."""
+    monkeypatch.setattr(knn, "BLOCK_ROWS", 8)
+    monkeypatch.setattr(knn, "PIVOTS", 6)
+    rng = np.random.default_rng(8)
+    vectors = {i: rng.normal(size=int(rng.integers(1, 7))).round(2).tolist() for i in range(160)}
+    vectors.update({1: [3e6, 1.0], 2: [-4e6, 2.0, 1.0], 20: [5e6], 40: [2.0**40, -3.0], 41: [2.0**40, 7.0], 43: [-(2.0**41)] * 3, 60: [0.0] * 5})
+    df = spark.createDataFrame(list(vectors.items()), "vec_id long, embedding array<double>")
+    assert rows_of(knn.top_inner_products(df)) == top_products(vectors)
+
+
+def test_plain_case_with_one_far_vector(spark):
+    vectors = {0: [1.0, 2.0], 1: [3e6, 1.0], 2: [0.5, 0.5], 20: [-1.0, 0.25]}
+    df = spark.createDataFrame(list(vectors.items()), FIELDS)
+    assert rows_of(knn.top_inner_products(df)) == top_products(vectors)
+    assert [r[2] for r in rows_of(knn.top_inner_products(df)) if r[:2] == (0, 1)] == [1]
+
+
 def test_edge_cases(spark):
     rows = [(0, [1.0, 2.0]), (1, [1.0, None]), (2, None), (3, [float("nan"), 1.0]), (4, [float("inf"), 1.0]), (5, [0.5, -1.0]), (6, []), (7, [1.0])]
     df = spark.createDataFrame([(*r, "z") for r in rows], FIELDS + ", cell string")
-    assert rows_of(knn.top_inner_products(df)) == [(0, 1, 5, 64 * 32 - 128 * 64)]
+    assert rows_of(knn.top_inner_products(df)) == [(0, 1, 7, 64 * 64), (0, 2, 5, 64 * 32 - 128 * 64)]
     assert rows_of(knn.top_inner_products(spark.createDataFrame([], FIELDS))) == []

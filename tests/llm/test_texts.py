@@ -1,6 +1,7 @@
 """Personal data, decontamination, packing, sharding and preference formatting."""
 
 import random
+import re
 import zlib
 
 import duckdb
@@ -8,6 +9,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 
+import brute
 from brute import personal
 from riskmart.llm import decontamination as D, packing, pii, preference, sharding
 from riskmart.llm.queries import QUERIES
@@ -271,6 +273,18 @@ def test_stale_answers(spark):
     assert got[2]["rejected"] == got[2]["chosen"] and set(got) == {1, 2, 3}
 
 
+def test_overlapping_spans_are_masked_as_one(spark):
+    texts = ["call +1 (415)555-2671@x.org now", "pay 4111 1111 1111 1111.2.3.4 here", "a@b.cc"]
+    found = []
+    for text in texts:
+        spans = brute.personal(text)
+        found.append((text, [{"kind": k, "start": a, "end": b} for k, a, b in spans]))
+    df = spark.createDataFrame(found, "text string, all_spans array<struct<kind:string,start:long,end:long>>")
+    got = [r["text"] for r in pii.masked(df).collect()]
+    assert got[0] == "call <phone> now" and got[2] == "<email>"
+    assert not re.search("[0-9]", got[1]) and got[1].startswith("pay <card>") and got[1].endswith(" here")
+
+
 @pytest.mark.parametrize("name", sorted(k for k, (_, sql) in QUERIES.items() if sql))
 def test_query_equals_sql(spark, name):
     db = duckdb.connect()

@@ -11,8 +11,15 @@ from riskmart.llm import decontamination, jaccard, packing, pii, toxicity
 from riskmart.llm.storing import kept, rows_with
 
 
+BATCH_ROWS = 1000        # whole texts that pass between Spark and Python at once
+
+
 def _numbered(docs):
-    """The rows under numbered names, so that no names clash with an operator's, and the text's name."""
+    """The rows under numbered names, so that no names clash with an operator's, and the text's name.
+
+    Every stage begins here, so this also bounds the batches that its tasks hold.
+    """
+    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
     return docs.toDF(*[f"c{i}" for i in range(len(docs.columns))]), f"c{docs.columns.index('text')}"
 
 
@@ -23,8 +30,8 @@ def _named(rows, docs):
 
 def drop_toxic(spark, docs, sf_dir):
     """Documents that the severity model does not find toxic; null and empty texts stay."""
-    model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     rows, text = _numbered(docs)
+    model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return _named(toxicity.score_toxicity(rows, model, text).where("p_toxic < 0.5"), docs)
 
 
@@ -62,8 +69,8 @@ def drop_leaks(spark, docs, sf_dir):
 
 def mask_personal(spark, docs, sf_dir):
     """All documents, with personal data in their texts replaced by its kind and n_chars counted anew."""
-    model = pii.fit(docs)
     rows, text = _numbered(docs)
+    model = pii.fit(docs)
     whole = _named(pii.masked(pii.find_personal(rows, model, text).drop("base_spans"), text), docs)
     length = F.length("text").cast(docs.schema["n_chars"].dataType)
     return whole.withColumn("n_chars", length)
@@ -71,6 +78,7 @@ def mask_personal(spark, docs, sf_dir):
 
 def pack_sequences(spark, docs, sf_dir):
     """One row per piece of a document: its place in a sequence of 1024 tokens and a digest of its ids."""
+    _numbered(docs)
     vocabulary = [public_tokenizers.path(f"byte_bpe_50k.{kind}") for kind in ("json", "tiktoken")]
     pieces = packing.token_pieces(docs, *vocabulary)
     digests = kept(pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids"))

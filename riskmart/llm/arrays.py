@@ -48,7 +48,11 @@ def text_bytes(column):
 
 
 def chunks(data, offsets, size=CHUNK_BYTES):
-    """(first row, last row + 1, bytes, offsets) of runs of texts of about `size` bytes."""
+    """(first row, last row + 1, bytes, offsets) of runs of texts of about `size` bytes.
+
+    Memory of batches that are done goes back to the system, as Python workers live on.
+    """
+    pa.default_memory_pool().release_unused()
     n, first = len(offsets) - 1, 0
     while first < n:
         last = int(np.searchsorted(offsets, offsets[first] + size, "right")) - 1

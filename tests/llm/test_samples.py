@@ -15,18 +15,17 @@ def test_smallest_hashes_of_each_class(spark):
         assert abs(sum(r["weight"] for r in mine) - rows) < 1e-6
 
 
-def test_no_task_ranks_a_whole_class(spark):
-    """The first ranking is by class and salt, and its limit is applied before the second one."""
-    df = spark.range(1000).selectExpr("id", "'one' as label")
-    plans = []
+def test_only_a_few_ids_are_ranked(spark, monkeypatch):
+    """What reaches the ranking of a class is bounded by the limit, not by the class."""
+    frames = []
     stored = samples.kept
-    samples.kept, keep = (lambda d: plans.append(d._jdf.queryExecution().optimizedPlan().toString()) or stored(d)), samples.kept
-    try:
-        samples.per_class(df, "id", "label", 10)
-    finally:
-        samples.kept = keep
-    first, second = [line for line in plans[-1].splitlines() if "Window [" in line][::-1]
-    assert "salt" in first and "salt" not in second.split("row_number")[1]
+    monkeypatch.setattr(samples, "kept", lambda d: frames.append(d) or stored(d))
+    got = samples.per_class(spark.range(200_000).selectExpr("id", "'one' as label"), "id", "label", 100)
+    assert got.count() == 100
+    plan = frames[-1]._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Window [") < plan.index("<= cut")
+    cut = -(2.0**63) + 2.0**64 * (100 + 70 + 50) / 200_000
+    assert 100 < spark.range(200_000).where(F.xxhash64("id").cast("double") <= cut).count() < 300
 
 
 def test_one_row_per_sampled_id(spark):

@@ -1,7 +1,6 @@
 """Personal data, decontamination, packing, sharding and preference formatting."""
 
 import random
-import re
 import zlib
 
 import duckdb
@@ -274,7 +273,7 @@ def test_stale_answers(spark):
 
 
 def test_overlapping_spans_are_masked_as_one(spark):
-    texts = ["call +1 (415)555-2671@x.org now", "pay 4111 1111 1111 1111.2.3.4 here", "a@b.cc"]
+    texts = ["call +1 (415)555-2671@x.org now", "pay 5500 0000 0000 0004.1.1.1 here", "a@b.cc"]
     found = []
     for text in texts:
         spans = brute.personal(text)
@@ -282,7 +281,7 @@ def test_overlapping_spans_are_masked_as_one(spark):
     df = spark.createDataFrame(found, "text string, all_spans array<struct<kind:string,start:long,end:long>>")
     got = [r["text"] for r in pii.masked(df).collect()]
     assert got[0] == "call <phone> now" and got[2] == "<email>"
-    assert not re.search("[0-9]", got[1]) and got[1].startswith("pay <card>") and got[1].endswith(" here")
+    assert got[1] == "pay <card> here"
 
 
 @pytest.mark.parametrize("name", sorted(k for k, (_, sql) in QUERIES.items() if sql))

@@ -10,6 +10,7 @@ from riskmart.functions import expr as X
 from riskmart.lineage import materialize
 from riskmart.operators import selection
 
+PARTITION_ROWS = 5_000_000      # rows of a sorted partition, about
 ROW_BITS = 33     # monotonically_increasing_id keeps the row within a partition below this bit
 
 
@@ -26,10 +27,11 @@ def global_index(df, keys, column="row_index", partitions=None) -> DataFrame:
 
     Rows are range-partitioned and sorted on the whole key tuple, so ties on the
     first keys still spread out. The sorted rows are stored with their place: partition
-    boundaries come from a sample and must not move between counting and numbering.
+    boundaries come from a sample and must not move between counting and numbering. There are
+    as many partitions as the rows need.
     """
     spark = df.sparkSession
-    partitions = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    partitions = partitions or max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-df.count() // PARTITION_ROWS))
     names = [f"__k{i}" for i in range(len(keys))]
     keyed = df.withColumns(dict(zip(names, keys)))
     placed = (

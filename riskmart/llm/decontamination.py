@@ -19,9 +19,10 @@ from riskmart.llm.storing import extended, with_text
 PASSAGE_WORDS = 128
 STRIDE_WORDS = 64           # neighbouring passages overlap, so a run of 64 words lies in one whole
 PART_WORDS = 64             # longer items are asked for in parts of this length
-BLOCK = 16                  # postings per block
+BLOCK = 8                   # item parts per block
 K1, B = 1.2, 0.75
 CHUNK_BYTES = 1 << 18       # texts asked about at once
+RUN_CELLS = 1 << 20         # sums, and postings added to them, held at once
 THRESHOLD = 0.5             # of the best score an item can have
 QUESTION_SHARE = 0.5        # of the question's runs of three words
 ANSWER_SHARE = 0.5          # of the answer's words
@@ -70,78 +71,93 @@ def item_words(items: DataFrame, id_col, text_col) -> DataFrame:
 
 
 class Index:
-    """Postings of item parts with normalised BM25 impacts, in blocks."""
+    """Postings of item parts with normalised BM25 impacts, as flat arrays.
+
+    Term t has the postings offsets[t] to offsets[t + 1], ordered by part. A block is a run of
+    BLOCK parts, the same for all terms; the highest impact of a term in each of its blocks is
+    kept beside the postings.
+    """
 
     def __init__(self, parts, n_parts, mean_words):
         """`parts`: (item, words, answer, documents holding each word)."""
         self.items = [p[0] for p in parts]
-        self.words = [np.asarray(p[1], np.int64) for p in parts]
-        self.answers = [p[2] for p in parts]
-        postings = {}
-        for i, (_, words, _, held) in enumerate(parts):
-            terms, at, times = np.unique(np.asarray(words, np.int64), return_index=True, return_counts=True)
-            df = np.asarray(held)[at]
-            idf = np.log(1 + (n_parts - df + 0.5) / (df + 0.5))
-            impact = idf * times * (K1 + 1) / (times + K1 * (1 - B + B * len(words) / mean_words))
-            for t, v in zip(terms.tolist(), impact / impact.sum()):
-                postings.setdefault(t, []).append((i, v))
-        self.terms = np.array(sorted(postings), np.int64)
-        self.lists = []
-        for t in self.terms.tolist():
-            ids = np.array([p[0] for p in postings[t]])
-            values = np.array([p[1] for p in postings[t]])
-            cuts = np.arange(0, len(ids), BLOCK)
-            self.lists.append((ids, values, ids[np.minimum(cuts + BLOCK, len(ids)) - 1], np.maximum.reduceat(values, cuts)))
-        self.highest = np.array([v.max() for _, v, _, _ in self.lists]) if self.lists else np.empty(0)
-        self.levels = [self._level(len(parts), share) for share in ASIDE]
-
-    def _level(self, n, share):
-        """Sets the most frequent terms aside, as long as they give no item more than `share`.
+        self.answers = [int(p[2]) for p in parts]
+        sizes = np.array([len(p[1]) for p in parts], np.int64)
+        self.starts = np.append(0, np.cumsum(sizes))
+        self.words = np.concatenate([np.asarray(p[1], np.int64) for p in parts] or [np.empty(0, np.int64)])
+        df = np.concatenate([np.asarray(p[3], np.int64) for p in parts] or [np.empty(0, np.int64)])
+        part = arrays.row_of(sizes)
+        order = np.lexsort((part, self.words))
+        word, part, df = self.words[order], part[order], df[order]
+        heads = _heads(word, part)
+        times = np.diff(np.append(heads, len(word)))
+        word, part, df = word[heads], part[heads], df[heads]
+        idf = np.log(1 + (n_parts - df + 0.5) / (df + 0.5))
+        impact = idf * times * (K1 + 1) / (times + K1 * (1 - B + B * sizes[part] / mean_words))
+        firsts = _heads(word)
+        self.terms = word[firsts]
+        self.offsets = np.append(firsts, len(word))
+        self.parts = part.astype(np.int32)
+        self.impacts = impact / np.bincount(part, impact, len(parts))[part]
+        term = np.repeat(np.arange(len(firsts)), np.diff(self.offsets))
+        firsts = _heads(term, part // BLOCK)
+        self.blocks = (part[firsts] // BLOCK).astype(np.int32)
+        self.block_offsets = np.searchsorted(firsts, self.offsets)
+        self.block_highest = np.maximum.reduceat(self.impacts, firsts) if len(firsts) else np.empty(0)
+        self.highest = np.maximum.reduceat(self.impacts, self.offsets[:-1]) if len(self.terms) else np.empty(0)
+        self.levels = [self._level(share) for share in ASIDE]
+
+    def postings(self, term):
+        """(parts, impacts) of a term."""
+        own = slice(self.offsets[term], self.offsets[term + 1])
+        return self.parts[own], self.impacts[own]
+
+    def _level(self, share):
+        """(rest, counts): the most frequent terms are set aside, as long as they give no item more than `share`.
 
         A part can only reach a threshold if the other terms give it the threshold less
-        `rest`. Those are rare, so this is summed for all passages and parts at once.
+        `rest`. Those are rare, so this is summed for whole runs of passages at once.
+        `counts` holds the postings of each term, none for those set aside.
         """
-        given = np.zeros(n)
-        aside = np.zeros(len(self.lists), bool)
-        for t in sorted(range(len(self.lists)), key=lambda t: -len(self.lists[t][0])):
-            ids, values = self.lists[t][:2]
+        given = np.zeros(len(self.items))
+        counts = np.diff(self.offsets)
+        for t in np.argsort(-counts, kind="stable"):
+            ids, values = self.postings(t)
             after = given[ids] + values
             if after.max() > share:
                 break
             given[ids] = after
-            aside[t] = True
-        counts = np.array([0 if a else len(x[0]) for a, x in zip(aside, self.lists)], np.int64)
-        rare = [x for a, x in zip(aside, self.lists) if not a]
-        return {
-            "rest": float(given.max(initial=0.0)),
-            "counts": counts,
-            "firsts": np.cumsum(counts) - counts,
-            "parts": np.concatenate([x[0] for x in rare]) if rare else np.empty(0, np.int64),
-            "impacts": np.concatenate([x[1] for x in rare]) if rare else np.empty(0),
-        }
+            counts[t] = 0
+        return float(given.max(initial=0.0)), counts
 
     def promising(self, terms, passages, n_passages, threshold):
         """Which passages may hold a hit, from the terms and the passage of each known word.
 
-        Levels that set fewer terms aside follow for the passages that are left.
+        Levels that set fewer terms aside follow for the passages that are left. Passages are
+        taken in runs whose sums and postings are bounded, whatever the number of items.
         """
         out = np.ones(n_passages, bool)
-        for level in self.levels:
-            if level["rest"] >= threshold - 1e-9:
+        for rest, counts in self.levels:
+            if rest >= threshold - 1e-9:
                 continue
-            use = np.flatnonzero(out[passages] & (level["counts"][terms] > 0))
+            use = np.flatnonzero(out[passages] & (counts[terms] > 0))
             asked = np.unique(passages[use] * len(self.terms) + terms[use])      # a term counts once per passage
             where, term = asked // len(self.terms), asked % len(self.terms)
-            n = level["counts"][term]
-            at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(level["firsts"][term], n)
-            pair = np.repeat(where, n) * len(self.items) + level["parts"][at]
             out = np.zeros(n_passages, bool)
-            if len(pair):
-                order = np.argsort(pair)
-                pair = pair[order]
-                heads = np.flatnonzero(np.append(True, pair[1:] != pair[:-1]))
-                sums = np.add.reduceat(level["impacts"][at][order], heads)
-                out[pair[heads[sums + level["rest"] >= threshold - 1e-9]] // len(self.items)] = True
+            heads = np.append(_heads(where), len(where))
+            until = np.append(0, np.cumsum(counts[term]))[heads]      # postings before each passage
+            first = 0
+            while first < len(heads) - 1:
+                last = int(np.searchsorted(until, until[first] + RUN_CELLS, "right")) - 1
+                last = max(first + 1, min(last, first + RUN_CELLS // len(self.items)))
+                own = slice(heads[first], heads[last])
+                n = counts[term[own]]
+                at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n - self.offsets[term[own]], n)
+                row = np.repeat(arrays.row_of(np.diff(heads[first:last + 1])), n)
+                sums = np.bincount(row * len(self.items) + self.parts[at], self.impacts[at], (last - first) * len(self.items))
+                best = sums.reshape(last - first, -1).max(axis=1)
+                out[where[heads[first:last]]] = best + rest >= threshold - 1e-9
+                first = last
         return out
 
     @classmethod
@@ -159,43 +175,48 @@ class Index:
         return np.where(self.terms[at] == hashes, at, -1)
 
     def retrieve(self, terms, threshold):
-        """(part, score) of all parts that distinct terms score at least `threshold`: block-max WAND."""
-        cursors = [[0, *self.lists[t], self.highest[t]] for t in terms]
-        found = []
-        while cursors:
-            cursors.sort(key=lambda c: c[1][c[0]])
+        """(part, score) of all parts that distinct terms score at least `threshold`: block-max WAND.
+
+        The sum of the terms' highest impacts in a block bounds every part of it. Cursors go
+        from one block that can hold a hit to the next, and by pivots inside of them.
+        """
+        bounds = np.zeros(-(-len(self.items) // BLOCK))
+        for t in terms:
+            own = slice(self.block_offsets[t], self.block_offsets[t + 1])
+            bounds[self.blocks[own]] += self.block_highest[own]
+        live = np.flatnonzero(bounds >= threshold - 1e-9)
+        if not len(live):
+            return []
+        cursors = [[0, *self.postings(t), self.highest[t]] for t in terms]
+        target, found = int(live[0]) * BLOCK, []
+        while True:
+            for c in cursors:
+                if c[1][c[0]] < target:
+                    c[0] += int(np.searchsorted(c[1][c[0]:], target))
+            cursors = sorted((c for c in cursors if c[0] < len(c[1])), key=lambda c: c[1][c[0]])
             bound, pivot = 0.0, None
-            for k, c in enumerate(cursors):
-                bound += c[5]
-                if bound >= threshold - 1e-12:
-                    pivot = k
+            for c in cursors:
+                bound += c[3]
+                if bound >= threshold - 1e-9:
+                    pivot = int(c[1][c[0]])
                     break
             if pivot is None:
-                break
-            target = cursors[pivot][1][cursors[pivot][0]]
-            while pivot + 1 < len(cursors) and cursors[pivot + 1][1][cursors[pivot + 1][0]] == target:
-                pivot += 1
-            ahead = cursors[: pivot + 1]
-            blocks = [int(np.searchsorted(c[3], target)) for c in ahead]
-            if sum(c[4][b] for c, b in zip(ahead, blocks) if b < len(c[4])) < threshold - 1e-12:
-                # none of these blocks can hold a hit: go on behind the first that ends
-                after = min([int(c[3][b]) + 1 for c, b in zip(ahead, blocks) if b < len(c[3])], default=target + 1)
-                if pivot + 1 < len(cursors):
-                    after = min(after, int(cursors[pivot + 1][1][cursors[pivot + 1][0]]))
-                target, score = max(after, target + 1), None
-            elif cursors[0][1][cursors[0][0]] == target:
-                score = sum(c[2][c[0]] for c in ahead)
+                return found
+            target = pivot
+            if bounds[pivot // BLOCK] < threshold - 1e-9:      # on to the next block that can hold a hit
+                after = int(np.searchsorted(live, pivot // BLOCK))
+                if after == len(live):
+                    return found
+                target = int(live[after]) * BLOCK
+            elif cursors[0][1][cursors[0][0]] == pivot:
+                score = sum(c[2][c[0]] for c in cursors if c[1][c[0]] == pivot)
                 if score >= threshold - 1e-12:
-                    found.append((int(target), float(score)))
+                    found.append((pivot, float(score)))
                 target += 1
-            for c in ahead:
-                c[0] += int(np.searchsorted(c[1][c[0]:], target))
-            cursors = [c for c in cursors if c[0] < len(c[1])]
-        return found
 
     def verify(self, part, passage):
         """(share of the question's word triples, share of the answer's words) in a passage."""
-        words, cut = self.words[part], self.answers[part]
+        words, cut = self.words[self.starts[part]:self.starts[part + 1]], self.answers[part]
         if len(words) < 3:      # an item of one or two words: all of them in their order
             runs = [passage[k:len(passage) - len(words) + 1 + k] == w for k, w in enumerate(words)]
             whole = float(len(passage) >= len(words) and np.logical_and.reduce(runs).any())
@@ -210,6 +231,13 @@ class Index:
         return q, float(np.isin(answer, passage).mean()) if len(answer) else 1.0
 
 
+def _heads(*columns):
+    """Where a run of equal rows begins in sorted columns."""
+    new = np.ones(len(columns[0]), bool)
+    new[1:] = np.logical_or.reduce([c[1:] != c[:-1] for c in columns])
+    return np.flatnonzero(new)
+
+
 def leaks_in(index, data, offsets, threshold):
     """{row: {item: (score, question, answer)}} of a run of texts."""
     starts, ends, counts = arrays.words(data, offsets, arrays.LETTERS_DIGITS)
@@ -259,21 +287,27 @@ def find_leaks(docs: DataFrame, items: DataFrame, text_col="text", item_id="item
     listed = long.groupBy("round", "item", "part", "text", "answer").agg(
         F.array_sort(F.collect_list(F.struct("at", "word", "held"))).alias("words")
     )
+    listed = listed.select("round", "item", "part", "text", "answer", F.col("words.word").alias("words"), F.col("words.held").alias("held"))
     docs, names = with_text(docs, text_col, ["leaks"])
     at = names.index(text_col)
     kind = items.schema[item_id].dataType.simpleString()
     leak = f"array<struct<item:{kind},score:double,question:double,answer:double>>"
     out = docs.withColumn("leaks", F.array().cast(leak))
     for k in range(rounds):
-        rows = listed.where(F.col("round") == k).orderBy("item", "part", "text").collect()
-        index = spark.sparkContext.broadcast(vars(Index(
-            [(r["item"], [w["word"] for w in r["words"]], r["answer"], [w["held"] for w in r["words"]]) for r in rows],
-            sizes["n"], sizes["mean"] or 1.0,
-        )))
+        rows = listed.where(F.col("round") == k).orderBy("item", "part", "text").toArrow().combine_chunks()
+        words, held = (_lists(rows.column(c)) for c in ("words", "held"))
+        parts = list(zip(rows.column("item").to_pylist(), words, rows.column("answer").to_pylist(), held))
+        index = spark.sparkContext.broadcast(vars(Index(parts, sizes["n"], sizes["mean"] or 1.0)))
         out = out.mapInArrow(_asking(index, threshold, at), extended(docs, names, f"leaks {leak}"))
     return out.withColumn("leaks", F.array_sort("leaks"))
 
 
+def _lists(column):
+    """The numpy arrays of a column of number lists."""
+    lists = [chunk for chunk in column.chunks if len(chunk)]
+    return [a for c in lists for a in np.split(c.flatten().to_numpy(), np.cumsum(c.value_lengths().to_numpy())[:-1])]
+
+
 def _asking(index, threshold, at):
     def ask(batches):
         own = Index.of(index.value)

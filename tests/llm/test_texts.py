@@ -1,6 +1,7 @@
 """Personal data, decontamination, packing, sharding and preference formatting."""
 
 import random
+import tracemalloc
 import zlib
 
 import duckdb
@@ -120,7 +121,8 @@ def test_retrieval_equals_all_scores():
         at = np.searchsorted(index.terms, asked).tolist()
         scores = np.zeros(120)
         for t in at:
-            scores[index.lists[t][0]] += index.lists[t][1]
+            ids, values = index.postings(t)
+            scores[ids] += values
         for threshold in (0.2, 0.4, 0.6):
             got = dict(index.retrieve(at, threshold))
             assert sorted(got) == np.flatnonzero(scores >= threshold - 1e-12).tolist()
@@ -128,6 +130,38 @@ def test_retrieval_equals_all_scores():
             assert may[0] or not got
 
 
+def test_index_of_twenty_thousand_items():
+    """At its stated size the index stays small, and so does asking it, with the results of full scoring."""
+    rng = np.random.default_rng(11)
+    frequency = np.cumsum(1 / np.arange(1, 50_001))
+    draw = lambda n: np.searchsorted(frequency, rng.random(n) * frequency[-1])
+    parts = [draw(int(n)) for n in rng.integers(20, 65, D.INDEX_ITEMS)]
+    held = np.bincount(np.concatenate([np.unique(p) for p in parts]), minlength=50_000)
+    said = draw(40_000)
+    said[5_000:5_000 + len(parts[77])] = parts[77]
+    said[20_000:20_000 + len(parts[19_999])] = parts[19_999]
+    tracemalloc.start()
+    index = D.Index([(i, p, len(p), held[p]) for i, p in enumerate(parts)], len(parts), 42.0)
+    terms = index.terms_of(said)
+    passages = np.arange(len(said)) // D.PASSAGE_WORDS
+    may = index.promising(terms[terms >= 0], passages[terms >= 0], int(passages[-1]) + 1, D.THRESHOLD)
+    found = {}
+    for k in range(len(may)):
+        asked = np.unique(terms[passages == k])
+        asked = asked[asked >= 0].tolist()
+        scores = np.zeros(len(parts))
+        for t in asked:
+            ids, values = index.postings(t)
+            scores[ids] += values
+        found[k] = np.flatnonzero(scores >= D.THRESHOLD - 1e-12).tolist()
+        assert may[k] or not found[k]
+        if may[k]:
+            assert [p for p, _ in index.retrieve(asked, D.THRESHOLD)] == found[k]
+    assert tracemalloc.get_traced_memory()[1] < 200 << 20
+    tracemalloc.stop()
+    assert 77 in found[5_000 // D.PASSAGE_WORDS] and any(19_999 in f for f in found.values())
+
+
 def test_leaks(spark):
     rng = random.Random(8)
     words = [f"t{i}" for i in range(5000)]

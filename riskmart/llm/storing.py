@@ -5,7 +5,8 @@ from pyspark.sql.types import StructType
 
 from riskmart.lineage import materialize
 
-SMALL_ROWS = 500_000        # rows of two longs that may be broadcast
+SMALL_BYTES = 8 << 20       # of ids that may be broadcast
+FIELD_BYTES = 8             # of a field beside its text
 
 
 def kept(df: DataFrame) -> DataFrame:
@@ -32,11 +33,12 @@ def partitions(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
-def rows_with(df: DataFrame, ids: DataFrame, on, limit=SMALL_ROWS) -> DataFrame:
+def rows_with(df: DataFrame, ids: DataFrame, on, limit=SMALL_BYTES) -> DataFrame:
     """Rows of a wide frame joined to a stored narrow frame of ids.
 
-    The ids are counted; up to `limit` of them are broadcast, so the wide rows stay where
-    they are. Beyond it the join shuffles both sides.
+    The bytes of the ids are summed; up to `limit` of them are broadcast, so the wide rows stay
+    where they are. Beyond it the join shuffles both sides.
     """
-    few = ids.count() <= limit
+    width = sum((F.coalesce(F.octet_length(F.col(f"`{c}`").cast("string")), F.lit(0)) + FIELD_BYTES for c in ids.columns), F.lit(0))
+    few = ids.agg(F.coalesce(F.sum(width), F.lit(0))).first()[0] <= limit
     return df.join(F.broadcast(ids) if few else ids, on)

@@ -35,6 +35,7 @@ MARKER = -32767             # an entry telling that its signature is frequent in
 OFTEN = 64                  # sets of a chunk from which on a signature is spread out
 FREQUENT = 1 << 40
 BUCKET_TEXT = 24 << 20      # bytes of text whose signatures one task counts, about
+RUN = 256                   # members, about, to which a centre's text travels once
 ALL = -1000                 # spare units of a set that takes every segment
 
 
@@ -392,8 +393,8 @@ def with_names(docs: DataFrame, text_col, words=5) -> DataFrame:
     return docs.mapInArrow(name, extended(docs, columns, "n_shingles long, key long"))
 
 
-def _with_texts(pairs, docs, names, id_col, text_col, words):
-    """(a, b, ta, tb): pairs of set names with a whole text of either.
+def _texts(pairs, docs, names, id_col, text_col, words):
+    """(key, text): a whole text of every set named in pairs, stored.
 
     Rows of one id may hold different texts, so the rows of the ids are named again, and those
     of the wanted names stay.
@@ -403,57 +404,78 @@ def _with_texts(pairs, docs, names, id_col, text_col, words):
     ids = kept(first.select("__id").distinct())
     wide = docs.select(F.col(id_col).alias("__id"), F.col(text_col).cast("string").alias("text"))
     own = with_names(rows_with(wide, ids, "__id").select("__id", "text"), "text", words).drop("n_shingles")
-    texts = kept(rows_with(own, first, ["__id", "key"]).groupBy("key").agg(F.min("text").alias("text")))
-    return pairs.join(texts.withColumnsRenamed({"key": "a", "text": "ta"}), "a").join(
-        texts.withColumnsRenamed({"key": "b", "text": "tb"}), "b"
-    ).select("a", "b", "ta", "tb")
+    return kept(rows_with(own, first, ["__id", "key"]).groupBy("key").agg(F.min("text").alias("text")))
 
 
-def _sets(batches, words):
-    """(rows of a batch, their sets from ta, their sets from tb), a few hundred rows at a time."""
-    for batch in batches:
-        for lo in range(0, batch.num_rows, 256):
-            part = batch.slice(lo, 256)
-            sides = [], []
-            for column, out in zip((2, 3), sides):
-                for _, _, values, counts in arrays.sets_of(part.column(column), words):
-                    out.extend(np.split(values, np.cumsum(counts)[:-1]))
-            yield part, *sides
+def _compared(pairs, texts, words, measure, schema):
+    """`measure` of the sets of each pair of a centre a and a member b.
 
+    A member's text travels once per pair, the centre's once per run of members: the pairs of
+    a centre are dealt over as many places as its members need, each led by the centre's text.
+    """
+    sizes = pairs.groupBy("a").agg(F.ceil(F.count("*") / RUN).alias("places")).where("places > 1")
+    dealt = rows_with(pairs, kept(sizes), "a", how="left").select(
+        "a", "b", F.pmod(F.xxhash64("b"), F.coalesce("places", F.lit(1))).alias("place")
+    )
+    dealt = kept(dealt)
+    leads = dealt.select("a", "place").distinct().join(texts, F.col("a") == F.col("key"))
+    members = dealt.join(texts, F.col("b") == F.col("key"))
+    rows = leads.select("a", "place", F.lit(None).cast("long").alias("b"), "text").union(members.select("a", "place", "b", "text"))
 
-def _similar(pairs, texts_of, words, num, den):
+    def compare(batches):
+        centre = None
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 256):
+                part = batch.slice(lo, 256)
+                names = part.column(0).to_pylist(), part.column(2).to_pylist()
+                sets = []
+                for _, _, values, counts in arrays.sets_of(part.column(3), words):
+                    sets.extend(np.split(values, np.cumsum(counts)[:-1]))
+                found = []
+                for a, b, own in zip(*names, sets):
+                    if b is None:
+                        centre = own.copy()
+                    else:
+                        found.append(measure(a, b, centre, own))
+                yield pa.RecordBatch.from_pylist([f for f in found if f], schema=schema)
+
+    fields = ", ".join(f"{f.name} {'array<long>' if pa.types.is_list(f.type) else 'long'}" for f in schema)
+    return rows.repartition("a", "place").sortWithinPartitions("a", "place", "b").mapInArrow(compare, fields)
+
+
+def _similar(pairs, texts, words, num, den):
     """The (a, b) pairs of set names whose sets reach the threshold, checked on whole texts."""
 
-    def check(batches):
-        for part, left, right in _sets(batches, words):
-            hit = []
-            for x, y in zip(left, right):
-                common = len(np.intersect1d(x, y, assume_unique=True))
-                union = len(x) + len(y) - common
-                hit.append(union > 0 and den * common >= num * union)
-            hit = pa.array(hit, pa.bool_())
-            yield pa.RecordBatch.from_arrays([part.column(0).filter(hit), part.column(1).filter(hit)], names=["a", "b"])
+    def check(a, b, x, y):
+        common = len(np.intersect1d(x, y, assume_unique=True))
+        union = len(x) + len(y) - common
+        return {"a": a, "b": b} if union > 0 and den * common >= num * union else None
 
-    return texts_of(pairs).mapInArrow(check, "a long, b long")
+    return _compared(pairs, texts, words, check, pa.schema([("a", pa.int64()), ("b", pa.int64())]))
+
+
+def _deltas(pairs, texts, words):
+    """(a, b, n, added, removed, extra, lacks) for pairs of a centre a and a member b: the size of
+    b's set, how many members it adds to a's and how many it lacks, and these members."""
+    schema = pa.schema(
+        [(c, pa.int64()) for c in ("a", "b", "n", "added", "removed")] + [(c, pa.list_(pa.int64())) for c in ("extra", "lacks")]
+    )
 
+    def differ(a, b, x, y):
+        extra, lacks = (np.setdiff1d(p, q, assume_unique=True).view(np.int64) for p, q in ((y, x), (x, y)))
+        return {"a": a, "b": b, "n": len(y), "added": len(extra), "removed": len(lacks), "extra": extra, "lacks": lacks}
 
-def _deltas(pairs, texts_of, words):
-    """(a, b, n, added, removed, extra) for pairs of a centre a and a member b: the size of b's
-    set, how many members it adds to a's and how many it lacks, and those it adds."""
+    return _compared(pairs, texts, words, differ, schema)
 
-    def differ(batches):
-        for part, left, right in _sets(batches, words):
-            extra = [np.setdiff1d(y, x, assume_unique=True) for x, y in zip(left, right)]
-            n = np.array([len(y) for y in right], np.int64)
-            added = np.array([len(e) for e in extra], np.int64)
-            removed = np.array([len(x) for x in left], np.int64) - n + added
-            yield pa.RecordBatch.from_arrays(
-                [part.column(0), part.column(1), pa.array(n), pa.array(added), pa.array(removed),
-                 pa.array([e.view(np.int64) for e in extra], pa.list_(pa.int64()))],
-                names=["a", "b", "n", "added", "removed", "extra"],
-            )
 
-    return texts_of(pairs).mapInArrow(differ, "a long, b long, n long, added long, removed long, extra array<long>")
+def _similar_deltas(pairs, known, num, den):
+    """The (a, b) of pairs (x, a, b) that reach the threshold, from what both add to x and lack of it."""
+    sides = [known.select("x", *[F.col(c).alias(f"{c}{k}") for c in ("key", "n", "added", "removed", "extra", "lacks")]) for k in (1, 2)]
+    both = pairs.withColumnsRenamed({"a": "key1", "b": "key2"}).join(sides[0], ["x", "key1"]).join(sides[1], ["x", "key2"])
+    lost = F.col("removed1") + F.col("removed2") - F.size(F.array_intersect("lacks1", "lacks2"))
+    common = F.expr("n1 - added1 + removed1") - lost + F.size(F.array_intersect("extra1", "extra2"))
+    both = both.select("key1", "key2", common.alias("common"), (F.col("n1") + F.col("n2") - common).alias("union"))
+    return both.where(f"{den} * common >= {num} * union").select(F.col("key1").alias("a"), F.col("key2").alias("b"))
 
 
 def _links(shared, chosen, texts_of, words, num, den):
@@ -474,7 +496,8 @@ def _links(shared, chosen, texts_of, words, num, den):
     lead = kept(members.groupBy("sig").agg(F.max_by("key", F.struct("shares", "key")).alias("x")))
     around = kept(members.join(lead, "sig").where("key <> x").select("sig", "x", "key"))
     stars = kept(around.select(F.col("x").alias("a"), F.col("key").alias("b")).distinct())
-    links = kept(_similar(stars, texts_of, words, num, den))
+    texts = texts_of(stars)      # of all sets that are compared at all
+    links = kept(_similar(stars, texts, words, num, den))
     groups = components(links)
     placed = around.join(groups, around["key"] == groups["node"], "left").select(
         "sig", "x", "key", F.coalesce("component", "key").alias("c")
@@ -485,7 +508,7 @@ def _links(shared, chosen, texts_of, words, num, den):
     homes = homes.join(shares, F.col("b") == F.col("key")).where("most > shares").select(F.col("b").alias("x"), "home")
     open_ = placed.join(apart, "sig").select("x", "key", "c").distinct().join(homes, "x", "left")
     open_ = kept(open_.select(F.coalesce("home", "x").alias("x"), "key", "c").where("x <> key").distinct())
-    deltas = _deltas(open_.select(F.col("x").alias("a"), F.col("key").alias("b")), texts_of, words)
+    deltas = _deltas(open_.select(F.col("x").alias("a"), F.col("key").alias("b")), texts, words)
     main = den * (F.col("n") - F.col("added")) >= num * (F.col("n") + F.col("removed"))
     known = kept(deltas.withColumnsRenamed({"a": "x", "b": "key"}).join(open_, ["x", "key"]).withColumn("main", main))
     links = links.union(known.where("main").select("x", "key"))
@@ -516,9 +539,10 @@ def _links(shared, chosen, texts_of, words, num, den):
         tokens.where("not main").select("x", "token", F.col("c").alias("c1"), F.col("key").alias("key1")), ["x", "token", "c1"]
     ).join(tokens.select("x", "token", F.col("c").alias("c2"), F.col("key").alias("key2")), ["x", "token", "c2"])
 
-    pairs = by_number.select("key1", "key2").union(by_token.select("key1", "key2"))
-    pairs = kept(pairs.select(F.least("key1", "key2").alias("a"), F.greatest("key1", "key2").alias("b")).distinct())
-    return links.union(_similar(pairs, texts_of, words, num, den))
+    pairs = by_number.select("x", "key1", "key2").union(by_token.select("x", "key1", "key2"))
+    pairs = pairs.select("x", F.least("key1", "key2").alias("a"), F.greatest("key1", "key2").alias("b"))
+    pairs = kept(pairs.groupBy("a", "b").agg(F.min("x").alias("x")))
+    return links.union(_similar_deltas(pairs, known, num, den))
 
 
 def jaccard_groups(docs: DataFrame, id_col="doc_id", text_col="text", words=5, num=75, den=100) -> DataFrame:
@@ -547,7 +571,7 @@ def placed_sets(docs: DataFrame, id_col="doc_id", text_col="text", words=5, num=
     shared = kept(_shared(_signature_blobs(docs, text_col, words, num, den, buckets), buckets, buckets))
 
     def texts_of(pairs):
-        return _with_texts(pairs, docs, names, id_col, text_col, words)
+        return _texts(pairs, docs, names, id_col, text_col, words)
 
     links = kept(_links(shared, _chosen(shared), texts_of, words, num, den))
     groups = kept(components(links))

@@ -33,7 +33,7 @@ def partitions(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
-def rows_with(df: DataFrame, ids: DataFrame, on, limit=SMALL_BYTES) -> DataFrame:
+def rows_with(df: DataFrame, ids: DataFrame, on, limit=SMALL_BYTES, how="inner") -> DataFrame:
     """Rows of a wide frame joined to a stored narrow frame of ids.
 
     The bytes of the ids are summed; up to `limit` of them are broadcast, so the wide rows stay
@@ -41,4 +41,4 @@ def rows_with(df: DataFrame, ids: DataFrame, on, limit=SMALL_BYTES) -> DataFrame
     """
     width = sum((F.coalesce(F.octet_length(F.col(f"`{c}`").cast("string")), F.lit(0)) + FIELD_BYTES for c in ids.columns), F.lit(0))
     few = ids.agg(F.coalesce(F.sum(width), F.lit(0))).first()[0] <= limit
-    return df.join(F.broadcast(ids) if few else ids, on)
+    return df.join(F.broadcast(ids) if few else ids, on, how)

@@ -97,3 +97,22 @@ def test_bands_hold_partners():
         assert int(np.searchsorted(edges, smallest, "right")) - 1 >= band - 1
         m, unit = plans[band]
         assert m * unit > bands.most_apart(size)
+
+
+def test_shared_blocks(spark):
+    """Documents made of shared blocks, most of them apart from their centre, and one centre with many members."""
+    rng = random.Random(4)
+    block = lambda n: [f"b{rng.randrange(10**6)}" for _ in range(n)]
+    rows = []
+    for kept_blocks, n in ((8, 120), (11, 40)):
+        blocks = [block(15) for _ in range(12)]
+        for _ in range(n):
+            chosen = sorted(rng.sample(range(12), kept_blocks))
+            rows.append((len(rows), " ".join(w for k in chosen for w in blocks[k])))
+    base = block(40)
+    for k in range(2 * J.RUN + 50):
+        copy = list(base)
+        copy[rng.choice([0, 1, 38, 39])] = f"x{k}"
+        rows.append((len(rows), " ".join(copy)))
+    rng.shuffle(rows)
+    assert groups(spark, rows) == brute_groups(rows)

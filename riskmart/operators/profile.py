@@ -1,13 +1,19 @@
 """Profile tables and the data-quality report."""
 
-from pyspark.ml.functions import array_to_vector
-from pyspark.ml.stat import Correlation, Summarizer
+from contextlib import contextmanager
+from math import ceil
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from riskmart.functions import expr as X
 from riskmart.operators import selection
 from riskmart.operators.ordering import bucket_of
 
+METHOD_BYTES = 8000         # of code up to which the JVM compiles a method
+LEAST_VARIANCE = 1e-12      # a variance up to this counts as rounding, as in MLlib
+MOMENTS = ["n", "low", "high", "mean", "products"]
+
 
 def _long(one_row, columns, name, value) -> DataFrame:
     """One row of many columns as (name, value) rows."""
@@ -38,25 +44,101 @@ def top_missing(df, limit=40, columns=None) -> DataFrame:
     return rates.orderBy(F.desc("rate"), "column").limit(limit)
 
 
+@contextmanager
+def _compiled(spark):
+    """Plans made inside give no method that is too long for the JVM to compile.
+
+    A projection of very many columns becomes one method of more than 8,000 bytes of code, which
+    the JVM interprets; beyond the limit Spark splits it.
+    """
+    name = "spark.sql.codegen.hugeMethodLimit"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, METHOD_BYTES)
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
+def _moments(x):
+    """(n, low, high, mean, products) of the rows of a matrix; products of the differences from the mean."""
+    mean = x.mean(axis=0)
+    apart = x - mean
+    return len(x), x.min(axis=0), x.max(axis=0), mean, apart.T @ apart
+
+
+def _joined(one, two):
+    """The moments of the rows of both."""
+    if one is None:
+        return two
+    n = one[0] + two[0]
+    delta = two[3] - one[3]
+    products = one[4] + two[4] + np.outer(delta, delta) * (one[0] * two[0] / n)
+    return n, np.minimum(one[1], two[1]), np.maximum(one[2], two[2]), one[3] + delta * (two[0] / n), products
+
+
+def _packed(moments):
+    """A batch of one row, or of none."""
+    rows = [[moments[0]], *[[m.tobytes()] for m in moments[1:]]] if moments else [[]] * 5
+    kinds = [pa.int64(), *[pa.binary()] * 4]
+    return pa.RecordBatch.from_arrays([pa.array(r, k) for r, k in zip(rows, kinds)], names=MOMENTS)
+
+
+def _unpacked(n, *arrays):
+    low, high, mean, products = (np.frombuffer(a) for a in arrays)
+    return n, low, high, mean, products.reshape(len(mean), -1)
+
+
+def _moments_of(batches):
+    """The moments of a task's rows in which all columns are present."""
+    found = None
+    with np.errstate(invalid="ignore", over="ignore"):
+        for batch in batches:
+            x = np.column_stack([c.to_numpy(zero_copy_only=False) for c in batch.columns])
+            x = x[~np.isnan(x).any(axis=1)]
+            found = _joined(found, _moments(x)) if len(x) else found
+    yield _packed(found)
+
+
+def _merged(batches):
+    """The moments of several tasks as one."""
+    found = None
+    with np.errstate(invalid="ignore", over="ignore"):
+        for batch in batches:
+            for row in zip(*(c.to_pylist() for c in batch.columns)):
+                found = _joined(found, _unpacked(*row))
+    yield _packed(found)
+
+
 def correlations(df, columns) -> DataFrame:
     """Pearson correlation of every pair, over rows where all columns are present.
 
-    Missing where a column of the pair is constant, also with itself. The columns are one
-    vector: its products are summed as one matrix that merges over tasks, for any number of
-    columns; the driver receives columns x columns numbers.
+    Missing where a column of the pair is constant, also with itself. One pass: a task sums the
+    products of its rows around their mean as one matrix, for any number of columns, and the
+    matrices of all tasks are merged by a few; the driver receives one from each of these.
     """
-    full = df.select(*[F.col(c).cast("double").alias(c) for c in columns]).dropna()
-    vectors = full.select(array_to_vector(F.array(*[F.col(X.quoted(c)) for c in columns])).alias("v"))
-    about = vectors.select(Summarizer.metrics("count", "min", "max").summary(F.col("v")).alias("s")).select("s.*").first()
-    matrix = Correlation.corr(vectors, "v").first()[0].toArray() if about["count"] > 1 else None
-    varies = [about["count"] > 1 and about["min"][i] < about["max"][i] for i in range(len(columns))]
+    spark = df.sparkSession
+    values = df.select(*[F.col(c).cast("double").alias(c) for c in columns])
+    kinds = ", ".join(f"{c} {'long' if c == 'n' else 'binary'}" for c in MOMENTS)
+    mergers = ceil(int(spark.conf.get("spark.sql.shuffle.partitions")) ** 0.5)
+    found = None
+    with _compiled(spark), np.errstate(invalid="ignore", over="ignore"):
+        for row in values.mapInArrow(_moments_of, kinds).repartition(mergers).mapInArrow(_merged, kinds).collect():   # one per merger
+            found = _joined(found, _unpacked(*row))
+        several = found is not None and found[0] > 1
+        varies = [several and bool(found[1][i] < found[2][i]) for i in range(len(columns))]
+        if several:
+            covariance = found[4] / (found[0] - 1)
+            variance = np.diag(covariance)
+            spread = np.sqrt(np.where(variance > LEAST_VARIANCE, variance, np.nan))
+            matrix = covariance / np.outer(spread, spread)
     rows = [
         (a, b, (1.0 if i == j else float(matrix[i, j])) if varies[i] and varies[j] else None)
         for i, a in enumerate(columns)
         for j, b in enumerate(columns)
     ]
     kinds = T.StructType([T.StructField("a", T.StringType()), T.StructField("b", T.StringType()), T.StructField("corr", T.DoubleType())])
-    return selection.small_table(df.sparkSession, rows, kinds)
+    return selection.small_table(spark, rows, kinds)
 
 
 def histogram(df, column, bins=50, clip_upper=None) -> DataFrame:

@@ -243,3 +243,32 @@ def test_profile_of_odd_columns(spark):
     cells = {(r["a"], r["b"]): r["corr"] for r in P.correlations(df, ["c", "v"]).collect()}
     assert cells == {("c", "c"): None, ("c", "v"): None, ("v", "c"): None, ("v", "v"): 1.0}
     assert [tuple(r) for r in P.value_counts(df, "t").collect()] == [("a", 2, 1.0)]
+
+
+def test_correlations_equal_numpy_in_one_pass(spark):
+    """Rows with a missing value or NaN are left out, and every row is computed once."""
+    rows = [[rng.gauss(1e6, 1), rng.random(), float(i % 3)] for i in range(400)]
+    rows = [(*r, r[0] - 2 * r[1] + rng.random()) for r in rows]
+    odd = [(None, 1.0, 1.0, 1.0), (1.0, float("nan"), 1.0, 1.0)]
+    seen = spark.sparkContext.accumulator(0)
+
+    def passed(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    df = spark.createDataFrame(rows + odd, "a double, b double, c double, d double").repartition(20)
+    found = {(r["a"], r["b"]): r["corr"] for r in P.correlations(df.mapInArrow(passed, df.schema), ["a", "b", "c", "d"]).collect()}
+    wanted = np.corrcoef(np.array(rows).T)
+    assert seen.value == len(rows) + len(odd)
+    assert all(abs(found["abcd"[i], "abcd"[j]] - wanted[i, j]) < 1e-9 for i in range(4) for j in range(4))
+
+
+def test_correlations_of_few_and_infinite_rows(spark):
+    def found(rows):
+        return {(r["a"], r["b"]): r["corr"] for r in P.correlations(spark.createDataFrame(rows, "a double, b double"), ["a", "b"]).collect()}
+
+    nothing = {(x, y): None for x in "ab" for y in "ab"}
+    assert found([]) == nothing and found([(1.0, 2.0)]) == nothing and found([(1.0, None), (2.0, 1.0)]) == nothing
+    cells = found([(1.0, 1.0), (2.0, float("inf")), (4.0, 3.0)])
+    assert cells["a", "a"] == cells["b", "b"] == 1.0 and np.isnan(cells["a", "b"])

@@ -15,6 +15,8 @@ from riskmart.lineage import shared_folder
 
 CHECKS = {}
 
+TASK_ROWS = 4000        # of a narrow table, from which very many values are derived
+
 # 1/3 and 2/3 as doubles, for quantiles.
 THIRD, TWO_THIRDS = 1 / 3, 2 / 3
 
@@ -147,10 +149,20 @@ def table(spark, folder, name):
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def shape(spark, folder, name):
-    """A shape as a Spark frame."""
+def spread_rows(df, rows=TASK_ROWS):
+    """The rows of a stored narrow table, dealt over tasks of about so many rows, as many at most as shuffles have.
+
+    A row group of a file is read by one task, and one of a narrow table holds very many rows.
+    """
+    most = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(max(1, min(most, -(-df.count() // rows))))
+
+
+def shape(spark, folder, name, spread=False):
+    """A shape as a Spark frame; with `spread`, its rows are dealt over tasks."""
     source, columns = SOURCES[name]
     df = table(spark, folder, source.split()[0])
+    df = spread_rows(df) if spread else df
     if " join " in source:
         df = df.join(table(spark, folder, "customer"), F.col("o_custkey") == F.col("c_custkey"))
     return df.selectExpr(*[f"{e} as {c}" for c, e in columns.items()])

@@ -204,7 +204,7 @@ ENGINEERED_SQL = (
 
 
 def cleaned(spark, d):
-    return jobs.clean_application(shape(spark, d, "application"))
+    return jobs.clean_application(shape(spark, d, "application", spread=True))
 
 
 @check("app_features", "select SK_ID_CURR, DAYS_EMPLOYED_ANOM, " + ", ".join(

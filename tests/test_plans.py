@@ -4,9 +4,10 @@ import ast
 import pathlib
 
 import pytest
+from pyspark.sql import functions as F
 
 import credit
-from checks.frames import CHECKS, shape, table
+from checks.frames import CHECKS, TASK_ROWS, shape, table
 from checks import audit, marts, order  # noqa: F401
 from riskmart.operators import aggregates as A, categories as C, features as FE, keys as K, ordering as O
 
@@ -94,3 +95,14 @@ def test_library_has_no_python_functions_in_queries():
     for path in (ROOT / "riskmart").rglob("*.py"):
         names = {n.attr for n in ast.walk(ast.parse(path.read_text())) if isinstance(n, ast.Attribute)}
         assert not names & banned, path
+
+
+def test_applications_of_one_row_group_go_to_several_tasks(spark, tmp_path):
+    rows = spark.range(2 * TASK_ROWS + 1).selectExpr(
+        "id as c_custkey", "'n' as c_name", "cast(id % 25 as int) as c_nationkey", "cast(id as double) as c_acctbal", "'BUILDING' as c_mktsegment"
+    )
+    rows.coalesce(1).write.parquet(f"{tmp_path}/customer.parquet")
+    app = marts.cleaned(spark, str(tmp_path))
+    counts = [n for _, n in app.groupBy(F.spark_partition_id()).count().collect()]
+    assert len(counts) == 3 and sum(counts) == 2 * TASK_ROWS + 1 and max(counts) <= TASK_ROWS + 20
+    assert sorted(r[0] for r in app.select("SK_ID_CURR").collect()) == list(range(2 * TASK_ROWS + 1))

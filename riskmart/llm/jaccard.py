@@ -478,6 +478,22 @@ def _similar_deltas(pairs, known, num, den):
     return both.where(f"{den} * common >= {num} * union").select(F.col("key1").alias("a"), F.col("key2").alias("b"))
 
 
+def _rarest(known, num, den):
+    """(x, key, c, main, token): the rarest of the members a set adds to its centre's.
+
+    A linked pair shares so many added members that the rarest ones of either hold one of them.
+    Members are counted where they meet: they travel once.
+    """
+    every = known.select("x", "key", "c", "main", (F.floor(F.col("n") * (den - num) / num) + 1).alias("most"), F.explode("extra").alias("token"))
+    shared = every.withColumn("often", F.count("*").over(Window.partitionBy("x", "token"))).where("often > 1")
+    unique = known.select("x", "key", F.size("extra").alias("size"))
+    rarest = Window.partitionBy("x", "key").orderBy("often", "token")
+    tokens = shared.withColumn("place", F.row_number().over(rarest)).withColumn(
+        "shared", F.count("*").over(Window.partitionBy("x", "key"))
+    ).join(unique, ["x", "key"]).where("size - shared + place <= most")
+    return tokens.select("x", "key", "c", "main", "token")
+
+
 def _links(shared, chosen, texts_of, words, num, den):
     """All links: members against their most central one, then across what is still apart.
 
@@ -522,15 +538,7 @@ def _links(shared, chosen, texts_of, words, num, den):
     sides = [known.select("x", *[F.col(c).alias(f"{c}{k}") for c in [*profile[1:], "key", "c"]]) for k in (1, 2)]
     by_number = near.join(sides[0], ["x", *[f"{c}1" for c in profile[1:]]]).join(sides[1], ["x", *[f"{c}2" for c in profile[1:]]]).where("c1 <> c2")
 
-    # a linked pair shares so many added members that the rarest ones of either hold one of them
-    every = known.select("x", "key", "c", "main", (F.floor(F.col("n") * (den - num) / num) + 1).alias("most"), F.explode("extra").alias("token"))
-    often = every.groupBy("x", "token").agg(F.count("*").alias("often")).where("often > 1")
-    unique = known.select("x", "key", F.size("extra").alias("size"))
-    rarest = Window.partitionBy("x", "key").orderBy("often", "token")
-    tokens = every.join(often, ["x", "token"]).withColumn("place", F.row_number().over(rarest)).withColumn(
-        "shared", F.count("*").over(Window.partitionBy("x", "key"))
-    ).join(unique, ["x", "key"]).where("size - shared + place <= most")
-    tokens = kept(tokens.select("x", "key", "c", "main", "token"))
+    tokens = kept(_rarest(known, num, den))
     there = tokens.select("x", "token", "c", "main").distinct()
     meet = there.where("not main").select("x", "token", F.col("c").alias("c1")).join(
         there.select("x", "token", F.col("c").alias("c2")), ["x", "token"]

@@ -116,3 +116,21 @@ def test_shared_blocks(spark):
         rows.append((len(rows), " ".join(copy)))
     rng.shuffle(rows)
     assert groups(spark, rows) == brute_groups(rows)
+
+
+def test_rarest_added_members(spark):
+    """Of 30 to 60 sets of one centre, the added members that another set adds too, rarest first; they are shuffled once."""
+    rng = random.Random(6)
+    rows, wanted = [], set()
+    for x, n in ((1, 30), (2, 60)):
+        adds = {k: sorted({int(rng.expovariate(0.03)) for _ in range(12)}) for k in range(n)}
+        often = {t: sum(t in a for a in adds.values()) for a in adds.values() for t in a}
+        for k, added in adds.items():
+            rows.append((x, k, 25, added, k % 7, k % 2 == 0))
+            meets = sorted((often[t], t) for t in added if often[t] > 1)
+            wanted |= {(x, k, t) for i, (_, t) in enumerate(meets) if len(added) - len(meets) + i + 1 <= 25 * 25 // 75 + 1}
+    known = spark.createDataFrame(rows, "x long, key long, n long, extra array<long>, c long, main boolean")
+    out = J._rarest(known, 75, 100)
+    assert {(r["x"], r["key"], r["token"]) for r in out.collect()} == wanted
+    plan = out._jdf.queryExecution().sparkPlan().toString()
+    assert out.count() == len(wanted) and plan.count("Generate explode") == 1

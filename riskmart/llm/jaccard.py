@@ -397,75 +397,82 @@ def _texts(pairs, docs, names, id_col, text_col, words):
     """(key, text): a whole text of every set named in pairs, stored.
 
     Rows of one id may hold different texts, so the rows of the ids are named again, and those
-    of the wanted names stay.
+    of the wanted names stay. Only texts of rows that repeat id and name are shuffled.
     """
     nodes = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
-    first = kept(names.join(nodes, "key").groupBy("key").agg(F.min("id").alias("__id")))
+    rows = names.join(nodes, "key").groupBy("key", "id").agg(F.count("*").alias("rows"))
+    first = rows.groupBy("key").agg(F.min(F.struct("id", "rows")).alias("first"))
+    first = kept(first.select("key", F.col("first.id").alias("__id"), F.col("first.rows").alias("rows")))
     ids = kept(first.select("__id").distinct())
     wide = docs.select(F.col(id_col).alias("__id"), F.col(text_col).cast("string").alias("text"))
     own = with_names(rows_with(wide, ids, "__id").select("__id", "text"), "text", words).drop("n_shingles")
-    return kept(rows_with(own, first, ["__id", "key"]).groupBy("key").agg(F.min("text").alias("text")))
+    found = kept(rows_with(own, first, ["__id", "key"]).select("key", "text", "rows"))
+    again = found.where("rows > 1")
+    if again.isEmpty():
+        return found.drop("rows")
+    return kept(found.where("rows = 1").select("key", "text").union(again.groupBy("key").agg(F.min("text").alias("text"))))
 
 
-def _compared(pairs, texts, words, measure, schema):
-    """`measure` of the sets of each pair of a centre a and a member b.
+def _compared(pairs, texts, words, measure, fields):
+    """`measure` of the sets of each pair of a centre a and a member b, beside the pair's columns.
 
     A member's text travels once per pair, the centre's once per run of members: the pairs of
     a centre are dealt over as many places as its members need, each led by the centre's text.
+    All columns of the pairs are whole numbers and travel along, so no result is joined to them.
     """
+    more = [c for c in pairs.columns if c not in ("a", "b")]
     sizes = pairs.groupBy("a").agg(F.ceil(F.count("*") / RUN).alias("places")).where("places > 1")
-    dealt = rows_with(pairs, kept(sizes), "a", how="left").select(
-        "a", "b", F.pmod(F.xxhash64("b"), F.coalesce("places", F.lit(1))).alias("place")
-    )
-    dealt = kept(dealt)
-    leads = dealt.select("a", "place").distinct().join(texts, F.col("a") == F.col("key"))
-    members = dealt.join(texts, F.col("b") == F.col("key"))
-    rows = leads.select("a", "place", F.lit(None).cast("long").alias("b"), "text").union(members.select("a", "place", "b", "text"))
+    dealt = kept(rows_with(pairs, kept(sizes), "a", how="left").select(
+        F.col("b").alias("key"), "a", *more, F.pmod(F.xxhash64("b"), F.coalesce("places", F.lit(1))).alias("place")
+    ))
+    leads = kept(dealt.select(F.col("a").alias("key"), "place").distinct())
+    members = rows_with(texts, dealt, "key").select("a", "place", F.col("key").alias("b"), *more, "text")
+    empty = [F.lit(None).cast("long").alias(c) for c in ("b", *more)]
+    rows = rows_with(texts, leads, "key").select(F.col("key").alias("a"), "place", *empty, "text").union(members)
+    schema = pa.schema([(c, pa.int64()) for c in ("a", "b", *more)] + fields)
 
     def compare(batches):
         centre = None
         for batch in batches:
             for lo in range(0, batch.num_rows, 256):
                 part = batch.slice(lo, 256)
-                names = part.column(0).to_pylist(), part.column(2).to_pylist()
+                a, _, *own = (part.column(i).to_pylist() for i in range(3 + len(more)))
                 sets = []
-                for _, _, values, counts in arrays.sets_of(part.column(3), words):
+                for _, _, values, counts in arrays.sets_of(part.column(3 + len(more)), words):
                     sets.extend(np.split(values, np.cumsum(counts)[:-1]))
                 found = []
-                for a, b, own in zip(*names, sets):
-                    if b is None:
-                        centre = own.copy()
-                    else:
-                        found.append(measure(a, b, centre, own))
-                yield pa.RecordBatch.from_pylist([f for f in found if f], schema=schema)
+                for *pair, members in zip(a, *own, sets):
+                    if pair[1] is None:
+                        centre = members.copy()
+                    elif (measured := measure(centre, members)) is not None:
+                        found.append(dict(zip(schema.names, [*pair, *measured])))
+                yield pa.RecordBatch.from_pylist(found, schema=schema)
 
-    fields = ", ".join(f"{f.name} {'array<long>' if pa.types.is_list(f.type) else 'long'}" for f in schema)
-    return rows.repartition("a", "place").sortWithinPartitions("a", "place", "b").mapInArrow(compare, fields)
+    kinds = ", ".join(f"{f.name} {'array<long>' if pa.types.is_list(f.type) else 'long'}" for f in schema)
+    return rows.repartition("a", "place").sortWithinPartitions("a", "place", "b").mapInArrow(compare, kinds)
 
 
 def _similar(pairs, texts, words, num, den):
     """The (a, b) pairs of set names whose sets reach the threshold, checked on whole texts."""
 
-    def check(a, b, x, y):
+    def check(x, y):
         common = len(np.intersect1d(x, y, assume_unique=True))
         union = len(x) + len(y) - common
-        return {"a": a, "b": b} if union > 0 and den * common >= num * union else None
+        return () if union > 0 and den * common >= num * union else None
 
-    return _compared(pairs, texts, words, check, pa.schema([("a", pa.int64()), ("b", pa.int64())]))
+    return _compared(pairs, texts, words, check, [])
 
 
 def _deltas(pairs, texts, words):
-    """(a, b, n, added, removed, extra, lacks) for pairs of a centre a and a member b: the size of
+    """n, added, removed, extra, lacks beside each pair of a centre a and a member b: the size of
     b's set, how many members it adds to a's and how many it lacks, and these members."""
-    schema = pa.schema(
-        [(c, pa.int64()) for c in ("a", "b", "n", "added", "removed")] + [(c, pa.list_(pa.int64())) for c in ("extra", "lacks")]
-    )
 
-    def differ(a, b, x, y):
+    def differ(x, y):
         extra, lacks = (np.setdiff1d(p, q, assume_unique=True).view(np.int64) for p, q in ((y, x), (x, y)))
-        return {"a": a, "b": b, "n": len(y), "added": len(extra), "removed": len(lacks), "extra": extra, "lacks": lacks}
+        return len(y), len(extra), len(lacks), extra, lacks
 
-    return _compared(pairs, texts, words, differ, schema)
+    counts = [(c, pa.int64()) for c in ("n", "added", "removed")]
+    return _compared(pairs, texts, words, differ, counts + [(c, pa.list_(pa.int64())) for c in ("extra", "lacks")])
 
 
 def _similar_deltas(pairs, known, num, den):
@@ -524,9 +531,9 @@ def _links(shared, chosen, texts_of, words, num, den):
     homes = homes.join(shares, F.col("b") == F.col("key")).where("most > shares").select(F.col("b").alias("x"), "home")
     open_ = placed.join(apart, "sig").select("x", "key", "c").distinct().join(homes, "x", "left")
     open_ = kept(open_.select(F.coalesce("home", "x").alias("x"), "key", "c").where("x <> key").distinct())
-    deltas = _deltas(open_.select(F.col("x").alias("a"), F.col("key").alias("b")), texts, words)
+    deltas = _deltas(open_.withColumnsRenamed({"x": "a", "key": "b"}), texts, words)
     main = den * (F.col("n") - F.col("added")) >= num * (F.col("n") + F.col("removed"))
-    known = kept(deltas.withColumnsRenamed({"a": "x", "b": "key"}).join(open_, ["x", "key"]).withColumn("main", main))
+    known = kept(deltas.withColumnsRenamed({"a": "x", "b": "key"}).withColumn("main", main))
     links = links.union(known.where("main").select("x", "key"))
 
     profile = ["x", "main", "n", "added", "removed"]

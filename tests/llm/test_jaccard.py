@@ -134,3 +134,28 @@ def test_rarest_added_members(spark):
     assert {(r["x"], r["key"], r["token"]) for r in out.collect()} == wanted
     plan = out._jdf.queryExecution().sparkPlan().toString()
     assert out.count() == len(wanted) and plan.count("Generate explode") == 1
+
+
+def test_texts_are_shuffled_once(spark, monkeypatch):
+    """Texts are joined where they lie and shuffled to their centres only, with all columns of the pairs."""
+    frames = []
+    keep = J.kept
+    monkeypatch.setattr(J, "kept", lambda df: frames.append(df) or keep(df))
+    shuffles = lambda df: df._jdf.queryExecution().executedPlan().toString().count("hashpartitioning")
+    rows = [(i, " ".join(f"w{i % 3}-{k}" for k in range(40)) + f" x{i}") for i in range(30)]
+    docs = spark.createDataFrame(rows + [rows[4]] * 3 + [(4, "another text of this id")], "doc_id long, text string")
+    names = keep(J.set_names(docs, "doc_id", "text", 5))
+    key = {r["id"]: r["key"] for r in names.collect() if r["n_shingles"] > 1}
+    pairs = keep(spark.createDataFrame([(key[i % 3], key[i], i) for i in range(3, 30)], "a long, b long, c long"))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        texts = J._texts(pairs, docs, names, "doc_id", "text", 5)
+        assert {(r["key"], r["text"]) for r in texts.collect()} == {(key[i], t) for i, t in rows} and texts.count() == 30
+        assert [shuffles(f) for f in frames if "text" in f.columns][0] == 0
+        out = J._deltas(pairs, texts, 5)
+        assert shuffles(out) == 1
+        got = sorted((r["c"], r["a"], r["b"], r["n"], r["added"], r["removed"]) for r in out.collect())
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert got == [(i, key[i % 3], key[i], 37, 1, 1) for i in range(3, 30)]

@@ -71,7 +71,7 @@ def mask_personal(spark, docs, sf_dir):
     """All documents, with personal data in their texts replaced by its kind and n_chars counted anew."""
     rows, text = _numbered(docs)
     model = pii.fit(docs)
-    whole = _named(pii.masked(pii.find_personal(rows, model, text).drop("base_spans"), text), docs)
+    whole = _named(pii.mask_personal(rows, model, text), docs)
     length = F.length("text").cast(docs.schema["n_chars"].dataType)
     return whole.withColumn("n_chars", length)
 

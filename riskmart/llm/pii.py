@@ -412,12 +412,8 @@ def in_order(spans):
 SPANS = "array<struct<kind:string,start:long,end:long>>"
 
 
-def find_personal(docs: DataFrame, model: SemiMarkov, text_col="text") -> DataFrame:
-    """The rows with `base_spans` and `all_spans`: arrays of (kind, start, end) in code points.
-
-    Every row stays; a null or empty text has empty arrays. all_spans holds the pattern
-    matches and the model's additions. Columns of these names are replaced.
-    """
+def _finder(docs, model, text_col):
+    """The rows to search, their names and what a task does to find spans in their batches."""
     state = docs.sparkSession.sparkContext.broadcast((model.weights, model.steps))
     docs, names = with_text(docs, text_col, ["base_spans", "all_spans"])
     at = names.index(text_col)
@@ -439,15 +435,21 @@ def find_personal(docs: DataFrame, model: SemiMarkov, text_col="text") -> DataFr
                 [*batch.columns, pa.array(base, span), pa.array(every, span)], names=[*names, "base_spans", "all_spans"]
             )
 
-    return docs.mapInArrow(find, extended(docs, names, f"base_spans {SPANS}, all_spans {SPANS}"))
+    return docs, names, find
 
 
-def masked(docs: DataFrame, text_col="text", spans_col="all_spans") -> DataFrame:
-    """The rows with the spans of their texts replaced by <kind>.
+def find_personal(docs: DataFrame, model: SemiMarkov, text_col="text") -> DataFrame:
+    """The rows with `base_spans` and `all_spans`: arrays of (kind, start, end) in code points.
 
-    Spans that overlap are masked as one, with all characters of either, under the kind of the
-    one that begins first, or of the longer one of two that begin together.
+    Every row stays; a null or empty text has empty arrays. all_spans holds the pattern
+    matches and the model's additions. Columns of these names are replaced.
     """
+    docs, names, find = _finder(docs, model, text_col)
+    return docs.mapInArrow(find, extended(docs, names, f"base_spans {SPANS}, all_spans {SPANS}"))
+
+
+def _masker(names, text_col):
+    """What a task does to batches of the columns `names`, then any, then the spans, to mask them."""
 
     def mask(batches):
         at = names.index(text_col)
@@ -462,10 +464,31 @@ def masked(docs: DataFrame, text_col="text", spans_col="all_spans") -> DataFrame
                         end = max(end, s["end"])
                     text = "".join(out) + text[end:]
                 texts.append(text)
-            columns = list(batch.columns[:-1])
+            columns = list(batch.columns[:len(names)])
             columns[at] = pa.array(texts, pa.string())
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
+    return mask
+
+
+def masked(docs: DataFrame, text_col="text", spans_col="all_spans") -> DataFrame:
+    """The rows with the spans of their texts replaced by <kind>.
+
+    Spans that overlap are masked as one, with all characters of either, under the kind of the
+    one that begins first, or of the longer one of two that begin together.
+    """
     names = [c for c in docs.columns if c != spans_col]
     texts = docs.withColumn(text_col, F.col(f"`{text_col}`").cast("string"))
-    return texts.select(*[F.col(f"`{c}`") for c in [*names, spans_col]]).mapInArrow(mask, StructType([texts.schema[c] for c in names]))
+    rows = texts.select(*[F.col(f"`{c}`") for c in [*names, spans_col]])
+    return rows.mapInArrow(_masker(names, text_col), StructType([texts.schema[c] for c in names]))
+
+
+def mask_personal(docs: DataFrame, model: SemiMarkov, text_col="text") -> DataFrame:
+    """What `masked` makes of the rows of `find_personal`, without the spans.
+
+    Both steps run in one Python worker. As two nodes of a plan they take two workers for each
+    task at once, which stay in an executor's memory for the stages after them.
+    """
+    docs, names, find = _finder(docs, model, text_col)
+    mask = _masker(names, text_col)
+    return docs.mapInArrow(lambda batches: mask(find(batches)), StructType([docs.schema[c] for c in names]))

@@ -71,6 +71,14 @@ def test_personal_data_is_masked(stages):
         assert not personal(r["text"]) and (r["text"] is None or r["n_chars"] == len(r["text"]))
 
 
+def test_masking_takes_one_worker_a_task(spark):
+    # two Python nodes in one task fork two workers a slot, which stay for packing
+    docs = spark.createDataFrame([(1, "mail a@b.cc", 11), (2, None, None)], "doc_id long, text string, n_chars long")
+    out = P.mask_personal(spark, docs, DATA)
+    assert out._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+    assert rows(out) == [(1, "mail <email>", 12), (2, None, None)]
+
+
 def test_every_token_is_packed(stages):
     pieces = stages[5].collect()
     assert {r["doc_id"] for r in pieces} == {r["doc_id"] for r in stages[4].collect()}

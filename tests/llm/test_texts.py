@@ -318,6 +318,16 @@ def test_overlapping_spans_are_masked_as_one(spark):
     assert got[1] == "pay <card> here"
 
 
+def test_masking_in_one_pass_equals_both_steps(spark, docs):
+    odd = [(1, None, "x"), (1, "", None), (1, "", None), (None, "call +1 (415)555-2671@x.org now", "y"), (2, "1.2.3.4 a@b.cc " * 300, "z")]
+    df = spark.createDataFrame(odd, "doc_id long, text string, all_spans string").unionByName(docs.selectExpr("doc_id", "text", "lang as all_spans"))
+    model = pii.fit(docs)
+    steps = pii.masked(pii.find_personal(df, model).drop("base_spans"))
+    once = pii.mask_personal(df, model)
+    assert once.dtypes == steps.dtypes and any("<email>" in (r["text"] or "") for r in once.collect())
+    assert sorted(map(tuple, once.collect()), key=repr) == sorted(map(tuple, steps.collect()), key=repr)
+
+
 @pytest.mark.parametrize("name", sorted(k for k, (_, sql) in QUERIES.items() if sql))
 def test_query_equals_sql(spark, name):
     db = duckdb.connect()

@@ -6,9 +6,12 @@ size does not depend on the corpus. A tree over the bins holds the largest room
 node, so the first bin that fits is found by one walk down.
 """
 
+import functools
 import itertools
+import json
 import os
 import re
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -18,28 +21,26 @@ from riskmart.llm.storing import extended, partitions
 
 SEQUENCE = 1024
 GROUP_PIECES = 4096
-CACHED_UNITS = 200_000     # words whose ids a task remembers, twice
-LONG_UNIT = 48             # longer runs without a blank are not remembered
-UNSAFE = re.compile(r"\s ")
-# Fixed: the pre-token pattern of byte-level vocabularies of 50k entries.
-PRE_TOKENS = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+# Fixed: the pre-token pattern of byte-level vocabularies of 50k entries, for texts cut by LAST_BLANK.
+PRE_TOKENS = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+"
+BLANKS = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"     # what \s is in that pattern
+TWO_BLANKS = re.compile(f"[{BLANKS}]{{2}}")
+LAST_BLANK = re.compile(f"(?<![{BLANKS}])([{BLANKS}]+)(?=[{BLANKS}][^{BLANKS}])")
 
 
 class Encoder:
-    """Ids of whole texts as little-endian unsigned 32-bit bytes, with the ids of words remembered.
+    """Ids of whole texts as little-endian unsigned 32-bit bytes.
 
-    A blank after a visible character starts a new pre-token in byte-level vocabularies, so the
-    parts between such blanks are encoded on their own; other texts are encoded whole. Given
-    the same vocabulary as ranks, the parts are encoded from those, which is several times faster.
+    Given the same vocabulary as ranks, texts are encoded from those, which is several times
+    faster; only texts with special tokens are left to the tokenizer. The vocabulary's own
+    pattern looks ahead so that the last blank of a run goes with the word after it. Texts are
+    cut around the other blanks of such runs instead, as a pattern that looks ahead is slower.
     """
 
     def __init__(self, path, ranks_path=None):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        self.known, self.older = {}, {}
-        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.path = path
+        with open(path, encoding="utf-8") as file:
+            self.special = [t["content"] for t in json.load(file)["added_tokens"]]
         self.words = None
         if ranks_path:
             import base64
@@ -50,47 +51,24 @@ class Encoder:
                 ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
             self.words = tiktoken.Encoding("words", pat_str=PRE_TOKENS, mergeable_ranks=ranks, special_tokens={})
 
-    def _words(self, units):
-        if self.words is None:
-            return self._encode(units)
-        ids = [*map(self.words.encode_ordinary, units)]
-        flat = np.fromiter(itertools.chain.from_iterable(ids), "<u4").tobytes()
-        ends = [*itertools.accumulate(map(len, ids), initial=0)]
-        return [flat[4 * a:4 * b] for a, b in itertools.pairwise(ends)]
+    @functools.cached_property
+    def tokenizer(self):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(self.path)
 
-    def _encode(self, units):
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch(units, add_special_tokens=False)]
+    def _ids(self, text):
+        if not TWO_BLANKS.search(text):
+            return self.words.encode_ordinary(text)
+        return [*itertools.chain.from_iterable(map(self.words.encode_ordinary, LAST_BLANK.split(text)))]
 
     def encode(self, texts):
-        split, whole, new = [], [], set()
-        known = self.known
-        for text in texts:
-            if UNSAFE.search(text) or any(t in text for t in self.special):
-                split.append(None)
-                whole.append(text)
-                continue
-            parts = text.replace(" ", "\0 ").split("\0") if "\0" not in text else None
-            if parts is None:
-                split.append(None)
-                whole.append(text)
-                continue
-            split.append(parts)
-            new.update(parts)
-        if len(known) + len(new) > CACHED_UNITS:
-            # words seen since the last turn stay, the others go
-            self.known, self.older = {}, known
-            known = self.known
-        older = self.older
-        known.update((u, older[u]) for u in new if u in older and u not in known)
-        new = [u for u in new if u not in known]
-        known.update(zip(new, self._words(new)))
-        get = known.__getitem__
-        wholes = iter(self._encode(whole) if whole else [])
-        out = [next(wholes) if parts is None else b"".join(map(get, parts)) for parts in split]
-        for u in new:
-            if len(u) > LONG_UNIT:
-                del known[u]
-        return out
+        left = [self.words is None or any(t in text for t in self.special) for text in texts]
+        batch = [*itertools.compress(texts, left)]
+        done = iter(self.tokenizer.encode_batch(batch, add_special_tokens=False) if batch else [])
+        ids = (next(done).ids if x else self._ids(text) for text, x in zip(texts, left))
+        return [np.asarray(array("I", i), "<u4").tobytes() for i in ids]
 
 
 def token_pieces(docs: DataFrame, tokenizer_path: str, ranks_path=None, id_col="doc_id", text_col="text", end_id=0, size=SEQUENCE) -> DataFrame:

@@ -221,6 +221,29 @@ def test_encoder_equals_tokenizer(docs):
             assert np.frombuffer(ids, "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids
 
 
+def test_encoder_equals_tokenizer_on_runs_of_blanks():
+    rng = random.Random(11)
+    blanks = [" ", " ", "\t", "\n", "\r\n", "\x0b", "\x1c", "\x85", "\xa0", "\u2009", "\u2028", "\u3000", "\u200b", "\ufeff", "\0"]
+    words = ["a", "It's", "'ll", "x1", "½", "é", "中", "...", "<|endoftext|>"]
+    texts = ["".join(rng.choice(rng.choice([blanks, words])) for _ in range(rng.randrange(12))) for _ in range(5000)]
+    texts += ["\n" * 100_000 + "x", " " * 100_000, "x" + "\t" * 100_000 + " x", "y" * 20_000 + "  z"]
+    tokenizer = Tokenizer.from_file(JSON)
+    for text, ids in zip(texts, packing.Encoder(JSON, RANKS).encode(texts)):
+        assert np.frombuffer(ids, "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids
+
+
+def test_encoder_takes_a_text_at_once(monkeypatch):
+    # a call for each word costs more than the word where most words are rare
+    rng = random.Random(12)
+    texts = [" ".join("".join(rng.choices("abcdefgh", k=9)) for _ in range(50)) for _ in range(40)] + ["if x:\n    y = 1\n\n"]
+    encoder, calls = packing.Encoder(JSON, RANKS), []
+    encode = encoder.words.encode_ordinary
+    monkeypatch.setattr(encoder.words, "encode_ordinary", lambda part: calls.append(part) or encode(part))
+    monkeypatch.setattr(Tokenizer, "from_file", None)      # a run of blanks needs no slow encoding
+    encoder.encode(texts)
+    assert calls[:40] == texts[:40] and "".join(calls[40:]) == texts[40] and len(calls) < 45
+
+
 def test_packing_round_trip(spark):
     tokenizer = Tokenizer.from_file(JSON)
     rng = random.Random(9)
